@@ -90,9 +90,12 @@ def preview(c, n: int = PREVIEW_CHARS) -> Column:
 
 def low_confidence_reason(conf, threshold) -> Column:
     """H9: ``Low confidence (45.1% < 85% threshold)``."""
+    # Percent rounded half-up in decimal (not by the formatter), so every
+    # engine prints the same digit for values such as 30.45.
+    pct = F.round((_col(conf).cast("double") * F.lit(100.0)).cast("decimal(20,10)"), 1).cast("double")
     return F.format_string(
         "Low confidence (%.1f%% < %.0f%% threshold)",
-        _col(conf).cast("double") * F.lit(100.0),
+        pct,
         F.lit(float(threshold) * 100.0),
     )
 

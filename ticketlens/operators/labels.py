@@ -114,9 +114,9 @@ def route_team(df: DataFrame, category_col: str = "category", out_col: str = "ro
                team_map=None, fallback: str = K.FALLBACK_TEAM) -> DataFrame:
     """Category -> team, unknown categories to the fallback team."""
     spark = df.sparkSession
-    dim = dimension(spark, team_map or K.CATEGORY_TO_TEAM, "_cat", "_team")
-    out = df.join(dim, df[category_col] == dim["_cat"], "left").drop("_cat")
-    return out.withColumn(out_col, F.coalesce(F.col("_team"), F.lit(fallback))).drop("_team")
+    dim = dimension(spark, team_map or K.CATEGORY_TO_TEAM, "_rt_cat", "_rt_team")
+    out = df.join(dim, df[category_col] == dim["_rt_cat"], "left").drop("_rt_cat")
+    return out.withColumn(out_col, F.coalesce(F.col("_rt_team"), F.lit(fallback))).drop("_rt_team")
 
 
 def sla_dimension(spark: SparkSession, sla=None) -> DataFrame:

@@ -92,17 +92,18 @@ def top_k(counts: DataFrame, key: str, k: int, count_col: str = "n", largest: bo
 def histogram(df: DataFrame, value_col: str, bins: int = 30, group_cols=()) -> DataFrame:
     """Equal-width histogram over [min, max] with the last bin closed.
 
-    Edges come from one global aggregate (a single row, broadcast), so all
+    Edges come from one global aggregate used as a scalar subquery, so all
     groups share them; binning is a projection and counting is map-side
     combined.
     """
     v = F.col(value_col).cast("double")
     edges = df.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    edges = edges.select(
-        F.when(F.col("_lo") == F.col("_hi"), F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
-        F.when(F.col("_lo") == F.col("_hi"), F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"))
+    edges = edges.select(F.struct(
+        F.when(F.col("_lo") == F.col("_hi"), F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("lo"),
+        F.when(F.col("_lo") == F.col("_hi"), F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("hi")))
+    e = edges.scalar()
     x = df.select(*group_cols, v.alias("_x")).where(F.col("_x").isNotNull())
-    j = x.crossJoin(F.broadcast(edges))
+    j = x.withColumn("_lo", e["lo"]).withColumn("_hi", e["hi"])
     b = F.least(F.floor((F.col("_x") - F.col("_lo")) * bins / (F.col("_hi") - F.col("_lo"))),
                 F.lit(bins - 1)).cast("int")
     j = j.withColumn("bin", b)

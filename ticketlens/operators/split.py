@@ -119,18 +119,18 @@ def split_check(df: DataFrame, id_col: str, split_col: str = "split") -> DataFra
                          F.count(F.lit(1)).alias("distinct_ids"))
     sizes = df.agg(F.count(F.lit(1)).alias("n_total"),
                    *[F.count_if(F.col(split_col) == s).alias(f"n_{s}") for s in SPLIT_NAMES])
-    return sizes.crossJoin(overlap)
+    o = overlap.select(F.struct("ids_in_many_splits", "distinct_ids")).scalar()
+    return sizes.select("*", o["ids_in_many_splits"].alias("ids_in_many_splits"),
+                        o["distinct_ids"].alias("distinct_ids"))
 
 
 def category_share_by_split(df: DataFrame, class_col: str = "category",
                             split_col: str = "split") -> DataFrame:
     """Per class, its share (percent) of each split; pivot with listed values."""
     counts = df.groupBy(class_col).pivot(split_col, list(SPLIT_NAMES)).count().na.fill(0)
-    totals = df.groupBy().pivot(split_col, list(SPLIT_NAMES)).count()
-    totals = totals.select(*[F.col(s).alias(f"_tot_{s}") for s in SPLIT_NAMES])
-    out = counts.crossJoin(F.broadcast(totals))
-    return out.select(class_col, *[
-        F.round(F.col(s) * 100.0 / F.col(f"_tot_{s}"), 6).alias(f"{s}_pct") for s in SPLIT_NAMES])
+    w = Window.partitionBy()  # over the per-class count table only
+    return counts.select(class_col, *[
+        F.round(F.col(s) * 100.0 / F.sum(s).over(w), 6).alias(f"{s}_pct") for s in SPLIT_NAMES])
 
 
 def balanced_class_weights(df: DataFrame, label_col: str) -> DataFrame:

@@ -243,7 +243,11 @@ def d28_headline(spark, sf_dir):
         F.round(F.avg(F.when(~ok, F.col("category_confidence"))), R).alias("mean_wrong"),
         F.round(F.avg((F.col("category_confidence") >= F.lit(K.AUTO_ROUTE_THRESHOLD)).cast("double")), R)
         .alias("auto_route_share"))
-    return worst.crossJoin(pair).crossJoin(conf)
+    w = worst.select(F.struct("*")).scalar()
+    c = conf.select(F.struct("*")).scalar()
+    return pair.select(w["worst_class"].alias("worst_class"), w["worst_f1"].alias("worst_f1"), "*",
+                       c["mean_correct"].alias("mean_correct"), c["mean_wrong"].alias("mean_wrong"),
+                       c["auto_route_share"].alias("auto_route_share"))
 
 
 @query("e4_confident_errors", O.with_predictions(f"""
