@@ -67,7 +67,27 @@ def named_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p
 
 
+_MATERIALIZED: dict = {}
+
+
+def materialized(spark: SparkSession, key, build):
+    """Build a table once per application and keep it as a reliable checkpoint.
+
+    The files go to the folder named by ``spark.checkpoint.dir`` (a shared
+    location on a cluster), which also cuts the lineage: later queries read
+    the written table instead of re-deriving it, and a lost executor costs a
+    re-read, not a recomputation of the whole derivation.
+    """
+    k = (spark.sparkContext.applicationId, key)
+    if k not in _MATERIALIZED:
+        out = build()
+        _MATERIALIZED[k] = (tuple(x.checkpoint(eager=True) for x in out) if isinstance(out, tuple)
+                            else out.checkpoint(eager=True))
+    return _MATERIALIZED[k]
+
+
 def split_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E1 on the consolidated tickets: adds ``split``."""
-    return stratified_split(tickets(spark, sf_dir), "category_id", "ticket_id",
-                            K.SPLIT_RATIOS, K.SPLIT_SEED)
+    """E1 on the consolidated tickets: adds ``split``.  Written once per
+    application, like the train/val/test files of the pipeline."""
+    return materialized(spark, ("split_tickets", sf_dir), lambda: stratified_split(
+        tickets(spark, sf_dir), "category_id", "ticket_id", K.SPLIT_RATIOS, K.SPLIT_SEED))

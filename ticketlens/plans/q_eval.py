@@ -17,20 +17,22 @@ from ticketlens.sources import tables as T
 R = 6
 
 
-def _metrics_sql(t: str = "category_id", p: str = "pred_category_id", src: str = "predictions") -> str:
-    return f"""conf AS (SELECT {t} AS t, {p} AS p, count(*) AS n FROM {src} GROUP BY 1, 2),
-cm AS (
+def _metrics_sql(t: str = "category_id", p: str = "pred_category_id", src: str = "predictions",
+                 prefix: str = "") -> str:
+    conf, cm, metrics = f"{prefix}conf", f"{prefix}cm", f"{prefix}metrics"
+    return f"""{conf} AS (SELECT {t} AS t, {p} AS p, count(*) AS n FROM {src} GROUP BY 1, 2),
+{cm} AS (
   SELECT coalesce(s.c, q.c) AS class_id, coalesce(tp.n, 0) AS tp, coalesce(s.support, 0) AS support,
          coalesce(q.predicted, 0) AS predicted
-  FROM (SELECT t AS c, sum(n) AS support FROM conf GROUP BY t) s
-  FULL OUTER JOIN (SELECT p AS c, sum(n) AS predicted FROM conf GROUP BY p) q ON s.c = q.c
-  LEFT JOIN (SELECT t AS c, n FROM conf WHERE t = p) tp ON tp.c = coalesce(s.c, q.c)),
-metrics AS (
+  FROM (SELECT t AS c, sum(n) AS support FROM {conf} GROUP BY t) s
+  FULL OUTER JOIN (SELECT p AS c, sum(n) AS predicted FROM {conf} GROUP BY p) q ON s.c = q.c
+  LEFT JOIN (SELECT t AS c, n FROM {conf} WHERE t = p) tp ON tp.c = coalesce(s.c, q.c)),
+{metrics} AS (
   SELECT class_id, tp, support,
          CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
          CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall,
          CASE WHEN support + predicted > 0 THEN (2 * tp) / (support + predicted) ELSE 0.0 END AS f1
-  FROM cm)"""
+  FROM {cm})"""
 
 
 def _band_sql(col: str) -> str:
@@ -270,9 +272,7 @@ SELECT head, round(sum(tp) / sum(support), {R}) AS accuracy,
        round(sum(f1 * support) / sum(support), {R}) AS weighted_f1, round(avg(f1), {R}) AS macro_f1,
        CAST(sum(support) AS BIGINT) AS n
 FROM (SELECT 'category' AS head, * FROM metrics UNION ALL SELECT 'priority', * FROM pmetrics) x GROUP BY head""",
-    _metrics_sql(), _metrics_sql("priority_id", "pred_priority_id").replace("conf AS", "pconf AS")
-    .replace("FROM conf", "FROM pconf").replace("cm AS", "pcm AS").replace("FROM cm", "FROM pcm")
-    .replace("metrics AS", "pmetrics AS")))
+    _metrics_sql(), _metrics_sql("priority_id", "pred_priority_id", prefix="p")))
 def i13_two_head_metrics(spark, sf_dir):
     return V.two_head_metrics(_preds(spark, sf_dir), {
         "category": ("category_id", "pred_category_id"),

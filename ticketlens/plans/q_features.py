@@ -39,8 +39,11 @@ weights AS (SELECT ticket_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY ticke
 
 
 def _tfidf(spark, sf_dir):
+    """The fitted vectoriser's tables (weights, vocabulary, idf), written once
+    per application like a saved vectoriser."""
     st = FX.split_tickets(spark, sf_dir)
-    weights, vocab, idf = FE.fit_transform_tfidf(st, "ticket_id", F.col("split") == "train")
+    weights, vocab, idf = FX.materialized(spark, ("tfidf", sf_dir), lambda: FE.fit_transform_tfidf(
+        st, "ticket_id", F.col("split") == "train"))
     return st, weights, vocab, idf
 
 
