@@ -35,6 +35,11 @@ def _metrics_sql(t: str = "category_id", p: str = "pred_category_id", src: str =
   FROM {cm})"""
 
 
+def _id_name_sql(col: str, names) -> str:
+    whens = " ".join(f"WHEN {col} = {i} THEN {O.q(n)}" for i, n in enumerate(names))
+    return f"(CASE {whens} END)"
+
+
 def _band_sql(col: str) -> str:
     whens = " ".join(f"WHEN {col} < {lim} THEN '{name}'" for lim, name in K.F1_BANDS)
     return f"CASE {whens} ELSE '{K.F1_BAND_TOP}' END"
@@ -277,3 +282,24 @@ def i13_two_head_metrics(spark, sf_dir):
     return V.two_head_metrics(_preds(spark, sf_dir), {
         "category": ("category_id", "pred_category_id"),
         "priority": ("priority_id", "pred_priority_id")})
+
+
+@query("f5_first_misclassified", O.with_predictions("""
+SELECT ticket_id, category_id, pred_category_id FROM predictions
+WHERE category_id <> pred_category_id ORDER BY ticket_id LIMIT 10"""))
+def f5_first_misclassified(spark, sf_dir):
+    """the first n misclassified tickets in input (id) order."""
+    w = V.misclassified(_preds(spark, sf_dir), "category_id", "pred_category_id")
+    return w.orderBy("ticket_id").limit(10).select("ticket_id", "category_id", "pred_category_id")
+
+
+@query("f6_preview_scored", O.with_predictions(f"""
+SELECT ticket_id, category, {_id_name_sql('pred_priority_id', K.PRIORITIES)} AS priority,
+       round(category_confidence, 4) AS confidence
+FROM predictions ORDER BY ticket_id LIMIT 10"""))
+def f6_preview_scored(spark, sf_dir):
+    """first 10 scored rows in input order."""
+    p = L.id_to_name(_preds(spark, sf_dir), "pred_priority_id", "priority_name", K.PRIORITIES)
+    return (p.orderBy("ticket_id").limit(10)
+             .select("ticket_id", "category", F.col("priority_name").alias("priority"),
+                     F.round("category_confidence", 4).alias("confidence")))

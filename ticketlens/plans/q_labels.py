@@ -181,3 +181,19 @@ def d13_label_dimensions(spark, sf_dir):
     p = L.dense_ids(t, "priority", "id").select(F.lit("priority").alias("kind"), "id",
                                                  F.col("priority").alias("name"))
     return c.unionByName(p)
+
+
+@query("a2_label_id_names", """
+WITH dim AS (SELECT source AS label_name, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS label
+             FROM (SELECT DISTINCT source FROM documents) s),
+coded AS (SELECT d.doc_id, m.label FROM documents d JOIN dim m ON d.source = m.label_name)
+SELECT c.doc_id AS ticket_id, c.label, m.label_name FROM coded c JOIN dim m ON c.label = m.label""")
+def a2_label_id_names(spark, sf_dir):
+    """A2: corpora ship integer label ids; names come back by a broadcast join on
+    the label dimension (here built from the distinct raw labels, sorted)."""
+    a = T.load_corpus_a(spark, sf_dir)
+    dim = L.dense_ids(a, "label_name", "label")
+    # The label set comes from the data, so no broadcast hint: AQE picks the
+    # broadcast at run time only when the measured size is small.
+    coded = a.join(dim, "label_name").select("ticket_id", "label")
+    return coded.join(dim, "label").select("ticket_id", "label", "label_name")

@@ -38,6 +38,8 @@ METRICS_SQL = O.with_predictions(f"SELECT * FROM ({_LONG_SQL}) x", DECODED, *_CT
 
 
 def metric_table(spark, sf_dir):
+    """Long metric records; each scorer is evaluated for both heads in one pass
+    (I13's stacked evaluation), then the two scorers are unioned."""
     preds = FX.predictions(spark, sf_dir)
     t = FX.tickets(spark, sf_dir).select("ticket_id", "category_id", "priority_id")
     d = _decoded(spark, sf_dir).select("ticket_id", F.col("category_id").alias("pred_category_id"),
@@ -45,14 +47,11 @@ def metric_table(spark, sf_dir):
     logit = t.join(d, "ticket_id")
     out = None
     for name, df in (("arithmetic", preds), ("logits", logit)):
-        cols = []
-        for h, (tc, pc) in HEADS.items():
-            m = V.overall_metrics(df, tc, pc)
-            cols.append(m.select(F.col("accuracy").alias(f"{h}_accuracy"), F.col("weighted_f1").alias(f"{h}_f1")))
-        one = cols[0]
-        s = cols[1].select(F.struct("*")).scalar()
-        one = one.select("*", s["pri_accuracy"].alias("pri_accuracy"), s["pri_f1"].alias("pri_f1"))
-        part = RU.metrics_long(one, name, METRICS)
+        m = V.two_head_metrics(df, HEADS)
+        pairs = F.explode(F.array(
+            F.struct(F.concat(F.col("head"), F.lit("_accuracy")).alias("metric"), F.col("accuracy").alias("value")),
+            F.struct(F.concat(F.col("head"), F.lit("_f1")).alias("metric"), F.col("weighted_f1").alias("value"))))
+        part = m.select(F.lit(name).alias("model"), pairs.alias("x")).select("model", "x.metric", "x.value")
         out = part if out is None else out.unionByName(part)
     return out
 
