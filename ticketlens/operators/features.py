@@ -7,9 +7,9 @@ TF-IDF plan (fit on the training rows, transform all rows)::
     counts[train] semi-join vocab --groupBy(term) count--> df -> idf
     counts semi-join vocab, join idf --> (1 + ln tf) * idf --> L2 per doc
 
-* Each document is one input row, so the map-side partial aggregate of
-  ``(doc, term)`` is complete before the shuffle: the shuffle carries the
-  sparse matrix itself, nothing more.
+* Documents are hash-partitioned by id once (raw text crosses the network,
+  not the exploded terms); the ``(doc, term)`` aggregate, the per-document
+  L2 norm and the joins on the id reuse that partitioning.
 * The vocabulary (and idf / coefficient tables keyed by it) is bounded by
   ``max_features`` -- that bound is what makes broadcasting it safe.
 * The L2 norm is a per-document aggregate joined back on the document key.
@@ -27,14 +27,22 @@ R = 6
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str = "text",
-                ngram_range=K.NGRAM_RANGE) -> DataFrame:
-    """``(id, term, tf)``: uni- (and bi-) gram counts per document."""
+                ngram_range=K.NGRAM_RANGE, keep=()) -> DataFrame:
+    """``(id, *keep, term, tf)``: uni- (and bi-) gram counts per document.
+
+    ``keep`` columns must be functions of the id (e.g. a train flag).
+    """
     tok = H.tokens(text_col)
     terms = H.ngrams_1_2(tok) if ngram_range[1] >= 2 else tok
     if ngram_range[0] >= 2:
         terms = H.bigrams(tok)
-    ex = df.select(id_col, F.explode(terms).alias("term"))
-    return ex.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # Partition documents by id before exploding: the (id, term) aggregate, the
+    # per-document norm and the joins on id then reuse this partitioning, and
+    # the shuffle carries raw text instead of the larger exploded terms.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ex = (df.select(id_col, *keep, text_col).repartition(n, id_col)
+            .select(id_col, *keep, F.explode(terms).alias("term")))
+    return ex.groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(counts: DataFrame, max_features: int = K.MAX_FEATURES) -> DataFrame:
@@ -57,26 +65,39 @@ def idf_table(train_counts: DataFrame, vocab: DataFrame, n_docs_df: DataFrame, i
 
 
 def tfidf(counts: DataFrame, idf: DataFrame, id_col: str, round_to: int | None = None) -> DataFrame:
-    """``(id, term, weight)`` with sublinear tf and per-document L2 norm."""
+    """``(id, term, weight)`` with sublinear tf and per-document L2 norm.
+
+    The norm is a window per document over data already partitioned by id,
+    so it adds a sort, not a shuffle.
+    """
+    from pyspark.sql import Window
     j = counts.join(F.broadcast(idf.select("term", "idf")), "term", "inner")
     j = j.withColumn("_w", (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
-    norms = j.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    out = j.join(norms, id_col, "inner").withColumn("weight", F.col("_w") / F.col("_norm"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
+    out = j.withColumn("weight", F.col("_w") / norm)
     if round_to is not None:
         out = out.withColumn("weight", F.round("weight", round_to))
     return out.select(id_col, "term", "weight")
 
 
 def fit_transform_tfidf(df: DataFrame, id_col: str, train_filter, text_col: str = "text",
-                        max_features: int = K.MAX_FEATURES):
-    """I1 + I2: returns ``(weights, vocabulary, idf)`` fitted on ``train_filter`` rows."""
-    counts = term_counts(df, id_col, text_col)
-    train_ids = df.filter(train_filter).select(id_col)
-    train_counts = counts.join(train_ids, id_col, "left_semi")
+                        max_features: int = K.MAX_FEATURES, persist: bool = True):
+    """I1 + I2: returns ``(weights, vocabulary, idf)`` fitted on ``train_filter`` rows.
+
+    The per-(doc, term) counts feed the vocabulary, the document frequencies
+    and the weights, so they are persisted (memory, spilling to disk; a lost
+    block is recomputed from lineage).
+    """
+    from pyspark import StorageLevel
+    flagged = df.select(id_col, text_col, train_filter.alias("_train"))
+    counts = term_counts(flagged, id_col, text_col, keep=["_train"])
+    if persist:
+        counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    train_counts = counts.filter(F.col("_train"))
     vocab = vocabulary(train_counts, max_features)
-    n_docs = train_ids.agg(F.count(F.lit(1)).alias("n_docs"))
+    n_docs = flagged.filter(F.col("_train")).agg(F.count(F.lit(1)).alias("n_docs"))
     idf = idf_table(train_counts, vocab, n_docs, id_col)
-    return tfidf(counts, idf, id_col), vocab, idf
+    return tfidf(counts.drop("_train"), idf, id_col), vocab, idf
 
 
 def centroid_coefficients(weights: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:

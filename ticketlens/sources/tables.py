@@ -76,6 +76,19 @@ def oos_as_tickets(corpus_b: DataFrame) -> DataFrame:
         F.col("intent_name").alias("label_name"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition ``df`` by ``key`` only when the scan yields fewer partitions
+    than the cluster can run at once (e.g. one large row group).
+
+    Checking the partition count only plans the scan; on big inputs (many
+    files / row groups) this is a no-op and adds no shuffle.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, key)
+    return df
+
+
 def require_columns(df: DataFrame, columns) -> DataFrame:
     """Fail fast when a required column is missing (schema-only check)."""
     missing = [c for c in columns if c not in df.columns]
