@@ -32,16 +32,20 @@ def term_counts(df: DataFrame, id_col: str, text_col: str = "text",
 
     ``keep`` columns must be functions of the id (e.g. a train flag).
     """
-    tok = H.tokens(text_col)
-    terms = H.ngrams_1_2(tok) if ngram_range[1] >= 2 else tok
-    if ngram_range[0] >= 2:
-        terms = H.bigrams(tok)
+    from pyspark.ml.feature import NGram
     # Partition documents by id before exploding: the (id, term) aggregate, the
     # per-document norm and the joins on id then reuse this partitioning, and
     # the shuffle carries raw text instead of the larger exploded terms.
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ex = (df.select(id_col, *keep, text_col).repartition(n, id_col)
-            .select(id_col, *keep, F.explode(terms).alias("term")))
+    tok = (df.select(id_col, *keep, text_col).repartition(n, id_col)
+             .select(id_col, *keep, H.tokens(text_col).alias("_tok")))
+    if ngram_range[1] >= 2:
+        # Spark ML's NGram (JVM-side) is faster than a zip_with lambda here
+        tok = NGram(n=2, inputCol="_tok", outputCol="_bi").transform(tok)
+        terms = F.col("_bi") if ngram_range[0] >= 2 else F.concat("_tok", "_bi")
+    else:
+        terms = F.col("_tok")
+    ex = tok.select(id_col, *keep, F.explode(terms).alias("term"))
     return ex.groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -162,7 +166,9 @@ def rank_by_count(freq: DataFrame, key: str, count_col: str, prefix_len: int = 2
     w = Window.orderBy(F.desc(count_col), F.asc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.withColumn("_off", F.coalesce(F.sum("_k").over(w), F.lit(0))).drop("_k")
     local = b.withColumn("_local", F.row_number().over(Window.partitionBy(count_col, "_b").orderBy(key)))
-    return (local.join(F.broadcast(offsets), [count_col, "_b"], "inner")
+    # offsets has one row per (count, prefix) present: small in practice but
+    # data-dependent, so AQE decides on broadcasting from its measured size
+    return (local.join(offsets, [count_col, "_b"], "inner")
                  .withColumn("_rank", F.col("_off") + F.col("_local")).drop("_off", "_local", "_b"))
 
 

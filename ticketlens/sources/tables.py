@@ -42,11 +42,11 @@ def union_all(frames) -> DataFrame:
 def load_corpus_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1/A2: labelled tickets ``(ticket_id, text, label_name)``."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
-    return docs.select(
+    return spread(docs.select(
         F.col("doc_id").alias("ticket_id"),
         "text",
         F.col("source").alias("label_name"),
-    )
+    ), "ticket_id")
 
 
 # Key for corpus-B rows: benchmark rows keep ``item_id``; conversation turns
@@ -60,7 +60,7 @@ def load_corpus_b(spark: SparkSession, sf_dir: str) -> DataFrame:
             .filter(F.col("role") == "user")
             .select((-(F.col("conv_id") * 1000 + F.col("turn")) - 1).alias("item_key"),
                     "text", F.lit("user_turn").alias("intent_name")))
-    return union_all([bench, conv])
+    return spread(union_all([bench, conv]), "item_key")
 
 
 def out_of_scope(corpus_b: DataFrame, keep: bool = True) -> DataFrame:
