@@ -82,11 +82,17 @@ def materialized(spark: SparkSession, key, build):
     k = (spark.sparkContext.applicationId, key)
     if k not in _MATERIALIZED:
         out = build()
-        _MATERIALIZED[k] = (tuple(x.checkpoint(eager=True) for x in out) if isinstance(out, tuple)
-                            else out.checkpoint(eager=True))
+        _MATERIALIZED[k] = (tuple(_checkpoint(x) for x in out) if isinstance(out, tuple)
+                            else _checkpoint(out))
     return _MATERIALIZED[k]
 
 
+def _checkpoint(df: DataFrame) -> DataFrame:
+    """Checkpoint unless ``df`` already reads a checkpoint (nothing to cut)."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    return df if plan.lstrip().startswith("LogicalRDD") else df.checkpoint(eager=True)
+
+
 def split_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1 on the consolidated tickets: adds ``split``.  Written once per
     application, like the train/val/test files of the pipeline."""

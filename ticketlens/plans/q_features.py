@@ -43,7 +43,7 @@ def _tfidf(spark, sf_dir):
     per application like a saved vectoriser."""
     st = FX.split_tickets(spark, sf_dir)
     weights, vocab, idf = FX.materialized(spark, ("tfidf", sf_dir), lambda: FE.fit_transform_tfidf(
-        st, "ticket_id", F.col("split") == "train"))
+        st, "ticket_id", F.col("split") == "train", stage=lambda d: d.checkpoint(eager=True)))
     return st, weights, vocab, idf
 
 
