@@ -34,8 +34,8 @@ def case_map(col: str, mapping: dict, default: str = "NULL") -> str:
 
 
 def word_count(col: str) -> str:
-    return (f"(CASE WHEN {col} IS NULL THEN NULL ELSE "
-            f"len(list_filter(regexp_split_to_array({col}, '{WS}+'), lambda w: w <> '')) END)")
+    return (f"CAST(CASE WHEN {col} IS NULL THEN NULL ELSE "
+            f"len(list_filter(regexp_split_to_array({col}, '{WS}+'), lambda w: w <> '')) END AS INTEGER)")
 
 
 def strip(col: str) -> str:

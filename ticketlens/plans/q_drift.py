@@ -33,7 +33,7 @@ FEATURES = f"""feat AS (
   SELECT ticket_id, split, 'normal' AS scenario, text, category_id, priority FROM split_tickets
   UNION ALL
   SELECT ticket_id, split, 'drifted', {_rewrite_sql('text')}, category_id, priority FROM split_tickets WHERE split = 'test'),
-feat2 AS (SELECT *, length(text) AS text_length, {O.word_count('text')} AS word_count FROM feat),
+feat2 AS (SELECT *, CAST(length(text) AS INTEGER) AS text_length, {O.word_count('text')} AS word_count FROM feat),
 sides AS (
   SELECT s.scenario, 'ref' AS side, f.* EXCLUDE (scenario) FROM feat2 f, (VALUES ('normal'), ('drifted')) s(scenario)
   WHERE f.split = 'train' AND f.scenario = 'normal'

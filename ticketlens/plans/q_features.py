@@ -56,7 +56,7 @@ def h12_strip_accents(spark, sf_dir):
 
 
 @query("h13_h14_tokens", O.with_tickets(f"""
-SELECT ticket_id, len(t) AS n_tokens, len(g) AS n_terms, md5(array_to_string(t, ' ')) AS tokens_md5,
+SELECT ticket_id, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(g) AS INTEGER) AS n_terms, md5(array_to_string(t, ' ')) AS tokens_md5,
        md5(array_to_string(g, '|')) AS terms_md5 FROM tok JOIN grams USING (ticket_id)""", SPLIT, TOK_SQL))
 def h13_h14_tokens(spark, sf_dir):
     t = FX.tickets(spark, sf_dir)

@@ -111,7 +111,7 @@ def b7_priority(spark, sf_dir):
 
 
 @query("b9_text_validation", O.with_tickets(f"""
-SELECT ticket_id, length(text) AS n_chars,
+SELECT ticket_id, CAST(length(text) AS INTEGER) AS n_chars,
        coalesce(length(text) BETWEEN {K.TEXT_MIN_LEN} AND {K.TEXT_MAX_LEN}, false) AS accepted,
        CASE WHEN text IS NULL THEN 'missing text'
             WHEN length(text) < {K.TEXT_MIN_LEN} THEN 'text too short'

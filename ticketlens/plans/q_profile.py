@@ -202,8 +202,8 @@ def f2_bottom_labels(spark, sf_dir):
 # -- H: scalar text functions --------------------------------------------------------
 
 @query("h2_h3_text_measures", O.with_tickets(f"""
-SELECT ticket_id, {WC} AS word_count, length(text) AS n_chars,
-       length({O.strip('text')}) AS n_chars_stripped, lower(text) = text AS is_lower FROM tickets"""))
+SELECT ticket_id, {WC} AS word_count, CAST(length(text) AS INTEGER) AS n_chars,
+       CAST(length({O.strip('text')}) AS INTEGER) AS n_chars_stripped, lower(text) = text AS is_lower FROM tickets"""))
 def h2_h3_text_measures(spark, sf_dir):
     t = FX.tickets(spark, sf_dir)
     return t.select("ticket_id", H.word_count("text").alias("word_count"),
