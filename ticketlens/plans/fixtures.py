@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ticketlens import constants as K
 from ticketlens.operators import labels as L
 from ticketlens.operators.split import stratified_split
+from ticketlens.session import checkpoint_dir
 from ticketlens.sources import tables as T
 
 # Raw labels src0..src17 map to categories by position; src18, src19 stay
@@ -81,6 +82,7 @@ def materialized(spark: SparkSession, key, build):
     """
     k = (spark.sparkContext.applicationId, key)
     if k not in _MATERIALIZED:
+        checkpoint_dir(spark)  # the session's shared folder; set only if unset
         out = build()
         _MATERIALIZED[k] = (tuple(_checkpoint(x) for x in out) if isinstance(out, tuple)
                             else _checkpoint(out))
