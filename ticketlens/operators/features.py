@@ -179,11 +179,10 @@ def encode_sequences(df: DataFrame, vocab: DataFrame, id_col: str, text_col: str
                      max_len: int = K.MAX_SEQ_LENGTH) -> DataFrame:
     """Word ids (unknown -> 1), cut to ``max_len`` and right-padded with 0.
 
-    Only the first ``max_len`` word positions can appear in the output, so
-    later positions are dropped before the vocabulary join.
+    The whole text is split into words; only the first ``max_len`` positions
+    can appear in the output, so the array is cut before the vocabulary join.
     """
-    pos = (df.select(id_col, F.posexplode(H.words(F.lower(text_col))).alias("pos", "word"))
-             .filter(F.col("pos") < max_len))
+    pos = df.select(id_col, F.posexplode(F.slice(H.words(F.lower(text_col)), 1, max_len)).alias("pos", "word"))
     j = pos.join(vocab.select("word", "word_id"), "word", "left")
     j = j.withColumn("word_id", F.coalesce(F.col("word_id"), F.lit(K.UNK_ID)))
     seq = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "word_id"))).alias("_s"))

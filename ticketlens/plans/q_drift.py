@@ -112,27 +112,22 @@ def _with_drift(body: str) -> str:
 # ---- Spark side --------------------------------------------------------------------
 
 def sides(spark, sf_dir):
-    """One scan of the split tickets -> rows tagged (scenario, side) with J1 features.
+    """Split tickets -> rows tagged (scenario, side) with J1 features.
 
-    Training rows are the reference of both scenarios; test rows are the
-    current side, with the rewritten text in the "drifted" scenario.
+    Training rows are the reference of both scenarios: their features are
+    computed once and the small feature row is duplicated.  Test rows are
+    the current side, with the rewritten text in the "drifted" scenario.
     """
-    st = FX.split_tickets(spark, sf_dir)
-    train = F.col("split") == "train"
-    test = F.col("split") == "test"
-    rewritten = H.replace_chain("text", K.DRIFT_REPLACEMENTS, K.DRIFT_SUFFIX)
-    opts = F.array(
-        F.struct(F.lit("normal").alias("scenario"), F.lit("ref").alias("side"), F.col("text").alias("t"),
-                 train.alias("keep")),
-        F.struct(F.lit("drifted").alias("scenario"), F.lit("ref").alias("side"), F.col("text").alias("t"),
-                 train.alias("keep")),
-        F.struct(F.lit("normal").alias("scenario"), F.lit("cur").alias("side"), F.col("text").alias("t"),
-                 test.alias("keep")),
-        F.struct(F.lit("drifted").alias("scenario"), F.lit("cur").alias("side"), rewritten.alias("t"),
-                 test.alias("keep")))
-    x = (st.select("ticket_id", "category_id", "priority", F.explode(F.filter(opts, lambda o: o["keep"])).alias("o"))
-           .select("ticket_id", "category_id", "priority", "o.scenario", "o.side", F.col("o.t").alias("text")))
-    return D.monitor_features(x)
+    st = FX.split_tickets(spark, sf_dir).select("ticket_id", "category_id", "priority", "split", "text")
+    cols = ["ticket_id", "category_id", "priority", "text_length", "word_count", "label_id"]
+    train = D.monitor_features(st.filter(F.col("split") == "train")).select(*cols)
+    ref = train.select("*", F.explode(F.array(F.lit("normal"), F.lit("drifted"))).alias("scenario"))
+    test = st.filter(F.col("split") == "test")
+    normal = D.monitor_features(test).select(*cols, F.lit("normal").alias("scenario"))
+    drifted = D.monitor_features(D.rewrite_text(test)).select(*cols, F.lit("drifted").alias("scenario"))
+    return (ref.withColumn("side", F.lit("ref"))
+               .unionByName(normal.withColumn("side", F.lit("cur")))
+               .unionByName(drifted.withColumn("side", F.lit("cur"))))
 
 
 def verdicts(spark, sf_dir):
