@@ -231,3 +231,17 @@ def prediction_parity(a: DataFrame, b: DataFrame, key: str, pred: str, truth: st
                   .withColumn("accuracy_diff", F.round(F.col("_acc_a") - F.col("_acc_b"), R))
                   .drop("_acc_a", "_acc_b"))
     return out
+
+
+def grouped_weighted_f1(df: DataFrame, key: str, truth: str, pred: str) -> DataFrame:
+    """Support-weighted F1 and accuracy per value of ``key`` (e.g. per epoch), from
+    one confusion aggregate keyed by (key, truth, pred)."""
+    c = df.groupBy(key, F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    tp = c.filter(F.col("t") == F.col("p")).select(key, F.col("t").alias("cls"), F.col("n").alias("tp"))
+    sup = c.groupBy(key, F.col("t").alias("cls")).agg(F.sum("n").alias("support"))
+    prd = c.groupBy(key, F.col("p").alias("cls")).agg(F.sum("n").alias("predicted"))
+    m = (sup.join(prd, [key, "cls"], "full_outer").join(tp, [key, "cls"], "left")
+            .na.fill(0, ["tp", "support", "predicted"]))
+    f1 = _safe_div(2.0 * F.col("tp"), F.col("support") + F.col("predicted"))
+    return m.groupBy(key).agg((F.sum(f1 * F.col("support")) / F.sum("support")).alias("weighted_f1"),
+                             (F.sum("tp") / F.sum("support")).alias("accuracy"))

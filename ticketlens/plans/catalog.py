@@ -6,7 +6,7 @@ from ticketlens.plans import q_labels  # noqa: F401
 from ticketlens.plans.registry import ORACLE, QUERIES
 
 for _mod in ("q_profile", "q_split", "q_eval", "q_scoring", "q_features", "q_drift",
-             "q_models", "q_runs", "q_streams"):
+             "q_models", "q_runs", "q_streams", "q_history"):
     try:
         __import__(f"ticketlens.plans.{_mod}")
     except ModuleNotFoundError as exc:  # modules are added as the build grows

@@ -1,0 +1,110 @@
+"""Catalogue: a training history derived from the data, and early stopping over it.
+
+"Epoch" e (1..10) is the relational centroid classifier (I8) fitted on the
+training tickets whose deterministic bucket is <= e -- a growing share of
+the training split -- and scored on the validation split.  The validation
+weighted F1 per epoch is the history; E7's patience rule runs over it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ticketlens.operators import evaluate as V
+from ticketlens.operators import runs as RU
+from ticketlens.plans.q_features import SPLIT, TFIDF_SQL, _tfidf
+from ticketlens.plans import oracle as O
+from ticketlens.plans.registry import query
+
+EPOCHS = 10
+PATIENCE = 3
+
+
+def _bucket(id_col):
+    # multiplicative hash of the id, same arithmetic in both engines
+    return (F.abs(F.col(id_col) * F.lit(2654435761)) % EPOCHS + 1).cast("int")
+
+
+def val_history(spark, sf_dir):
+    st, weights, _, _ = _tfidf(spark, sf_dir)
+    train = (st.filter(F.col("split") == "train")
+               .select("ticket_id", "category_id", _bucket("ticket_id").alias("b")))
+    # each training ticket takes part in epochs b..EPOCHS: a bounded x10 replication
+    ep = train.select("ticket_id", "category_id",
+                      F.explode(F.sequence(F.col("b"), F.lit(EPOCHS))).alias("epoch"))
+    sizes = ep.groupBy("epoch", F.col("category_id").alias("class_id")).agg(F.count(F.lit(1)).alias("_n"))
+    sums = (weights.join(ep, "ticket_id")
+            .groupBy("epoch", "term", F.col("category_id").alias("class_id"))
+            .agg(F.sum("weight").alias("_s")))
+    # epochs x vocabulary x classes rows at most: bounded, broadcast for scoring
+    coef = sums.join(F.broadcast(sizes), ["epoch", "class_id"]).select(
+        "epoch", "term", "class_id", (F.col("_s") / F.col("_n")).alias("coef"))
+    val = st.filter(F.col("split") == "val").select("ticket_id", "category_id")
+    vw = weights.join(val.select("ticket_id"), "ticket_id", "left_semi")
+    sc = (vw.join(F.broadcast(coef), "term")
+            .groupBy("epoch", "ticket_id", "class_id").agg(F.sum(F.col("weight") * F.col("coef")).alias("score")))
+    # argmax with the lowest class id on ties; scores are >= 0, so a ticket
+    # with no shared term predicts class 0 like an all-zero score vector
+    best = sc.groupBy("epoch", "ticket_id").agg(
+        F.min_by("class_id", F.struct(-F.col("score"), F.col("class_id"))).alias("pred"))
+    grid = val.select("ticket_id", "category_id", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))).alias("epoch"))
+    scored = grid.join(best, ["epoch", "ticket_id"], "left").withColumn("pred", F.coalesce("pred", F.lit(0)))
+    h = V.grouped_weighted_f1(scored, "epoch", "category_id", "pred")
+    return h.select(F.lit("centroid").alias("run_id"), F.col("epoch").cast("int").alias("epoch"),
+                    F.round("weighted_f1", 9).alias("val_f1"))
+
+
+HISTORY_SQL = TFIDF_SQL + f""",
+train_b AS (SELECT ticket_id, category_id, CAST(abs(ticket_id * 2654435761) % {EPOCHS} + 1 AS INTEGER) AS b
+            FROM split_tickets WHERE split = 'train'),
+ep AS (SELECT ticket_id, category_id, CAST(r.epoch AS INTEGER) AS epoch FROM train_b, range(1, {EPOCHS + 1}) r(epoch)
+       WHERE r.epoch >= b),
+esize AS (SELECT epoch, category_id AS class_id, count(*) AS n FROM ep GROUP BY ALL),
+ecoef AS (SELECT ep.epoch, w.term, ep.category_id AS class_id, sum(w.weight) / any_value(z.n) AS coef
+          FROM weights w JOIN ep USING (ticket_id) JOIN esize z ON z.epoch = ep.epoch AND z.class_id = ep.category_id
+          GROUP BY 1, 2, 3),
+val AS (SELECT ticket_id, category_id FROM split_tickets WHERE split = 'val'),
+vsc AS (SELECT c.epoch, w.ticket_id, c.class_id, sum(w.weight * c.coef) AS score
+        FROM weights w JOIN val USING (ticket_id) JOIN ecoef c USING (term) GROUP BY ALL),
+vbest AS (SELECT epoch, ticket_id, first(class_id ORDER BY score DESC, class_id) AS pred FROM vsc GROUP BY ALL),
+vp AS (SELECT v.ticket_id, v.category_id, CAST(r.epoch AS INTEGER) AS epoch, coalesce(b.pred, 0) AS pred
+       FROM val v CROSS JOIN range(1, {EPOCHS + 1}) r(epoch)
+       LEFT JOIN vbest b ON b.ticket_id = v.ticket_id AND b.epoch = r.epoch),
+hconf AS (SELECT epoch, category_id AS t, pred AS p, count(*) AS n FROM vp GROUP BY ALL),
+hm AS (
+  SELECT coalesce(s.epoch, q.epoch) AS epoch, coalesce(tp.n, 0) AS tp, coalesce(s.support, 0) AS support,
+         coalesce(q.predicted, 0) AS predicted
+  FROM (SELECT epoch, t AS c, sum(n) AS support FROM hconf GROUP BY ALL) s
+  FULL OUTER JOIN (SELECT epoch, p AS c, sum(n) AS predicted FROM hconf GROUP BY ALL) q
+    ON s.epoch = q.epoch AND s.c = q.c
+  LEFT JOIN (SELECT epoch, t AS c, n FROM hconf WHERE t = p) tp
+    ON tp.epoch = coalesce(s.epoch, q.epoch) AND tp.c = coalesce(s.c, q.c)),
+hist AS (
+  SELECT 'centroid' AS run_id, epoch,
+         round(sum(CASE WHEN support + predicted > 0 THEN (2 * tp) / (support + predicted) ELSE 0.0 END * support)
+               / sum(support), 9) AS val_f1
+  FROM hm GROUP BY epoch)"""
+
+
+@query("e7_validation_history", O.with_tickets("SELECT run_id, epoch, val_f1 FROM hist", SPLIT, HISTORY_SQL))
+def e7_validation_history(spark, sf_dir):
+    """The per-epoch validation F1 history (input of E7)."""
+    return val_history(spark, sf_dir)
+
+
+@query("e7_early_stopping", O.with_tickets(f"""
+, h2 AS (SELECT *, coalesce(val_f1 > max(val_f1) OVER (PARTITION BY run_id ORDER BY epoch
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM hist),
+h3 AS (SELECT *, sum(CAST(improved AS INTEGER)) OVER (PARTITION BY run_id ORDER BY epoch ROWS UNBOUNDED PRECEDING)
+                 AS island FROM h2),
+h4 AS (SELECT *, row_number() OVER (PARTITION BY run_id, island ORDER BY epoch) - 1 AS misses FROM h3),
+stp AS (SELECT run_id, min(epoch) AS stop_epoch FROM h4 WHERE misses >= {PATIENCE} GROUP BY run_id),
+seen AS (SELECT h4.*, stp.stop_epoch FROM h4 LEFT JOIN stp USING (run_id)
+         WHERE stp.stop_epoch IS NULL OR epoch <= stp.stop_epoch)
+SELECT run_id, max(epoch) FILTER (WHERE improved) AS best_epoch, max(val_f1) FILTER (WHERE improved) AS best_value,
+       any_value(stop_epoch) AS stop_epoch, max(epoch) AS last_epoch_seen
+FROM seen GROUP BY run_id""".replace("\n, h2 AS", "h2 AS"), SPLIT, HISTORY_SQL).replace(
+    "\nh2 AS (SELECT *, coalesce", ",\nh2 AS (SELECT *, coalesce", 1))
+def e7_early_stopping(spark, sf_dir):
+    """Best epoch (strict improvement) and the patience stop over the history."""
+    return RU.early_stopping(val_history(spark, sf_dir), patience=PATIENCE)
