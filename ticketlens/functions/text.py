@@ -57,17 +57,29 @@ def char_length(c) -> Column:
     return F.length(_col(c))
 
 
+# Above this many keywords, one regex pass over the text replaces an OR of
+# separate substring scans.
+KEYWORD_REGEX_MIN = 8
+
+
 def contains_any(c, keywords) -> Column:
     """Case-insensitive substring test against any keyword.
 
+    Short lists are an OR of ``contains``; long lists one ``rlike`` over
+    literal-quoted alternatives (``\Q...\E``), same result, one scan.
     Null text gives null (callers treat it as "no match").
     """
     low = F.lower(_col(c))
+    kws = [kw.lower() for kw in keywords]
+    if not kws:
+        return F.lit(False)
+    if len(kws) >= KEYWORD_REGEX_MIN and all("\\E" not in k for k in kws):
+        return low.rlike("|".join(f"\\Q{k}\\E" for k in kws))
     cond = None
-    for kw in keywords:
-        term = low.contains(F.lit(kw.lower()))
+    for kw in kws:
+        term = low.contains(F.lit(kw))
         cond = term if cond is None else (cond | term)
-    return cond if cond is not None else F.lit(False)
+    return cond
 
 
 def replace_chain(c, pairs, suffix: str = "", lowercase: bool = True) -> Column:

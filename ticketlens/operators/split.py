@@ -75,13 +75,12 @@ def stratified_split(df: DataFrame, by: str, id_col: str, ratios=K.SPLIT_RATIOS,
                      bucket_digits: int = 3) -> DataFrame:
     """Exact per-class proportions; cut k of a class of n rows is round(n * cum_ratio_k)."""
     ranked = exact_group_rank(df, [by], id_col, seed, bucket_digits)
-    n, r = F.col("_group_rows"), F.col("_rank")
+    r = F.col("_rank")
     expr = None
     for cut, name in zip(split_cuts(ratios), names):
         bound = F.expr(f"(_group_rows * {cut} + 500000) div 1000000")
         expr = F.when(r <= bound, F.lit(name)) if expr is None else expr.when(r <= bound, F.lit(name))
     expr = expr.otherwise(F.lit(names[len(ratios) - 1]))
-    del n
     return ranked.withColumn("split", expr).drop("_rank", "_group_rows")
 
 

@@ -58,13 +58,11 @@ def mapping_as_maps(mappings: DataFrame) -> DataFrame:
     """The four maps of the JSON mapping file as MapType columns (one row)."""
     agg = []
     for kind in ("category", "priority"):
-        sel = F.col("kind") == kind
         entries = F.filter(F.collect_list(F.struct("kind", "id", "name")), lambda e: e["kind"] == kind)
         agg += [F.map_from_entries(F.transform(entries, lambda e: F.struct(e["name"], e["id"])))
                 .alias(f"{kind}_to_id"),
                 F.map_from_entries(F.transform(entries, lambda e: F.struct(e["id"].cast("string"), e["name"])))
                 .alias(f"id_to_{kind}")]
-        del sel
     return mappings.agg(*agg)
 
 
