@@ -55,9 +55,21 @@ def length_stats(df: DataFrame, value_col: str, group_cols=(), approx: bool = Fa
         F.min(v).alias("min"), F.max(v).alias("max"), F.round(p95, R).alias("p95"))
 
 
+def text_digest(c) -> Column:
+    """16-byte MD5 digest of a text, as a compact grouping key for long texts
+    (null stays null).  Two different texts share a digest with negligible
+    probability (about n^2 / 2^129 for n distinct texts)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.unhex(F.md5(c))
+
+
 def duplicate_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows beyond the first copy of each text (null counts as one value)."""
-    t = F.col(text_col)
+    """Rows beyond the first copy of each text (null counts as one value).
+
+    Distinct texts are counted by digest, so the shuffle carries 16 bytes per
+    distinct text instead of the text itself.
+    """
+    t = text_digest(text_col)
     distinct_incl_null = F.countDistinct(t) + F.when(F.count_if(t.isNull()) > 0, 1).otherwise(0)
     return (df.agg(F.count(F.lit(1)).alias("n_rows"), distinct_incl_null.alias("_d"))
               .withColumn("n_duplicates", F.col("n_rows") - F.col("_d"))
@@ -127,16 +139,19 @@ def first_rows_per_group(df: DataFrame, group_col: str, order_col: str, n: int,
     return out
 
 
-def mark_duplicates(df: DataFrame, key_col: str, id_col: str, out_col: str = "is_duplicate") -> DataFrame:
+def mark_duplicates(df: DataFrame, key_col: str, id_col: str, out_col: str = "is_duplicate",
+                    digest: bool = True) -> DataFrame:
     """True for every row after the first (by id) with the same key.
 
     Uses a min-id aggregate joined back (null-safe), not a window over the
     key: a hot key is pre-combined map-side and the join-back is split by
-    AQE's skew-join handling instead of landing in one task.
+    AQE's skew-join handling instead of landing in one task.  With
+    ``digest`` the key is the text's 16-byte digest (see ``text_digest``).
     """
-    firsts = df.groupBy(key_col).agg(F.min(id_col).alias("_first_id"))
-    firsts = firsts.withColumnRenamed(key_col, "_k")
-    j = df.join(firsts, df[key_col].eqNullSafe(firsts["_k"]), "inner").drop("_k")
+    key = text_digest(key_col) if digest else F.col(key_col)
+    d = df.withColumn("_k", key)
+    firsts = d.groupBy(F.col("_k").alias("_fk")).agg(F.min(id_col).alias("_first_id"))
+    j = d.join(firsts, d["_k"].eqNullSafe(firsts["_fk"]), "inner").drop("_k", "_fk")
     return j.withColumn(out_col, F.col(id_col) > F.col("_first_id")).drop("_first_id")
 
 

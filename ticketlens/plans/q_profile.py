@@ -58,7 +58,7 @@ def d4_distinct_counts(spark, sf_dir):
     t = FX.tickets(spark, sf_dir)
     return t.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("label_name").alias("n_labels"),
                  F.countDistinct("category").alias("n_categories"),
-                 F.countDistinct("text").alias("n_texts"))
+                 F.countDistinct(P.text_digest("text")).alias("n_texts"))
 
 
 # -- D5-D10 --------------------------------------------------------------------
