@@ -94,3 +94,26 @@ def test_rank_by_count_matches_global_sort(spark):
     r = rank_by_count(df, "word", "n", prefix_len=2)
     brute = df.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("n"), "word")))
     assert r.join(brute, ["word", "n"]).filter(F.col("_rank") != F.col("rn")).count() == 0
+
+
+def test_mark_duplicates_digest_equals_plain_key(spark):
+    from ticketlens.operators.profile import mark_duplicates
+    rows = [(i, t) for i, t in enumerate(["a", "b", "a", None, "c", None, "a", "b"])]
+    df = spark.createDataFrame(rows, "tid long, text string")
+    a = {r.tid: r.is_duplicate for r in mark_duplicates(df, "text", "tid").collect()}
+    b = {r.tid: r.is_duplicate for r in mark_duplicates(df, "text", "tid", digest=False).collect()}
+    assert a == b == {0: False, 1: False, 2: True, 3: False, 4: False, 5: True, 6: True, 7: True}
+
+
+def test_spread_only_when_input_is_narrow(spark):
+    from ticketlens.sources.tables import spread
+    narrow = spark.range(100).coalesce(1)
+    wide = spark.range(100).repartition(spark.sparkContext.defaultParallelism * 2)
+    assert spread(narrow, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(wide, "id") is wide
+
+
+def test_hash_split_proportions(spark):
+    df = spark.range(20000).select(F.col("id").alias("tid"))
+    c = {r.split: r["count"] for r in S.hash_split(df, "tid").groupBy("split").count().collect()}
+    assert abs(c["train"] / 20000 - 0.8) < 0.02 and abs(c["test"] / 20000 - 0.1) < 0.02
