@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,7 +125,9 @@ def numeric_drift(ref: DataFrame, cur: DataFrame | None, cols, large_ref: int =
     """Per feature KS statistic and p-value, normalised Wasserstein distance, and
     the verdict under the size rule (see ``value_counts_by_side`` for ``cur=None``)."""
     g = [*keys, "feature"]
-    vc = value_counts_by_side(ref, cur, cols, keys=keys)
+    # One row per distinct value, read by five branches below: persisted
+    # (memory, spilling to disk; lost blocks are recomputed from lineage).
+    vc = value_counts_by_side(ref, cur, cols, keys=keys).persist(StorageLevel.MEMORY_AND_DISK)
     cdf = running_cdf(vc, buckets, keys)
     # All per-feature tables below have one row per (keys, feature): tiny.
     tot = vc.groupBy(*g).agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"),
