@@ -1,6 +1,5 @@
 """Hand-worked golden rows for the rule operators (label map, priority, gate, text)."""
 
-from pyspark.sql import functions as F
 
 from ticketlens import constants as K
 from ticketlens.functions import arrays as A

@@ -66,7 +66,7 @@ def contains_any(c, keywords) -> Column:
     """Case-insensitive substring test against any keyword.
 
     Short lists are an OR of ``contains``; long lists one ``rlike`` over
-    literal-quoted alternatives (``\Q...\E``), same result, one scan.
+    literal-quoted alternatives (``\\Q...\\E``), same result, one scan.
     Null text gives null (callers treat it as "no match").
     """
     low = F.lower(_col(c))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ticketlens.plans import oracle as O
 from ticketlens.plans.q_scoring import EVENT_PRIORITY, event_tickets
 from ticketlens.plans.registry import query
-from ticketlens.sources import tables as T
 from ticketlens.streaming import streams as ST
 from ticketlens.plans import fixtures as FX
 from ticketlens.operators import drift as D
