@@ -30,9 +30,9 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     oos = T.oos_as_tickets(T.load_corpus_b(spark, sf_dir))
     t = L.consolidate(a, oos, FIXTURE_LABEL_MAP)
     t = L.assign_priority(t, FIXTURE_P0, FIXTURE_P1)
-    t = L.add_ids(t).select("ticket_id", "text", "label_name", "category", "category_id",
-                            "priority", "priority_id")
-    return T.spread(t, "ticket_id")
+    # the corpus readers already spread narrow scans (see sources.tables.spread)
+    return L.add_ids(t).select("ticket_id", "text", "label_name", "category", "category_id",
+                               "priority", "priority_id")
 
 
 def _h(id_col, mult: int, add: int):

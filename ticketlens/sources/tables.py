@@ -80,7 +80,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-partition ``df`` by ``key`` only when the scan yields fewer partitions
     than the cluster can run at once (e.g. one large row group).
 
-    Checking the partition count only plans the scan; on big inputs (many
+    Apply it directly on a scan (before any exchange): checking the
+    partition count then only plans the file splits.  On big inputs (many
     files / row groups) this is a no-op and adds no shuffle.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
