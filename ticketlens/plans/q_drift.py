@@ -6,6 +6,7 @@ is ("normal") or with the drift rewrite applied to its text ("drifted").
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ticketlens import constants as K
@@ -125,9 +126,12 @@ def sides(spark, sf_dir):
     test = st.filter(F.col("split") == "test")
     normal = D.monitor_features(test).select(*cols, F.lit("normal").alias("scenario"))
     drifted = D.monitor_features(D.rewrite_text(test)).select(*cols, F.lit("drifted").alias("scenario"))
-    return (ref.withColumn("side", F.lit("ref"))
-               .unionByName(normal.withColumn("side", F.lit("cur")))
-               .unionByName(drifted.withColumn("side", F.lit("cur"))))
+    out = (ref.withColumn("side", F.lit("ref"))
+              .unionByName(normal.withColumn("side", F.lit("cur")))
+              .unionByName(drifted.withColumn("side", F.lit("cur"))))
+    # a narrow feature table (no text) read by the numeric and categorical
+    # branches: persisted so the texts are scanned and measured once
+    return out.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def verdicts(spark, sf_dir):
