@@ -145,3 +145,18 @@ def test_length_stats_approx_close_to_exact(spark):
     exact = length_stats(df, "x").first()
     approx = length_stats(df, "x", approx=True).first()
     assert exact.mean == approx.mean and abs(exact.median - approx.median) <= 2
+
+
+def test_append_mode_windows_are_closed_batch_windows(spark, sf_small):
+    from ticketlens.plans.q_scoring import event_tickets
+    from ticketlens.streaming import streams as ST
+    import __spark_entry__ as E
+    out, ckpt = ST.stream_paths(spark, "k2-append")
+    src = ST.file_stream(spark, sf_small, "events.parquet", ST.EVENTS_SCHEMA)
+    t = ST.with_event_time(event_tickets(spark, sf_small, source=src), "opened_at", "event_time")
+    ST.write_closed_windows(ST.windowed_counts(t, "event_time", "1 day", ["priority"], "1 day"), out, ckpt)
+    got = spark.read.parquet(out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                                          "priority", "n")
+    batch = E.queries()["k2_window_counts"](spark, sf_small).select("window_start", "priority", "n")
+    assert got.count() > 0
+    assert got.exceptAll(batch).count() == 0  # every emitted (closed) window equals the batch count
