@@ -154,13 +154,16 @@ def event_tickets(spark, sf_dir, source=None):
                      pri.alias("priority"), (F.col("value") * 10.0).alias("response_minutes"))
 
 
-@query("k4_sla_deadlines", f"""
+K4_SQL = f"""
 SELECT e.event_id AS ticket_id, e.ts AS opened_at, p.priority, s.sla_label, CAST(s.sla_minutes AS INTEGER) AS sla_minutes,
        e.ts + to_minutes(CAST(s.sla_minutes AS BIGINT)) AS sla_deadline,
        round(e.value * 10.0, {R}) AS response_minutes, e.value * 10.0 > s.sla_minutes AS sla_breached
 FROM events e
 JOIN {O.values(EVENT_PRIORITY.items(), ['event_type', 'priority'])} p ON e.event_type = p.event_type
-LEFT JOIN {_SLA} s ON p.priority = s.priority""")
+LEFT JOIN {_SLA} s ON p.priority = s.priority"""
+
+
+@query("k4_sla_deadlines", K4_SQL)
 def k4_sla_deadlines(spark, sf_dir):
     """K4 (batch form) / C6 on event time: deadline = opened + target, breach flag."""
     t = L.priority_sla(event_tickets(spark, sf_dir), opened_col="opened_at")

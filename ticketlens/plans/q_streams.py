@@ -1,28 +1,31 @@
 """Catalogue: streams (K1-K4).  Streaming queries run with an ``availableNow``
 trigger over the driver tables as file streams; the registered query returns
-what the sink wrote.  K2's batch form has a SQL oracle."""
+what the sink wrote.  K1 and K4 are checked against the batch SQL (a stream
+must equal the batch over the same files); K2 has a batch form with SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ticketlens.plans import oracle as O
-from ticketlens.plans.q_scoring import EVENT_PRIORITY, event_tickets
+from ticketlens.plans.q_scoring import DECODED, EVENT_PRIORITY, K4_SQL, event_tickets
 from ticketlens.plans.registry import query
 from ticketlens.streaming import streams as ST
 from ticketlens.plans import fixtures as FX
 from ticketlens.operators import drift as D
 
 
-@query("k1_stream_scoring")
+_K1_COLS = ["ticket_id", "category", "category_confidence", "priority", "priority_confidence",
+            "review_status", "review_reason", "routing_team"]
+
+
+@query("k1_stream_scoring", f"WITH {DECODED} SELECT {', '.join(_K1_COLS)} FROM decoded")
 def k1_stream_scoring(spark, sf_dir):
     """K1: logits stream -> decode -> gate -> parquet sink; equals the batch I10 rows."""
     out, ckpt = ST.stream_paths(spark, "k1")
     src = ST.file_stream(spark, sf_dir, "embeddings.parquet", ST.EMBEDDINGS_SCHEMA)
     ST.score_stream(src, out, ckpt)
-    return spark.read.parquet(out).select("ticket_id", "category", "category_confidence", "priority",
-                                          "priority_confidence", "review_status", "review_reason",
-                                          "routing_team")
+    return spark.read.parquet(out).select(*_K1_COLS)
 
 
 _PRI = O.values(EVENT_PRIORITY.items(), ["event_type", "priority"])
@@ -63,11 +66,15 @@ def k3_drift_per_batch(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-@query("k4_sla_stream")
+_K4_COLS = ["ticket_id", "opened_at", "priority", "sla_label", "sla_minutes", "sla_deadline", "sla_breached"]
+
+
+@query("k4_sla_stream", K4_SQL.replace(
+    "SELECT e.event_id AS ticket_id,",
+    "SELECT * EXCLUDE (response_minutes) FROM (SELECT e.event_id AS ticket_id,", 1) + ") s")
 def k4_sla_stream(spark, sf_dir):
     """K4 on a stream: deadline and breach per event ticket as it arrives."""
     out, ckpt = ST.stream_paths(spark, "k4")
     src = ST.file_stream(spark, sf_dir, "events.parquet", ST.EVENTS_SCHEMA)
     ST.sla_stream(event_tickets(spark, sf_dir, source=src), out, ckpt)
-    return spark.read.parquet(out).select("ticket_id", "opened_at", "priority", "sla_label", "sla_minutes",
-                                          "sla_deadline", "sla_breached")
+    return spark.read.parquet(out).select(*_K4_COLS)
