@@ -13,6 +13,7 @@ from ticketlens.plans.registry import query
 from ticketlens.streaming import streams as ST
 from ticketlens.plans import fixtures as FX
 from ticketlens.operators import drift as D
+from ticketlens.plans.q_drift import NUMERIC_SQL, SPLIT
 
 
 _K1_COLS = ["ticket_id", "category", "category_confidence", "priority", "priority_confidence",
@@ -53,7 +54,21 @@ def k2_window_counts_stream(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-@query("k3_drift_per_batch")
+_K3_SIDES = f"""sides AS (
+  SELECT 'k3' AS scenario, 'ref' AS side, CAST(length(text) AS INTEGER) AS text_length,
+         {O.word_count('text')} AS word_count, CAST(NULL AS INTEGER) AS category_id
+  FROM split_tickets WHERE split = 'train'
+  UNION ALL
+  SELECT 'k3', 'cur', CAST(length(text) AS INTEGER), {O.word_count('text')}, CAST(NULL AS INTEGER)
+  FROM conversations WHERE role = 'user')"""
+
+
+# One file and an availableNow trigger make exactly one micro-batch (id 0),
+# so its verdicts equal the batch drift of all user turns against training.
+@query("k3_drift_per_batch", O.with_tickets(
+    "SELECT feature, method, score, threshold, drift_detected, "
+    "CASE WHEN drift_detected THEN 'DRIFT' ELSE 'OK' END AS status, CAST(0 AS INTEGER) AS batch_id FROM numeric",
+    SPLIT, _K3_SIDES, NUMERIC_SQL))
 def k3_drift_per_batch(spark, sf_dir):
     """K3: each micro-batch of incoming tickets (user turns arriving as a file
     stream) is checked for drift against the training split."""
