@@ -32,10 +32,13 @@ def k1_stream_scoring(spark, sf_dir):
 _PRI = O.values(EVENT_PRIORITY.items(), ["event_type", "priority"])
 
 
-@query("k2_window_counts", f"""
+K2_SQL = f"""
 SELECT time_bucket(INTERVAL 1 DAY, e.ts) AS window_start, time_bucket(INTERVAL 1 DAY, e.ts) + INTERVAL 1 DAY AS window_end,
        p.priority, count(*) AS n
-FROM events e JOIN {_PRI} p ON e.event_type = p.event_type GROUP BY ALL""")
+FROM events e JOIN {_PRI} p ON e.event_type = p.event_type GROUP BY ALL"""
+
+
+@query("k2_window_counts", K2_SQL)
 def k2_window_counts(spark, sf_dir):
     """K2 (batch form): daily tumbling-window ticket counts per priority."""
     t = event_tickets(spark, sf_dir)
@@ -43,15 +46,18 @@ def k2_window_counts(spark, sf_dir):
     return w.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "priority", "n")
 
 
-@query("k2_window_counts_stream")
+@query("k2_window_counts_stream", K2_SQL)
 def k2_window_counts_stream(spark, sf_dir):
-    """K2 on a stream: watermark on event time, complete-mode result per micro-batch."""
+    """K2 on a stream: watermark on event time, complete-mode result per micro-batch;
+    window bounds are returned as wall-clock (NTZ) values like the batch form."""
     out, ckpt = ST.stream_paths(spark, "k2")
     src = ST.file_stream(spark, sf_dir, "events.parquet", ST.EVENTS_SCHEMA)
     tickets = ST.with_event_time(event_tickets(spark, sf_dir, source=src), "opened_at", "event_time")
     agg = ST.windowed_counts(tickets, "event_time", "1 day", ["priority"], "1 day")
     ST.write_complete_each_batch(agg, out, ckpt)
-    return spark.read.parquet(out)
+    r = spark.read.parquet(out)
+    return r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("window_end").cast("timestamp_ntz").alias("window_end"), "priority", "n")
 
 
 _K3_SIDES = f"""sides AS (
