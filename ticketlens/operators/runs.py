@@ -99,9 +99,9 @@ def early_stopping(history: DataFrame, run_col: str = "run_id", epoch_col: str =
         w.rowsBetween(Window.unboundedPreceding, 0)))
     h = h.withColumn("misses", F.row_number().over(
         Window.partitionBy(run_col, "_island").orderBy(epoch_col)) - 1)
-    stop = h.filter(F.col("misses") >= patience).groupBy(run_col).agg(F.min(epoch_col).alias("stop_epoch"))
-    seen = h.join(stop, run_col, "left").filter(
-        F.col("stop_epoch").isNull() | (F.col(epoch_col) <= F.col("stop_epoch")))
+    h = h.withColumn("stop_epoch", F.min(F.when(F.col("misses") >= patience, F.col(epoch_col)))
+                     .over(Window.partitionBy(run_col)))
+    seen = h.filter(F.col("stop_epoch").isNull() | (F.col(epoch_col) <= F.col("stop_epoch")))
     return seen.groupBy(run_col).agg(
         F.max(F.when(F.col("improved"), F.col(epoch_col))).alias("best_epoch"),
         F.max(F.when(F.col("improved"), F.col(metric_col))).alias("best_value"),
