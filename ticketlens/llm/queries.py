@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from ticketlens.llm import bpe
+from ticketlens.llm import bpe, mixing, simhash
 
 QUERIES = {
     "op6_bpe_encoding": bpe.op6_bpe_encoding,
     "op7_token_counts": bpe.op7_token_counts,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE: dict[str, str] = {}
