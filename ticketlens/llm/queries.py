@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from ticketlens.llm import bpe, mixing, simhash
+from ticketlens.llm import bpe, mixing, simhash, topk
 
 QUERIES = {
+    "op2_topk_search": topk.op2_topk_search,
     "op6_bpe_encoding": bpe.op6_bpe_encoding,
     "op7_token_counts": bpe.op7_token_counts,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_topk_search": topk.OP2_SQL,
+}
