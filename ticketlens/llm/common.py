@@ -121,3 +121,29 @@ def uniform(column, seed: int):
 def crc_mod(column, m: int):
     """crc32 of the id as text, modulo ``m``: the folds of the contracts."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(m)
+
+
+def bounded_sample(df: DataFrame, row_id: str, by: str, n: int, seed: int) -> DataFrame:
+    """At most ``n`` rows ``(row_id, by)``, as evenly over the values of ``by``
+    as they allow, picked by a hash of the id (so the same ones every time).
+    Rows with a null in either column are left out."""
+    rows = df.select(F.col(row_id), F.col(by)).where(F.col(row_id).isNotNull() & F.col(by).isNotNull())
+    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return rows.limit(0)
+    order = F.lit(0.0)
+    for value, count in counts.items():
+        order = F.when(F.col(by) == F.lit(value), uniform(F.col(row_id), seed) * float(count)).otherwise(order)
+    # a class has about x rows with order below x: few enough rows are sorted
+    picked = rows.withColumn("__o", order).where(F.col("__o") < 2.0 * n)
+    return picked.orderBy("__o", row_id).limit(n).select(row_id, by)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, fold, n: int, seed: int,
+                    doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, text, y)``: at most ``n`` labelled documents of the ``fold``
+    (a condition on the id), written to the shared folder.  A repeated id counts once."""
+    picked = bounded_sample(labels.where(fold), doc_id, column, n, seed).dropDuplicates([doc_id])
+    picked = F.broadcast(picked.select(F.col(doc_id), F.col(column).alias("y")))  # n rows at most
+    rows = docs.select(doc_id, F.col(text).alias("text")).join(picked, doc_id).limit(n)
+    return written(rows, "labelled")
