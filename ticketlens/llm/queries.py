@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ticketlens.llm import bpe, language, mixing, simhash, topk
+from ticketlens.llm import bpe, language, mixing, quality, simhash, topk
 
 QUERIES = {
     "op2_topk_search": topk.op2_topk_search,
     "op4_language_id": language.op4_language_id,
+    "op5_quality": quality.op5_quality,
     "op6_bpe_encoding": bpe.op6_bpe_encoding,
     "op7_token_counts": bpe.op7_token_counts,
     "op9_mixing": mixing.op9_mixing,
