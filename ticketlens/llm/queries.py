@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ticketlens.llm import bpe, language, mixing, quality, simhash, topk
+from ticketlens.llm import bpe, language, mixing, quality, simhash, topk, toxicity
 
 QUERIES = {
     "op2_topk_search": topk.op2_topk_search,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_bpe_encoding": bpe.op6_bpe_encoding,
     "op7_token_counts": bpe.op7_token_counts,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
 }
