@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ticketlens.llm import bpe, language, mixing, quality, simhash, topk, toxicity
+from ticketlens.llm import bpe, language, mixing, quality, rules, simhash, topk, toxicity
 
 QUERIES = {
     "op2_topk_search": topk.op2_topk_search,
+    "op3_quality_rules": rules.op3_quality_rules,
     "op4_language_id": language.op4_language_id,
     "op5_quality": quality.op5_quality,
     "op6_bpe_encoding": bpe.op6_bpe_encoding,
