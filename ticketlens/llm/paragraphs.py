@@ -17,7 +17,8 @@ the links, over all occurrences, give the removals: the first occurrence (by
 id, then place) stays.
 
 Null and empty texts have no paragraph.  Rows with a null id take part and come
-last in the order.  Repeated rows are occurrences of their own.  Texts of any
+last in the order.  Rows that repeat both id and text count as occurrences, but
+are one document: all of them keep or lose the same paragraphs.  Texts of any
 length are cut into lines as a stream of slices.  Empty tables give no rows.
 """
 
@@ -150,8 +151,10 @@ def _sets(batches):
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             lines, keys, sets = text.split("\n"), [], []
             for w in wanted:
-                keys.append(w["key"])
-                sets.append(np.unique(shingles(lines[w["line"]].encode().lower().split(), hashes)).view(np.int64))
+                ws = lines[w["line"]].encode().lower().split() if w["line"] < len(lines) else []
+                if md5(b" ".join(ws)).digest() == w["key"]:  # else another text of the same hash and id
+                    keys.append(w["key"])
+                    sets.append(np.unique(shingles(ws, hashes)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(
                 [s.tolist() for s in sets], pa.list_(pa.int64()))], names=["key", "set"])
 
@@ -193,16 +196,17 @@ def _in_bucket(similarity: float):
 
 
 def links(docs: DataFrame, distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links ``(a, b)`` between distinct paragraphs (key, row, line, n,
-    bands) that join everything at least as similar that shares a band."""
+    """Verified links ``(a, b)`` between distinct paragraphs (key, row, doc_id, line,
+    n, bands) that join everything at least as similar that shares a band."""
     rows = distinct.select("key", "n", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     members = written(rows.join(sizes, "bucket").select("bucket", "key", "n"), "members")
     keys = members.select("key").distinct()
-    wanted = (distinct.join(keys, "key", "left_semi").groupBy("row")
+    wanted = (distinct.join(keys, "key", "left_semi").groupBy(F.col("row").alias("__r"), F.col("doc_id").alias("__d"))
               .agg(F.collect_list(F.struct("line", "key")).alias("wanted")))
-    sets = written(docs.join(wanted, "row").select("text", "wanted").mapInArrow(_sets, "key binary, set array<long>"),
-                   "sets")
+    here = (F.col("row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__d"))
+    sets = docs.join(wanted, here).select("text", "wanted").mapInArrow(_sets, "key binary, set array<long>")
+    sets = written(sets.dropDuplicates(["key"]), "sets")
 
     def verified(pairs):
         pairs = pairs.select("a", "b").distinct()
@@ -256,27 +260,26 @@ def links(docs: DataFrame, distinct: DataFrame, similarity: float = SIMILARITY)
 
 
 def repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
-             similarity: float = SIMILARITY, row: str | None = None) -> DataFrame:
+             similarity: float = SIMILARITY, row: bool = False) -> DataFrame:
     """One row per occurrence of a paragraph that occurs twice or more, exactly
     or nearly: ``doc_id``, ``line`` (from 0), ``start`` and ``stop`` in
     characters, ``n_words``, ``kept_doc_id``, ``kept_line`` (the occurrence
-    that stays), ``occurrences`` in its component and ``removed``; also
-    ``row`` if the name of a column with a number per row is given."""
-    number = F.col(f"`{row}`") if row else F.monotonically_increasing_id()
-    docs = df.select(number.alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
+    that stays), ``occurrences`` in its component and ``removed``; with ``row``
+    also the hash of the text."""
+    docs = df.select(F.xxhash64(F.col(f"`{text}`").cast("string")).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
                      F.col(f"`{text}`").cast("string").alias("text"))
     bands, rows = tune(similarity)
     found = written(docs.mapInArrow(_split(min_words, bands, rows), _SCHEMA), "paragraphs")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row", "line")
     distinct = written(found.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"),
                                                 F.first("bands").alias("bands")), "distinct")
-    flat = distinct.select("key", "n", "bands", "first.row", "first.line")
+    flat = distinct.select("key", "n", "bands", "first.row", "first.line", "first.doc_id")
     roots = connected_components(links(docs, flat, similarity)).withColumnRenamed("node", "key")
     whole = distinct.select("key", "n", "first").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     groups = whole.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("occurrences")).where("occurrences > 1")
     of_key = whole.select("key", "root").join(groups, "root").select("key", "keep", "occurrences")
     out = found.drop("bands").join(of_key, "key")
-    mine = (F.col("row") == F.col("keep.row")) & (F.col("line") == F.col("keep.line"))
+    mine = (F.col("row") == F.col("keep.row")) & F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("line") == F.col("keep.line"))
     return out.select(*(["row"] if row else []), "doc_id", "line", "start", "stop", "n_words",
                       F.col("keep.doc_id").alias("kept_doc_id"), F.col("keep.line").alias("kept_line"),
                       "occurrences", (~mine).alias("removed"))
@@ -286,10 +289,12 @@ def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
                     similarity: float = SIMILARITY) -> DataFrame:
     """``df`` with the removed paragraphs' lines cut from its texts, and
     ``lines_removed`` (int).  Other columns and rows stay as they are."""
-    numbered = df.drop("lines_removed").withColumn("__row", F.monotonically_increasing_id())
-    gone = (repeated(numbered, doc_id, text, min_words, similarity, row="__row").where("removed")
-            .groupBy(F.col("row").alias("__row")).agg(F.sort_array(F.collect_list("line")).alias("__gone")))
-    joined = numbered.join(gone, "__row", "left")
+    gone = (repeated(df, doc_id, text, min_words, similarity, row=True).where("removed")
+            .groupBy(F.col("row").alias("__r"), F.col("doc_id").alias("__d"))
+            .agg(F.collect_set("line").alias("__gone")))
+    here = ((F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col("__r"))
+            & F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__d")))
+    joined = df.drop("lines_removed").join(gone, here, "left")
     columns = [c for c in df.columns if c not in (text, "lines_removed")]
     packed = joined.select(*[F.col(f"`{c}`") for c in columns], F.col("__gone"), F.col(f"`{text}`"))
     cut = packed.where(F.col("__gone").isNotNull())
