@@ -1,15 +1,65 @@
-"""Corpus preparation: quality, near-duplicates, repeated passages, mixing, tokens."""
+"""Corpus preparation: quality, near-duplicates, repeated passages, mixing, tokens.
+
+``run`` applies the stages to ``documents``; a driver may also write and reread
+the table between them.  All stages but the last return the columns they got.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ticketlens.llm import bpe, mixing, paragraphs, quality, simhash
+from ticketlens.llm.common import WORD, crc_mod, read, written
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts.  It learns from the
+    labelled documents that are still there, less the held-out fold."""
+    labels = read(spark, sf_dir, "labels", "doc_id", "quality")
+    model = quality.fit(docs, labels, F.coalesce(crc_mod(F.col("doc_id"), 4) != 2, F.lit(False)))
+    scored = quality.score(docs, model, keep=docs.columns, out=("__score", "__good"))
+    return scored.where("__good = 1").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component: shingles of three words, two bits."""
+    return simhash.one_of_each(docs, shingle=3, radius=2)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document holds.  A document
+    of which nothing is left goes; ``n_chars`` follows the text."""
+    out = paragraphs.without_repeats(docs)
+    changed = F.col("lines_removed") > 0
+    out = out.where(~changed | F.col("text").rlike(WORD))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them (0, 1 or 2 times)."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, and digests of the ids and of what they decode to."""
+    path, pattern = bpe._tokenizer()
+    out = bpe.encode_decode(docs.select("doc_id", "source", "lang", "text"), path, pattern, chunks=bpe.CHUNKS)
+    return out.select("doc_id", "source", "lang", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality", keep_good), ("near_duplicates", drop_near_duplicates), ("repeated_passages", cut_repeats),
+          ("mixing", mix_sources), ("encoding", encode)]
 
-STAGES: list = []
+#: The stages are no SQL: they learn, hash and sample.  tests/llm checks each by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -61,23 +61,26 @@ def map_text(df: DataFrame, keep: list[str], text: str, fields: list[tuple[str,
     """``keep`` columns of ``df`` plus new columns computed from ``text``.
 
     ``make()`` runs once per task and returns ``fn(texts) -> [values per
-    field]``.  A kept column whose name equals a new one is replaced by it.
+    field]``.  A kept column whose name equals a new one is replaced by it; the
+    text itself may be kept too.
     """
     names = [n for n, _ in fields]
     keep = [c for c in keep if c not in names]
-    narrow = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    source = F.col(f"`{text}`").cast("string")
+    narrow = df.select(*[source.alias(c) if c == text else F.col(f"`{c}`") for c in keep],
+                       *([] if text in keep else [source.alias("__text")]))
+    at = keep.index(text) if text in keep else len(keep)
     new = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
-    schema = T.StructType([*narrow.schema.fields[:-1], *new.fields])
+    schema = T.StructType([*narrow.schema.fields[:len(keep)], *new.fields])
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_type
         types = [to_arrow_type(f.dataType) for f in new.fields]
         fn = make()
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
             for a, b in slices(batch.column(at)):
                 part = batch.slice(a, b - a)
-                cols = [part.column(i) for i in range(part.num_columns) if i != at]
+                cols = [part.column(i) for i in range(len(keep))]
                 made = fn(part.column(at).to_pylist())
                 cols += [v if isinstance(v, pa.Array) else pa.array(v, type=t) for v, t in zip(made, types)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *names])

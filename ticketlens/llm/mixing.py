@@ -166,6 +166,19 @@ def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str
                       ((F.col("whole") + F.col("taken_one")) * F.col("size")).alias("taken"))
 
 
+def mixed(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """The rows of the mix: each row of ``df`` as often as :func:`mix` takes it."""
+    row = F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string"))
+    plan = mix(df.withColumn("__row", row), doc_id, source, text, row="__row", **options)
+    plan = written(plan.groupBy("__row").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__n")), "plan")
+    docs = df.withColumn("__row", row)
+    if not plan.where("__n > 1").isEmpty():  # rows that repeat id and text share their copies
+        docs = docs.dropDuplicates(["__row"])
+    taken = docs.join(plan.where("__copies > 0"), "__row")
+    return (taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+            .select(*[F.col(f"`{c}`") for c in df.columns]))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(read(spark, sf_dir, "documents", "doc_id", "source", "text"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")

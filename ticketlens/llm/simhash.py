@@ -138,16 +138,33 @@ def links(values: DataFrame, radius: int = 2) -> DataFrame:
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2,
                     keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (the id by default) plus ``fp`` and ``component_id``: the
-    smallest id that can be reached by links of at most ``radius`` bits."""
+    """``keep`` columns (the id by default) plus ``fp``, ``group_fp`` (the
+    smallest fingerprint of the component) and ``component_id``: the smallest
+    id that can be reached by links of at most ``radius`` bits."""
     keep = keep or [doc_id]
     docs = written(fingerprints(df, text, shingle, keep), "fingerprints")
     values = written(docs.groupBy("fp").agg(F.min(doc_id).alias("first")), "values")
-    roots = connected_components(links(values, radius)).withColumnRenamed("node", "fp")
-    values = values.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    firsts = values.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = values.join(firsts, "root").select("fp", "component_id")
-    return docs.join(ids, "fp").select(*keep, "fp", "component_id")
+    roots = connected_components(links(values, radius)).select(F.col("node").alias("fp"), F.col("root").alias("group_fp"))
+    values = values.join(roots, "fp", "left").withColumn("group_fp", F.coalesce("group_fp", "fp"))
+    firsts = values.groupBy("group_fp").agg(F.min("first").alias("component_id"))
+    ids = values.join(firsts, "group_fp").select("fp", "group_fp", "component_id")
+    return docs.join(ids, "fp").select(*keep, "fp", "group_fp", "component_id")
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of ``df`` less near-duplicates: of each component the row with
+    the smallest id stays (null ids last; of rows that repeat it, one)."""
+    keyed = df.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("t"),
+                      F.col(f"`{text}`").alias("x"))
+    found = near_duplicates(keyed, "id", "x", shingle, radius, ["id", "t"])
+    alike = found.groupBy("group_fp", "id", "t").agg(F.count(F.lit(1)).alias("n"))
+    stay = alike.groupBy("group_fp").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "t", "n")).alias("f"))
+    stay = written(stay.select(F.col("f.id").alias("__i"), F.col("f.t").alias("__t"), F.col("f.n").alias("__n")), "stay")
+    here = (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col("__t")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("__i"))
+    out = df.join(stay, here)
+    if not stay.where("__n > 1").isEmpty():
+        out = out.dropDuplicates(["__t", "__i"])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
