@@ -65,8 +65,8 @@ def test_matches_brute_force(docs_of):
 
 
 def test_large_buckets_meet_centres_until_nothing_is_left(docs_of, monkeypatch):
-    monkeypatch.setattr(pg, "SMALL_BUCKET", 2)
-    monkeypatch.setattr(pg, "CENTRES", 2)
+    monkeypatch.setattr(pg, "SMALL_BUCKET", 300)
+    monkeypatch.setattr(pg, "CENTRES", 8)
     r = random.Random(9)
     base = [f"w{i}" for i in range(40)]
     rows = []

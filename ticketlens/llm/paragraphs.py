@@ -7,9 +7,10 @@ bands that are tuned so that a pair at the similarity limit is found with the
 wanted recall.  Paragraphs that share a band are verified by exact Jaccard:
 
 * against one centre of the bucket (the paragraph with most occurrences);
-* then, where a bucket still holds several components, all against all inside
-  the bucket if it is small, else against more centres, round after round,
-  until every bucket is one component or has no pair left to try.
+* then, where a bucket still holds several components, every paragraph outside
+  the bucket's largest one against all others: in one task if the bucket is
+  small, else by joins, some paragraphs a round, until each bucket is one
+  component or has no pair of two components left to try.
 
 So no group is turned into all its pairs, and a bucket with a third of all
 paragraphs is only ever joined with a few centres at a time.  Components of
@@ -38,8 +39,9 @@ from ticketlens.llm.common import read, slices, written
 from ticketlens.llm.components import connected_components
 
 MIN_WORDS, SHINGLE, SIMILARITY, RECALL = 20, 5, 0.8, 0.999
-#: Buckets up to this size are verified in one task; larger ones meet CENTRES a round.
-SMALL_BUCKET, CENTRES = 256, 16
+#: Buckets with up to this many words are verified in one task; larger ones
+#: meet CENTRES of their paragraphs a round.
+SMALL_BUCKET, CENTRES = 1 << 18, 64
 _U = np.uint64
 _FACTORS = np.random.default_rng(31).integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
 _ADDS = np.random.default_rng(32).integers(0, 1 << 63, 64, dtype=np.uint64)
@@ -164,43 +166,57 @@ def _similar(a: str, b: str, similarity: float):
     return both >= similarity * (F.size(a) + F.size(b) - both)
 
 
-def _in_bucket(similarity: float):
-    """Links between the components of one small bucket, by exact Jaccard."""
+def _settle(group: list[tuple], similarity: float):
+    """Links between the components of one bucket of (key, root, set), by the
+    overlap of each paragraph outside the largest component with all others."""
+    roots, of = np.unique([g[1] for g in group], return_inverse=True)
+    sizes = np.array([len(g[2]) for g in group])
+    _, ids = np.unique(np.concatenate([g[2] for g in group]), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    comp, main = of.copy(), np.bincount(of).argmax()
+    mark = np.zeros(ids.max() + 1, dtype=np.int32)
+    for i in np.flatnonzero(of != main):
+        mine = ids[starts[i]:starts[i + 1]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[ids], starts[:-1])
+        mark[mine] = 0
+        near = (both >= similarity * (sizes + sizes[i] - both)) & (comp != comp[i])
+        for j in np.flatnonzero(near):
+            if comp[j] != comp[i]:
+                comp[comp == comp[j]] = comp[i]
+                yield group[i][0], group[j][0]
+
+
+def _in_buckets(similarity: float):
+    """Rows (bucket, key, root, set), those of a bucket together -> links."""
     def run(batches):
+        bucket, group, out = None, [], []
         for batch in batches:
-            a_out, b_out = [], []
-            for members in batch.column(0).to_pylist():
-                group = {}
-                for m in members:
-                    group.setdefault(m["root"], m["root"])
-
-                def find(x):
-                    while group[x] != x:
-                        x = group[x]
-                    return x
-                arrays = [np.array(m["set"], dtype=np.int64) for m in members]
-                for i, x in enumerate(members):
-                    for j in range(i):
-                        y = members[j]
-                        ra, rb = find(x["root"]), find(y["root"])
-                        n, m = len(arrays[i]), len(arrays[j])
-                        if ra == rb or min(n, m) < similarity * max(n, m):
-                            continue
-                        both = len(np.intersect1d(arrays[i], arrays[j], assume_unique=True))
-                        if both >= similarity * (n + m - both):
-                            group[max(ra, rb)] = min(ra, rb)
-                            a_out.append(x["key"])
-                            b_out.append(y["key"])
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], names=["a", "b"])
+            sets = batch.column(3)
+            for i, (b, key, root) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                if b != bucket:
+                    out += _settle(group, similarity) if group else []
+                    bucket, group = b, []
+                group.append((key, root, sets[i].values.to_numpy(zero_copy_only=False)))
+            if len(out) > 10_000:
+                yield _pairs(out)
+                out = []
+        out += _settle(group, similarity) if group else []
+        yield _pairs(out)
     return run
 
 
+def _pairs(out: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+
 def links(docs: DataFrame, distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links ``(a, b)`` between distinct paragraphs (key, row, doc_id, line,
-    n, bands) that join everything at least as similar that shares a band."""
-    rows = distinct.select("key", "n", F.explode("bands").alias("bucket"))
+    """Verified links ``(a, b)`` between distinct paragraphs (key, row, doc_id,
+    line, n, n_words, bands) that join everything at least as similar that
+    shares a band."""
+    rows = distinct.select("key", "n", "n_words", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    members = written(rows.join(sizes, "bucket").select("bucket", "key", "n"), "members")
+    members = written(rows.join(sizes, "bucket").select("bucket", "key", "n", "n_words"), "members")
     keys = members.select("key").distinct()
     wanted = (distinct.join(keys, "key", "left_semi").groupBy(F.col("row").alias("__r"), F.col("doc_id").alias("__d"))
               .agg(F.collect_list(F.struct("line", "key")).alias("wanted")))
@@ -219,44 +235,45 @@ def links(docs: DataFrame, distinct: DataFrame, similarity: float = SIMILARITY)
     centres = members.groupBy("bucket").agg(best)
     found = written(verified(members.join(centres, "bucket").where("key != a").select("a", F.col("key").alias("b"))),
                     "links")
-    tried = centres.select("bucket", F.col("a").alias("key"))
-    left, turn = members, 0
+    tried = written(centres.select("bucket", F.col("a").alias("key")), "tried")
+    left = members.select("bucket", "key", "n_words")
     while True:
         roots = connected_components(found).withColumnRenamed("node", "key")
-        left = (left.join(tried, ["bucket", "key"], "left_anti").select("bucket", "key")
-                .join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
-        # a bucket counts while its untried members and the rest are not one component
-        of_all = (members.select("bucket", "key").join(roots, "key", "left")
-                  .groupBy("bucket").agg(F.min(F.coalesce("root", "key")).alias("lo"),
-                                         F.max(F.coalesce("root", "key")).alias("hi"), F.count(F.lit(1)).alias("size"))
-                  .where("lo != hi"))
-        left = written(left.join(of_all.select("bucket", "size"), "bucket"), "left")
-        if left.isEmpty():
-            return found
-        small = left.where(F.col("size") <= SMALL_BUCKET).select("bucket").distinct()
-        inside = (members.select("bucket", "key").join(small, "bucket").join(roots, "key", "left")
-                  .withColumn("root", F.coalesce("root", "key")).join(sets, "key")
-                  .groupBy("bucket").agg(F.collect_list(F.struct("key", "root", "set")).alias("m")).select("m")
-                  .mapInArrow(_in_bucket(similarity), "a binary, b binary"))
-        big = left.where(F.col("size") > SMALL_BUCKET)
-        parts = found.unionAll(inside)
-        tried = None
+        now = left.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        by_root = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n_words").alias("w"))
+        several = (by_root.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"),
+                                                 F.count(F.lit(1)).alias("__k"), F.sum("w").alias("w"))
+                   .where("__k > 1").drop("__k"))
+        now = written(now.join(several, "bucket"), "left")
+        small, big = now.where(F.col("w") <= SMALL_BUCKET), now.where(F.col("w") > SMALL_BUCKET)
+        parts = [found]
+        if not small.isEmpty():
+            ready = small.join(sets, "key").select("bucket", "key", "root", "set")
+            parts.append(ready.repartition("bucket").sortWithinPartitions("bucket")
+                         .mapInArrow(_in_buckets(similarity), "a binary, b binary"))
         if not big.isEmpty():
-            order = F.struct(F.xxhash64("key", "bucket", F.lit(turn)), "key")
-            picks = (big.groupBy("bucket").agg(F.slice(F.sort_array(F.collect_set(F.when(
-                F.pmod(F.xxhash64("key", "bucket", F.lit(turn)), F.ceil(F.col("size") / CENTRES)) == 0, order))), 1,
-                4 * CENTRES).alias("c"), F.min(order).alias("least")))
-            picks = picks.select("bucket", F.explode(F.array_distinct(F.concat(
-                "c", F.array("least")))).alias("c")).select("bucket", F.col("c.key").alias("a"))
-            picks = written(picks, "centres")
-            pairs = members.select("bucket", F.col("key").alias("b")).join(picks, "bucket").where("a != b")
-            parts = parts.unionAll(verified(pairs))
-            tried = picks.select("bucket", F.col("a").alias("key"))
-        found = written(parts.distinct(), "links")
-        # small buckets are settled; centres of large ones have met everything
-        settled = small.join(members.select("bucket", "key"), "bucket")
-        tried = settled if tried is None else settled.unionAll(tried)
-        tried, turn = written(tried, "tried"), turn + 1
+            open_ = big.where("root != main").join(tried, ["bucket", "key"], "left_anti")
+            counts = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("o"))
+            # about CENTRES of them by hash; the first by hash is always one
+            order = F.xxhash64("key", "bucket")
+            least = open_.groupBy("bucket").agg(F.min(F.struct(order.alias("h"), "key")).alias("m"))
+            picks = open_.join(counts.join(least, "bucket"), "bucket").where(
+                (F.pmod(order, F.ceil(F.col("o") / CENTRES)) == 0) | (F.col("key") == F.col("m.key")))
+            picks = written(picks.select("bucket", F.col("key").alias("a"), F.col("root").alias("ra")), "centres")
+            pairs = big.select("bucket", F.col("key").alias("b"), "root").join(picks, "bucket").where("root != ra")
+            parts.append(verified(pairs))
+            tried = written(tried.unionAll(picks.select("bucket", F.col("a").alias("key"))), "tried")
+            left = big.join(picks.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "key", "n_words")
+        else:
+            left = None
+        if len(parts) == 1:
+            return found
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionAll(p)
+        found = written(out.distinct(), "links")
+        if left is None:
+            return found
 
 
 def repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
@@ -272,8 +289,8 @@ def repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     found = written(docs.mapInArrow(_split(min_words, bands, rows), _SCHEMA), "paragraphs")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row", "line")
     distinct = written(found.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"),
-                                                F.first("bands").alias("bands")), "distinct")
-    flat = distinct.select("key", "n", "bands", "first.row", "first.line", "first.doc_id")
+                                                F.first("bands").alias("bands"), F.first("n_words").alias("n_words")), "distinct")
+    flat = distinct.select("key", "n", "n_words", "bands", "first.row", "first.line", "first.doc_id")
     roots = connected_components(links(docs, flat, similarity)).withColumnRenamed("node", "key")
     whole = distinct.select("key", "n", "first").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     groups = whole.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("occurrences")).where("occurrences > 1")
