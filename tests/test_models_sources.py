@@ -160,3 +160,39 @@ def test_append_mode_windows_are_closed_batch_windows(spark, sf_small):
     batch = E.queries()["k2_window_counts"](spark, sf_small).select("window_start", "priority", "n")
     assert got.count() > 0
     assert got.exceptAll(batch).count() == 0  # every emitted (closed) window equals the batch count
+
+
+def test_streams_read_folders_of_part_files(spark, sf_small):
+    """Several part files and micro-batches give what the batch gives."""
+    from ticketlens.operators import scoring as SC
+    from ticketlens.streaming import streams as ST
+    emb = spark.read.parquet(f"{sf_small}/embeddings.parquet")
+    path = scratch_path(spark, "parts")
+    emb.repartition(5).write.parquet(path)
+    out, ckpt = ST.stream_paths(spark, "parts-stream")
+    ST.score_stream(ST.file_stream(spark, path, ST.EMBEDDINGS_SCHEMA, max_files_per_trigger=1), out, ckpt)
+    cols = ["ticket_id", "category", "priority", "routing_team"]
+    want = SC.decode_logits(SC.logits_from_embeddings(emb)).select(*cols)
+    got = spark.read.parquet(out).select(*cols)
+    assert got.count() == want.count() == 500 and got.exceptAll(want).isEmpty()
+
+
+def test_drift_per_batch_over_part_files(spark, sf_small):
+    from ticketlens.operators import drift as D
+    from ticketlens.streaming import streams as ST
+    rows = spark.range(400).selectExpr("id", "cast(id % 37 as double) v", "cast(id % 5 as double) w")
+    path = scratch_path(spark, "drift-parts")
+    rows.repartition(3).write.parquet(path)
+    out, ckpt = ST.stream_paths(spark, "drift-stream")
+    src = ST.file_stream(spark, path, "id long, v double, w double", max_files_per_trigger=1)
+    ST.drift_per_batch(src, rows, ["v", "w"], out, ckpt)
+    got = spark.read.parquet(out).collect()
+    assert len(got) == 6 and {r.feature for r in got} == {"v", "w"}
+    whole = D.drift_verdicts(rows, rows, ["v", "w"]).collect()
+    assert all(r.score == 0 and not r.drift_detected for r in whole)
+
+
+def test_text_params_in_run_records(spark):
+    from ticketlens.operators import runs as RU
+    got = {r.key: (r.value, r.text) for r in RU.record_run(spark, "r", {"solver": "lbfgs", "C": 1.5, "on": True}).collect()}
+    assert got == {"solver": (None, "lbfgs"), "C": (1.5, "1.5"), "on": (None, "True")}

@@ -93,3 +93,30 @@ def test_keyword_regex_path_equals_substring_semantics(spark):
     got = [r.hit for r in df.select(H.contains_any("text", long_list).alias("hit")).collect()]
     want = [None if t is None else any(k in t.lower() for k in long_list) for t in texts]
     assert got == want
+
+
+def test_accents_follow_the_normal_form_for_every_character(spark):
+    import unicodedata
+
+    from ticketlens.functions import text as H
+
+    def want(t):
+        return "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x))
+    chars = [chr(c) for c in range(0x80, 0x30000)
+             if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) != "Cn"]
+    rows = ["Ａbc ﬁnance", "éa", None] + ["x" + "y".join(chars[i:i + 300]) for i in range(0, len(chars), 300)]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
+    got = {r.i: r.o for r in df.select("i", H.strip_accents("t").alias("o")).collect()}
+    assert got == {i: None if t is None else want(t) for i, t in enumerate(rows)}
+    assert df.where("i = 0").select(H.tokens("t").alias("k")).first().k == ["abc", "finance"]
+
+
+def test_percent_is_that_of_the_binary_value(spark):
+    import random
+
+    from ticketlens.functions import text as H
+    r = random.Random(1)
+    xs = [0.3045, 0.4515, 0.6525, 0.0005, 0.0, 1.0] + [round(r.random(), k) for k in (3, 4, 5, 17) for _ in range(500)]
+    df = spark.createDataFrame([(x,) for x in xs], "c double")
+    for row in df.select("c", H.low_confidence_reason("c", 0.85).alias("m")).collect():
+        assert row.m == f"Low confidence ({row.c:.1%} < 85% threshold)"

@@ -105,14 +105,6 @@ def test_mark_duplicates_digest_equals_plain_key(spark):
     assert a == b == {0: False, 1: False, 2: True, 3: False, 4: False, 5: True, 6: True, 7: True}
 
 
-def test_spread_only_when_input_is_narrow(spark):
-    from ticketlens.sources.tables import spread
-    narrow = spark.range(100).coalesce(1)
-    wide = spark.range(100).repartition(spark.sparkContext.defaultParallelism * 2)
-    assert spread(narrow, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread(wide, "id") is wide
-
-
 def test_hash_split_proportions(spark):
     df = spark.range(20000).select(F.col("id").alias("tid"))
     c = {r.split: r["count"] for r in S.hash_split(df, "tid").groupBy("split").count().collect()}

@@ -7,6 +7,7 @@ whole-stage codegen.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache
 
@@ -57,29 +58,18 @@ def char_length(c) -> Column:
     return F.length(_col(c))
 
 
-# Above this many keywords, one regex pass over the text replaces an OR of
-# separate substring scans.
-KEYWORD_REGEX_MIN = 8
-
-
 def contains_any(c, keywords) -> Column:
     """Case-insensitive substring test against any keyword.
 
-    Short lists are an OR of ``contains``; long lists one ``rlike`` over
-    literal-quoted alternatives (``\\Q...\\E``), same result, one scan.
+    One ``rlike`` over literal-quoted alternatives, one scan of the text.
     Null text gives null (callers treat it as "no match").
     """
     low = F.lower(_col(c))
     kws = [kw.lower() for kw in keywords]
     if not kws:
         return F.lit(False)
-    if len(kws) >= KEYWORD_REGEX_MIN and all("\\E" not in k for k in kws):
-        return low.rlike("|".join(f"\\Q{k}\\E" for k in kws))
-    cond = None
-    for kw in kws:
-        term = low.contains(F.lit(kw))
-        cond = term if cond is None else (cond | term)
-    return cond
+    quoted = [r"\Q" + k.replace(r"\E", r"\E\\E\Q") + r"\E" for k in kws]
+    return low.rlike("|".join(quoted))
 
 
 def replace_chain(c, pairs, suffix: str = "", lowercase: bool = True) -> Column:
@@ -102,36 +92,99 @@ def preview(c, n: int = PREVIEW_CHARS) -> Column:
 
 def low_confidence_reason(conf, threshold) -> Column:
     """H9: ``Low confidence (45.1% < 85% threshold)``."""
-    # Percent rounded half-up in decimal (not by the formatter), so every
-    # engine prints the same digit for values such as 30.45.
-    pct = F.round((_col(conf).cast("double") * F.lit(100.0)).cast("decimal(20,10)"), 1).cast("double")
-    return F.format_string(
-        "Low confidence (%.1f%% < %.0f%% threshold)",
-        pct,
-        F.lit(float(threshold) * 100.0),
-    )
+    return F.concat(F.lit("Low confidence ("), percent_1(conf),
+                    F.lit(f"% < {float(threshold) * 100.0:.0f}% threshold)"))
+
+
+def percent_1(share) -> Column:
+    """A share as percent with one digit, as C's ``%.1f`` prints ``share * 100``:
+    rounded by the double's exact binary value (30.45 is below the middle),
+    ties to even.  Java's formatter rounds the shortest decimal instead.
+
+    x is split exactly into hi + lo, so that hi * 10 and lo * 10 are exact too;
+    a sum of two doubles always has its true sign, which decides the digit.
+    """
+    x = _col(share).cast("double") * F.lit(100.0)
+    # exact: |x| below 2^20 keeps 32 high bits; both products fit a double
+    hi = F.floor(x * F.lit(1024.0)).cast("double") / F.lit(1024.0)
+    lo = x - hi
+    whole = F.floor(hi * 10.0).cast("double")
+    part, more = hi * 10.0 - whole, lo * 10.0  # both exact; only signs of sums are used below
+    up = (part - 1.0) + more >= 0.0
+    k = whole + F.when(up, 1.0).otherwise(0.0)
+    over = F.when(up, (part - 1.5) + more).otherwise((part - 0.5) + more)
+    half = (over > 0.0) | ((over == 0.0) & (F.pmod(k, F.lit(2.0)) == 1.0))
+    tenths = (k + F.when(half, 1.0).otherwise(0.0)).cast("long")
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
+#: Syllables that split into letters by a rule.
+_HANGUL = range(0xAC00, 0xD7A4)
 
 
 @lru_cache(maxsize=1)
-def accent_translation() -> tuple[str, str]:
-    """H12 map, generated by rule: every code point below U+3000 whose NFKD
-    form, with combining marks removed, is a single different character."""
-    src, dst = [], []
-    for cp in range(0x80, 0x3000):
+def accent_translation() -> tuple[str, str, str, list[tuple[str, str]]]:
+    """H12 rule over all code points: NFKD, then combining marks removed.
+
+    ``(src, dst, deleted, longer)``: characters that become one other
+    character, characters that vanish, and those that become several.
+    """
+    src, dst, deleted, longer = [], [], [], []
+    for cp in range(0x80, 0x110000):
+        if 0xD800 <= cp <= 0xDFFF or cp in _HANGUL:
+            continue
         ch = chr(cp)
-        if unicodedata.combining(ch):
+        full = unicodedata.normalize("NFKD", ch)
+        base = "".join(x for x in full if not unicodedata.combining(x))
+        if base == ch:
             continue
-        base = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
-        if len(base) == 1 and base != ch:
+        if not base:
+            deleted.append(ch)
+        elif len(base) == 1:
             src.append(ch)
             dst.append(base)
-    return "".join(src), "".join(dst)
+        else:
+            longer.append((ch, base))
+    return "".join(src), "".join(dst), "".join(deleted), longer
 
 
 def strip_accents(c) -> Column:
-    """Accent stripping by a generated one-to-one character map."""
-    src, dst = accent_translation()
-    return F.translate(_col(c), src, dst)
+    """NFKD without combining marks, for every code point.
+
+    Texts in Latin letters need only ``translate``, which replaces single
+    characters and deletes marks.  Characters with longer forms (ligatures,
+    Hangul, fractions) are looked up one by one, and only in texts that hold one.
+    """
+    src, dst, deleted, longer = accent_translation()
+    one = F.translate(_col(c), src + deleted, dst)
+    table = F.from_json(F.lit(json.dumps(dict(longer), ensure_ascii=False)), "map<string,string>")
+    each = F.transform(F.regexp_extract_all(one, F.lit("(?s)."), 0),
+                       lambda x: F.when(F.ascii(x).between(_HANGUL[0], _HANGUL[-1]), _jamo(F.ascii(x) - _HANGUL[0]))
+                       .otherwise(F.coalesce(F.try_element_at(table, x), x)))
+    held = _ranges("".join(ch for ch, _ in longer)) + f"\\x{{{_HANGUL[0]:X}}}-\\x{{{_HANGUL[-1]:X}}}"
+    return F.when(one.rlike(f"[{held}]"), F.array_join(each, "")).otherwise(one)
+
+
+def _jamo(s: Column) -> Column:
+    """Syllable number -> its two or three letters (the rule of the standard)."""
+    def letters(start: int, n: int) -> Column:
+        return F.array(*[F.lit(chr(start + i)) for i in range(n)])
+    tail = F.array(F.lit(""), *[F.lit(chr(0x11A8 + i)) for i in range(27)])
+    return F.concat(F.element_at(letters(0x1100, 19), F.floor(s / 588).cast("int") + 1),
+                    F.element_at(letters(0x1161, 21), F.floor(s % 588 / 28).cast("int") + 1),
+                    F.element_at(tail, (s % 28).cast("int") + 1))
+
+
+def _ranges(chars: str) -> str:
+    """A regex character class body of the code points, as ranges."""
+    out, points = [], sorted(map(ord, chars))
+    start = last = points[0]
+    for p in [*points[1:], None]:
+        if p is None or p != last + 1:
+            out.append(f"\\x{{{start:X}}}-\\x{{{last:X}}}")
+            start = p
+        last = p
+    return "".join(out)
 
 
 def tokens(c) -> Column:

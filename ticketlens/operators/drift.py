@@ -2,10 +2,11 @@
 
 Per column, reference vs current:
 
-* numeric, reference larger than ``large_ref`` rows: Wasserstein-1 distance
-  divided by the reference's population std, drift when >= 0.1;
-* numeric otherwise: two-sample Kolmogorov-Smirnov, drift when p < 0.05
-  (asymptotic Kolmogorov distribution -- our choice; documented);
+* numeric, method "wasserstein" (the default): Wasserstein-1 distance divided
+  by the reference's population std, drift when >= 0.1;
+* numeric, method "ks" (for small references): two-sample Kolmogorov-Smirnov,
+  drift when p < 0.05 (asymptotic Kolmogorov distribution -- our choice);
+  both statistics are returned whichever decides;
 * categorical: Jensen-Shannon distance (natural log), drift when >= 0.1.
 
 Dataset drift: share of drifted columns >= 0.5.  These defaults are
@@ -24,19 +25,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlens import constants as K
 from ticketlens.functions import text as H
+from ticketlens.session import stored
 
 R = 6
 WASSERSTEIN_LIMIT = 0.1
 KS_P_LIMIT = 0.05
 JS_LIMIT = 0.1
 DATASET_SHARE_LIMIT = 0.5
-LARGE_REFERENCE = 1000
 
 
 def monitor_features(df: DataFrame, text_col: str = "text", label_col: str = "category_id") -> DataFrame:
@@ -60,6 +60,11 @@ def _stack(df: DataFrame, cols, side, cast: str, keys=()) -> DataFrame:
               .where(F.col("value").isNotNull()))
 
 
+def value_counts(df: DataFrame, cols, out_col: str, cast: str = "double") -> DataFrame:
+    """``(feature, value, <out_col>)``: rows per distinct value of each column."""
+    return (_stack(df, cols, "x", cast).groupBy("feature", "value").agg(F.count(F.lit(1)).alias(out_col)))
+
+
 def value_counts_by_side(ref: DataFrame, cur: DataFrame | None, cols, cast: str = "double",
                          keys=(), side_col: str = "side") -> DataFrame:
     """``(keys..., feature, value, n_ref, n_cur)`` over the union of both sides.
@@ -120,14 +125,22 @@ def ks_pvalue(stat: Column, n_ref: Column, n_cur: Column, terms: int = 100) -> C
     return F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
 
 
-def numeric_drift(ref: DataFrame, cur: DataFrame | None, cols, large_ref: int = LARGE_REFERENCE,
-                  buckets: int = 1024, keys=()) -> DataFrame:
+def numeric_drift(ref: DataFrame, cur: DataFrame | None, cols, method: str = "wasserstein",
+                  buckets: int = 1024, keys=(), ref_counts: DataFrame | None = None) -> DataFrame:
     """Per feature KS statistic and p-value, normalised Wasserstein distance, and
-    the verdict under the size rule (see ``value_counts_by_side`` for ``cur=None``)."""
+    the verdict of ``method`` (see ``value_counts_by_side`` for ``cur=None``;
+    ``ref_counts`` are the reference's ``value_counts`` where it is fixed)."""
+    if method not in ("wasserstein", "ks"):
+        raise ValueError(f"unknown method {method!r}")
     g = [*keys, "feature"]
-    # One row per distinct value, read by five branches below: persisted
-    # (memory, spilling to disk; lost blocks are recomputed from lineage).
-    vc = value_counts_by_side(ref, cur, cols, keys=keys).persist(StorageLevel.MEMORY_AND_DISK)
+    if ref_counts is None:
+        vc = value_counts_by_side(ref, cur, cols, keys=keys)
+    else:
+        now = value_counts(cur, cols, "n_cur").withColumn("n_ref", F.lit(0).cast("long"))
+        vc = (ref_counts.withColumn("n_cur", F.lit(0).cast("long")).unionByName(now).groupBy("feature", "value")
+              .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur")))
+    # one row per distinct value, read by several branches below: written once
+    vc = stored(vc, "values")
     cdf = running_cdf(vc, buckets, keys)
     # All per-feature tables below have one row per (keys, feature): tiny.
     tot = vc.groupBy(*g).agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"),
@@ -148,16 +161,14 @@ def numeric_drift(ref: DataFrame, cur: DataFrame | None, cols, large_ref: int =
                           .otherwise(F.col("wasserstein")))
               .withColumn("_p", ks_pvalue(F.col("_ks"), F.col("n_ref").cast("double"),
                                           F.col("n_cur").cast("double"))))
-    wd_norm, pval = F.col("_wd"), F.col("_p")
-    large = F.col("n_ref") > large_ref
+    wd_norm, pval, by_distance = F.col("_wd"), F.col("_p"), method == "wasserstein"
     return out.select(
         *g, "n_ref", "n_cur",
         F.round("_ks", R).alias("ks_stat"), F.round(pval, R).alias("ks_pvalue"),
         F.round(wd_norm, R).alias("wasserstein_norm"),
-        F.when(large, F.lit("wasserstein")).otherwise(F.lit("ks")).alias("method"),
-        F.round(F.when(large, wd_norm).otherwise(pval), R).alias("score"),
-        F.when(large, F.lit(WASSERSTEIN_LIMIT)).otherwise(F.lit(KS_P_LIMIT)).alias("threshold"),
-        F.when(large, wd_norm >= WASSERSTEIN_LIMIT).otherwise(pval < KS_P_LIMIT).alias("drift_detected"))
+        F.lit(method).alias("method"), F.round(wd_norm if by_distance else pval, R).alias("score"),
+        F.lit(WASSERSTEIN_LIMIT if by_distance else KS_P_LIMIT).alias("threshold"),
+        (wd_norm >= WASSERSTEIN_LIMIT if by_distance else pval < KS_P_LIMIT).alias("drift_detected"))
 
 
 def categorical_drift(ref: DataFrame, cur: DataFrame | None, cols, keys=()) -> DataFrame:
@@ -181,12 +192,12 @@ def categorical_drift(ref: DataFrame, cur: DataFrame | None, cols, keys=()) -> D
 
 
 def drift_verdicts(ref: DataFrame, cur: DataFrame | None, numeric_cols, categorical_cols=(),
-                   large_ref: int = LARGE_REFERENCE, keys=()) -> DataFrame:
+                   method: str = "wasserstein", keys=(), ref_counts: DataFrame | None = None) -> DataFrame:
     """One row per feature (feature, method, score, threshold, drift, status)."""
     cols = [*keys, "feature", "method", "score", "threshold", "drift_detected"]
     parts = []
     if numeric_cols:
-        parts.append(numeric_drift(ref, cur, numeric_cols, large_ref, keys=keys).select(*cols))
+        parts.append(numeric_drift(ref, cur, numeric_cols, method, keys=keys, ref_counts=ref_counts).select(*cols))
     if categorical_cols:
         parts.append(categorical_drift(ref, cur, categorical_cols, keys=keys).select(*cols))
     out = parts[0]

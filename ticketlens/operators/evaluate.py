@@ -46,27 +46,37 @@ def confusion_matrix(df: DataFrame, truth: str, pred: str, num_classes: int) ->
     return wide.select("truth", *[F.col(str(c)).cast("long").alias(f"pred_{c}") for c in classes])
 
 
-def per_class_metrics(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """Precision, recall, F1 and support per class (0 where undefined).
+def class_metrics(df: DataFrame, truth, pred, keys=()) -> DataFrame:
+    """Support, predicted, true positives and unrounded precision / recall / F1 per
+    class (present as truth or prediction; 0 where undefined), and per ``keys``.
 
-    Classes are those present as truth or prediction.
+    One pass: the confusion counts are stacked as (class, role) rows and summed.
     """
-    c = confusion_long(df, truth, pred)
-    tp = c.filter(F.col("truth") == F.col("pred")).select(F.col("truth").alias("class_id"),
-                                                           F.col("n").alias("tp"))
-    sup = c.groupBy(F.col("truth").alias("class_id")).agg(F.sum("n").alias("support"))
-    prd = c.groupBy(F.col("pred").alias("class_id")).agg(F.sum("n").alias("predicted"))
-    m = (sup.join(prd, "class_id", "full_outer").join(tp, "class_id", "left")
-            .na.fill(0, ["tp", "support", "predicted"]))
-    return m.select(
-        "class_id", F.col("support").cast("long").alias("support"),
-        F.round(_safe_div(F.col("tp"), F.col("predicted")), R).alias("precision"),
-        F.round(_safe_div(F.col("tp"), F.col("support")), R).alias("recall"),
-        F.round(_safe_div(2.0 * F.col("tp"), F.col("support") + F.col("predicted")), R).alias("f1"))
+    t, p = (F.col(x) if isinstance(x, str) else x for x in (truth, pred))
+    c = df.groupBy(*keys, t.alias("_t"), p.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    n, none = F.col("_n"), F.lit(0).cast("long")
+    hit = F.when(F.col("_t") == F.col("_p"), n).otherwise(none)
+    roles = F.inline(F.array(
+        F.struct(F.col("_t").alias("class_id"), n.alias("_s"), none.alias("_q"), hit.alias("_h")),
+        F.struct(F.col("_p").alias("class_id"), none.alias("_s"), n.alias("_q"), none.alias("_h"))))
+    m = (c.select(*keys, "_t", "_p", "_n").select(*keys, roles).groupBy(*keys, "class_id")
+         .agg(F.sum("_h").alias("tp"), F.sum("_s").alias("support"), F.sum("_q").alias("predicted")))
+    return m.select(*keys, "class_id", "tp", "support", "predicted",
+                    _safe_div(F.col("tp"), F.col("predicted")).alias("precision"),
+                    _safe_div(F.col("tp"), F.col("support")).alias("recall"),
+                    _safe_div(2.0 * F.col("tp"), F.col("support") + F.col("predicted")).alias("f1"))
+
+
+def per_class_metrics(df: DataFrame, truth: str, pred: str) -> DataFrame:
+    """D17 + B14: precision, recall, F1 and support per class, rounded, and the
+    quality band of the unrounded F1."""
+    return class_metrics(df, truth, pred).select(
+        "class_id", "support", f1_band("f1").alias("f1_band"), F.round("precision", R).alias("precision"),
+        F.round("recall", R).alias("recall"), F.round("f1", R).alias("f1"))
 
 
 def report_averages(metrics: DataFrame) -> DataFrame:
-    """Macro and support-weighted averages of the per-class rows."""
+    """Macro and support-weighted averages of the (unrounded) ``class_metrics`` rows."""
     s = F.col("support")
     tot = F.sum(s)
     macro = metrics.agg(F.lit("macro avg").alias("row"), F.round(F.avg("precision"), R).alias("precision"),
@@ -80,22 +90,9 @@ def report_averages(metrics: DataFrame) -> DataFrame:
     return macro.unionByName(weighted)
 
 
-def unrounded_class_metrics(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    c = confusion_long(df, truth, pred)
-    tp = c.filter(F.col("truth") == F.col("pred")).select(F.col("truth").alias("class_id"), F.col("n").alias("tp"))
-    sup = c.groupBy(F.col("truth").alias("class_id")).agg(F.sum("n").alias("support"))
-    prd = c.groupBy(F.col("pred").alias("class_id")).agg(F.sum("n").alias("predicted"))
-    m = (sup.join(prd, "class_id", "full_outer").join(tp, "class_id", "left")
-            .na.fill(0, ["tp", "support", "predicted"]))
-    return m.select("class_id", "tp", "support",
-                    _safe_div(F.col("tp"), F.col("predicted")).alias("precision"),
-                    _safe_div(F.col("tp"), F.col("support")).alias("recall"),
-                    _safe_div(2.0 * F.col("tp"), F.col("support") + F.col("predicted")).alias("f1"))
-
-
 def overall_metrics(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """Accuracy and support-weighted precision / recall / F1 (one row)."""
-    m = unrounded_class_metrics(df, truth, pred)
+    m = class_metrics(df, truth, pred)
     s = F.col("support")
     return m.agg(
         F.round(F.sum("tp") / F.sum(s), R).alias("accuracy"),
@@ -122,13 +119,7 @@ def two_head_metrics(df: DataFrame, heads: dict) -> DataFrame:
         F.struct(F.lit(h).alias("head"), F.col(t).alias("t"), F.col(p).alias("p"))
         for h, (t, p) in heads.items()]))
     long = df.select(pairs.alias("x")).select("x.head", "x.t", "x.p")
-    c = long.groupBy("head", "t", "p").agg(F.count(F.lit(1)).alias("n"))
-    tp = c.filter(F.col("t") == F.col("p")).select("head", F.col("t").alias("cls"), F.col("n").alias("tp"))
-    sup = c.groupBy("head", F.col("t").alias("cls")).agg(F.sum("n").alias("support"))
-    prd = c.groupBy("head", F.col("p").alias("cls")).agg(F.sum("n").alias("predicted"))
-    m = (sup.join(prd, ["head", "cls"], "full_outer").join(tp, ["head", "cls"], "left")
-            .na.fill(0, ["tp", "support", "predicted"]))
-    m = m.withColumn("f1", _safe_div(2.0 * F.col("tp"), F.col("support") + F.col("predicted")))
+    m = class_metrics(long, "t", "p", ["head"])
     s = F.col("support")
     return m.groupBy("head").agg(
         F.round(F.sum("tp") / F.sum(s), R).alias("accuracy"),
@@ -236,12 +227,6 @@ def prediction_parity(a: DataFrame, b: DataFrame, key: str, pred: str, truth: st
 def grouped_weighted_f1(df: DataFrame, key: str, truth: str, pred: str) -> DataFrame:
     """Support-weighted F1 and accuracy per value of ``key`` (e.g. per epoch), from
     one confusion aggregate keyed by (key, truth, pred)."""
-    c = df.groupBy(key, F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    tp = c.filter(F.col("t") == F.col("p")).select(key, F.col("t").alias("cls"), F.col("n").alias("tp"))
-    sup = c.groupBy(key, F.col("t").alias("cls")).agg(F.sum("n").alias("support"))
-    prd = c.groupBy(key, F.col("p").alias("cls")).agg(F.sum("n").alias("predicted"))
-    m = (sup.join(prd, [key, "cls"], "full_outer").join(tp, [key, "cls"], "left")
-            .na.fill(0, ["tp", "support", "predicted"]))
-    f1 = _safe_div(2.0 * F.col("tp"), F.col("support") + F.col("predicted"))
-    return m.groupBy(key).agg((F.sum(f1 * F.col("support")) / F.sum("support")).alias("weighted_f1"),
-                             (F.sum("tp") / F.sum("support")).alias("accuracy"))
+    m = class_metrics(df, truth, pred, [key])
+    return m.groupBy(key).agg((F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"),
+                              (F.sum("tp") / F.sum("support")).alias("accuracy"))

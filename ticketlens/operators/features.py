@@ -85,21 +85,17 @@ def tfidf(counts: DataFrame, idf: DataFrame, id_col: str, round_to: int | None =
 
 
 def fit_transform_tfidf(df: DataFrame, id_col: str, train_filter, text_col: str = "text",
-                        max_features: int = K.MAX_FEATURES, persist: bool = True, stage=None):
+                        max_features: int = K.MAX_FEATURES, stage=None):
     """I1 + I2: returns ``(weights, vocabulary, idf)`` fitted on ``train_filter`` rows.
 
     The per-(doc, term) counts feed the vocabulary, the document frequencies
-    and the weights, so they are persisted (memory, spilling to disk; a lost
-    block is recomputed from lineage).  ``stage`` (e.g. a checkpoint) is
-    applied to the vocabulary and the idf table before later steps use them,
-    so each is computed once.
+    and the weights.  ``stage`` (e.g. writing a table, ``session.stored``) is
+    applied to the counts, the vocabulary and the idf table before later steps
+    use them, so each is computed once and nothing stays in executor storage.
     """
     stage = stage or (lambda x: x)
-    from pyspark import StorageLevel
     flagged = df.select(id_col, text_col, train_filter.alias("_train"))
-    counts = term_counts(flagged, id_col, text_col, keep=["_train"])
-    if persist:
-        counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    counts = stage(term_counts(flagged, id_col, text_col, keep=["_train"]))
     train_counts = counts.filter(F.col("_train"))
     vocab = stage(vocabulary(train_counts, max_features))
     n_docs = flagged.filter(F.col("_train")).agg(F.count(F.lit(1)).alias("n_docs"))

@@ -13,19 +13,13 @@ from pyspark.sql import functions as F
 from ticketlens import constants as K
 from ticketlens.functions.text import contains_any
 
-# A dimension built from a Python dict is bounded by that dict; refuse to
-# broadcast anything bigger than this many entries.
-MAX_DIMENSION_ROWS = 100_000
-
 
 def dimension(spark: SparkSession, mapping, key: str, value: str,
               key_type: str = "string", value_type: str = "string") -> DataFrame:
-    """A small lookup table from a dict or a list of pairs, broadcast-hinted."""
+    """A lookup table from a dict or a list of pairs.  It carries no hint: its
+    size is known to the planner, which broadcasts it while it is small."""
     items = list(mapping.items()) if isinstance(mapping, dict) else list(mapping)
-    if len(items) > MAX_DIMENSION_ROWS:
-        raise ValueError(f"dimension {key}->{value} has {len(items)} rows; too big to broadcast")
-    df = spark.createDataFrame(items, f"{key} {key_type}, {value} {value_type}")
-    return F.broadcast(df)
+    return spark.createDataFrame(items, f"{key} {key_type}, {value} {value_type}")
 
 
 def id_dimension(spark: SparkSession, names, name_col: str, id_col: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ticketlens import constants as K
 
 R = 6
-RUN_SCHEMA = "run_id string, kind string, key string, value double, step int"
+RUN_SCHEMA = "run_id string, kind string, key string, value double, text string, step int"
 
 
 def metrics_long(df: DataFrame, model: str, metrics) -> DataFrame:
@@ -35,18 +35,21 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 def record_run(spark: SparkSession, run_id: str, params: dict, metrics: DataFrame | None = None,
                path: str | None = None) -> DataFrame:
-    """A10: experiment record ``runs(run_id, kind, key, value, step)``.
+    """A10: experiment record ``runs(run_id, kind, key, value, text, step)``.
 
-    Params are a driver-side dict (a handful of values); metrics come as a
+    Params are a driver-side dict (a handful of values): numbers go to
+    ``value``, all of them as written to ``text``; metrics come as a
     ``(key, value[, step])`` DataFrame computed by Spark.  Appends to
     ``path`` when given.
     """
-    p = spark.createDataFrame([(run_id, "param", k, float(v), None) for k, v in params.items()], RUN_SCHEMA)
+    number = lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
+    p = spark.createDataFrame([(run_id, "param", k, number(v), str(v), None) for k, v in params.items()], RUN_SCHEMA)
     out = p
     if metrics is not None:
         step = F.col("step").cast("int") if "step" in metrics.columns else F.lit(None).cast("int")
         m = metrics.select(F.lit(run_id).alias("run_id"), F.lit("metric").alias("kind"),
-                           F.col("key"), F.col("value").cast("double"), step.alias("step"))
+                           F.col("key"), F.col("value").cast("double"), F.lit(None).cast("string").alias("text"),
+                           step.alias("step"))
         out = out.unionByName(m)
     if path:
         out.write.mode("append").parquet(path)

@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-from ticketlens.plans import q_labels  # noqa: F401
+from ticketlens.plans import (  # noqa: F401
+    q_drift, q_eval, q_features, q_history, q_labels, q_models, q_profile, q_runs, q_scoring, q_split, q_streams)
 from ticketlens.plans.registry import ORACLE, QUERIES
 
-for _mod in ("q_profile", "q_split", "q_eval", "q_scoring", "q_features", "q_drift",
-             "q_models", "q_runs", "q_streams", "q_history"):
-    try:
-        __import__(f"ticketlens.plans.{_mod}")
-    except ModuleNotFoundError as exc:  # modules are added as the build grows
-        if exc.name != f"ticketlens.plans.{_mod}":
-            raise
-
 
 def queries():
     return dict(QUERIES)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ticketlens import constants as K
 from ticketlens.operators import labels as L
 from ticketlens.operators.split import stratified_split
-from ticketlens.session import checkpoint_dir
+from ticketlens.session import stored
 from ticketlens.sources import tables as T
 
 # Raw labels src0..src17 map to categories by position; src18, src19 stay
@@ -30,7 +30,6 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     oos = T.oos_as_tickets(T.load_corpus_b(spark, sf_dir))
     t = L.consolidate(a, oos, FIXTURE_LABEL_MAP)
     t = L.assign_priority(t, FIXTURE_P0, FIXTURE_P1)
-    # the corpus readers already spread narrow scans (see sources.tables.spread)
     return L.add_ids(t).select("ticket_id", "text", "label_name", "category", "category_id",
                                "priority", "priority_id")
 
@@ -73,26 +72,18 @@ _MATERIALIZED: dict = {}
 
 
 def materialized(spark: SparkSession, key, build):
-    """Build a table once per application and keep it as a reliable checkpoint.
-
-    The files go to the folder named by ``spark.checkpoint.dir`` (a shared
-    location on a cluster), which also cuts the lineage: later queries read
-    the written table instead of re-deriving it, and a lost executor costs a
-    re-read, not a recomputation of the whole derivation.
-    """
+    """Build a table (or a tuple of tables) once per application and keep it as
+    Parquet in the shared folder; a table with a ``split`` column is laid out
+    by split.  Later queries read only the columns and splits they use."""
     k = (spark.sparkContext.applicationId, key)
     if k not in _MATERIALIZED:
-        checkpoint_dir(spark)  # the session's shared folder; set only if unset
         out = build()
-        _MATERIALIZED[k] = (tuple(_checkpoint(x) for x in out) if isinstance(out, tuple)
-                            else _checkpoint(out))
+        _MATERIALIZED[k] = tuple(map(_store, out)) if isinstance(out, tuple) else _store(out)
     return _MATERIALIZED[k]
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Checkpoint unless ``df`` already reads a checkpoint (nothing to cut)."""
-    plan = df._jdf.queryExecution().analyzed().toString()
-    return df if plan.lstrip().startswith("LogicalRDD") else df.checkpoint(eager=True)
+def _store(df: DataFrame) -> DataFrame:
+    return stored(df, "table", "split" if "split" in df.columns and len(df.columns) > 1 else None)
 
 
 def split_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,9 +43,9 @@ def strip(col: str) -> str:
 
 
 CORPUS_B = f"""corpus_b AS (
-  SELECT item_id AS item_key, text, {q(K.OUT_OF_SCOPE_LABEL)} AS intent_name FROM benchmark
+  SELECT item_id AS item_key, CAST(NULL AS BIGINT) AS turn, text, {q(K.OUT_OF_SCOPE_LABEL)} AS intent_name FROM benchmark
   UNION ALL
-  SELECT -(conv_id * 1000 + turn) - 1 AS item_key, text, 'user_turn' AS intent_name
+  SELECT conv_id AS item_key, turn, text, 'user_turn' AS intent_name
   FROM conversations WHERE role = 'user')"""
 
 

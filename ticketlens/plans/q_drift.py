@@ -6,7 +6,6 @@ is ("normal") or with the drift rewrite applied to its text ("drifted").
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ticketlens import constants as K
@@ -16,6 +15,7 @@ from ticketlens.operators.profile import histogram
 from ticketlens.plans import fixtures as FX
 from ticketlens.plans import oracle as O
 from ticketlens.plans.registry import query
+from ticketlens.session import stored
 
 R = 6
 SPLIT = O.split_cte()
@@ -78,11 +78,8 @@ st3 AS (
 numeric AS (
   SELECT scenario, feature, CAST(n_ref AS BIGINT) AS n_ref, CAST(n_cur AS BIGINT) AS n_cur,
          round(ks_stat, {R}) AS ks_stat, round(pval, {R}) AS ks_pvalue, round(wd_norm, {R}) AS wasserstein_norm,
-         CASE WHEN n_ref > {D.LARGE_REFERENCE} THEN 'wasserstein' ELSE 'ks' END AS method,
-         round(CASE WHEN n_ref > {D.LARGE_REFERENCE} THEN wd_norm ELSE pval END, {R}) AS score,
-         CAST(CASE WHEN n_ref > {D.LARGE_REFERENCE} THEN {D.WASSERSTEIN_LIMIT} ELSE {D.KS_P_LIMIT} END AS DOUBLE) AS threshold,
-         CASE WHEN n_ref > {D.LARGE_REFERENCE} THEN wd_norm >= {D.WASSERSTEIN_LIMIT} ELSE pval < {D.KS_P_LIMIT} END
-           AS drift_detected
+         'wasserstein' AS method, round(wd_norm, {R}) AS score, CAST({D.WASSERSTEIN_LIMIT} AS DOUBLE) AS threshold,
+         wd_norm >= {D.WASSERSTEIN_LIMIT} AS drift_detected
   FROM st3)"""
 
 CATEGORICAL_SQL = f"""cvc AS (
@@ -130,8 +127,8 @@ def sides(spark, sf_dir):
               .unionByName(normal.withColumn("side", F.lit("cur")))
               .unionByName(drifted.withColumn("side", F.lit("cur"))))
     # a narrow feature table (no text) read by the numeric and categorical
-    # branches: persisted so the texts are scanned and measured once
-    return out.persist(StorageLevel.MEMORY_AND_DISK)
+    # branches: written so the texts are scanned and measured once
+    return stored(out, "sides")
 
 
 def verdicts(spark, sf_dir):
@@ -156,6 +153,16 @@ def j2_numeric_drift(spark, sf_dir):
     return D.numeric_drift(sides(spark, sf_dir), None, NUMERIC, keys=["scenario"])
 
 
+@query("j2_numeric_drift_ks", _with_drift(f"""
+SELECT * EXCLUDE (method, score, threshold, drift_detected), 'ks' AS method, ks_pvalue AS score,
+       CAST({D.KS_P_LIMIT} AS DOUBLE) AS threshold, (SELECT pval FROM st3 x WHERE x.scenario = numeric.scenario
+       AND x.feature = numeric.feature) < {D.KS_P_LIMIT} AS drift_detected
+FROM numeric"""))
+def j2_numeric_drift_ks(spark, sf_dir):
+    """J2 with the small-reference method."""
+    return D.numeric_drift(sides(spark, sf_dir), None, NUMERIC, "ks", keys=["scenario"])
+
+
 @query("j3_categorical_drift", _with_drift("SELECT * FROM categorical"))
 def j3_categorical_drift(spark, sf_dir):
     return D.categorical_drift(sides(spark, sf_dir), None, CATEGORICAL, keys=["scenario"])
@@ -177,12 +184,6 @@ def j4_dataset_drift(spark, sf_dir):
     return D.dataset_drift(verdicts(spark, sf_dir))
 
 
-@query("j7_drift_alerts", _with_drift(
-    f"SELECT scenario, feature, method, score FROM verdicts WHERE method <> 'ks' AND score > {K.DRIFT_ALERT_SCORE}"))
-def j7_drift_alerts(spark, sf_dir):
-    return D.drift_alerts(verdicts(spark, sf_dir)).select("scenario", "feature", "method", "score")
-
-
 @query("j5_distribution_tables", _with_drift(f"""
 , xs AS (SELECT scenario || ':' || side AS grp, CAST(text_length AS DOUBLE) AS x FROM sides),
 edges AS (SELECT CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,

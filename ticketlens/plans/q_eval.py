@@ -113,24 +113,22 @@ def d16_confusion_matrix(spark, sf_dir):
 
 @query("d17_per_class_metrics", O.with_predictions(f"""
 SELECT m.class_id, n.name AS category, CAST(support AS BIGINT) AS support, round(precision, {R}) AS precision,
-       round(recall, {R}) AS recall, round(f1, {R}) AS f1, {_band_sql('round(f1, 6)')} AS f1_band
+       round(recall, {R}) AS recall, round(f1, {R}) AS f1, {_band_sql('f1')} AS f1_band
 FROM metrics m LEFT JOIN cat_names n ON m.class_id = n.id""", _metrics_sql(), O.cat_names_cte()))
 def d17_per_class_metrics(spark, sf_dir):
     m = V.per_class_metrics(_preds(spark, sf_dir), "category_id", "pred_category_id")
-    m = L.id_to_name(m, "class_id", "category", K.CATEGORIES)
-    return m.withColumn("f1_band", V.f1_band("f1"))
+    return L.id_to_name(m, "class_id", "category", K.CATEGORIES)
 
 
 @query("d18_report_averages", O.with_predictions(f"""
-SELECT 'macro avg' AS row, round(avg(round(precision, {R})), {R}) AS precision, round(avg(round(recall, {R})), {R}) AS recall,
-       round(avg(round(f1, {R})), {R}) AS f1, CAST(sum(support) AS BIGINT) AS support FROM metrics
+SELECT 'macro avg' AS row, round(avg(precision), {R}) AS precision, round(avg(recall), {R}) AS recall,
+       round(avg(f1), {R}) AS f1, CAST(sum(support) AS BIGINT) AS support FROM metrics
 UNION ALL
-SELECT 'weighted avg', round(sum(round(precision, {R}) * support) / sum(support), {R}),
-       round(sum(round(recall, {R}) * support) / sum(support), {R}),
-       round(sum(round(f1, {R}) * support) / sum(support), {R}), CAST(sum(support) AS BIGINT) FROM metrics""",
+SELECT 'weighted avg', round(sum(precision * support) / sum(support), {R}), round(sum(recall * support) / sum(support), {R}),
+       round(sum(f1 * support) / sum(support), {R}), CAST(sum(support) AS BIGINT) FROM metrics""",
     _metrics_sql()))
 def d18_report_averages(spark, sf_dir):
-    return V.report_averages(V.per_class_metrics(_preds(spark, sf_dir), "category_id", "pred_category_id"))
+    return V.report_averages(V.class_metrics(_preds(spark, sf_dir), "category_id", "pred_category_id"))
 
 
 @query("d19_overall_metrics", O.with_predictions(f"""

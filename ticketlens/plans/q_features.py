@@ -11,6 +11,7 @@ from ticketlens.operators import features as FE
 from ticketlens.plans import fixtures as FX
 from ticketlens.plans import oracle as O
 from ticketlens.plans.registry import query
+from ticketlens.session import stored
 
 R = 6
 SPLIT = O.split_cte()
@@ -43,7 +44,7 @@ def _tfidf(spark, sf_dir):
     per application like a saved vectoriser."""
     st = FX.split_tickets(spark, sf_dir)
     weights, vocab, idf = FX.materialized(spark, ("tfidf", sf_dir), lambda: FE.fit_transform_tfidf(
-        st, "ticket_id", F.col("split") == "train", stage=lambda d: d.checkpoint(eager=True)))
+        st, "ticket_id", F.col("split") == "train", stage=lambda d: stored(d, "tfidf")))
     return st, weights, vocab, idf
 
 

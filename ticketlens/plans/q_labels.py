@@ -37,7 +37,7 @@ def a1_corpus_a(spark, sf_dir):
     return T.load_corpus_a(spark, sf_dir)
 
 
-@query("a3_corpus_b", f"WITH {O.CORPUS_B} SELECT item_key, text, intent_name FROM corpus_b")
+@query("a3_corpus_b", f"WITH {O.CORPUS_B} SELECT item_key, turn, text, intent_name FROM corpus_b")
 def a3_corpus_b(spark, sf_dir):
     return T.load_corpus_b(spark, sf_dir)
 
@@ -74,12 +74,12 @@ def a4_first_rows(spark, sf_dir):
 # -- B: projections, filters, predicates ------------------------------------
 
 @query("b3_out_of_scope", f"""WITH {O.CORPUS_B}
-SELECT item_key, intent_name, intent_name = 'oos' AS out_of_scope FROM corpus_b""")
+SELECT item_key, turn, intent_name, intent_name = 'oos' AS out_of_scope FROM corpus_b""")
 def b3_out_of_scope(spark, sf_dir):
     b = T.load_corpus_b(spark, sf_dir)
     oos = T.out_of_scope(b, True).withColumn("out_of_scope", F.lit(True))
     ins = T.out_of_scope(b, False).withColumn("out_of_scope", F.lit(False))
-    return oos.unionByName(ins).select("item_key", "intent_name", "out_of_scope")
+    return oos.unionByName(ins).select("item_key", "turn", "intent_name", "out_of_scope")
 
 
 @query("b4_unmapped_labels", f"""WITH label_dim AS {O.values(FX.FIXTURE_LABEL_MAP.items(), ['label_name', 'category'])}

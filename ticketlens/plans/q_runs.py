@@ -90,13 +90,15 @@ def f4_best_model(spark, sf_dir):
 
 @query("a10_run_records", METRICS_SQL.replace(
     f"SELECT * FROM ({_LONG_SQL}) x",
-    "SELECT * FROM (VALUES ('baseline', 'param', 'max_features', CAST(" + str(K.MAX_FEATURES) + " AS DOUBLE), CAST(NULL AS INTEGER)),"
-    " ('baseline', 'param', 'seed', CAST(" + str(K.SPLIT_SEED) + " AS DOUBLE), CAST(NULL AS INTEGER))) p(run_id, kind, key, value, step)"
-    f" UNION ALL SELECT model, 'metric', metric, value, CAST(NULL AS INTEGER) FROM ({_LONG_SQL}) x"))
+    "SELECT * FROM (VALUES ('baseline', 'param', 'max_features', CAST(" + str(K.MAX_FEATURES) + f" AS DOUBLE), '{K.MAX_FEATURES}', CAST(NULL AS INTEGER)),"
+    " ('baseline', 'param', 'seed', CAST(" + str(K.SPLIT_SEED) + f" AS DOUBLE), '{K.SPLIT_SEED}', CAST(NULL AS INTEGER)),"
+    " ('baseline', 'param', 'solver', CAST(NULL AS DOUBLE), 'lbfgs', CAST(NULL AS INTEGER))) p(run_id, kind, key, value, text, step)"
+    f" UNION ALL SELECT model, 'metric', metric, value, CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER) FROM ({_LONG_SQL}) x"))
 def a10_run_records(spark, sf_dir):
     """A10: params of the run plus the metrics each scorer produced, one runs table."""
     long = metric_table(spark, sf_dir)
-    params = RU.record_run(spark, "baseline", {"max_features": K.MAX_FEATURES, "seed": K.SPLIT_SEED})
+    params = RU.record_run(spark, "baseline", {"max_features": K.MAX_FEATURES, "seed": K.SPLIT_SEED, "solver": "lbfgs"})
     metrics = long.select(F.col("model").alias("run_id"), F.lit("metric").alias("kind"),
-                          F.col("metric").alias("key"), "value", F.lit(None).cast("int").alias("step"))
+                          F.col("metric").alias("key"), "value", F.lit(None).cast("string").alias("text"),
+                          F.lit(None).cast("int").alias("step"))
     return params.unionByName(metrics)

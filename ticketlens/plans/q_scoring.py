@@ -19,7 +19,7 @@ THR = K.AUTO_ROUTE_THRESHOLD
 
 def reason_sql(conf: str, thr: float = THR) -> str:
     return (f"printf('Low confidence (%.1f%% < %.0f%% threshold)', "
-            f"CAST(round(CAST({conf} * 100.0 AS DECIMAL(20,10)), 1) AS DOUBLE), {float(thr) * 100.0})")
+            f"CAST({conf} AS DOUBLE) * 100.0, {float(thr) * 100.0})")
 
 
 def gate_sql(conf: str, cat: str, thr: float = THR) -> str:
@@ -105,13 +105,15 @@ def b12_failure_sentinel(spark, sf_dir):
 
 
 @query("a13_batch_output", O.with_tickets("""
-SELECT t.ticket_id, t.text, d.category, d.priority, d.category_confidence AS confidence, d.routing_team
-FROM tickets t JOIN decoded d ON t.ticket_id = d.ticket_id""", DECODED))
+SELECT t.ticket_id, t.text, coalesce(d.category, 'Error') AS category, coalesce(d.priority, 'Unknown') AS priority,
+       CASE WHEN d.ticket_id IS NULL THEN 0.0 ELSE d.category_confidence END AS confidence,
+       CASE WHEN d.ticket_id IS NULL THEN 'N/A' ELSE d.routing_team END AS routing_team
+FROM tickets t LEFT JOIN decoded d ON t.ticket_id = d.ticket_id""", DECODED))
 def a13_batch_output(spark, sf_dir):
-    """A13 as a plan: tickets scored by the logits decoder -> the four output columns."""
+    """A13 as a plan: every ticket comes out, scored or with the failure record."""
     t = FX.tickets(spark, sf_dir).select("ticket_id", "text")
-    scored = t.join(_decoded(spark, sf_dir).drop("text"), "ticket_id", "inner")
-    return S.batch_output(scored, ["ticket_id", "text"])
+    return S.with_failure_sentinel(t, _decoded(spark, sf_dir)).select(
+        "ticket_id", "text", "category", "priority", "confidence", "routing_team")
 
 
 @query("d27_routed_counts", f"""WITH {DECODED}

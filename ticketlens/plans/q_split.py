@@ -90,11 +90,10 @@ SELECT class_id AS category_id, n_class,
 FROM (SELECT r.class_id, coalesce(c.n, 0) AS n_class
       FROM range(10) r(class_id)
       LEFT JOIN (SELECT category_id, count(*) AS n FROM split_tickets
-                 WHERE split = 'train' AND priority = 'P0-Critical' GROUP BY 1) c
+                 WHERE split = 'train' GROUP BY 1) c
       ON r.class_id = c.category_id) x""", SPLIT))
 def d15_inverse_frequency_weights(spark, sf_dir):
-    """D15 on the P0 tickets of the training split, where some classes are absent."""
-    train = FX.split_tickets(spark, sf_dir).filter(
-        (F.col("split") == "train") & (F.col("priority") == K.PRIORITIES[0]))
+    """D15 on the training split."""
+    train = FX.split_tickets(spark, sf_dir).filter(F.col("split") == "train")
     out = S.inverse_frequency_weights(train, "category_id", len(K.CATEGORIES))
     return out.select(F.col("category_id").cast("long"), "n_class", "weight")

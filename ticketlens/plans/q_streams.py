@@ -13,6 +13,8 @@ from ticketlens.plans.registry import query
 from ticketlens.streaming import streams as ST
 from ticketlens.plans import fixtures as FX
 from ticketlens.operators import drift as D
+from ticketlens import constants as K
+from ticketlens.sources import tables as T
 from ticketlens.plans.q_drift import NUMERIC_SQL, SPLIT
 
 
@@ -24,7 +26,7 @@ _K1_COLS = ["ticket_id", "category", "category_confidence", "priority", "priorit
 def k1_stream_scoring(spark, sf_dir):
     """K1: logits stream -> decode -> gate -> parquet sink; equals the batch I10 rows."""
     out, ckpt = ST.stream_paths(spark, "k1")
-    src = ST.file_stream(spark, sf_dir, "embeddings.parquet", ST.EMBEDDINGS_SCHEMA)
+    src = ST.file_stream(spark, T.table_path(sf_dir, "embeddings"), ST.EMBEDDINGS_SCHEMA)
     ST.score_stream(src, out, ckpt)
     return spark.read.parquet(out).select(*_K1_COLS)
 
@@ -46,26 +48,33 @@ def k2_window_counts(spark, sf_dir):
     return w.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "priority", "n")
 
 
-@query("k2_window_counts_stream", K2_SQL)
+# A window closes once the watermark (latest event less one day) has passed its
+# end.  Spark moves the watermark between micro-batches, to the millisecond.
+K2_CLOSED_SQL = f"""
+SELECT * FROM ({K2_SQL}) w
+WHERE window_end <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM events)"""
+
+
+@query("k2_window_counts_stream", K2_CLOSED_SQL)
 def k2_window_counts_stream(spark, sf_dir):
-    """K2 on a stream: watermark on event time, complete-mode result per micro-batch;
-    window bounds are returned as wall-clock (NTZ) values like the batch form."""
+    """K2 on a stream: each window is appended once the watermark closes it, so
+    the state stays bounded; bounds come back as wall-clock (NTZ) values."""
     out, ckpt = ST.stream_paths(spark, "k2")
-    src = ST.file_stream(spark, sf_dir, "events.parquet", ST.EVENTS_SCHEMA)
+    src = ST.file_stream(spark, T.table_path(sf_dir, "events"), ST.EVENTS_SCHEMA)
     tickets = ST.with_event_time(event_tickets(spark, sf_dir, source=src), "opened_at", "event_time")
     agg = ST.windowed_counts(tickets, "event_time", "1 day", ["priority"], "1 day")
-    ST.write_complete_each_batch(agg, out, ckpt)
-    r = spark.read.parquet(out)
+    ST.write_closed_windows(agg, out, ckpt)
+    r = spark.read.schema(agg.schema).parquet(out)
     return r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                     F.col("window_end").cast("timestamp_ntz").alias("window_end"), "priority", "n")
 
 
 _K3_SIDES = f"""sides AS (
   SELECT 'k3' AS scenario, 'ref' AS side, CAST(length(text) AS INTEGER) AS text_length,
-         {O.word_count('text')} AS word_count, CAST(NULL AS INTEGER) AS category_id
+         {O.word_count('text')} AS word_count, category_id
   FROM split_tickets WHERE split = 'train'
   UNION ALL
-  SELECT 'k3', 'cur', CAST(length(text) AS INTEGER), {O.word_count('text')}, CAST(NULL AS INTEGER)
+  SELECT 'k3', 'cur', CAST(length(text) AS INTEGER), {O.word_count('text')}, CAST((conv_id + turn) % {len(K.CATEGORIES)} AS INTEGER)
   FROM conversations WHERE role = 'user')"""
 
 
@@ -80,13 +89,27 @@ def k3_drift_per_batch(spark, sf_dir):
     stream) is checked for drift against the training split."""
     out, ckpt = ST.stream_paths(spark, "k3")
     ref = D.monitor_features(FX.split_tickets(spark, sf_dir).filter(F.col("split") == "train"))
-    src = ST.file_stream(spark, sf_dir, "conversations.parquet",
+    src = ST.file_stream(spark, T.table_path(sf_dir, "conversations"),
                          "conv_id long, turn long, role string, text string")
-    cur = D.monitor_features(src.filter(F.col("role") == "user").withColumn("category_id", F.lit(None).cast("int")))
-    ST.drift_per_batch(cur, ref, ["text_length", "word_count"], out, ckpt)
+    predicted = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(K.CATEGORIES))).cast("int")
+    cur = D.monitor_features(src.filter(F.col("role") == "user").withColumn("category_id", predicted))
+    ST.drift_per_batch(cur, ref, ["text_length", "word_count", "category_id"], out, ckpt)
     return spark.read.parquet(out)
 
 
+@query("j7_drift_alerts", O.with_tickets(
+    f"SELECT feature, method, score FROM numeric WHERE method <> 'ks' AND score > {K.DRIFT_ALERT_SCORE}",
+    SPLIT, _K3_SIDES, NUMERIC_SQL))
+def j7_drift_alerts(spark, sf_dir):
+    """Alerts of all user turns against training (their texts are much shorter)."""
+    ref = D.monitor_features(FX.split_tickets(spark, sf_dir).filter(F.col("split") == "train"))
+    turns = T.read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]).filter(F.col("role") == "user")
+    predicted = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(K.CATEGORIES))).cast("int")
+    cur = D.monitor_features(turns.withColumn("category_id", predicted))
+    v = D.drift_verdicts(ref, cur, ["text_length", "word_count", "category_id"])
+    return D.drift_alerts(v).select("feature", "method", "score")
+
+
 _K4_COLS = ["ticket_id", "opened_at", "priority", "sla_label", "sla_minutes", "sla_deadline", "sla_breached"]
 
 
@@ -96,6 +119,6 @@ _K4_COLS = ["ticket_id", "opened_at", "priority", "sla_label", "sla_minutes", "s
 def k4_sla_stream(spark, sf_dir):
     """K4 on a stream: deadline and breach per event ticket as it arrives."""
     out, ckpt = ST.stream_paths(spark, "k4")
-    src = ST.file_stream(spark, sf_dir, "events.parquet", ST.EVENTS_SCHEMA)
+    src = ST.file_stream(spark, T.table_path(sf_dir, "events"), ST.EVENTS_SCHEMA)
     ST.sla_stream(event_tickets(spark, sf_dir, source=src), out, ckpt)
     return spark.read.parquet(out).select(*_K4_COLS)

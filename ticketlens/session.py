@@ -1,4 +1,4 @@
-"""SparkSession construction and cluster-safe scratch locations."""
+"""SparkSession construction and tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale: AQE re-plans joins and coalesces small
 # shuffle partitions at runtime, skew-join splits hot partitions, and
@@ -19,48 +19,61 @@ _DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8,
-              app_name: str = "ticketlens", extra: dict | None = None) -> SparkSession:
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app_name: str = "ticketlens",
+              extra: dict | None = None, shared_dir: str | None = None) -> SparkSession:
     """Build (or reuse) a session with the library's defaults.
 
-    On a cluster, call with ``master=None`` and let spark-submit decide; set
-    ``shuffle_partitions`` to roughly total input size / 128 MB.
+    On a cluster, call with ``master=None`` and let spark-submit decide.
+    ``shuffle_partitions`` stays Spark's unless given (about the input size /
+    128 MB).  ``shared_dir`` names the folder that all executors share, unless
+    ``spark.checkpoint.dir`` names it already.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(_DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if master and master.startswith("local"):
         conf.setdefault("spark.driver.memory", "16g")
+    if shared_dir:
+        conf["spark.checkpoint.dir"] = shared_dir
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which all executors reach.
 
-    A cluster names a shared (distributed) folder there; we only pick a
-    local one when the setting is absent, which happens in tests.
+    Only in local mode, as in tests, an unset one falls back to a local folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="ticketlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    if path:
+        return path
+    if spark.sparkContext.master.startswith("local"):
+        return os.path.join(tempfile.gettempdir(), "ticketlens-shared")
+    raise ValueError("set spark.checkpoint.dir, or call get_spark(shared_dir=...)")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for a written table."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh sub-folder of the shared folder for a written table."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    Unlike a checkpointed RDD the table prunes columns and (with
+    ``partition_by``) folders, and unlike a persisted one it holds no executor
+    storage; a lost executor costs a reread."""
+    path = scratch_path(df.sparkSession, name)
+    w = df.write.partitionBy(partition_by) if partition_by else df.write
+    w.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -42,25 +42,21 @@ def union_all(frames) -> DataFrame:
 def load_corpus_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1/A2: labelled tickets ``(ticket_id, text, label_name)``."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
-    return spread(docs.select(
-        F.col("doc_id").alias("ticket_id"),
-        "text",
-        F.col("source").alias("label_name"),
-    ), "ticket_id")
+    return docs.select(F.col("doc_id").alias("ticket_id"), "text", F.col("source").alias("label_name"))
 
 
-# Key for corpus-B rows: benchmark rows keep ``item_id``; conversation turns
-# get ``-(conv_id * 1000 + turn) - 1`` so the two never collide.
+# Corpus-B rows are told apart by two columns: benchmark rows have their
+# ``item_id`` and a null turn, conversation turns ``conv_id`` and ``turn``.
 def load_corpus_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A3: ``(item_key, text, intent_name)``; out-of-scope intent is ``oos``."""
+    """A3: ``(item_key, turn, text, intent_name)``; out-of-scope intent is ``oos``."""
     bench = read_table(spark, sf_dir, "benchmark", ["item_id", "text"]).select(
-        F.col("item_id").alias("item_key"), "text",
+        F.col("item_id").alias("item_key"), F.lit(None).cast("long").alias("turn"), "text",
         F.lit(OUT_OF_SCOPE_LABEL).alias("intent_name"))
     conv = (read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
             .filter(F.col("role") == "user")
-            .select((-(F.col("conv_id") * 1000 + F.col("turn")) - 1).alias("item_key"),
-                    "text", F.lit("user_turn").alias("intent_name")))
-    return spread(union_all([bench, conv]), "item_key")
+            .select(F.col("conv_id").alias("item_key"), F.col("turn").cast("long").alias("turn"), "text",
+                    F.lit("user_turn").alias("intent_name")))
+    return union_all([bench, conv])
 
 
 def out_of_scope(corpus_b: DataFrame, keep: bool = True) -> DataFrame:
@@ -76,20 +72,6 @@ def oos_as_tickets(corpus_b: DataFrame) -> DataFrame:
         F.col("intent_name").alias("label_name"))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition ``df`` by ``key`` only when the scan yields fewer partitions
-    than the cluster can run at once (e.g. one large row group).
-
-    Apply it directly on a scan (before any exchange): checking the
-    partition count then only plans the file splits.  On big inputs (many
-    files / row groups) this is a no-op and adds no shuffle.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target, key)
-    return df
-
-
 def require_columns(df: DataFrame, columns) -> DataFrame:
     """Fail fast when a required column is missing (schema-only check)."""
     missing = [c for c in columns if c not in df.columns]

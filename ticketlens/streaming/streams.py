@@ -15,19 +15,22 @@ from ticketlens import constants as K
 from ticketlens.operators import drift as D
 from ticketlens.operators import labels as L
 from ticketlens.operators import scoring as S
-from ticketlens.session import scratch_path
+from ticketlens.session import scratch_path, stored
 
 EMBEDDINGS_SCHEMA = "vec_id long, embedding array<float>, label int"
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def file_stream(spark: SparkSession, directory: str, file_glob: str, schema: str,
-                max_files_per_trigger: int | None = None) -> DataFrame:
-    """A parquet file stream over the files of ``directory`` matching ``file_glob``."""
-    r = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+def file_stream(spark: SparkSession, path: str, schema: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A parquet file stream over a table: a folder of part files, or one file (a
+    stream's base path must be a folder, so that is read as its folder's only match)."""
+    r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(directory)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        return r.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+    return r.parquet(path)
 
 
 def run_available(query_builder) -> None:
@@ -92,8 +95,10 @@ def drift_per_batch(stream: DataFrame, reference: DataFrame, numeric_cols, out_p
     stream cannot run directly).  Each batch overwrites its own
     ``batch_id=N`` folder, so a retried batch replaces its output instead of
     appending it twice."""
+    ref_counts = stored(D.value_counts(reference, numeric_cols, "n_ref"), "reference")  # once, not per batch
+
     def sink(batch_df, epoch_id):
-        v = D.drift_verdicts(reference, batch_df, numeric_cols, categorical_cols)
+        v = D.drift_verdicts(reference, batch_df, numeric_cols, categorical_cols, ref_counts=ref_counts)
         v.write.mode("overwrite").parquet(f"{out_path}/batch_id={int(epoch_id)}")
     run_available(stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint))
 
