@@ -24,13 +24,15 @@ def metrics_long(df: DataFrame, model: str, metrics) -> DataFrame:
     return df.select(F.lit(model).alias("model"), pairs.alias("x")).select("model", "x.metric", "x.value")
 
 
-def write_metrics(df: DataFrame, path: str) -> None:
-    """A9 sink: append metric records as parquet."""
-    df.write.mode("append").parquet(path)
+def write_metrics(df: DataFrame, path: str, run: int = 0) -> None:
+    """A9 sink: append the metric records of a run as parquet."""
+    df.select(F.lit(run).cast("int").alias("run"), "model", "metric", "value").write.mode("append").parquet(path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("model string, metric string, value double").parquet(path)
+    """A9 read-back: each model's latest value of each metric."""
+    rows = spark.read.schema("run int, model string, metric string, value double").parquet(path)
+    return rows.groupBy("model", "metric").agg(F.max_by("value", F.struct("run", "value")).alias("value"))
 
 
 def record_run(spark: SparkSession, run_id: str, params: dict, metrics: DataFrame | None = None,

@@ -136,8 +136,7 @@ def balanced_class_weights(df: DataFrame, label_col: str) -> DataFrame:
     """N / (k * n_c) over the classes present."""
     c = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_class"))
     w = Window.partitionBy()
-    return c.withColumn("weight", F.round(F.sum("n_class").over(w) /
-                                          (F.count(F.lit(1)).over(w) * F.col("n_class")), 9))
+    return c.withColumn("weight", F.sum("n_class").over(w) / (F.count(F.lit(1)).over(w) * F.col("n_class")))
 
 
 def inverse_frequency_weights(df: DataFrame, label_col: str, num_classes: int) -> DataFrame:

@@ -1,7 +1,8 @@
 """Catalogue: metric records, model comparison and run records.
 
 Two scorers are evaluated on the tickets: the id-arithmetic predictions and
-the logits decoder over ``embeddings`` (tickets joined by id).  Their
+the logits decoder over ``embeddings`` (a ticket without logits counts as
+wrong, so both are measured on the same tickets).  Their
 accuracy and weighted F1 per head form the metric table.
 """
 
@@ -17,6 +18,7 @@ from ticketlens.plans import oracle as O
 from ticketlens.plans.q_eval import _metrics_sql
 from ticketlens.plans.q_scoring import DECODED, _decoded
 from ticketlens.plans.registry import query
+from ticketlens.session import scratch_path
 
 R = 6
 METRICS = ["cat_accuracy", "cat_f1", "pri_accuracy", "pri_f1"]
@@ -24,8 +26,9 @@ HEADS = {"cat": ("category_id", "pred_category_id"), "pri": ("priority_id", "pre
 
 
 _SCORED = """logit_pred AS (
-  SELECT t.ticket_id, t.category_id, t.priority_id, d.category_id AS pred_category_id, d.priority_id AS pred_priority_id
-  FROM tickets t JOIN decoded d ON t.ticket_id = d.ticket_id)"""
+  SELECT t.ticket_id, t.category_id, t.priority_id, coalesce(d.category_id, -1) AS pred_category_id,
+         coalesce(d.priority_id, -1) AS pred_priority_id
+  FROM tickets t LEFT JOIN decoded d ON t.ticket_id = d.ticket_id)"""
 
 _MODELS = {"arithmetic": "predictions", "logits": "logit_pred"}
 _CTES = [_SCORED] + [_metrics_sql(t, p, src, prefix=f"{m}_{h}_")
@@ -44,7 +47,7 @@ def metric_table(spark, sf_dir):
     t = FX.tickets(spark, sf_dir).select("ticket_id", "category_id", "priority_id")
     d = _decoded(spark, sf_dir).select("ticket_id", F.col("category_id").alias("pred_category_id"),
                                        F.col("priority_id").alias("pred_priority_id"))
-    logit = t.join(d, "ticket_id")
+    logit = t.join(d, "ticket_id", "left").na.fill(-1, ["pred_category_id", "pred_priority_id"])
     out = None
     for name, df in (("arithmetic", preds), ("logits", logit)):
         m = V.two_head_metrics(df, HEADS)
@@ -58,8 +61,13 @@ def metric_table(spark, sf_dir):
 
 @query("a9_metric_records", METRICS_SQL)
 def a9_metric_records(spark, sf_dir):
-    """The (model, metric, value) records a metrics sink appends."""
-    return metric_table(spark, sf_dir)
+    """The records that two runs appended to the metrics sink, read back:
+    the first run's values of one model are replaced by the second's."""
+    path = scratch_path(spark, "metrics")
+    now = metric_table(spark, sf_dir)
+    RU.write_metrics(now.where("model = 'logits'").withColumn("value", F.lit(0.0)), path, run=1)
+    RU.write_metrics(now, path, run=2)
+    return RU.read_metrics(spark, path)
 
 
 _WIDE = ", ".join(f"first(value) FILTER (WHERE metric = '{m}') AS {m}" for m in METRICS)

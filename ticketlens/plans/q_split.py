@@ -78,9 +78,10 @@ FROM (SELECT priority_id, count(*) AS n_class FROM split_tickets WHERE split = '
 def d14_balanced_class_weights(spark, sf_dir):
     train = FX.split_tickets(spark, sf_dir).filter(F.col("split") == "train")
     c = S.balanced_class_weights(train, "category_id").select(
-        F.lit("category").alias("head"), F.col("category_id").alias("class_id"), "n_class", "weight")
+        F.lit("category").alias("head"), F.col("category_id").alias("class_id"), "n_class", F.round("weight", 9).alias("weight"))
     p = S.balanced_class_weights(train, "priority_id").select(
-        F.lit("priority").alias("head"), F.col("priority_id").alias("class_id"), "n_class", "weight")
+        F.lit("priority").alias("head"), F.col("priority_id").alias("class_id"), "n_class",
+        F.round("weight", 9).alias("weight"))
     return c.unionByName(p)
 
 
