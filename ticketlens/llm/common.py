@@ -8,8 +8,10 @@ of others into the same Python buffer.
 from __future__ import annotations
 
 import os
+import site
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,22 +23,34 @@ from pyspark.sql import types as T
 
 #: A word of the contracts: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-ASCII_SPACE = " \t\n\x0b\x0c\r"
-_TO_SPACE = {ord(c): " " for c in ASCII_SPACE}
 
 #: Bytes of text handled at once inside a task.
 SLICE_BYTES = 4 << 20
 
 
-def words(text: str) -> list[str]:
-    """The words of ``text`` by :data:`WORD` (``str.split()`` would also split
-    at Unicode spaces)."""
-    if "\t" in text or "\n" in text or "\r" in text or "\x0b" in text or "\x0c" in text:
-        text = text.translate(_TO_SPACE)
-    return [w for w in text.split(" ") if w]
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python unless they have it already
+    (installed, in PYTHONPATH, or in the working folder of a local run)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd(), *site.getsitepackages()]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or any(p and os.path.realpath(p) == os.path.realpath(root) for p in known):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="ticketlens-"), "ticketlens.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "ticketlens")):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
+    spark.sparkContext.addPyFile(archive)  # read by the driver, which serves it to the executors
+    _SHIPPED.add(app)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df
 

@@ -5,13 +5,13 @@ number of copies, target / size of the source.  Its whole part is taken, its
 fraction is an inclusion probability.  The flight phase walks the vector of
 probabilities along directions that change neither the expected number of
 documents nor of tokens, until each is 0 or 1; only two per block are left
-open.  Blocks hold a bounded share of a source (by hash of the id), the open
+open.  Blocks hold a bounded share of a source (by hash of id and text), the open
 ones of all blocks are walked again, and so on, until one small landing
 problem per source remains, which is rounded with the least error.
 
 A null text has size 0, a null source is a source of its own (the last), null
 ids are ids like any other.  Repeated rows are documents of their own.  All
-randomness comes from hashes of ids, so reruns agree.  Empty tables give no
+randomness comes from hashes of ids and texts, so reruns agree.  Empty tables give no
 rows; a source without words has target 0.
 """
 
@@ -151,6 +151,7 @@ def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str
     extra = [F.col(f"`{row}`").alias("row")] if row else []
     docs = written(df.select(
         F.col(f"`{doc_id}`").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), *extra,
+        F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("order"),
         F.regexp_count(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(WORD)).cast("long").alias("size")), "sizes")
     per = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     per = written(per.select(F.col("source").alias("__s"), "source_size", "target"), "targets")
@@ -159,7 +160,7 @@ def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str
     pi = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
     docs = (docs.join(per, docs["source"].eqNullSafe(per["__s"])).drop("__s")
             .withColumn("__pi", pi).withColumn("whole", F.floor("__pi")).withColumn("p", F.col("__pi") - F.col("whole"))
-            .drop("__pi").withColumn("order", F.xxhash64("id", "size")))
+            .drop("__pi"))
     out = sample(docs)
     return out.select(F.col("id").alias(doc_id), *([F.col("row").alias(row)] if row else []), "size", "source_size",
                       "target", (F.col("whole") + F.col("taken_one")).alias("copies"),
