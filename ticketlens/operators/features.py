@@ -122,19 +122,20 @@ def linear_scores(weights: DataFrame, coef: DataFrame, id_col: str, num_classes:
     """I8: ``score[id, class] = sum_t weight[id, t] * coef[t, class] + bias[class]`` as
     a join + aggregate, returned as a dense ``scores`` array per id.
 
-    ``coef`` is keyed by vocabulary term (bounded), so it is broadcast.
-    Ids in ``ids`` with no vocabulary term get bias-only scores.
+    ``coef`` becomes one row per vocabulary term (bounded) with a column per
+    class; each weight meets its term once and one aggregate per id sums all
+    classes, so there is a single shuffle.  Ids in ``ids`` with no vocabulary
+    term get bias-only scores.
     """
-    j = weights.join(F.broadcast(coef), "term", "inner")
-    s = j.groupBy(id_col, "class_id").agg(F.sum(F.col("weight") * F.col("coef")).alias("score"))
-    # At most num_classes entries per id: a small map, read densely by class id.
-    m = s.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("class_id", "score"))).alias("_m"))
-    ids = (ids if ids is not None else weights).select(id_col).distinct()
-    out = ids.join(m, id_col, "left")
+    classes = list(range(num_classes))
+    wide = coef.groupBy("term").pivot("class_id", classes).agg(F.sum("coef"))
+    wide = wide.select("term", *[F.coalesce(F.col(str(c)), F.lit(0.0)).alias(f"_c{c}") for c in classes])
+    j = weights.join(F.broadcast(wide), "term", "inner").select(
+        id_col, *[(F.col("weight") * F.col(f"_c{c}")).alias(f"_s{c}") for c in classes])
+    none = (ids if ids is not None else weights).select(id_col, *[F.lit(0.0).alias(f"_s{c}") for c in classes])
+    s = j.unionByName(none).groupBy(id_col).agg(*[F.sum(f"_s{c}").alias(f"_s{c}") for c in classes])
     b = list(bias) if bias is not None else [0.0] * num_classes
-    dense = F.array(*[F.coalesce(F.element_at(F.col("_m"), F.lit(c)), F.lit(0.0)) + F.lit(float(b[c]))
-                      for c in range(num_classes)])
-    return out.select(id_col, dense.alias("scores"))
+    return s.select(id_col, F.array(*[F.col(f"_s{c}") + F.lit(float(b[c])) for c in classes]).alias("scores"))
 
 
 def word_vocabulary(df: DataFrame, text_col: str = "text", min_count: int = K.VOCAB_MIN_COUNT) -> DataFrame:

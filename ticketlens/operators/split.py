@@ -16,6 +16,8 @@ the same result but splits every class into hash buckets:
 
 Every window partition holds about ``n_class / 16**bucket_digits`` rows.
 No sampling is involved, so re-running a lost task gives the same ranks.
+``stratified_split`` needs only the rows at its cuts: it ranks the buckets
+that hold one and compares all other rows with the boundaries.
 """
 
 from __future__ import annotations
@@ -24,8 +26,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlens import constants as K
+from ticketlens.session import stored
 
 SPLIT_NAMES = ("train", "val", "test")
+#: Classes up to which the table of boundaries is broadcast.
+MAX_BROADCAST_CLASSES = 50_000
 
 
 def seeded_key(id_col, seed: int = K.SPLIT_SEED) -> Column:
@@ -70,18 +75,51 @@ def split_cuts(ratios) -> list[int]:
     return cuts
 
 
+def class_boundaries(df: DataFrame, by: str, id_col: str, ratios=K.SPLIT_RATIOS, seed: int = K.SPLIT_SEED,
+                     bucket_digits: int = 3) -> DataFrame:
+    """``(by, cuts)``: per class the last (key, id) of each part, in the order of
+    the cuts (null where a part is empty), by exact rank.
+
+    Counts per (class, bucket) tell which bucket holds a cut; only those
+    buckets' rows, without their text, are ranked."""
+    keyed = df.select(F.col(by).alias("_c"), F.col(id_col).alias("_id"), seeded_key(id_col, seed).alias("_key"))
+    keyed = keyed.withColumn("_bucket", F.substring("_key", 1, bucket_digits))
+    counts = keyed.groupBy("_c", "_bucket").agg(F.count(F.lit(1)).alias("_bn"))
+    before = Window.partitionBy("_c").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (counts.withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
+              .withColumn("_n", F.sum("_bn").over(Window.partitionBy("_c"))))
+    bounds = F.array(*[F.struct(F.lit(k).alias("_k"), F.expr(f"(_n * {cut} + 500000) div 1000000").alias("_b"))
+                       for k, cut in enumerate(split_cuts(ratios))])
+    held = (counts.select("_c", "_bucket", "_off", "_bn", F.inline(bounds))
+            .where((F.col("_off") < F.col("_b")) & (F.col("_b") <= F.col("_off") + F.col("_bn")))
+            .select(F.col("_c").alias("_hc"), F.col("_bucket").alias("_hb"), "_k", (F.col("_b") - F.col("_off")).alias("_at")))
+    here = keyed["_c"].eqNullSafe(held["_hc"]) & (keyed["_bucket"] == held["_hb"])
+    near = keyed.join(held.select("_hc", "_hb").distinct(), here, "left_semi")
+    rank = F.row_number().over(Window.partitionBy("_c", "_bucket").orderBy("_key", "_id"))
+    near = near.withColumn("_rank", rank)
+    here = near["_c"].eqNullSafe(held["_hc"]) & (near["_bucket"] == held["_hb"]) & (near["_rank"] == held["_at"])
+    found = near.join(held, here).select("_c", "_k", F.struct("_key", "_id").alias("_last"))
+    last = [F.max(F.when(F.col("_k") == k, F.col("_last"))).alias(f"_cut{k}") for k in range(len(ratios) - 1)]
+    return found.groupBy("_c").agg(*last)
+
+
 def stratified_split(df: DataFrame, by: str, id_col: str, ratios=K.SPLIT_RATIOS,
                      seed: int = K.SPLIT_SEED, names=SPLIT_NAMES,
                      bucket_digits: int = 3) -> DataFrame:
-    """Exact per-class proportions; cut k of a class of n rows is round(n * cum_ratio_k)."""
-    ranked = exact_group_rank(df, [by], id_col, seed, bucket_digits)
-    r = F.col("_rank")
-    expr = None
-    for cut, name in zip(split_cuts(ratios), names):
-        bound = F.expr(f"(_group_rows * {cut} + 500000) div 1000000")
-        expr = F.when(r <= bound, F.lit(name)) if expr is None else expr.when(r <= bound, F.lit(name))
-    expr = expr.otherwise(F.lit(names[len(ratios) - 1]))
-    return ranked.withColumn("split", expr).drop("_rank", "_group_rows")
+    """Exact per-class proportions; cut k of a class of n rows is round(n * cum_ratio_k).
+
+    Rows are compared with their class's boundaries, a row per class, so no
+    text is shuffled or sorted; rows that share an id share a split."""
+    cuts = stored(class_boundaries(df, by, id_col, ratios, seed, bucket_digits), "boundaries")
+    if cuts.count() <= MAX_BROADCAST_CLASSES:
+        cuts = F.broadcast(cuts)
+    mine = F.struct(seeded_key(id_col, seed).alias("_key"), F.col(id_col).alias("_id"))
+    out = df.withColumn("_mine", mine)
+    out = out.join(cuts, out[by].eqNullSafe(cuts["_c"]), "left")
+    expr = F
+    for k in range(len(ratios) - 1):
+        expr = expr.when(F.col("_mine") <= F.col(f"_cut{k}"), F.lit(names[k]))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], expr.otherwise(F.lit(names[len(ratios) - 1])).alias("split"))
 
 
 def hash_split(df: DataFrame, id_col: str, ratios=K.SPLIT_RATIOS, seed: int = K.SPLIT_SEED,
