@@ -154,7 +154,7 @@ def test_append_mode_windows_are_closed_batch_windows(spark, sf_small):
     from ticketlens.streaming import streams as ST
     import __spark_entry__ as E
     out, ckpt = ST.stream_paths(spark, "k2-append")
-    src = ST.file_stream(spark, sf_small, "events.parquet", ST.EVENTS_SCHEMA)
+    src = ST.file_stream(spark, f"{sf_small}/events.parquet", ST.EVENTS_SCHEMA)
     t = ST.with_event_time(event_tickets(spark, sf_small, source=src), "opened_at", "event_time")
     ST.write_closed_windows(ST.windowed_counts(t, "event_time", "1 day", ["priority"], "1 day"), out, ckpt)
     got = spark.read.parquet(out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
