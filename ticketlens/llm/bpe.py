@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import map_text, read
+from ticketlens.llm.common import map_text, read, written
 
 _NO_LIMIT = 1 << 62
 
@@ -78,7 +78,7 @@ class BpeTable:
         key = a << 24 | b
         known = self._border.get(key)
         if known is None:
-            if len(self._border) >= 1_000_000:
+            if len(self._border) >= 400_000:
                 self._border.clear()
             known = self._border[key] = self._holds(a, b)
         return known
@@ -165,7 +165,7 @@ class PrefixStore:
     full, which bounds memory and changes no result.
     """
 
-    def __init__(self, table: BpeTable, most: int = 500_000):
+    def __init__(self, table: BpeTable, most: int = 250_000):
         self.table, self.most, self.last = table, most, {}
 
     def encode(self, piece: bytes) -> list[int]:
@@ -223,12 +223,12 @@ class TextEncoder:
         import regex
         store = PrefixStore(table)
         split = regex.compile(pattern).findall
-        piece = _Cache(lambda p: np.array(store.encode(p.encode()), dtype="<u4").tobytes(), 150_000).__getitem__
+        piece = _Cache(lambda p: np.array(store.encode(p.encode()), dtype="<u4").tobytes(), 60_000).__getitem__
         self._plain = lambda text: b"".join(map(piece, split(text)))
         # these four count as white space to Python's \\s alone
         self._odd = re.compile("[\x1c-\x1f]").search
         self._chunk = chunks and re.compile(chunks).findall
-        self._of_chunk = _Cache(self._plain, 200_000).__getitem__
+        self._of_chunk = _Cache(self._plain, 100_000).__getitem__
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -285,7 +285,8 @@ def token_counts(df: DataFrame, ranks_path: str, pattern: str, text: str = "text
 
 
 def length_histogram(lengths: DataFrame, column: str = "n_tokens", block: int = 1024) -> DataFrame:
-    """Exact histogram of document lengths with suffix sums.
+    """Exact histogram of document lengths with suffix sums; the histogram is
+    written once, so the lengths are made once.
 
     One row per length that occurs: ``n_tokens``, ``n_docs``, ``docs_at_least``
     and ``tokens_at_least`` (documents at least this long, and their tokens),
@@ -300,6 +301,7 @@ def length_histogram(lengths: DataFrame, column: str = "n_tokens", block: int =
          .groupBy(F.col(f"`{column}`").cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
          .withColumn("__b", F.floor(F.col("n_tokens") / block))
          .withColumn("__t", F.col("n_tokens") * F.col("n_docs")))
+    h = written(h, "histogram")
     blocks = h.groupBy("__b").agg(F.sum("n_docs").alias("__bd"), F.sum("__t").alias("__bt"))
     up = W.orderBy(F.col("__b").desc())  # a row per block of lengths: a few hundred at most
     later, everything = up.rowsBetween(W.unboundedPreceding, -1), up.rowsBetween(
