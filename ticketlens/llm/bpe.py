@@ -228,7 +228,7 @@ class TextEncoder:
         # these four count as white space to Python's \\s alone
         self._odd = re.compile("[\x1c-\x1f]").search
         self._chunk = chunks and re.compile(chunks).findall
-        self._of_chunk = _Cache(self._plain, 100_000).__getitem__
+        self._of_chunk = _Cache(self._plain, 200_000).__getitem__
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -245,8 +245,8 @@ def load_table(path: str) -> BpeTable:
         return BpeTable({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
-@lru_cache(maxsize=2)
 def text_encoder(path: str, pattern: str, chunks: str | None) -> TextEncoder:
+    """An encoder whose stores live as long as a task, so that idle workers hold none."""
     return TextEncoder(load_table(path), pattern, chunks)
 
 
