@@ -14,12 +14,16 @@ from ticketlens import constants as K
 from ticketlens.functions.text import contains_any
 
 
+MAX_BROADCAST_ENTRIES = 50_000
+
+
 def dimension(spark: SparkSession, mapping, key: str, value: str,
               key_type: str = "string", value_type: str = "string") -> DataFrame:
-    """A lookup table from a dict or a list of pairs.  It carries no hint: its
-    size is known to the planner, which broadcasts it while it is small."""
+    """A lookup table from a dict or a list of pairs, broadcast while it has at
+    most ``MAX_BROADCAST_ENTRIES`` of them and joined by shuffle beyond."""
     items = list(mapping.items()) if isinstance(mapping, dict) else list(mapping)
-    return spark.createDataFrame(items, f"{key} {key_type}, {value} {value_type}")
+    df = spark.createDataFrame(items, f"{key} {key_type}, {value} {value_type}")
+    return F.broadcast(df) if len(items) <= MAX_BROADCAST_ENTRIES else df
 
 
 def id_dimension(spark: SparkSession, names, name_col: str, id_col: str) -> DataFrame:
