@@ -78,7 +78,7 @@ class BpeTable:
         key = a << 24 | b
         known = self._border.get(key)
         if known is None:
-            if len(self._border) >= 400_000:
+            if len(self._border) >= 600_000:
                 self._border.clear()
             known = self._border[key] = self._holds(a, b)
         return known
@@ -165,7 +165,7 @@ class PrefixStore:
     full, which bounds memory and changes no result.
     """
 
-    def __init__(self, table: BpeTable, most: int = 250_000):
+    def __init__(self, table: BpeTable, most: int = 400_000):
         self.table, self.most, self.last = table, most, {}
 
     def encode(self, piece: bytes) -> list[int]:
@@ -223,7 +223,7 @@ class TextEncoder:
         import regex
         store = PrefixStore(table)
         split = regex.compile(pattern).findall
-        piece = _Cache(lambda p: np.array(store.encode(p.encode()), dtype="<u4").tobytes(), 60_000).__getitem__
+        piece = _Cache(lambda p: np.array(store.encode(p.encode()), dtype="<u4").tobytes(), 100_000).__getitem__
         self._plain = lambda text: b"".join(map(piece, split(text)))
         # these four count as white space to Python's \\s alone
         self._odd = re.compile("[\x1c-\x1f]").search

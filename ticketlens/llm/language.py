@@ -74,11 +74,12 @@ def fit_bits(x: np.ndarray, targets: np.ndarray, l2: float = 1.0) -> np.ndarray:
     """Ridge-regularised linear classifiers (a column per bit; last row: bias)."""
     n = len(x)
     mean = x.mean(axis=0)
-    c = (x - mean).astype(np.float64)
-    gram = c @ c.T
+    c = x - mean
+    gram = (c @ c.T).astype(np.float64)
     scale = np.trace(gram) / n + 1e-12
     bias = targets.mean(axis=0)
-    w = c.T @ np.linalg.solve(gram / scale + l2 / n * np.eye(n) * 10, (targets - bias) / scale)
+    dual = np.linalg.solve(gram / scale + l2 / n * np.eye(n) * 10, (targets - bias) / scale)
+    w = c.T @ dual.astype(c.dtype)
     return np.vstack([w, bias - mean @ w])
 
 
