@@ -32,10 +32,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import read, slices, written
+from ticketlens.llm.common import slices, written
 from ticketlens.llm.components import connected_components
 
 MIN_WORDS, SHINGLE, SIMILARITY, RECALL = 20, 5, 0.8, 0.999
@@ -329,7 +329,3 @@ def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     rest = packed.where(F.col("__gone").isNull()).drop("__gone").withColumn("lines_removed", F.lit(0))
     done = cut.mapInArrow(run, rest.schema).unionByName(rest)
     return done.select(*df.drop("lines_removed").columns, "lines_removed")
-
-
-def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated(read(spark, sf_dir, "documents", "doc_id", "text"))

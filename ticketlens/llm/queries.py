@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ticketlens.llm import bpe, language, mixing, paragraphs, quality, rules, simhash, topk, toxicity
+from ticketlens.llm import bpe, language, mixing, passages, quality, rules, simhash, topk, toxicity
 
 QUERIES = {
-    "op1_substring_dedup": paragraphs.op1_substring_dedup,
+    "op1_substring_dedup": passages.op1_substring_dedup,
     "op2_topk_search": topk.op2_topk_search,
     "op3_quality_rules": rules.op3_quality_rules,
     "op4_language_id": language.op4_language_id,
