@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import bpe, mixing, paragraphs, quality, simhash
+from ticketlens.llm import bpe, mixing, passages, quality, simhash
 from ticketlens.llm.common import WORD, crc_mod, read, written
 
 
@@ -28,10 +28,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document holds.  A document
-    of which nothing is left goes; ``n_chars`` follows the text."""
-    out = paragraphs.without_repeats(docs)
-    changed = F.col("lines_removed") > 0
+    """Texts without the passages that stand earlier, whole lines or spans of
+    words.  A document of which nothing is left goes; ``n_chars`` follows the text."""
+    out = passages.without_passages(docs)
+    changed = F.col("passages_removed") > 0
     out = out.where(~changed | F.col("text").rlike(WORD))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))

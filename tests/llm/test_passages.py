@@ -1,6 +1,7 @@
 """Repeated runs of words against brute force over all runs."""
 import random
 
+import corpus_pipeline as cp
 from ticketlens.llm import paragraphs, passages as ps
 
 
@@ -103,3 +104,17 @@ def test_null_ids_repeated_rows_and_empty_tables(docs_of):
     out = sorted((d.doc_id is None, d.doc_id or 0, d.text) for d in ps.without_passages(df).collect())
     assert out == [(False, 7, f"{p} {z}"), (False, 7, f"{p} {z}"), (False, 8, a), (True, 0, f"{x} {y}")]
     assert ps.repeated_passages(df.limit(0)).collect() == [] and ps.without_passages(df.limit(0)).collect() == []
+
+
+def test_pipeline_cuts_passages_that_fill_no_line(spark, docs_of, sf_small):
+    r = random.Random(10)
+    ws = words(r, 54).split()
+    verse = "\n".join(" ".join(ws[i:i + 9]) for i in range(0, 54, 9))
+    a, b, c, d = (words(r, 80) for _ in range(4))
+    rows = [(1, f"{a} {' '.join(ws)} {b}"), (2, f"{c} {' '.join(ws)} {d}"), (3, f"first\n{verse}\nlast"), (4, verse)]
+    df = docs_of(rows)
+    out = cp.cut_repeats(spark, df, sf_small)
+    assert out.dtypes == df.dtypes
+    got = {x.doc_id: (x.text, x.n_chars) for x in out.collect()}
+    want = {1: rows[0][1], 2: f"{c} {d}", 3: "first\nlast"}
+    assert got == {k: (t, len(t)) for k, t in want.items()}
