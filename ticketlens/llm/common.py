@@ -55,6 +55,12 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``mapInArrow`` for which the executors have this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string array holding at most ``limit`` bytes each (or one row)."""
     n = len(texts)
@@ -99,7 +105,7 @@ def map_text(df: DataFrame, keep: list[str], text: str, fields: list[tuple[str,
                 cols += [v if isinstance(v, pa.Array) else pa.array(v, type=t) for v, t in zip(made, types)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *names])
 
-    return narrow.mapInArrow(run, schema)
+    return arrow(narrow, run, schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -120,6 +126,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage
     is cut, later reads prune columns and survive lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

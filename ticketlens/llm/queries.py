@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ticketlens.llm import bpe, language, mixing, passages, quality, rules, simhash, topk, toxicity
+from ticketlens.llm import audit, bpe, language, mixing, passages, quality, rules, simhash, topk, toxicity
 
 QUERIES = {
     "op1_substring_dedup": passages.op1_substring_dedup,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
+    "op11_filter_audit": audit.op11_filter_audit,
 }
 
 ORACLE: dict[str, str] = {
     "op2_topk_search": topk.OP2_SQL,
+    "op11_filter_audit": audit.OP11_SQL,
 }
