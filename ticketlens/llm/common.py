@@ -129,7 +129,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     ship(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+class Steps:
+    """Tables written on the way to one result, dropped once that is written.
+
+    ``keep(df, name)`` is ``written(df, name)``; leaving the block (or ``drop``)
+    deletes all tables but the frames given to ``spare``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        self.paths.append(out.table_path)
+        return out
+
+    def spare(self, df: DataFrame) -> DataFrame:
+        self.paths.remove(df.table_path)
+        return df
+
+    def drop(self) -> None:
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
+
+    def __enter__(self) -> "Steps":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
 
 
 def tasks(spark: SparkSession) -> int:

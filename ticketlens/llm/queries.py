@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ticketlens.llm import audit, bpe, codes, language, mixing, passages, quality, rules, simhash, topk, toxicity
+from ticketlens.llm import audit, bpe, codes, language, minhash, mixing, passages, quality, rules, simhash, topk, toxicity
 
 QUERIES = {
     "op1_substring_dedup": passages.op1_substring_dedup,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
     "op11_filter_audit": audit.op11_filter_audit,
     "op12_vector_codes": codes.op12_vector_codes,
+    "op13_minhash": minhash.op13_minhash,
 }
 
 ORACLE: dict[str, str] = {
     "op2_topk_search": topk.OP2_SQL,
     "op11_filter_audit": audit.OP11_SQL,
     "op12_vector_codes": codes.OP12_SQL,
+    "op13_minhash": minhash.OP13_SQL,
 }
