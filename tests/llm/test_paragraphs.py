@@ -4,6 +4,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from ticketlens.llm import linking
 from ticketlens.llm import paragraphs as pg
 
 
@@ -64,9 +65,9 @@ def test_matches_brute_force(docs_of):
     assert as_map(pg.repeated(docs_of(rows), min_words=8)) == plain(rows, 8)
 
 
-def test_large_buckets_meet_centres_until_nothing_is_left(docs_of, monkeypatch):
-    monkeypatch.setattr(pg, "SMALL_BUCKET", 300)
-    monkeypatch.setattr(pg, "CENTRES", 8)
+def test_large_buckets_are_split(docs_of, monkeypatch):
+    monkeypatch.setattr(linking, "SMALL", 300)
+    monkeypatch.setattr(linking, "HUB", 8)
     r = random.Random(9)
     base = [f"w{i}" for i in range(40)]
     rows = []
@@ -89,12 +90,7 @@ def test_spans_and_removal(docs_of):
     assert {r.doc_id for r in got} <= {2, 3, 7, None} and len(got) >= 4 and low
     assert not by[3].removed or by[3].kept_doc_id == 2
     assert rows[0][1][by[3].start:by[3].stop] == line and by[3].line == 1
-    out = pg.without_repeats(df, min_words=15)
-    assert out.columns == [*df.columns, "lines_removed"] and out.count() == len(rows)
-    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.lines_removed) for r in out.collect())
-    assert sum(k[3] for k in kept) == sum(r.removed for r in got) > 0
-    assert (False, 5, "", 0) in kept and [k for k in kept if k[1] == 9] == [(False, 9, "allein", 0)] * 2
-    assert pg.repeated(df.limit(0)).collect() == [] and pg.without_repeats(df.limit(0)).collect() == []
+    assert pg.repeated(df.limit(0)).collect() == []
 
 
 def test_real_rows(small_docs):

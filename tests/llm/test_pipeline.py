@@ -12,6 +12,7 @@ from ticketlens.llm import bpe, paragraphs
 
 from .test_mixing import plain_targets
 from .test_paragraphs import plain as plain_repeats
+from .test_passages import plain_words
 from .test_simhash import brute, plain as plain_fp
 
 
@@ -56,16 +57,32 @@ def test_one_document_of_each_component_stays(staged):
 
 
 def test_repeated_passages_are_cut(staged):
-    _, before, _, after = staged["repeated_passages"]
-    kept = plain_repeats([(r.doc_id, r.text) for r in before], paragraphs.MIN_WORDS)
-    want = {}
-    for r in before:
-        lines = [x for i, x in enumerate(r.text.split("\n"))
-                 if kept.get(((False, r.doc_id), i), ((False, r.doc_id), i)) == ((False, r.doc_id), i)]
-        text = "\n".join(lines)
-        if text == r.text or re.search(r"[^\x20\x09-\x0D]", text):
-            want[r.doc_id] = (text, r.n_chars if text == r.text else len(text))
-    assert {r.doc_id: (r.text, r.n_chars) for r in after} == want
+    df, before, _, after = staged["repeated_passages"]
+    texts = {r.doc_id: r.text for r in before}
+    kept = plain_repeats(list(texts.items()), paragraphs.MIN_WORDS)
+    lines = {(o[0][1], o[1]) for o, k in kept.items() if o != k}
+    whole = set()
+    for d, t in texts.items():
+        n = 0
+        for i, line in enumerate(t.encode().split(b"\n")):
+            whole |= {(d, n + j) for j in range(len(line.split()))} if (d, i) in lines else set()
+            n += len(line.split())
+    runs = plain_words(list(texts.items()), lines, paragraphs.MIN_WORDS)
+    left, gone = {r.doc_id: r for r in after}, set()
+    for d, t in texts.items():
+        words, now = t.encode().split(), left[d].text.encode().split() if d in left else []
+        i = 0
+        for j, w in enumerate(words):  # what is left stands in order
+            free = (d, j) not in whole and (d, j) not in runs
+            if i < len(now) and now[i] == w and (free or len(now) - i > len([1 for x in range(j + 1, len(words))
+                                                                               if (d, x) not in whole and (d, x) not in runs])):
+                i += 1
+            else:
+                gone.add((d, j))
+        assert i == len(now), d
+        assert d not in left or left[d].n_chars == (len(left[d].text) if left[d].text != t else len(t))
+    want = whole | runs
+    assert len(want) > 200 and len(want - gone) <= len(want) / 50 and len(gone - want) <= len(want) / 50
 
 
 def test_mix_takes_whole_documents_near_the_targets(staged):
@@ -102,7 +119,7 @@ def test_nulls_and_repeated_rows_pass_every_stage(spark, docs_of, sf_small):
                    (902, "same row twice " * 9, "en", None), (902, "same row twice " * 9, "en", None),
                    (903, "very long " * 40000, "en", "y")])
     docs = base.unionByName(odd)
-    for _, stage in cp.STAGES[1:]:
+    for _, stage in cp.STAGES:
         n = docs.count()
         docs = stage(spark, docs, sf_small).persist()
         assert docs.count() <= 2 * n

@@ -158,15 +158,15 @@ s AS (SELECT doc_id, CASE WHEN ws IS NULL OR len(ws) = 0 THEN []
                           ELSE list_distinct([array_to_string(ws[i:i + 3], ' ') for i in range(1, len(ws) - 2)]) END AS sh
       FROM w),
 e AS MATERIALIZED (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS m
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS m
          FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
               AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
          GROUP BY ALL),
-link AS MATERIALIZED (SELECT a, b FROM both WHERE 100 * m >= 80 * (na + nb - m)),
-each AS MATERIALIZED (SELECT a, b FROM link UNION SELECT b, a FROM link),
-reach(a, b) AS (SELECT a, b FROM each UNION SELECT r.a, k.b FROM reach r JOIN each k ON r.b = k.a),
-least_ AS (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a)
+link AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * m >= 80 * (na + nb - m)),
+edges AS MATERIALIZED (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, k.b FROM reach r JOIN edges k ON r.b = k.a),
+lowest AS (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a)
 SELECT s.doc_id, len(sh) AS n_shingles, least(s.doc_id, coalesce(low, s.doc_id)) AS component_id,
        s.doc_id <= coalesce(low, s.doc_id) AS kept
-FROM s LEFT JOIN least_ USING (doc_id)
+FROM s LEFT JOIN lowest USING (doc_id)
 """

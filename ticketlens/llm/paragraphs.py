@@ -4,18 +4,12 @@ A paragraph is a line of at least ``min_words`` words (in lower case for A-Z).
 Equal ones are found by a 128-bit digest and counted once from then on.  Each
 distinct paragraph gets MinHash values over its five-word shingles, cut into
 bands that are tuned so that a pair at the similarity limit is found with the
-wanted recall.  Paragraphs that share a band are verified by exact Jaccard:
-
-* against one centre of the bucket (the paragraph with most occurrences);
-* then, where a bucket still holds several components, every paragraph outside
-  the bucket's largest one against all others: in one task if the bucket is
-  small, else by joins, some paragraphs a round, until each bucket is one
-  component or has no pair of two components left to try.
-
-So no group is turned into all its pairs, and a bucket with a third of all
-paragraphs is only ever joined with a few centres at a time.  Components of
-the links, over all occurrences, give the removals: the first occurrence (by
-id, then place) stays.
+wanted recall.  Paragraphs that share a band are verified by exact Jaccard,
+with centres first, then, where a bucket holds several components, what lies
+outside the largest one against all others (see ``linking``).  No group is turned
+into all its pairs, and a bucket with a third of all paragraphs is met by many
+tasks.  Components of the links, over all occurrences, give the removals: the
+first occurrence (by id, then place) stays.
 
 Null and empty texts have no paragraph.  Rows with a null id take part and come
 last in the order.  Rows that repeat both id and text count as occurrences, but
@@ -30,18 +24,15 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import slices, written
+from ticketlens.llm import linking
+from ticketlens.llm.common import Steps, arrow, slices
 from ticketlens.llm.components import connected_components
 
 MIN_WORDS, SHINGLE, SIMILARITY, RECALL = 20, 5, 0.8, 0.999
-#: Buckets with up to this many words are verified in one task; larger ones
-#: meet CENTRES of their paragraphs a round.
-SMALL_BUCKET, CENTRES = 1 << 18, 64
 _U = np.uint64
 _FACTORS = np.random.default_rng(31).integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
 _ADDS = np.random.default_rng(32).integers(0, 1 << 63, 64, dtype=np.uint64)
@@ -89,8 +80,9 @@ def _windows(h: np.ndarray, k: int) -> np.ndarray:
     return _mix(s)
 
 
-def minhash_bands(paragraphs: list[list[bytes]], hashes: _Hashes, bands: int, rows: int) -> np.ndarray:
-    """A 64-bit value per paragraph and band; paragraphs of at least SHINGLE words."""
+def minhash_bands(paragraphs: list[list[bytes]], hashes: _Hashes, bands: int, rows: int):
+    """A 64-bit value per paragraph and band, and the number of its distinct
+    shingles; paragraphs of at least SHINGLE words."""
     sizes = np.array([len(p) for p in paragraphs])
     h = np.fromiter((hashes[w] for p in paragraphs for w in p), dtype=np.uint64, count=int(sizes.sum()))
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -106,10 +98,11 @@ def minhash_bands(paragraphs: list[list[bytes]], hashes: _Hashes, bands: int, ro
             x[last] = _U(0xFFFFFFFFFFFFFFFF)
             value = _mix(value * _FACTORS[62] + np.minimum.reduceat(x, starts[:-1]))
         out[:, band] = value
-    return out
+    sizes = [len(np.unique(s[a:b - SHINGLE + 1])) for a, b in zip(starts[:-1], starts[1:])]
+    return out, sizes
 
 
-_SCHEMA = ("row long, doc_id long, line int, start long, stop long, n_words long, key binary, bands array<long>")
+_SCHEMA = ("row long, doc_id long, line int, start long, stop long, n_words long, key binary, size long, bands array<long>")
 
 
 def _split(min_words: int, bands: int, rows: int):
@@ -132,17 +125,18 @@ def _split(min_words: int, bands: int, rows: int):
                     continue
                 long = [i for i, ws in enumerate(ws_of) if len(ws) >= SHINGLE]
                 values: list = [[] for _ in found]
+                sizes = [0] * len(found)
                 for at in range(0, len(long), 2000):
                     some = long[at:at + 2000]
-                    v = minhash_bands([ws_of[i] for i in some], hashes, bands, rows).view(np.int64)
-                    for i, x in zip(some, v.tolist()):
-                        values[i] = x
+                    v, n = minhash_bands([ws_of[i] for i in some], hashes, bands, rows)
+                    for i, x, y in zip(some, v.view(np.int64).tolist(), n):
+                        values[i], sizes[i] = x, y
                 cols = list(zip(*found))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
-                     *[pa.array(c, pa.int64()) for c in cols[3:6]], pa.array(cols[6], pa.binary()),
+                     *[pa.array(c, pa.int64()) for c in cols[3:6]], pa.array(cols[6], pa.binary()), pa.array(sizes, pa.int64()),
                      pa.array(values, pa.list_(pa.int64()))],
-                    names=["row", "doc_id", "line", "start", "stop", "n_words", "key", "bands"])
+                    names=["row", "doc_id", "line", "start", "stop", "n_words", "key", "size", "bands"])
     return run
 
 
@@ -161,121 +155,6 @@ def _sets(batches):
                 [s.tolist() for s in sets], pa.list_(pa.int64()))], names=["key", "set"])
 
 
-def _similar(a: str, b: str, similarity: float):
-    both = F.size(F.array_intersect(a, b))
-    return both >= similarity * (F.size(a) + F.size(b) - both)
-
-
-def _settle(group: list[tuple], similarity: float):
-    """Links between the components of one bucket of (key, root, set), by the
-    overlap of each paragraph outside the largest component with all others."""
-    roots, of = np.unique([g[1] for g in group], return_inverse=True)
-    sizes = np.array([len(g[2]) for g in group])
-    _, ids = np.unique(np.concatenate([g[2] for g in group]), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    comp, main = of.copy(), np.bincount(of).argmax()
-    mark = np.zeros(ids.max() + 1, dtype=np.int32)
-    for i in np.flatnonzero(of != main):
-        mine = ids[starts[i]:starts[i + 1]]
-        mark[mine] = 1
-        both = np.add.reduceat(mark[ids], starts[:-1])
-        mark[mine] = 0
-        near = (both >= similarity * (sizes + sizes[i] - both)) & (comp != comp[i])
-        for j in np.flatnonzero(near):
-            if comp[j] != comp[i]:
-                comp[comp == comp[j]] = comp[i]
-                yield group[i][0], group[j][0]
-
-
-def _in_buckets(similarity: float):
-    """Rows (bucket, key, root, set), those of a bucket together -> links."""
-    def run(batches):
-        bucket, group, out = None, [], []
-        for batch in batches:
-            sets = batch.column(3)
-            for i, (b, key, root) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
-                if b != bucket:
-                    out += _settle(group, similarity) if group else []
-                    bucket, group = b, []
-                group.append((key, root, sets[i].values.to_numpy(zero_copy_only=False)))
-            if len(out) > 10_000:
-                yield _pairs(out)
-                out = []
-        out += _settle(group, similarity) if group else []
-        yield _pairs(out)
-    return run
-
-
-def _pairs(out: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
-
-
-def links(docs: DataFrame, distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links ``(a, b)`` between distinct paragraphs (key, row, doc_id,
-    line, n, n_words, bands) that join everything at least as similar that
-    shares a band."""
-    rows = distinct.select("key", "n", "n_words", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    members = written(rows.join(sizes, "bucket").select("bucket", "key", "n", "n_words"), "members")
-    keys = members.select("key").distinct()
-    wanted = (distinct.join(keys, "key", "left_semi").groupBy(F.col("row").alias("__r"), F.col("doc_id").alias("__d"))
-              .agg(F.collect_list(F.struct("line", "key")).alias("wanted")))
-    here = (F.col("row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__d"))
-    sets = docs.join(wanted, here).select("text", "wanted").mapInArrow(_sets, "key binary, set array<long>")
-    sets = written(sets.dropDuplicates(["key"]), "sets")
-
-    def verified(pairs):
-        pairs = pairs.select("a", "b").distinct()
-        sa = sets.select(F.col("key").alias("a"), F.col("set").alias("sa"))
-        sb = sets.select(F.col("key").alias("b"), F.col("set").alias("sb"))
-        return pairs.join(sa, "a").join(sb, "b").where(_similar("sa", "sb", similarity)).select("a", "b")
-
-    # first round: the paragraph with most occurrences in each bucket
-    best = F.max_by("key", F.struct("n", F.xxhash64("key", "bucket"))).alias("a")
-    centres = members.groupBy("bucket").agg(best)
-    found = written(verified(members.join(centres, "bucket").where("key != a").select("a", F.col("key").alias("b"))),
-                    "links")
-    tried = written(centres.select("bucket", F.col("a").alias("key")), "tried")
-    left = members.select("bucket", "key", "n_words")
-    while True:
-        roots = connected_components(found).withColumnRenamed("node", "key")
-        now = left.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        by_root = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n_words").alias("w"))
-        several = (by_root.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"),
-                                                 F.count(F.lit(1)).alias("__k"), F.sum("w").alias("w"))
-                   .where("__k > 1").drop("__k"))
-        now = written(now.join(several, "bucket"), "left")
-        small, big = now.where(F.col("w") <= SMALL_BUCKET), now.where(F.col("w") > SMALL_BUCKET)
-        parts = [found]
-        if not small.isEmpty():
-            ready = small.join(sets, "key").select("bucket", "key", "root", "set")
-            parts.append(ready.repartition("bucket").sortWithinPartitions("bucket")
-                         .mapInArrow(_in_buckets(similarity), "a binary, b binary"))
-        if not big.isEmpty():
-            open_ = big.where("root != main").join(tried, ["bucket", "key"], "left_anti")
-            counts = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("o"))
-            # about CENTRES of them by hash; the first by hash is always one
-            order = F.xxhash64("key", "bucket")
-            least = open_.groupBy("bucket").agg(F.min(F.struct(order.alias("h"), "key")).alias("m"))
-            picks = open_.join(counts.join(least, "bucket"), "bucket").where(
-                (F.pmod(order, F.ceil(F.col("o") / CENTRES)) == 0) | (F.col("key") == F.col("m.key")))
-            picks = written(picks.select("bucket", F.col("key").alias("a"), F.col("root").alias("ra")), "centres")
-            pairs = big.select("bucket", F.col("key").alias("b"), "root").join(picks, "bucket").where("root != ra")
-            parts.append(verified(pairs))
-            tried = written(tried.unionAll(picks.select("bucket", F.col("a").alias("key"))), "tried")
-            left = big.join(picks.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "key", "n_words")
-        else:
-            left = None
-        if len(parts) == 1:
-            return found
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionAll(p)
-        found = written(out.distinct(), "links")
-        if left is None:
-            return found
-
-
 def repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
              similarity: float = SIMILARITY, row: bool = False) -> DataFrame:
     """One row per occurrence of a paragraph that occurs twice or more, exactly
@@ -286,46 +165,28 @@ def repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     docs = df.select(F.xxhash64(F.col(f"`{text}`").cast("string")).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
                      F.col(f"`{text}`").cast("string").alias("text"))
     bands, rows = tune(similarity)
-    found = written(docs.mapInArrow(_split(min_words, bands, rows), _SCHEMA), "paragraphs")
-    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row", "line")
-    distinct = written(found.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"),
-                                                F.first("bands").alias("bands"), F.first("n_words").alias("n_words")), "distinct")
-    flat = distinct.select("key", "n", "n_words", "bands", "first.row", "first.line", "first.doc_id")
-    roots = connected_components(links(docs, flat, similarity)).withColumnRenamed("node", "key")
-    whole = distinct.select("key", "n", "first").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    groups = whole.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("occurrences")).where("occurrences > 1")
-    of_key = whole.select("key", "root").join(groups, "root").select("key", "keep", "occurrences")
-    out = found.drop("bands").join(of_key, "key")
-    mine = (F.col("row") == F.col("keep.row")) & F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("line") == F.col("keep.line"))
-    return out.select(*(["row"] if row else []), "doc_id", "line", "start", "stop", "n_words",
-                      F.col("keep.doc_id").alias("kept_doc_id"), F.col("keep.line").alias("kept_line"),
-                      "occurrences", (~mine).alias("removed"))
-
-
-def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
-                    similarity: float = SIMILARITY) -> DataFrame:
-    """``df`` with the removed paragraphs' lines cut from its texts, and
-    ``lines_removed`` (int).  Other columns and rows stay as they are."""
-    gone = (repeated(df, doc_id, text, min_words, similarity, row=True).where("removed")
-            .groupBy(F.col("row").alias("__r"), F.col("doc_id").alias("__d"))
-            .agg(F.collect_set("line").alias("__gone")))
-    here = ((F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col("__r"))
-            & F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__d")))
-    joined = df.drop("lines_removed").join(gone, here, "left")
-    columns = [c for c in df.columns if c not in (text, "lines_removed")]
-    packed = joined.select(*[F.col(f"`{c}`") for c in columns], F.col("__gone"), F.col(f"`{text}`"))
-    cut = packed.where(F.col("__gone").isNotNull())
-
-    def run(batches):
-        for batch in batches:
-            new = []
-            for gone, t in zip(batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist()):
-                drop = set(gone)
-                new.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop))
-            counts = pc.list_value_length(batch.column(len(columns))).cast(pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(columns)], pa.array(new, pa.string()), counts],
-                                             names=[*columns, text, "lines_removed"])
-
-    rest = packed.where(F.col("__gone").isNull()).drop("__gone").withColumn("lines_removed", F.lit(0))
-    done = cut.mapInArrow(run, rest.schema).unionByName(rest)
-    return done.select(*df.drop("lines_removed").columns, "lines_removed")
+    with Steps(df.sparkSession) as keep:
+        found = keep(arrow(docs, _split(min_words, bands, rows), _SCHEMA), "paragraphs")
+        place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row", "line")
+        distinct = keep(found.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"),
+                                                 F.first("size").alias("size")), "distinct")
+
+        def sets_of(keys):
+            wanted = (distinct.join(keys, "key").groupBy(F.col("first.row").alias("__r"), F.col("first.doc_id").alias("__d"))
+                      .agg(F.collect_list(F.struct("first.line", "key")).alias("wanted")))
+            here = (F.col("row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__d"))
+            return arrow(docs.join(wanted, here).select("text", "wanted"), _sets, "key binary, set array<long>")
+
+        linked = linking.links(distinct.select("key", "size", "bands"), sets_of, round(100 * similarity), keep)
+        roots = connected_components(linked, keep=keep).withColumnRenamed("node", "key")
+        whole = distinct.select("key", "n", "first").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        groups = whole.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("occurrences")).where("occurrences > 1")
+        # a line that most documents share is met by 16 tasks
+        of_key = (whole.select("key", "root").join(groups, "root").select("key", "keep", "occurrences")
+                  .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))))
+        out = (found.drop("bands", "size").withColumn("salt", F.pmod(F.xxhash64("row", "doc_id", "line"), F.lit(16)).cast("int"))
+               .join(of_key, ["key", "salt"]))
+        mine = (F.col("row") == F.col("keep.row")) & F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("line") == F.col("keep.line"))
+        out = out.select("row", "doc_id", "line", "start", "stop", "n_words", F.col("keep.doc_id").alias("kept_doc_id"),
+                         F.col("keep.line").alias("kept_line"), "occurrences", (~mine).alias("removed"))
+        return keep.spare(keep(out, "lines")).select(*(["row"] if row else []), *out.columns[1:])

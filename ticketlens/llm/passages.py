@@ -1,23 +1,30 @@
-"""Repeated passages: whatever repeats word for word, wherever its lines break.
-
-``paragraphs.repeated`` compares whole lines.  Here the unit is a run of words
-of the document (in lower case for A-Z), over any line breaks: every run of
-``min_words`` words or more that also stands elsewhere is found, in the middle
-of a line or wrapped at other places.
-
-* Each run of ``min_words`` words names the least hash of the shorter runs in
-  it, its anchor.  Equal runs have equal anchors, and neighbours mostly share
-  theirs, so only about one anchor for six words is counted.
-* Documents with an anchor that occurs twice give their runs with such anchors,
-  less those inside a line that the line rule removes, by 128-bit digest.
-* Of equal runs the first (by id, then text, then place) stays.  Overlapping
-  runs are merged to spans.
+"""Repeated passages: whatever repeats, wherever its lines break.
+
+``paragraphs.repeated`` compares whole lines.  Here the paragraphs are all runs of
+``min_words`` words of a document (in lower case for A-Z), over any line breaks:
+
+* Banding.  A run's MinHash is the least hash of the shorter runs in it (eleven
+  words for twenty), its anchor.  Neighbours mostly share it, so about one place
+  in five words is counted.  Equal runs have equal anchors; and a passage with a
+  Jaccard similarity of 0.8 over five-word shingles differs in one place per 45
+  words at most, so it holds such a run, too: no such pair is lost.
+* Joining.  Anchors are sorted over ranges; each meets its first occurrence (by
+  id, then text, then place), also if it stands in most documents.  Anchors of two
+  documents that follow each other at one distance make an equal run.
+* Verifying.  The words beside both ends, of the document and of the first
+  occurrence, are compared, which gives the exact borders.  Runs with changed
+  words between them are joined as long as the passages on both sides have a
+  Jaccard similarity of 0.8, by the shingles known to be equal.  Passages of
+  ``min_words`` words or more count.
+* Removal.  First occurrences stay; the other occurrences go, overlapping ones as one.
+
+Where the first occurrence of an anchor stands in a shorter passage than later
+ones share, up to nine words (of twenty) at an end of these stay.
 
 Runs of one document that overlap are no repeats of each other, and a run of
-one word over and over is no passage (unless it is a line).  A near copy
-inside a longer line loses its equal runs only: words changed in between, and
-equal runs of fewer than ``min_words`` words, stay.  Null ids and repeated rows
-are taken as in ``paragraphs``.
+one word over and over is no passage (unless it is a line).  Equal runs of fewer
+than ``min_words`` words stay.  Null ids and repeated rows are taken as in
+``paragraphs``.  Tables between steps are dropped as soon as the result is written.
 """
 
 from __future__ import annotations
@@ -27,34 +34,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import read, slices, written
-from ticketlens.llm.paragraphs import _FACTORS, _U, MIN_WORDS, SIMILARITY, _Hashes, _mix, repeated
+from ticketlens.llm.common import Steps, arrow, read, slices
+from ticketlens.llm.paragraphs import _FACTORS, MIN_WORDS, SHINGLE, SIMILARITY, _Hashes, _mix, repeated
 
-_FIRST, _SECOND = 0, 16
+#: A side of a join is broadcast up to so many bytes, as counted.
+BROADCAST_BYTES = 8 << 20
 
 
-def _runs(h: np.ndarray, k: int, seed: int) -> np.ndarray:
+def _runs(h: np.ndarray, k: int) -> np.ndarray:
     """64-bit hashes of all runs of ``k`` words, from those of half the length."""
-    n, m, x = len(h) - k + 1, 1, _mix(h * _FACTORS[seed] + _FACTORS[seed + 1])
+    n, m, x = len(h) - k + 1, 1, _mix(h * _FACTORS[0] + _FACTORS[1])
     while 2 * m <= k:
-        x = _mix(x[:len(x) - m] * _FACTORS[seed + 2] + x[m:])
+        x = _mix(x[:len(x) - m] * _FACTORS[2] + x[m:])
         m *= 2
-    return _mix(x[:n] * _FACTORS[seed + 3] + x[k - m:k - m + n])
+    return _mix(x[:n] * _FACTORS[3] + x[k - m:k - m + n])
 
 
-def _least(s: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each ``w`` neighbours."""
-    n, m, x = len(s) - w + 1, 1, s
-    while 2 * m <= w:
-        x = np.minimum(x[:len(x) - m], x[m:])
-        m *= 2
-    return np.minimum(x[:n], x[w - m:w - m + n])
+def _anchors(h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors of all runs of ``length`` words: of the
+    runs of k words in one, the first with the least hash.  Neighbouring anchors
+    overlap or touch.  Those of one word over and over are left out."""
+    k = anchor_words(length)
+    s = _runs(h, k)
+    least = np.lib.stride_tricks.sliding_window_view(s, length - k + 1).argmin(axis=1)
+    at = least + np.arange(len(least))
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
+    if k > 1:
+        new = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
+        at = at[new[at + k - 1] > new[at]]
+    return at, s[at]
 
 
-def _anchors(h: np.ndarray, length: int) -> np.ndarray:
-    """The anchor of each run of ``length`` words."""
-    k = (length + 1) // 2
-    return _least(_runs(h, k, _FIRST), length - k + 1)
+def anchor_words(length: int) -> int:
+    return (length + 2) // 2
 
 
 def _word_hashes(words: list[bytes], hashes: _Hashes) -> np.ndarray:
@@ -72,137 +84,325 @@ def _places(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return chars[first], chars[last], lines[first]
 
 
+
 def _anchor_lists(length: int):
-    """(row, doc_id, text) -> row, doc_id and its anchors, twice each that has two places."""
+    """(row, doc_id, text) -> row, doc_id, hashes and places of its anchors."""
     def run(batches):
         hashes = _Hashes()
         for batch in batches:
             for a, b in slices(batch.column(2), 2 << 20):
-                part, out = batch.slice(a, b - a), []
+                part, rows, docs, values, places = batch.slice(a, b - a), [], [], [], []
                 for row, doc, text in zip(*(part.column(i).to_pylist() for i in range(3))):
                     words = text.encode().lower().split() if text else []
-                    if len(words) < length:
-                        continue
-                    v = _anchors(_word_hashes(words, hashes), length)
-                    at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-                    often = np.diff(np.append(at, len(v))) > length // 2 + 1  # one place serves fewer runs
-                    found, n = np.unique(np.concatenate([v[at], v[at][often]]), return_counts=True)
-                    out.append((row, doc, np.concatenate([found, found[n > 1]]).view(np.int64)))
-                if out:
+                    if len(words) >= length:
+                        at, v = _anchors(_word_hashes(words, hashes), length)
+                        rows.append(row)
+                        docs.append(doc)
+                        values.append(v.view(np.int64))
+                        places.append(at.astype(np.int32))
+                if rows:
+                    ends = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()),
-                         pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["row", "doc_id", "anchors"])
+                        [pa.array(rows, pa.int64()), pa.array(docs, pa.int64()),
+                         pa.ListArray.from_arrays(ends, pa.array(np.concatenate(values))),
+                         pa.ListArray.from_arrays(ends, pa.array(np.concatenate(places)))], names=["row", "doc_id", "h", "at"])
     return run
 
 
-_RUNS = "h1 long, h2 long, row long, doc_id long, pos int, start int, stop int, line int"
+_MATCHES = "h long, row long, doc_id long, at int, row0 long, doc0 long, at0 int, mark boolean"
+
 
+def _matches(length: int):
+    """Sorted rows (h, z, doc_id, row, at) of a task -> each with the first of its
+    ``h`` in the task, if there is an earlier one; ``mark`` rows name the first of
+    the first and the last ``h``, which may stand in other tasks."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
 
-def _run_rows(length: int):
-    """(row, doc_id, text, anchors, gone) -> the runs whose anchor is among them,
-    less those inside a line that is gone."""
+    def run(batches):
+        now = first = last = None
+
+        def table(rows):
+            cols = list(zip(*rows)) or [()] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
+                                              names=[f.split()[0] for f in _MATCHES.split(", ")])
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            same = h[1:] == h[:-1]
+            wanted = np.concatenate([same, [True]]) | np.concatenate([[True], same])
+            part, out = batch.filter(pa.array(wanted)), []
+            for v, doc, row, at in zip(*(part.column(c).to_pylist() for c in (0, 2, 3, 4))):
+                place = (row, doc, at)
+                if v != now:
+                    if now is None:
+                        out.append((v, *place, *place, True))
+                    now, first = v, place
+                elif place != last and not (place[:2] == first[:2] and at < first[2] + length):
+                    out.append((v, *place, *first, False))
+                last = place
+            yield table(out)
+        if now is not None:
+            yield table([(now, *first, *first, True)])
+    return run
+
+
+_EQUAL = "row long, doc_id long, s int, e int, row0 long, doc0 long, s0 int, e0 int"
+
+
+def _within(at: np.ndarray, first: np.ndarray, own: np.ndarray, length: int) -> np.ndarray:
+    """For each place, the last earlier one with the same hash in the document
+    that is ``length`` words before or more (-1: none).  ``first`` names the hash,
+    and is its first place where ``own`` holds."""
+    out = np.full(len(at), -1)
+    order = np.lexsort((at, first))
+    for some in np.split(order, np.flatnonzero(np.diff(first[order])) + 1):
+        here = np.append(first[some[0]], at[some]) if own[some[0]] else at[some]
+        if here[-1] - here[0] >= length:
+            before = np.searchsorted(here, at[some] - length, side="right") - 1
+            out[some] = np.where(before >= 0, here[before], -1)
+    return out
+
+
+def _equal_runs(k: int, length: int):
+    """(row, doc_id, [(h, at, row0, doc0, at0)]) -> runs of a document that equal
+    runs of others, or earlier ones of its own.  What repeats over and over in a
+    document (a period) is compared with itself, at one distance."""
+    def run(batches):
+        for batch in batches:
+            for i, (row, doc) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                m = batch.column(2)[i].values
+                h, at, row0, at0 = (m.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("h", "at", "row0", "at0"))
+                doc0 = m.field("doc0")
+                null = doc0.is_null().to_numpy(zero_copy_only=False)
+                d = doc0.fill_null(0).to_numpy(zero_copy_only=False)
+                own = (row0 == row) & (null if doc is None else ~null & (d == doc))
+                _, first = np.unique(h, return_inverse=True)
+                first = np.where(own, at0, -1 - first)
+                before = _within(at, first, own, length)
+                inside = before >= 0
+                row0, at0 = np.where(inside, row, row0), np.where(inside, before, at0)
+                null, d = np.where(inside, doc is None, null), np.where(inside, doc or 0, d)
+                order = np.lexsort((at, at - at0, d, null, row0))
+                key = np.stack([row0, d, null, at - at0])[:, order]
+                a = at[order]
+                begins = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0) | (a[1:] > a[:-1] + k)])
+                begin = np.flatnonzero(begins)
+                end = np.append(begin[1:], len(a)) - 1
+                f, n = order[begin], len(begin)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row] * n, pa.int64()), pa.array([doc] * n, pa.int64()), pa.array(a[begin].astype(np.int32)),
+                     pa.array((a[end] + k).astype(np.int32)), pa.array(row0[f]), pa.array(d[f].astype(np.int64), mask=null[f].astype(bool)),
+                     pa.array(at0[f].astype(np.int32)), pa.array((at0[order[end]] + k).astype(np.int32))],
+                    names=[x.split()[0] for x in _EQUAL.split(", ")])
+    return run
+
+
+_BORDERS = "row0 long, doc0 long, side boolean, b int, words array<long>, chars array<int>, lines array<int>"
+
+
+def _borders(reach: int):
+    """(row, doc_id, text, [(side, b)]) -> the words before (false) or after (true)
+    place b, nearest first, and where a span that takes 0, 1, ... of them would
+    begin or stop, in characters, with the line of its outermost word."""
     def run(batches):
         hashes = _Hashes()
         for batch in batches:
-            for a, b in slices(batch.column(2), 1 << 20):
-                part, out = batch.slice(a, b - a), []
-                for i, (row, doc, text, gone) in enumerate(zip(*(part.column(c).to_pylist() for c in (0, 1, 2, 4)))):
-                    raw = (text or "").encode()
-                    h = _word_hashes(raw.lower().split(), hashes)
-                    if len(h) < length:  # another text of the same hash and id
+            for row, doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                raw = (text or "").encode()
+                h = _word_hashes(raw.lower().split(), hashes).view(np.int64)
+                start, stop, line = _places(raw)
+                out = []
+                for w in wanted:
+                    b, n = w["b"], len(h)
+                    if b > n or (not w["side"] and b >= n):  # another text of the same hash and id
                         continue
-                    start, stop, line = _places(raw)
-                    wanted = part.column(3)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                    take = np.isin(_anchors(h, length), wanted)
-                    if length > 1:
-                        new = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
-                        take &= new[length - 1:] > new[:len(take)]
-                    if gone:
-                        n = len(take)
-                        take &= ~((line[:n] == line[length - 1:]) & np.isin(line[:n], gone))
-                    at = np.flatnonzero(take)
-                    if len(at):
-                        out.append((_runs(h, length, _FIRST + 8)[at].view(np.int64), _runs(h, length, _SECOND)[at].view(np.int64),
-                                    np.full(len(at), row), [doc] * len(at), at, start[at], stop[at + length - 1], line[at]))
+                    some = np.arange(b, min(b + reach, n)) if w["side"] else np.arange(b - 1, max(b - reach, 0) - 1, -1)
+                    edge = np.concatenate([[b - 1 if w["side"] else b], some])
+                    out.append((row, doc, w["side"], b, h[some].tolist(), (stop if w["side"] else start)[edge].tolist(), line[edge].tolist()))
                 if out:
-                    types = [pa.int64()] * 4 + [pa.int32()] * 4
-                    cols = [pa.array([d for x in out for d in x[3]], t) if c == 3
-                            else pa.array(np.concatenate([x[c] for x in out]).astype(t.to_pandas_dtype()), t)
-                            for c, t in enumerate(types)]
-                    for at in range(0, len(cols[0]), 100_000):
-                        yield pa.RecordBatch.from_arrays([c.slice(at, 100_000) for c in cols],
-                                                         names=[f.split()[0] for f in _RUNS.split(", ")])
+                    cols = list(zip(*out))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int64()),
+                                                               pa.list_(pa.int32()), pa.list_(pa.int32())))],
+                        names=[x.split()[0] for x in _BORDERS.split(", ")])
     return run
 
 
+def _agree(a: np.ndarray, b: np.ndarray) -> int:
+    """How many of the first words are the same."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def _joined(runs: list[dict], min_words: int, similarity: float) -> list[dict]:
+    """Passages from the equal runs (s, e, s0, e0) with one document, in order:
+    neighbours are joined while the similarity of both sides holds."""
+    out = []
+    for r in runs:
+        last = out[-1] if out else None
+        if last and r["e"] - r["e0"] == last["e"] - last["e0"] and r["s"] <= last["e"]:
+            if r["e"] > last["e"]:
+                last["same"] += r["e"] - last["e"]
+                last.update({x: r[x] for x in ("e", "e0", "stop0")})
+            continue
+        if last and last["e"] < r["s"] <= last["e"] + min_words and last["e0"] <= r["s0"] <= last["e0"] + min_words:
+            same = last["same"] + max(r["same"], 0)
+            a, b = r["e"] - last["s"] - SHINGLE + 1, r["e0"] - last["s0"] - SHINGLE + 1
+            if same >= similarity * (a + b - same):
+                last["same"] = same
+                last.update({x: r[x] for x in ("e", "e0", "stop0")})
+                continue
+        out.append(r)
+    return [r for r in out if r["e"] - r["s"] >= min_words]
+
+
 _SPANS = ("row long, doc_id long, line int, start long, stop long, n_words long, kept_doc_id long, kept_line int, "
           "occurrences long, removed boolean")
+_SPAN_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())
 
 
-def _merge(length: int):
-    """(row, doc_id, removed, runs of a document) -> spans of runs that overlap or touch."""
+def _verified(min_words: int, similarity: float):
+    """(row, doc_id, text, gone, equal runs with the words beside their other
+    side) -> the passages that go, merged, and for each what it repeats."""
     def run(batches):
+        hashes = _Hashes()
         for batch in batches:
-            for i, (row, doc, removed) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
-                runs = batch.column(3)[i].values
-                pos, start, stop, line, kept_line, n = (runs.field(f).to_numpy(zero_copy_only=False)
-                                                        for f in ("pos", "start", "stop", "line", "kept_line", "n"))
-                kept = runs.field("kept_doc_id")
-                order = np.argsort(pos, kind="stable")
-                p = pos[order]
-                first = np.flatnonzero(np.concatenate([[True], p[1:] > p[:-1] + length]))
-                last = np.append(first[1:], len(p)) - 1
-                a, b = order[first], order[last]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row] * len(a), pa.int64()), pa.array([doc] * len(a), pa.int64()), pa.array(line[a], pa.int32()),
-                     pa.array(start[a].astype(np.int64)), pa.array(stop[b].astype(np.int64)),
-                     pa.array((pos[b] - pos[a] + length).astype(np.int64)), kept.take(pa.array(a)),
-                     pa.array(kept_line[a], pa.int32()), pa.array(np.maximum.reduceat(n[order], first).astype(np.int64)),
-                     pa.array([removed] * len(a), pa.bool_())], names=[f.split()[0] for f in _SPANS.split(", ")])
+            for row, doc, text, gone, runs in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                raw = (text or "").encode()
+                h = _word_hashes(raw.lower().split(), hashes).view(np.int64)
+                runs = [r for r in runs if (r["before"] and r["after"]) or (r["row0"], r["doc0"]) == (row, doc)]
+                if not runs or max(r["e"] for r in runs) > len(h):  # another text of the same hash and id
+                    continue
+                start, stop, line = _places(raw)
+                of: dict = {}
+                for r in runs:
+                    own = (r["row0"], r["doc0"]) == (row, doc)
+                    before = _agree(h[:r["s"]][::-1], h[:r["s0"]][::-1] if own else np.array(r["before"]["words"], dtype=np.int64))
+                    after = _agree(h[r["e"]:], h[r["e0"]:] if own else np.array(r["after"]["words"], dtype=np.int64))
+                    s, e, s0, e0 = r["s"] - before, r["e"] + after, r["s0"] - before, r["e0"] + after
+                    of.setdefault((r["row0"], r["doc0"]), []).append(
+                        {"s": s, "e": e, "s0": s0, "e0": e0, "same": e - s - SHINGLE + 1, "n": r["n"] or 2, "row0": r["row0"], "doc0": r["doc0"],
+                         "start0": int(start[s0]) if own else r["before"]["chars"][before],
+                         "line0": int(line[s0]) if own else r["before"]["lines"][before],
+                         "stop0": int(stop[e0 - 1]) if own else r["after"]["chars"][after]})
+                found = []
+                for some in of.values():
+                    found += _joined(sorted(some, key=lambda r: (r["s"], r["s0"])), min_words, similarity)
+                out, merged = [], []
+                for r in sorted(found, key=lambda r: (r["s"], -r["e"])):
+                    if gone and line[r["s"]] == line[r["e"] - 1] and int(line[r["s"]]) in gone:
+                        continue
+                    if len(set(h[r["s"]:r["e"]].tolist())) == 1:
+                        continue
+                    own = (r["row0"], r["doc0"]) == (row, doc)
+                    if own and r["e0"] > r["s"]:  # a period: the words before it stay
+                        r["e0"], r["stop0"] = r["s"], int(stop[r["s"] - 1])
+                    if not own or not any(m["s"] < r["e0"] and r["s0"] < m["e"] for m in merged):
+                        out.append((r["row0"], r["doc0"], r["line0"], r["start0"], r["stop0"], r["e0"] - r["s0"], r["doc0"], r["line0"], r["n"], False))
+                    if merged and r["s"] <= merged[-1]["e"]:
+                        merged[-1]["e"], merged[-1]["n"] = max(merged[-1]["e"], r["e"]), max(merged[-1]["n"], r["n"])
+                    else:
+                        merged.append(dict(r))
+                out += [(row, doc, int(line[m["s"]]), int(start[m["s"]]), int(stop[m["e"] - 1]), m["e"] - m["s"], m["doc0"], m["line0"], m["n"], True)
+                        for m in merged]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SPAN_TYPES)],
+                                                     names=[x.split()[0] for x in _SPANS.split(", ")])
     return run
 
 
-def spans(docs: DataFrame, gone: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def _settled(batches):
+    """(row, doc_id, [spans]) -> the spans that go, and the first occurrences
+    that stay: those inside a span that goes are none, contained ones no others."""
+    for batch in batches:
+        out = []
+        for row, doc, found in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            last = None  # of a document's spans that go, none overlap
+            for x in sorted(found, key=lambda x: (x["start"], not x["removed"], -x["stop"])):
+                if last and not x["removed"] and x["stop"] <= last["stop"]:
+                    continue
+                last = x if not last or x["stop"] > last["stop"] else last
+                out.append((row, doc, *x.values()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SPAN_TYPES)],
+                                             names=[x.split()[0] for x in _SPANS.split(", ")])
+
+
+def spans(docs: DataFrame, gone: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Spans of ``docs`` (row, doc_id, text) that repeat, in the columns of
     ``paragraphs.repeated``; ``gone`` (row, doc_id, line) are lines that go already."""
     length = max(min_words, 1)
-    lists = written(docs.mapInArrow(_anchor_lists(length), "row long, doc_id long, anchors array<long>"), "anchors")
-    each = lists.select("row", "doc_id", F.explode("anchors").alias("h"))
-    often = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often")
-    wanted = each.join(often, "h").groupBy("row", "doc_id").agg(F.collect_set("h").alias("anchors"))
-    lines = gone.groupBy(F.col("row").alias("__r"), F.col("doc_id").alias("__d")).agg(F.collect_set("line").alias("gone"))
-    wanted = wanted.join(lines, (F.col("row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
-    wanted = written(wanted.select(F.col("row").alias("__r"), F.col("doc_id").alias("__d"), "anchors", "gone"), "wanted")
-    here = (F.col("row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__d"))
-    found = written(docs.join(wanted, here).select("row", "doc_id", "text", "anchors", "gone")
-                    .mapInArrow(_run_rows(length), _RUNS), "runs")
-    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row", "pos", "line")
-    first = (found.groupBy("h1", "h2").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    same = (F.col("row") == F.col("keep.row")) & F.col("doc_id").eqNullSafe(F.col("keep.doc_id"))
-    mine = same & (F.col("pos") == F.col("keep.pos"))
-    apart = ~same | (F.col("pos") >= F.col("keep.pos") + length)
-    met = (found.join(written(first, "first"), ["h1", "h2"]).where(mine | apart)
-           .select("row", "doc_id", (~mine).alias("removed"),
-                   F.struct("pos", "start", "stop", "line", F.col("keep.line").alias("kept_line"),
-                            F.col("keep.doc_id").alias("kept_doc_id"), "n").alias("run")))
-    packed = met.groupBy("row", "doc_id", "removed").agg(F.collect_set("run").alias("runs"))
-    return packed.mapInArrow(_merge(length), _SPANS)
+    k = anchor_words(length)
+
+    def here(row: str, doc: str):
+        return (F.col("row") == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(doc))
+
+    with Steps(docs.sparkSession) as keep:
+        lists = keep(arrow(docs, _anchor_lists(length), "row long, doc_id long, h array<long>, at array<int>"), "anchors")
+        each = lists.select("row", "doc_id", F.explode(F.arrays_zip("h", "at")).alias("x"))
+        order = ["h", "z", "doc_id", "row", "at"]
+        each = each.select(F.col("x.h").alias("h"), F.col("doc_id").isNull().alias("z"), "doc_id", "row", F.col("x.at").alias("at"))
+        each = each.repartitionByRange(*order).sortWithinPartitions(*order)
+        met = keep(arrow(each, _matches(length), _MATCHES), "matches")
+        # an anchor in several tasks (two a task at most) has one first occurrence
+        marks = met.where("mark").select("h", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row", "at").alias("p")).distinct()
+        tops = keep(marks.groupBy("h").agg(F.min("p").alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "tops")
+        over = (marks.join(tops, "h").where("p != top").select("h", "p.row", "p.doc_id", "p.at", F.col("top.row").alias("row0"),
+                                                               F.col("top.doc_id").alias("doc0"), F.col("top.at").alias("at0")))
+        all_ = met.where("not mark").drop("mark").join(F.broadcast(tops), "h", "left")  # 2 rows a task at most
+        all_ = all_.select("h", "row", "doc_id", "at", *[F.when(F.col("top").isNull(), F.col(c)).otherwise(F.col(t)).alias(c)
+                                                         for c, t in (("row0", "top.row"), ("doc0", "top.doc_id"), ("at0", "top.at"))])
+        all_ = all_.unionByName(over)
+        near = (F.col("row") == F.col("row0")) & F.col("doc_id").eqNullSafe(F.col("doc0")) & (F.col("at") < F.col("at0") + length)
+        all_ = all_.where(~near)
+        by_doc = all_.groupBy("row", "doc_id").agg(F.collect_list(F.struct("h", "at", "row0", "doc0", "at0")).alias("m"))
+        equal = keep(arrow(by_doc, _equal_runs(k, length), _EQUAL), "equal")
+        # the words beside the first occurrences
+        other = equal.where((F.col("row") != F.col("row0")) | ~F.col("doc_id").eqNullSafe(F.col("doc0")))
+        counts = other.groupBy(F.col("row0").alias("r"), F.col("doc0").alias("d"), F.col("s0").alias("b")).agg((F.count(F.lit(1)) + 1).alias("n"))
+        ends = other.select(F.col("row0").alias("r"), F.col("doc0").alias("d"), F.lit(True).alias("side"), F.col("e0").alias("b")).distinct()
+        asked = counts.select("r", "d", F.lit(False).alias("side"), "b").unionAll(ends)
+        asked = keep(asked.groupBy("r", "d").agg(F.collect_list(F.struct("side", "b")).alias("wanted")), "asked")
+        size = asked.agg(F.sum(F.size("wanted") * 8 + 64)).first()[0] or 0
+        asked = F.broadcast(asked) if size <= BROADCAST_BYTES else asked
+        beside = keep(arrow(docs.join(asked, here("r", "d")).select("row", "doc_id", "text", "wanted"), _borders(length), _BORDERS)
+                      .dropDuplicates(["row0", "doc0", "side", "b"]), "beside")
+        left = (beside.where("not side").withColumnRenamed("b", "s0")
+                .join(counts, (F.col("row0") == F.col("r")) & F.col("doc0").eqNullSafe(F.col("d")) & (F.col("s0") == F.col("b")))
+                .select("row0", "doc0", "s0", "n", F.struct("words", "chars", "lines").alias("before")))
+        right = beside.where("side").select("row0", "doc0", F.col("b").alias("e0"), F.struct("words", "chars").alias("after"))
+        # a passage that most documents share is met by 16 tasks
+        salts = F.explode(F.sequence(F.lit(0), F.lit(15)))
+        run = equal.withColumn("salt", F.pmod(F.xxhash64("row", "doc_id", "s"), F.lit(16)).cast("int"))
+        for side, at in ((left, "s0"), (right, "e0")):
+            side = side.withColumnsRenamed({"row0": "r0", "doc0": "d0", at: "b0"}).withColumn("t", salts)
+            run = run.join(side, (F.col("row0") == F.col("r0")) & F.col("doc0").eqNullSafe(F.col("d0")) & (F.col(at) == F.col("b0"))
+                           & (F.col("salt") == F.col("t")), "left").drop("r0", "d0", "b0", "t")
+        runs = run.groupBy(F.col("row").alias("r"), F.col("doc_id").alias("d")).agg(
+            F.collect_list(F.struct("s", "e", "row0", "doc0", "s0", "e0", "n", "before", "after")).alias("runs"))
+        lines = gone.groupBy(F.col("row").alias("r2"), F.col("doc_id").alias("d2")).agg(F.collect_set("line").alias("gone"))
+        runs = runs.join(lines, (F.col("r") == F.col("r2")) & F.col("d").eqNullSafe(F.col("d2")), "left")
+        ready = docs.join(runs, here("r", "d")).select("row", "doc_id", "text", "gone", "runs")
+        found = keep(arrow(ready, _verified(length, similarity), _SPANS).distinct(), "found")
+        columns = [c for c in found.columns if c not in ("row", "doc_id")]
+        of_doc = found.groupBy("row", "doc_id").agg(F.collect_list(F.struct(*columns)).alias("spans"))
+        return keep.spare(keep(arrow(of_doc, _settled, _SPANS), "spans"))
 
 
 def _passages(df: DataFrame, doc_id: str, text: str, min_words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """The repeated lines, written, and the spans beside them, both with ``row``."""
+    """The repeated lines and the spans beside them, both written and with ``row``."""
     docs = df.select(F.xxhash64(F.col(f"`{text}`").cast("string")).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
                      F.col(f"`{text}`").cast("string").alias("text"))
-    lines = written(repeated(df, doc_id, text, min_words, similarity, row=True), "lines")
-    return lines, spans(docs, lines.where("removed").select("row", "doc_id", "line"), min_words)
+    lines = repeated(df, doc_id, text, min_words, similarity, row=True)
+    return lines, spans(docs, lines.where("removed").select("row", "doc_id", "line"), min_words, similarity)
 
 
 def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
                       similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``paragraphs.repeated`` and, beside them, one row per span of
     words that repeats over other borders.  ``line`` and ``kept_line`` of a span
-    are those it begins in, its ``occurrences`` those of its most frequent run.
-    A span may reach into a line that is removed as well."""
+    are those it begins in, its ``occurrences`` those of the most frequent beginning
+    in it.  A span may reach into a line that is removed as well."""
     lines, more = _passages(df, doc_id, text, min_words, similarity)
     return lines.unionByName(more).drop("row")
 
@@ -244,7 +444,7 @@ def without_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
             .agg(F.collect_set(F.struct("whole", "line", "start", "stop")).alias("__gone")))
     here = ((F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col("__r"))
             & F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__d")))
-    joined = df.drop("passages_removed").join(written(gone, "gone"), here, "left")
+    joined = df.drop("passages_removed").join(gone, here, "left")
     columns = [c for c in df.columns if c not in (text, "passages_removed")]
     packed = joined.select(*[F.col(f"`{c}`") for c in columns], F.col("__gone"), F.col(f"`{text}`"))
     cut = packed.where(F.col("__gone").isNotNull())
