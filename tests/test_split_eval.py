@@ -8,7 +8,9 @@ from ticketlens.operators import drift as D
 from ticketlens.operators import evaluate as V
 from ticketlens.operators import runs as RU
 from ticketlens.operators import split as S
-from ticketlens.operators.features import encode_sequences, rank_by_count, word_vocabulary
+from ticketlens.operators import features as FE
+from ticketlens.operators.features import encode_sequences, word_vocabulary
+from ticketlens.operators.ordering import ranked
 
 
 def test_exact_group_rank_matches_row_number(spark):
@@ -73,7 +75,7 @@ def test_drift_self_is_zero(spark):
 def test_drift_known_values(spark):
     ref = spark.createDataFrame([(v,) for v in (1, 2, 3, 4)], "x int")
     cur = spark.createDataFrame([(v,) for v in (2, 3, 4, 5)], "x int")
-    r = D.numeric_drift(ref, cur, ["x"], buckets=2).first()
+    r = D.numeric_drift(ref, cur, ["x"]).first()
     assert r.ks_stat == 0.25
     import math
     assert r.wasserstein_norm == pytest.approx(1.0 / math.sqrt(1.25), abs=1e-6)
@@ -88,12 +90,70 @@ def test_vocab_and_sequences(spark):
     assert seq[9] == [3, 1, 2, 0, 0] and seq[8] == [2, 2, 2, 2, 2]
 
 
-def test_rank_by_count_matches_global_sort(spark):
-    df = spark.range(500).select(F.concat(F.lit("w"), (F.col("id") * 7919 % 1000).cast("string")).alias("word"),
-                                 (F.col("id") % 13).alias("n"))
-    r = rank_by_count(df, "word", "n", prefix_len=2)
-    brute = df.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("n"), "word")))
-    assert r.join(brute, ["word", "n"]).filter(F.col("_rank") != F.col("rn")).count() == 0
+def test_ranked_matches_global_sort(spark):
+    df = spark.range(3000).select(F.concat(F.lit("w"), (F.col("id") * 7919 % 5000).cast("string")).alias("word"),
+                                  F.when(F.col("id") % 3 > 0, 2).otherwise(F.col("id") % 13).alias("n"))
+    for rows in (df, df.withColumn("n", F.lit(2)), df.limit(0)):  # also one count that all words share
+        r = ranked(rows, [F.desc("n"), F.asc("word")])
+        brute = rows.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("n"), "word")))
+        j = r.join(brute, ["word", "n"])
+        assert j.count() == rows.count() and j.filter(F.col("rank") != F.col("rn")).count() == 0
+        assert "Window" not in r._jdf.queryExecution().executedPlan().toString()
+
+
+def test_word_ids_by_shuffle_equal_those_by_broadcast(spark, monkeypatch):
+    vocab = spark.createDataFrame([("a", 2), ("b", 3)], "word string, word_id int")
+    q = spark.createDataFrame([(i, "a x a b") for i in range(50)] + [(50, None)], "tid long, text string")
+    want = sorted(map(str, encode_sequences(q, vocab, "tid", max_len=5).collect()))
+    monkeypatch.setattr(FE, "VOCAB_BROADCAST_BYTES", 0)
+    assert sorted(map(str, encode_sequences(q, vocab, "tid", max_len=5).collect())) == want
+
+
+def test_running_counts_over_ranges(spark):
+    rows = [("a", float(v ** 4), v % 3, v % 5) for v in range(300)] + [("b", 1.0, 2, 3), ("c", -1.0, 0, 1), ("c", 5.0, 1, 0)]
+    df = spark.createDataFrame(rows, "feature string, value double, n_ref long, n_cur long")
+    got = {(r.feature, r.value): (r.cum_ref, r.cum_cur, r.next_value) for r in D.running_cdf(df).collect()}
+    want = {}
+    for f in "abc":
+        mine = sorted(r for r in rows if r[0] == f)
+        for i, r in enumerate(mine):
+            want[f, r[1]] = (sum(x[2] for x in mine[:i + 1]), sum(x[3] for x in mine[:i + 1]),
+                             mine[i + 1][1] if i + 1 < len(mine) else None)
+    assert got == want
+
+
+def test_chi_square_tail_known_values(spark):
+    from ticketlens.functions import special as SP
+    import math
+    known = [(3.841458820694124, 1, 0.05), (7.814727903251179, 3, 0.05), (0.5, 2, math.exp(-0.25)), (100.0, 50, 3.1e-5),
+             (0.0, 4, 1.0), (18.307038053275146, 10, 0.05), (1.0, 1, 0.31731050786291415), (40.0, 4, 21 * math.exp(-20)),
+             (5.0, 0, 1.0), (123.225221, 100, 0.0573), (1106.969, 999, None), (3.0, 1002, None)]
+    df = spark.createDataFrame([(float(x), float(k), p) for x, k, p in known], "x double, k double, p double")
+    for r in df.select("x", "k", "p", SP.chi2_tail(F.col("x"), F.col("k")).alias("q")).collect():
+        if r.k > 1000:
+            assert r.q is None
+        elif r.k % 2 == 0 and r.k:  # a closed form for even degrees of freedom
+            half = r.x / 2
+            assert r.q == pytest.approx(sum(math.exp(-half + i * math.log(half or 1) - math.lgamma(i + 1)) for i in range(int(r.k // 2)))
+                                        if r.x else 1.0, abs=1e-9)
+        elif r.p is not None:
+            assert r.q == pytest.approx(r.p, abs=1e-6)
+        else:
+            assert 0.008 < r.q < 0.011
+
+
+def test_chi_square_verdicts_and_dispatch(spark):
+    ref = spark.range(400).select((F.col("id") % 4).cast("int").alias("few"), (F.col("id") % 50).cast("int").alias("many"))
+    cur = spark.range(400).select((F.col("id") % 4 % 3).cast("int").alias("few"), (F.col("id") % 50).cast("int").alias("many"))
+    c = D.categorical_drift(ref, cur, ["few", "many"], "chisquare").collect()
+    by = {r.feature: r for r in c}
+    assert by["few"].drift_detected and by["few"].chi2_stat == 200.0 and by["few"].chi2_pvalue == 0.0
+    assert not by["many"].drift_detected and by["many"].chi2_pvalue == 1.0
+    new = D.categorical_drift(ref, cur.select((F.col("few") + 2).alias("few"), "many"), ["few"], "chisquare").first()
+    assert new.chi2_pvalue == 0.0 and new.drift_detected
+    for small, names in ((False, ("jensenshannon", "wasserstein")), (True, ("chisquare", "ks"))):
+        d = {r.feature: (r.n_values, r.method) for r in D.dispatched_drift(ref, cur, ["few", "many"], small).collect()}
+        assert d == {"few": (4, names[0]), "many": (50, names[1])}
 
 
 def test_mark_duplicates_digest_equals_plain_key(spark):

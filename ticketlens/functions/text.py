@@ -161,8 +161,9 @@ def strip_accents(c) -> Column:
     each = F.transform(F.regexp_extract_all(one, F.lit("(?s)."), 0),
                        lambda x: F.when(F.ascii(x).between(_HANGUL[0], _HANGUL[-1]), _jamo(F.ascii(x) - _HANGUL[0]))
                        .otherwise(F.coalesce(F.try_element_at(table, x), x)))
-    held = _ranges("".join(ch for ch, _ in longer)) + f"\\x{{{_HANGUL[0]:X}}}-\\x{{{_HANGUL[-1]:X}}}"
-    return F.when(one.rlike(f"[{held}]"), F.array_join(each, "")).otherwise(one)
+    holds = F.length(F.translate(one, "".join(ch for ch, _ in longer), "")) < F.length(one)
+    holds |= one.rlike(f"[\\x{{{_HANGUL[0]:X}}}-\\x{{{_HANGUL[-1]:X}}}]")
+    return F.when(holds, F.array_join(each, "")).otherwise(one)
 
 
 def _jamo(s: Column) -> Column:
@@ -175,18 +176,6 @@ def _jamo(s: Column) -> Column:
                     F.element_at(tail, (s % 28).cast("int") + 1))
 
 
-def _ranges(chars: str) -> str:
-    """A regex character class body of the code points, as ranges."""
-    out, points = [], sorted(map(ord, chars))
-    start = last = points[0]
-    for p in [*points[1:], None]:
-        if p is None or p != last + 1:
-            out.append(f"\\x{{{start:X}}}-\\x{{{last:X}}}")
-            start = p
-        last = p
-    return "".join(out)
-
-
 def tokens(c) -> Column:
     """Lowered, accent-stripped word tokens of two or more characters."""
     return F.regexp_extract_all(strip_accents(F.lower(_col(c))), F.lit(WORD_TOKEN_PATTERN), 0)

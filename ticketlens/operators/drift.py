@@ -7,7 +7,10 @@ Per column, reference vs current:
 * numeric, method "ks" (for small references): two-sample Kolmogorov-Smirnov,
   drift when p < 0.05 (asymptotic Kolmogorov distribution -- our choice);
   both statistics are returned whichever decides;
-* categorical: Jensen-Shannon distance (natural log), drift when >= 0.1.
+* categorical, method "jensenshannon" (the default): Jensen-Shannon distance (natural
+  log), drift when >= 0.1;
+* categorical, method "chisquare" (for small references): drift when p < 0.05;
+* numbers with five distinct values or fewer may be taken as categories.
 
 Dataset drift: share of drifted columns >= 0.5.  These defaults are
 parameters.
@@ -15,10 +18,10 @@ parameters.
 Plan: every monitored column is stacked into one long ``(column, value)``
 relation and aggregated to ``(column, value, n_ref, n_cur)`` -- one row per
 distinct value, map-side combined.  Empirical CDFs then need running sums
-in value order; instead of one global window, values are cut into
-``buckets`` equal-width ranges per column: a small per-bucket table gives
-each bucket's offset (and the first value of the next bucket), and the
-running sum inside a bucket is a window partitioned by (column, bucket).
+in value order; instead of one global window, the values are sorted over
+ranges of about equal depth (``ordering``): a row per column and range gives
+the range's offset (and the first value of the next), and the running sum
+inside is a window over the range.
 """
 
 from __future__ import annotations
@@ -29,13 +32,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlens import constants as K
+from ticketlens.functions import special as SP
 from ticketlens.functions import text as H
+from ticketlens.operators.ordering import in_ranges
 from ticketlens.session import stored
 
 R = 6
 WASSERSTEIN_LIMIT = 0.1
 KS_P_LIMIT = 0.05
 JS_LIMIT = 0.1
+CHI2_P_LIMIT = 0.05
+#: Numbers with up to so many distinct values are categories.
+FEW_VALUES = 5
 DATASET_SHARE_LIMIT = 0.5
 
 
@@ -80,29 +88,26 @@ def value_counts_by_side(ref: DataFrame, cur: DataFrame | None, cols, cast: str
                                                     F.count_if(F.col("side") == "cur").alias("n_cur"))
 
 
-def running_cdf(vc: DataFrame, buckets: int = 1024, keys=()) -> DataFrame:
+def running_cdf(vc: DataFrame, keys=()) -> DataFrame:
     """Adds inclusive running counts ``cum_ref``/``cum_cur`` in value order per feature
-    and ``next_value`` (the next distinct value of the feature, null for the last)."""
+    and ``next_value`` (the next distinct value of the feature, null for the last).
+
+    However the values lie, a range holds about as many of them as the next."""
     g = [*keys, "feature"]
-    edges = vc.groupBy(*g).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    span = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(F.lit(1.0))
-    b = vc.join(F.broadcast(edges), g, "inner").withColumn(
-        "_b", F.least(F.floor((F.col("value") - F.col("_lo")) * buckets / span), F.lit(buckets - 1)).cast("int"))
-    per = b.groupBy(*g, "_b").agg(F.sum("n_ref").alias("_br"), F.sum("n_cur").alias("_bc"),
-                                  F.min("value").alias("_bmin"))
-    wb = Window.partitionBy(*g).orderBy("_b")
+    rows = in_ranges(vc, [F.col(c) for c in (*g, "value")], "values")
+    # a row per feature and range that it stands in: at most one more than ranges and features
+    per = rows.groupBy(*g, "_part").agg(F.sum("n_ref").alias("_br"), F.sum("n_cur").alias("_bc"), F.min("value").alias("_first"))
+    wb = Window.partitionBy(*g).orderBy("_part")
     prev = wb.rowsBetween(Window.unboundedPreceding, -1)
     per = (per.withColumn("_off_ref", F.coalesce(F.sum("_br").over(prev), F.lit(0)))
               .withColumn("_off_cur", F.coalesce(F.sum("_bc").over(prev), F.lit(0)))
-              .withColumn("_next_bmin", F.lead("_bmin").over(wb))
-              .drop("_br", "_bc", "_bmin"))
-    # per-(feature, bucket) rows: at most features x buckets, broadcast back
-    j = b.join(F.broadcast(per), [*g, "_b"], "inner")
-    w = Window.partitionBy(*g, "_b").orderBy("value")
+              .withColumn("_next", F.lead("_first").over(wb)).drop("_br", "_bc", "_first"))
+    j = rows.join(F.broadcast(per), [*g, "_part"], "inner")
+    w = Window.partitionBy(*g, "_part").orderBy("value")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     return (j.withColumn("cum_ref", F.col("_off_ref") + F.sum("n_ref").over(run))
              .withColumn("cum_cur", F.col("_off_cur") + F.sum("n_cur").over(run))
-             .withColumn("next_value", F.coalesce(F.lead("value").over(w), F.col("_next_bmin")))
+             .withColumn("next_value", F.coalesce(F.lead("value").over(w), F.col("_next")))
              .select(*g, "value", "n_ref", "n_cur", "cum_ref", "cum_cur", "next_value"))
 
 
@@ -126,7 +131,7 @@ def ks_pvalue(stat: Column, n_ref: Column, n_cur: Column, terms: int = 100) -> C
 
 
 def numeric_drift(ref: DataFrame, cur: DataFrame | None, cols, method: str = "wasserstein",
-                  buckets: int = 1024, keys=(), ref_counts: DataFrame | None = None) -> DataFrame:
+                  keys=(), ref_counts: DataFrame | None = None) -> DataFrame:
     """Per feature KS statistic and p-value, normalised Wasserstein distance, and
     the verdict of ``method`` (see ``value_counts_by_side`` for ``cur=None``;
     ``ref_counts`` are the reference's ``value_counts`` where it is fixed)."""
@@ -141,7 +146,7 @@ def numeric_drift(ref: DataFrame, cur: DataFrame | None, cols, method: str = "wa
               .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur")))
     # one row per distinct value, read by several branches below: written once
     vc = stored(vc, "values")
-    cdf = running_cdf(vc, buckets, keys)
+    cdf = running_cdf(vc, keys)
     # All per-feature tables below have one row per (keys, feature): tiny.
     tot = vc.groupBy(*g).agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"),
                              (F.sum(F.col("value") * F.col("n_ref")) / F.sum("n_ref")).alias("_mean"))
@@ -171,24 +176,50 @@ def numeric_drift(ref: DataFrame, cur: DataFrame | None, cols, method: str = "wa
         (wd_norm >= WASSERSTEIN_LIMIT if by_distance else pval < KS_P_LIMIT).alias("drift_detected"))
 
 
-def categorical_drift(ref: DataFrame, cur: DataFrame | None, cols, keys=()) -> DataFrame:
-    """Jensen-Shannon distance (natural log) and the chi-square statistic
-    of the current counts against reference shares."""
+def categorical_drift(ref: DataFrame, cur: DataFrame | None, cols, method: str = "jensenshannon", keys=()) -> DataFrame:
+    """Jensen-Shannon distance (natural log) and the chi-square test of the
+    current counts against the reference's shares, with the verdict of ``method``
+    ("chisquare", for small references: drift when p < 0.05).
+
+    A value that the reference lacks makes p zero, as its expected count is; p is
+    null beyond 1,000 values."""
+    if method not in ("jensenshannon", "chisquare"):
+        raise ValueError(f"unknown method {method!r}")
     g = [*keys, "feature"]
     vc = value_counts_by_side(ref, cur, cols, cast="string", keys=keys)
     tot = vc.groupBy(*g).agg(F.sum("n_ref").alias("_nr"), F.sum("n_cur").alias("_nc"))
     s = vc.join(F.broadcast(tot), g).select(
         *g, (F.col("n_ref") / F.col("_nr")).alias("p"), (F.col("n_cur") / F.col("_nc")).alias("q"),
-        "n_cur", "_nc")
+        "n_ref", "n_cur", "_nc")
     m = (F.col("p") + F.col("q")) / 2.0
     kl = lambda a: F.when(F.col(a) > 0, F.col(a) * F.log(F.col(a) / m)).otherwise(F.lit(0.0))
     expct = F.col("p") * F.col("_nc")
     chi = F.when(expct > 0, (F.col("n_cur") - expct) ** 2 / expct).otherwise(F.lit(0.0))
     out = s.groupBy(*g).agg(F.sqrt(F.greatest(F.lit(0.0), 0.5 * F.sum(kl("p")) + 0.5 * F.sum(kl("q"))))
-                            .alias("_js"), F.sum(chi).alias("_chi2"), F.count(F.lit(1)).alias("n_values"))
+                            .alias("_js"), F.sum(chi).alias("_chi2"), F.count(F.lit(1)).alias("n_values"),
+                            F.count_if((F.col("n_ref") == 0) & (F.col("n_cur") > 0)).alias("_new"))
+    tail = SP.chi2_tail(F.col("_chi2"), (F.col("n_values") - 1).cast("double"))
+    out = out.withColumn("_p", F.when(F.col("_new") > 0, F.lit(0.0)).otherwise(tail))
+    by_chi = method == "chisquare"
     return out.select(*g, F.round("_js", R).alias("js_distance"), F.round("_chi2", R).alias("chi2_stat"),
-                      "n_values", F.lit("jensenshannon").alias("method"), F.round("_js", R).alias("score"),
-                      F.lit(JS_LIMIT).alias("threshold"), (F.col("_js") >= JS_LIMIT).alias("drift_detected"))
+                      F.round("_p", R).alias("chi2_pvalue"), "n_values", F.lit(method).alias("method"),
+                      F.round("_p" if by_chi else "_js", R).alias("score"),
+                      F.lit(CHI2_P_LIMIT if by_chi else JS_LIMIT).alias("threshold"),
+                      (F.col("_p") < CHI2_P_LIMIT if by_chi else F.col("_js") >= JS_LIMIT).alias("drift_detected"))
+
+
+def dispatched_drift(ref: DataFrame, cur: DataFrame | None, cols, small: bool = False, few_values: int = FEW_VALUES,
+                     keys=()) -> DataFrame:
+    """J2 / J3 by column: numbers with up to ``few_values`` distinct values are
+    categories.  ``small`` references are tested (KS, chi-square), others compared
+    by distance."""
+    out = ["n_values", "method", "score", "threshold", "drift_detected"]
+    cat = categorical_drift(ref, cur, cols, "chisquare" if small else "jensenshannon", keys)
+    cat = cat.select(*keys, "feature", *out)
+    num = numeric_drift(ref, cur, cols, "ks" if small else "wasserstein", keys=keys)
+    num = num.join(cat.select(*keys, "feature", "n_values"), [*keys, "feature"])  # a row a column
+    return (num.where(F.col("n_values") > few_values).select(*keys, "feature", *out)
+            .unionByName(cat.where(F.col("n_values") <= few_values)))
 
 
 def drift_verdicts(ref: DataFrame, cur: DataFrame | None, numeric_cols, categorical_cols=(),
@@ -220,4 +251,4 @@ def dataset_drift(verdicts: DataFrame, share_limit: float = DATASET_SHARE_LIMIT)
 
 def drift_alerts(verdicts: DataFrame, alert_score: float = K.DRIFT_ALERT_SCORE) -> DataFrame:
     """Distance-type verdict rows whose score exceeds the alert level."""
-    return verdicts.filter((F.col("method") != "ks") & (F.col("score") > alert_score))
+    return verdicts.filter(~F.col("method").isin("ks", "chisquare") & (F.col("score") > alert_score))

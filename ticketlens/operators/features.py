@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ticketlens import constants as K
 from ticketlens.functions import text as H
+from ticketlens.session import stored
 
 R = 6
 
@@ -142,34 +143,29 @@ def word_vocabulary(df: DataFrame, text_col: str = "text", min_count: int = K.VO
     """Lowered whitespace words seen at least ``min_count`` times, ids from 2
     by (count desc, word); 0 is padding and 1 unknown.
 
-    The id is a global rank computed by ``rank_by_count``, so no single
-    task sorts the whole vocabulary.
+    The id is a position in a global order (``ordering.ranked``): words are
+    sorted over ranges, no task sorts the whole vocabulary.
     """
+    from ticketlens.operators.ordering import ranked
     from ticketlens.operators.profile import word_frequencies
     freq = word_frequencies(df, text_col).filter(F.col("n") >= min_count)
-    ranked = rank_by_count(freq, "word", "n")
-    return ranked.select("word", "n", (F.col("_rank") + 1).cast("int").alias("word_id"))
+    return ranked(freq, [F.desc("n"), F.asc("word")], "_rank").select("word", "n", (F.col("_rank") + 1).cast("int").alias("word_id"))
 
 
-def rank_by_count(freq: DataFrame, key: str, count_col: str, prefix_len: int = 2) -> DataFrame:
-    """Dense 1-based rank by (count desc, key) without a single-task global sort.
+#: A vocabulary is broadcast up to this many bytes of words, and joined beyond.
+VOCAB_BROADCAST_BYTES = 16 << 20
 
-    Rows are bucketed by (count, first ``prefix_len`` characters of key); the
-    prefix order agrees with key order, so rank = rows in earlier buckets (a
-    running sum over the small bucket-count table, broadcast back) + rank
-    inside the bucket.  A very common count (many words seen twice) is
-    therefore spread over many window partitions instead of one.
-    """
-    from pyspark.sql import Window
-    b = freq.withColumn("_b", F.substring(key, 1, prefix_len))
-    per = b.groupBy(count_col, "_b").agg(F.count(F.lit(1)).alias("_k"))
-    w = Window.orderBy(F.desc(count_col), F.asc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.withColumn("_off", F.coalesce(F.sum("_k").over(w), F.lit(0))).drop("_k")
-    local = b.withColumn("_local", F.row_number().over(Window.partitionBy(count_col, "_b").orderBy(key)))
-    # offsets has one row per (count, prefix) present: small in practice but
-    # data-dependent, so AQE decides on broadcasting from its measured size
-    return (local.join(offsets, [count_col, "_b"], "inner")
-                 .withColumn("_rank", F.col("_off") + F.col("_local")).drop("_off", "_local", "_b"))
+
+def with_word_ids(rows: DataFrame, vocab: DataFrame, salts: int = 16) -> DataFrame:
+    """``rows`` (with ``word``) and the ``word_id`` of known words.  A word that
+    is a third of all rows is met by many tasks either way."""
+    known = stored(vocab.select("word", "word_id"), "vocabulary")
+    size = known.agg(F.sum(F.octet_length("word") + 24)).first()[0] or 0
+    if size <= VOCAB_BROADCAST_BYTES:
+        return rows.join(F.broadcast(known), "word", "left")
+    spread = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return (rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+            .join(spread, ["word", "_salt"], "left").drop("_salt"))
 
 
 def encode_sequences(df: DataFrame, vocab: DataFrame, id_col: str, text_col: str = "text",
@@ -180,7 +176,7 @@ def encode_sequences(df: DataFrame, vocab: DataFrame, id_col: str, text_col: str
     can appear in the output, so the array is cut before the vocabulary join.
     """
     pos = df.select(id_col, F.posexplode(F.slice(H.words(F.lower(text_col)), 1, max_len)).alias("pos", "word"))
-    j = pos.join(vocab.select("word", "word_id"), "word", "left")
+    j = with_word_ids(pos, vocab)
     j = j.withColumn("word_id", F.coalesce(F.col("word_id"), F.lit(K.UNK_ID)))
     seq = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "word_id"))).alias("_s"))
     seq = seq.select(id_col, F.transform("_s", lambda x: x["word_id"]).alias("_ids"))

@@ -81,18 +81,23 @@ def batch_output(scored: DataFrame, input_cols) -> DataFrame:
                          F.col("category_confidence").alias("confidence"), "routing_team")
 
 
-def run_batch_job(spark, in_path: str, out_path: str, score_fn, schema=None):
+def run_batch_job(spark, in_path: str, out_path: str, score_fn, schema=None, reject_path: str | None = None):
     """Read CSV -> require ``text`` -> score -> write CSV; returns the row count.
 
-    The count comes from an ``observe`` metric collected while writing, so
-    the input is read once.
+    Files are read by splits; records that do not parse are no reason to stop, they
+    are written to ``reject_path`` (path, record, reason) if it is given.  The count
+    comes from an ``observe`` metric collected while writing.
     """
     from pyspark.sql import Observation
-    from ticketlens.sources.files import read_csv, write_csv
+    from ticketlens.sources.csv_records import read_csv_rejecting
+    from ticketlens.sources.files import write_csv, write_table
     from ticketlens.sources.tables import require_columns
 
-    df = require_columns(read_csv(spark, in_path, schema=schema), ["text"])
+    read = read_csv_rejecting(spark, in_path, schema=schema)
+    df = require_columns(read.rows, ["text"])
     obs = Observation("batch")
     scored = score_fn(df).observe(obs, F.count(F.lit(1)).alias("tickets"))
     write_csv(batch_output(scored, df.columns), out_path)
+    if reject_path:
+        write_table(read.rejects, reject_path)
     return obs.get["tickets"]

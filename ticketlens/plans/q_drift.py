@@ -31,9 +31,9 @@ def _rewrite_sql(col: str) -> str:
 
 
 FEATURES = f"""feat AS (
-  SELECT ticket_id, split, 'normal' AS scenario, text, category_id, priority FROM split_tickets
+  SELECT ticket_id, split, 'normal' AS scenario, text, category_id, priority, priority_id FROM split_tickets
   UNION ALL
-  SELECT ticket_id, split, 'drifted', {_rewrite_sql('text')}, category_id, priority FROM split_tickets WHERE split = 'test'),
+  SELECT ticket_id, split, 'drifted', {_rewrite_sql('text')}, category_id, priority, priority_id FROM split_tickets WHERE split = 'test'),
 feat2 AS (SELECT *, CAST(length(text) AS INTEGER) AS text_length, {O.word_count('text')} AS word_count FROM feat),
 sides AS (
   SELECT s.scenario, 'ref' AS side, f.* EXCLUDE (scenario) FROM feat2 f, (VALUES ('normal'), ('drifted')) s(scenario)
@@ -86,17 +86,24 @@ CATEGORICAL_SQL = f"""cvc AS (
   SELECT scenario, feature, value, count_if(side = 'ref') AS n_ref, count_if(side = 'cur') AS n_cur
   FROM ({_long(CATEGORICAL, 'VARCHAR')}) l WHERE value IS NOT NULL GROUP BY ALL),
 ctot AS (SELECT scenario, feature, sum(n_ref) AS nr, sum(n_cur) AS nc FROM cvc GROUP BY ALL),
-cs AS (SELECT c.scenario, c.feature, c.n_ref / t.nr AS p, c.n_cur / t.nc AS q, c.n_cur, t.nc
+cs AS (SELECT c.scenario, c.feature, c.n_ref / t.nr AS p, c.n_cur / t.nc AS q, c.n_ref, c.n_cur, t.nc
        FROM cvc c JOIN ctot t USING (scenario, feature)),
+chi AS (
+  SELECT *, CASE WHEN fresh > 0 THEN 0.0 WHEN n_values < 2 OR chi2 <= 0 THEN 1.0 ELSE
+         least(greatest(1.0 - list_sum(list_transform(range(0, 2000), lambda n:
+           exp((a + n) * ln(chi2 / 2) - chi2 / 2 - lgamma(a + n + 1)))), 0.0), 1.0) END AS chi2_p
+  FROM (SELECT scenario, feature, (count(*) - 1) / 2.0 AS a, count(*) AS n_values,
+               sum(CASE WHEN p * nc > 0 THEN (n_cur - p * nc) ^ 2 / (p * nc) ELSE 0.0 END) AS chi2,
+               count_if(n_ref = 0 AND n_cur > 0) AS fresh FROM cs GROUP BY ALL) x),
 categorical AS (
-  SELECT scenario, feature, round(js, {R}) AS js_distance, round(chi2, {R}) AS chi2_stat, n_values,
-         'jensenshannon' AS method, round(js, {R}) AS score, CAST({D.JS_LIMIT} AS DOUBLE) AS threshold, js >= {D.JS_LIMIT} AS drift_detected
+  SELECT scenario, feature, round(js, {R}) AS js_distance, round(x.chi2, {R}) AS chi2_stat,
+         round(chi2_p, {R}) AS chi2_pvalue, x.n_values, 'jensenshannon' AS method, round(js, {R}) AS score, CAST({D.JS_LIMIT} AS DOUBLE) AS threshold, js >= {D.JS_LIMIT} AS drift_detected
   FROM (SELECT scenario, feature,
                sqrt(greatest(0.0, 0.5 * sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0.0 END)
                                + 0.5 * sum(CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0.0 END))) AS js,
                sum(CASE WHEN p * nc > 0 THEN (n_cur - p * nc) ^ 2 / (p * nc) ELSE 0.0 END) AS chi2,
                count(*) AS n_values
-        FROM cs GROUP BY ALL) x)"""
+        FROM cs GROUP BY ALL) x JOIN chi USING (scenario, feature))"""
 
 VERDICTS_SQL = """verdicts AS (
   SELECT scenario, feature, method, score, threshold, drift_detected FROM numeric
@@ -116,8 +123,8 @@ def sides(spark, sf_dir):
     computed once and the small feature row is duplicated.  Test rows are
     the current side, with the rewritten text in the "drifted" scenario.
     """
-    st = FX.split_tickets(spark, sf_dir).select("ticket_id", "category_id", "priority", "split", "text")
-    cols = ["ticket_id", "category_id", "priority", "text_length", "word_count", "label_id"]
+    st = FX.split_tickets(spark, sf_dir).select("ticket_id", "category_id", "priority", "priority_id", "split", "text")
+    cols = ["ticket_id", "category_id", "priority", "priority_id", "text_length", "word_count", "label_id"]
     train = D.monitor_features(st.filter(F.col("split") == "train")).select(*cols)
     ref = train.select("*", F.explode(F.array(F.lit("normal"), F.lit("drifted"))).alias("scenario"))
     test = st.filter(F.col("split") == "test")
@@ -168,6 +175,31 @@ def j3_categorical_drift(spark, sf_dir):
     return D.categorical_drift(sides(spark, sf_dir), None, CATEGORICAL, keys=["scenario"])
 
 
+@query("j3_categorical_drift_chi2", _with_drift(f"""
+SELECT * EXCLUDE (method, score, threshold, drift_detected), 'chisquare' AS method, chi2_pvalue AS score,
+       CAST({D.CHI2_P_LIMIT} AS DOUBLE) AS threshold, (SELECT chi2_p FROM chi WHERE chi.scenario = categorical.scenario
+       AND chi.feature = categorical.feature) < {D.CHI2_P_LIMIT} AS drift_detected
+FROM categorical"""))
+def j3_categorical_drift_chi2(spark, sf_dir):
+    """J3 with the small-reference method."""
+    return D.categorical_drift(sides(spark, sf_dir), None, CATEGORICAL, "chisquare", keys=["scenario"])
+
+
+DISPATCHED = ["text_length", "word_count", "category_id", "priority_id"]
+
+
+@query("j6_dispatched_drift", O.with_tickets(f"""
+SELECT scenario, feature, n_values, method, score, threshold, drift_detected FROM categorical WHERE n_values <= {D.FEW_VALUES}
+UNION ALL
+SELECT n.scenario, n.feature, n_values, n.method, n.score, n.threshold, n.drift_detected
+FROM numeric n JOIN (SELECT scenario, feature, n_values FROM categorical) c USING (scenario, feature)
+WHERE n_values > {D.FEW_VALUES}""", SPLIT, FEATURES, NUMERIC_SQL.replace(_long(NUMERIC, "DOUBLE"), _long(DISPATCHED, "DOUBLE")),
+    CATEGORICAL_SQL.replace(_long(CATEGORICAL, "VARCHAR"), _long(DISPATCHED, "VARCHAR"))))
+def j6_dispatched_drift(spark, sf_dir):
+    """J2 / J3 with numbers of few values taken as categories (priority_id has four)."""
+    return D.dispatched_drift(sides(spark, sf_dir), None, DISPATCHED, keys=["scenario"])
+
+
 @query("j6_drift_verdicts", _with_drift(
     "SELECT *, CASE WHEN drift_detected THEN 'DRIFT' ELSE 'OK' END AS status FROM verdicts"))
 def j6_drift_verdicts(spark, sf_dir):
@@ -185,15 +217,17 @@ def j4_dataset_drift(spark, sf_dir):
 
 
 @query("j5_distribution_tables", _with_drift(f"""
-, xs AS (SELECT scenario || ':' || side AS grp, CAST(text_length AS DOUBLE) AS x FROM sides),
-edges AS (SELECT CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
-                 CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi FROM xs),
-binned AS (SELECT grp, CAST(least(floor((x - lo) * 30 / (hi - lo)), 29) AS INTEGER) AS bin, lo, hi
-           FROM xs, edges WHERE x IS NOT NULL)
-SELECT grp, bin, round(lo + bin * ((hi - lo) / 30), {R}) AS bin_start,
+, xs AS (SELECT scenario || ':' || side AS grp, 'text_length' AS feature, CAST(text_length AS DOUBLE) AS x FROM sides
+       UNION ALL SELECT scenario || ':' || side, 'word_count', CAST(word_count AS DOUBLE) FROM sides),
+edges AS (SELECT feature, CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
+                 CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi FROM xs GROUP BY feature),
+binned AS (SELECT feature, grp, CAST(least(floor((x - lo) * 30 / (hi - lo)), 29) AS INTEGER) AS bin, lo, hi
+           FROM xs JOIN edges USING (feature) WHERE x IS NOT NULL)
+SELECT feature, grp, bin, round(lo + bin * ((hi - lo) / 30), {R}) AS bin_start,
        round(lo + (bin + 1) * ((hi - lo) / 30), {R}) AS bin_end, count(*) AS n
-FROM binned GROUP BY grp, bin, lo, hi""").replace("\n\n, xs AS", ",\nxs AS").replace("verdicts AS", "verdicts AS", 1))
+FROM binned GROUP BY feature, grp, bin, lo, hi""").replace("\n\n, xs AS", ",\nxs AS").replace("verdicts AS", "verdicts AS", 1))
 def j5_distribution_tables(spark, sf_dir):
-    """Text-length histograms of reference and current sides on shared bin edges."""
-    u = sides(spark, sf_dir).select(F.concat_ws(":", "scenario", "side").alias("grp"), "text_length")
-    return histogram(u, "text_length", 30, ["grp"])
+    """Histograms of text length and word count, reference and current sides on shared bin edges."""
+    u = sides(spark, sf_dir).select(F.concat_ws(":", "scenario", "side").alias("grp"), "text_length", "word_count")
+    out = [histogram(u, c, 30, ["grp"]).withColumn("feature", F.lit(c)) for c in ("text_length", "word_count")]
+    return out[0].unionByName(out[1])

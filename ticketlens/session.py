@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import site
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +51,27 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python unless they have it already
+    (installed, in PYTHONPATH, or in the working folder of a local run)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd(), *site.getsitepackages()]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or any(p and os.path.realpath(p) == os.path.realpath(root) for p in known):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="ticketlens-"), "ticketlens.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "ticketlens")):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
+    spark.sparkContext.addPyFile(archive)  # read by the driver, which serves it to the executors
+    _SHIPPED.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which all executors reach.
 

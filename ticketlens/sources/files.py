@@ -16,11 +16,14 @@ TICKET_CSV_SCHEMA = ("text string, label_name string, category string, category_
 MAPPING_SCHEMA = "kind string, id int, name string"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, csv_only: bool = True) -> DataFrame:
-    """A5 + A11: CSV with a header row, quoted multi-line fields; only ``*.csv``
-    files are picked up from a folder.  Without a schema every column is a string."""
-    r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-         .option("mode", "FAILFAST"))
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, csv_only: bool = True,
+             multi_line: bool = True, mode: str = "FAILFAST") -> DataFrame:
+    """A5 + A11 by Spark's reader: CSV with a header row; only ``*.csv`` files are
+    picked up from a folder.  Without a schema every column is a string.  With
+    ``multi_line`` a file is one task and, in FAILFAST mode, a bad row ends the
+    job: ``csv_records.read_csv_rejecting`` reads by splits and sets such rows apart."""
+    r = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+         .option("mode", mode))
     if csv_only:
         r = r.option("pathGlobFilter", "*.csv")
     if schema:
