@@ -7,11 +7,7 @@ of others into the same Python buffer.
 
 from __future__ import annotations
 
-import os
-import site
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ticketlens.session import shared_dir, ship
+
 #: A word of the contracts: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,27 +26,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python unless they have it already
-    (installed, in PYTHONPATH, or in the working folder of a local run)."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd(), *site.getsitepackages()]
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED or any(p and os.path.realpath(p) == os.path.realpath(root) for p in known):
-        return
-    archive = os.path.join(tempfile.mkdtemp(prefix="ticketlens-"), "ticketlens.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for folder, _, names in os.walk(os.path.join(root, "ticketlens")):
-            for n in names:
-                if n.endswith(".py"):
-                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
-    spark.sparkContext.addPyFile(archive)  # read by the driver, which serves it to the executors
-    _SHIPPED.add(app)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -108,26 +85,12 @@ def map_text(df: DataFrame, keep: list[str], text: str, fields: list[tuple[str,
     return arrow(narrow, run, schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which every executor can reach.
-
-    A local folder is made only where the setting is absent and Spark runs in
-    local mode, as in tests.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = os.path.join(tempfile.gettempdir(), "ticketlens-shared")
-    return base
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage
     is cut, later reads prune columns and survive lost executors."""
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
@@ -152,11 +115,13 @@ class Steps:
         self.paths.remove(df.table_path)
         return df
 
-    def drop(self) -> None:
-        for path in self.paths:
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete the tables of the frames, or all that are left."""
+        for path in [f.table_path for f in frames] or self.paths:
             at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-        self.paths = []
+        self.paths = [p for p in self.paths if frames and p not in {f.table_path for f in frames}]
+        self.spark._jvm.System.gc()  # Spark deletes the shuffle files of plans that nothing refers to
 
     def __enter__(self) -> "Steps":
         return self

@@ -196,10 +196,12 @@ def _narrow_bands(bands: int, rows: int):
     return run
 
 
-def links(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, keep: Steps) -> DataFrame:
+def links(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, keep: Steps,
+          exact_sizes: bool = True) -> DataFrame:
     """Links ``(a, b)`` between the keys of ``items`` (key binary, size long,
     bands array<long>); ``sets_of(keys)`` gives ``key, set`` (distinct elements,
-    sorted) for a table of keys and may repeat a key."""
+    sorted) for a table of keys and may repeat a key.  Sizes that are not exact
+    only say what a task can hold."""
     def verified(pairs):
         both = F.size(F.array_intersect("sa", "sb"))
         one = pairs.join(sets.select(F.col("key").alias("b"), F.col("set").alias("sb")), "b")
@@ -225,7 +227,9 @@ def links(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
         over = marks.join(tops, "bucket").select("m.a", "b", "m.na", "nb")
         pairs = of_bucket.select(F.col("first").alias("a"), F.col("key").alias("b"), F.col("first_size").alias("na"),
                                  F.col("size").alias("nb")).unionAll(over)
-        pairs = pairs.where((F.col("a") != F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+        pairs = pairs.where("a != b")
+        if exact_sizes:
+            pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         pairs = keep(pairs.select("a", "b").distinct(), "pairs")
         # the least centre of each item, then whatever is still apart
         stars = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))

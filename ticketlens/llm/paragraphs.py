@@ -80,9 +80,8 @@ def _windows(h: np.ndarray, k: int) -> np.ndarray:
     return _mix(s)
 
 
-def minhash_bands(paragraphs: list[list[bytes]], hashes: _Hashes, bands: int, rows: int):
-    """A 64-bit value per paragraph and band, and the number of its distinct
-    shingles; paragraphs of at least SHINGLE words."""
+def minhash_bands(paragraphs: list[list[bytes]], hashes: _Hashes, bands: int, rows: int) -> np.ndarray:
+    """A 64-bit value per paragraph and band; paragraphs of at least SHINGLE words."""
     sizes = np.array([len(p) for p in paragraphs])
     h = np.fromiter((hashes[w] for p in paragraphs for w in p), dtype=np.uint64, count=int(sizes.sum()))
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -98,11 +97,10 @@ def minhash_bands(paragraphs: list[list[bytes]], hashes: _Hashes, bands: int, ro
             x[last] = _U(0xFFFFFFFFFFFFFFFF)
             value = _mix(value * _FACTORS[62] + np.minimum.reduceat(x, starts[:-1]))
         out[:, band] = value
-    sizes = [len(np.unique(s[a:b - SHINGLE + 1])) for a, b in zip(starts[:-1], starts[1:])]
-    return out, sizes
+    return out
 
 
-_SCHEMA = ("row long, doc_id long, line int, start long, stop long, n_words long, key binary, size long, bands array<long>")
+_SCHEMA = ("row long, doc_id long, line int, start long, stop long, n_words long, key binary, bands array<long>")
 
 
 def _split(min_words: int, bands: int, rows: int):
@@ -125,18 +123,17 @@ def _split(min_words: int, bands: int, rows: int):
                     continue
                 long = [i for i, ws in enumerate(ws_of) if len(ws) >= SHINGLE]
                 values: list = [[] for _ in found]
-                sizes = [0] * len(found)
                 for at in range(0, len(long), 2000):
                     some = long[at:at + 2000]
-                    v, n = minhash_bands([ws_of[i] for i in some], hashes, bands, rows)
-                    for i, x, y in zip(some, v.view(np.int64).tolist(), n):
-                        values[i], sizes[i] = x, y
+                    v = minhash_bands([ws_of[i] for i in some], hashes, bands, rows).view(np.int64)
+                    for i, x in zip(some, v.tolist()):
+                        values[i] = x
                 cols = list(zip(*found))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
-                     *[pa.array(c, pa.int64()) for c in cols[3:6]], pa.array(cols[6], pa.binary()), pa.array(sizes, pa.int64()),
+                     *[pa.array(c, pa.int64()) for c in cols[3:6]], pa.array(cols[6], pa.binary()),
                      pa.array(values, pa.list_(pa.int64()))],
-                    names=["row", "doc_id", "line", "start", "stop", "n_words", "key", "size", "bands"])
+                    names=["row", "doc_id", "line", "start", "stop", "n_words", "key", "bands"])
     return run
 
 
@@ -169,7 +166,7 @@ def repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
         found = keep(arrow(docs, _split(min_words, bands, rows), _SCHEMA), "paragraphs")
         place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row", "line")
         distinct = keep(found.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"),
-                                                 F.first("size").alias("size")), "distinct")
+                                                 F.first("n_words").alias("size")), "distinct")
 
         def sets_of(keys):
             wanted = (distinct.join(keys, "key").groupBy(F.col("first.row").alias("__r"), F.col("first.doc_id").alias("__d"))
@@ -177,14 +174,14 @@ def repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
             here = (F.col("row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__d"))
             return arrow(docs.join(wanted, here).select("text", "wanted"), _sets, "key binary, set array<long>")
 
-        linked = linking.links(distinct.select("key", "size", "bands"), sets_of, round(100 * similarity), keep)
+        linked = linking.links(distinct.select("key", "size", "bands"), sets_of, round(100 * similarity), keep, exact_sizes=False)
         roots = connected_components(linked, keep=keep).withColumnRenamed("node", "key")
         whole = distinct.select("key", "n", "first").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
         groups = whole.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("occurrences")).where("occurrences > 1")
         # a line that most documents share is met by 16 tasks
         of_key = (whole.select("key", "root").join(groups, "root").select("key", "keep", "occurrences")
                   .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))))
-        out = (found.drop("bands", "size").withColumn("salt", F.pmod(F.xxhash64("row", "doc_id", "line"), F.lit(16)).cast("int"))
+        out = (found.drop("bands").withColumn("salt", F.pmod(F.xxhash64("row", "doc_id", "line"), F.lit(16)).cast("int"))
                .join(of_key, ["key", "salt"]))
         mine = (F.col("row") == F.col("keep.row")) & F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("line") == F.col("keep.line"))
         out = out.select("row", "doc_id", "line", "start", "stop", "n_words", F.col("keep.doc_id").alias("kept_doc_id"),

@@ -35,10 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.llm.common import Steps, arrow, read, slices
-from ticketlens.llm.paragraphs import _FACTORS, MIN_WORDS, SHINGLE, SIMILARITY, _Hashes, _mix, repeated
+from ticketlens.llm.paragraphs import _FACTORS, _U, MIN_WORDS, SHINGLE, SIMILARITY, _Hashes, _mix, repeated
 
 #: A side of a join is broadcast up to so many bytes, as counted.
 BROADCAST_BYTES = 8 << 20
+#: Rows that meet one row of a join in one task.
+SHARE = 2000
 
 
 def _runs(h: np.ndarray, k: int) -> np.ndarray:
@@ -56,8 +58,7 @@ def _anchors(h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     overlap or touch.  Those of one word over and over are left out."""
     k = anchor_words(length)
     s = _runs(h, k)
-    least = np.lib.stride_tricks.sliding_window_view(s, length - k + 1).argmin(axis=1)
-    at = least + np.arange(len(least))
+    at = _first_least(s, length - k + 1)
     at = at[np.concatenate([[True], at[1:] != at[:-1]])]
     if k > 1:
         new = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
@@ -65,6 +66,20 @@ def _anchors(h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, s[at]
 
 
+def _first_least(s: np.ndarray, w: int) -> np.ndarray:
+    """Place of the least of each ``w`` neighbours, by the high 44 bits (the first
+    of equal ones): the place itself fills the low bits."""
+    low = _U((1 << 20) - 1)
+    if len(s) > 1 << 20:  # places beyond the low bits
+        m = (1 << 20) - w + 1
+        return np.concatenate([_first_least(s[i:i + m + w - 1], w) + i for i in range(0, len(s) - w + 1, m)])
+    n, m, x = len(s) - w + 1, 1, (s & ~low) | np.arange(len(s), dtype=np.uint64)
+    while 2 * m <= w:
+        x = np.minimum(x[:len(x) - m], x[m:])
+        m *= 2
+    return (np.minimum(x[:n], x[w - m:w - m + n]) & low).astype(np.int64)
+
+
 def anchor_words(length: int) -> int:
     return (length + 2) // 2
 
@@ -113,7 +128,7 @@ _MATCHES = "h long, row long, doc_id long, at int, row0 long, doc0 long, at0 int
 
 
 def _matches(length: int):
-    """Sorted rows (h, z, doc_id, row, at) of a task -> each with the first of its
+    """Sorted rows (h, doc_id, row, at) of a task -> each with the first of its
     ``h`` in the task, if there is an earlier one; ``mark`` rows name the first of
     the first and the last ``h``, which may stand in other tasks."""
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
@@ -130,7 +145,7 @@ def _matches(length: int):
             same = h[1:] == h[:-1]
             wanted = np.concatenate([same, [True]]) | np.concatenate([[True], same])
             part, out = batch.filter(pa.array(wanted)), []
-            for v, doc, row, at in zip(*(part.column(c).to_pylist() for c in (0, 2, 3, 4))):
+            for v, doc, row, at in zip(*(part.column(c).to_pylist() for c in range(4))):
                 place = (row, doc, at)
                 if v != now:
                     if now is None:
@@ -166,37 +181,52 @@ def _equal_runs(k: int, length: int):
     """(row, doc_id, [(h, at, row0, doc0, at0)]) -> runs of a document that equal
     runs of others, or earlier ones of its own.  What repeats over and over in a
     document (a period) is compared with itself, at one distance."""
+    def runs(m, row, doc):
+        h, at, row0, at0, d, null = m
+        own = (row0 == row) & (null if doc is None else ~null & (d == doc))
+        if own.any() or len(np.unique(h)) < len(h):
+            _, first = np.unique(h, return_inverse=True)
+            before = _within(at, np.where(own, at0, -1 - first), own, length)
+            inside = before >= 0
+            row0, at0 = np.where(inside, row, row0), np.where(inside, before, at0)
+            null, d = np.where(inside, doc is None, null), np.where(inside, doc or 0, d)
+        shift = at - at0
+        order = np.lexsort((at, shift, d, null, row0))
+        a = at[order]
+        begins = np.ones(len(a), dtype=bool)
+        begins[1:] = a[1:] > a[:-1] + k
+        for key in (row0, d, null, shift):
+            x = key[order]
+            begins[1:] |= x[1:] != x[:-1]
+        begin = np.flatnonzero(begins)
+        end = np.append(begin[1:], len(a)) - 1
+        f = order[begin]
+        return a[begin], a[end] + k, row0[f], d[f], null[f], at0[f], at0[order[end]] + k
+
     def run(batches):
         for batch in batches:
+            lists = batch.column(2)
+            ends = lists.offsets.to_numpy()
+            m = lists.flatten()
+            h, at, row0, at0 = (m.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("h", "at", "row0", "at0"))
+            null = m.field("doc0").is_null().to_numpy(zero_copy_only=False)
+            d = m.field("doc0").fill_null(0).to_numpy(zero_copy_only=False)
+            out = []
             for i, (row, doc) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                m = batch.column(2)[i].values
-                h, at, row0, at0 = (m.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("h", "at", "row0", "at0"))
-                doc0 = m.field("doc0")
-                null = doc0.is_null().to_numpy(zero_copy_only=False)
-                d = doc0.fill_null(0).to_numpy(zero_copy_only=False)
-                own = (row0 == row) & (null if doc is None else ~null & (d == doc))
-                _, first = np.unique(h, return_inverse=True)
-                first = np.where(own, at0, -1 - first)
-                before = _within(at, first, own, length)
-                inside = before >= 0
-                row0, at0 = np.where(inside, row, row0), np.where(inside, before, at0)
-                null, d = np.where(inside, doc is None, null), np.where(inside, doc or 0, d)
-                order = np.lexsort((at, at - at0, d, null, row0))
-                key = np.stack([row0, d, null, at - at0])[:, order]
-                a = at[order]
-                begins = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0) | (a[1:] > a[:-1] + k)])
-                begin = np.flatnonzero(begins)
-                end = np.append(begin[1:], len(a)) - 1
-                f, n = order[begin], len(begin)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row] * n, pa.int64()), pa.array([doc] * n, pa.int64()), pa.array(a[begin].astype(np.int32)),
-                     pa.array((a[end] + k).astype(np.int32)), pa.array(row0[f]), pa.array(d[f].astype(np.int64), mask=null[f].astype(bool)),
-                     pa.array(at0[f].astype(np.int32)), pa.array((at0[order[end]] + k).astype(np.int32))],
-                    names=[x.split()[0] for x in _EQUAL.split(", ")])
+                part = slice(ends[i] - ends[0], ends[i + 1] - ends[0])
+                out.append(runs([x[part] for x in (h, at, row0, at0, d, null)], row, doc))
+            if not out:
+                continue
+            rows = pa.array(np.repeat(np.arange(len(out)), [len(x[0]) for x in out]))
+            s, e, r0, d0, n0, s0, e0 = (np.concatenate([x[c] for x in out]) for c in range(7))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)),
+                 pa.array(r0), pa.array(d0.astype(np.int64), mask=n0.astype(bool)), pa.array(s0.astype(np.int32)),
+                 pa.array(e0.astype(np.int32))], names=[x.split()[0] for x in _EQUAL.split(", ")])
     return run
 
 
-_BORDERS = "row0 long, doc0 long, side boolean, b int, words array<long>, chars array<int>, lines array<int>"
+_BORDERS = "row0 long, doc0 long, side boolean, b int, words array<int>, chars array<int>, lines array<int>"
 
 
 def _borders(reach: int):
@@ -208,7 +238,7 @@ def _borders(reach: int):
         for batch in batches:
             for row, doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 raw = (text or "").encode()
-                h = _word_hashes(raw.lower().split(), hashes).view(np.int64)
+                h = _short(_word_hashes(raw.lower().split(), hashes))
                 start, stop, line = _places(raw)
                 out = []
                 for w in wanted:
@@ -221,12 +251,17 @@ def _borders(reach: int):
                 if out:
                     cols = list(zip(*out))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int64()),
+                        [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int32()),
                                                                pa.list_(pa.int32()), pa.list_(pa.int32())))],
                         names=[x.split()[0] for x in _BORDERS.split(", ")])
     return run
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    """Half of each word's hash, for comparing a few words."""
+    return (h >> _U(32)).astype(np.uint32).view(np.int32)
+
+
 def _agree(a: np.ndarray, b: np.ndarray) -> int:
     """How many of the first words are the same."""
     n = min(len(a), len(b))
@@ -269,7 +304,7 @@ def _verified(min_words: int, similarity: float):
         for batch in batches:
             for row, doc, text, gone, runs in zip(*(batch.column(c).to_pylist() for c in range(5))):
                 raw = (text or "").encode()
-                h = _word_hashes(raw.lower().split(), hashes).view(np.int64)
+                h = _short(_word_hashes(raw.lower().split(), hashes))
                 runs = [r for r in runs if (r["before"] and r["after"]) or (r["row0"], r["doc0"]) == (row, doc)]
                 if not runs or max(r["e"] for r in runs) > len(h):  # another text of the same hash and id
                     continue
@@ -277,8 +312,8 @@ def _verified(min_words: int, similarity: float):
                 of: dict = {}
                 for r in runs:
                     own = (r["row0"], r["doc0"]) == (row, doc)
-                    before = _agree(h[:r["s"]][::-1], h[:r["s0"]][::-1] if own else np.array(r["before"]["words"], dtype=np.int64))
-                    after = _agree(h[r["e"]:], h[r["e0"]:] if own else np.array(r["after"]["words"], dtype=np.int64))
+                    before = _agree(h[:r["s"]][::-1], h[:r["s0"]][::-1] if own else np.array(r["before"]["words"], dtype=np.int32))
+                    after = _agree(h[r["e"]:], h[r["e0"]:] if own else np.array(r["after"]["words"], dtype=np.int32))
                     s, e, s0, e0 = r["s"] - before, r["e"] + after, r["s0"] - before, r["e0"] + after
                     of.setdefault((r["row0"], r["doc0"]), []).append(
                         {"s": s, "e": e, "s0": s0, "e0": e0, "same": e - s - SHINGLE + 1, "n": r["n"] or 2, "row0": r["row0"], "doc0": r["doc0"],
@@ -328,6 +363,30 @@ def _settled(batches):
                                              names=[x.split()[0] for x in _SPANS.split(", ")])
 
 
+def _attach(run: DataFrame, side: DataFrame, at: str, keep: Steps) -> DataFrame:
+    """``run`` with the columns of ``side`` for (row0, doc0, ``at``).  What more than
+    ``SHARE`` rows ask for is given to several tasks, a share of the rows each."""
+    keys = ["row0", "doc0", at]
+    side = side.withColumnsRenamed({c: f"{c}_" for c in keys})
+    same = F.col("row0").eqNullSafe(F.col("row0_")) & F.col("doc0").eqNullSafe(F.col("doc0_")) & F.col(at).eqNullSafe(F.col(f"{at}_"))
+    drop = [f"{c}_" for c in keys]
+    hot = run.groupBy(*[F.col(c).alias(f"{c}_") for c in keys]).agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("k"))
+    hot = keep(hot.where("k > 1"), "hot")
+    n = hot.count()
+    if not n:
+        return run.join(side, same, "left").drop(*drop)
+    hot = F.broadcast(hot) if n * 32 <= BROADCAST_BYTES else hot
+    k = F.coalesce("k", F.lit(1))
+    run = run.join(hot, same, "left").drop(*drop).withColumn("_salt", F.pmod(F.xxhash64("row", "doc_id", "s"), k).cast("int")).drop("k")
+    hot = hot.withColumnsRenamed({c: f"_{c}" for c in drop})
+    there = F.lit(True)
+    for c in drop:
+        there = there & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    side = side.join(hot, there, "left").drop(*[f"_{c}" for c in drop])
+    side = side.withColumn("_t", F.explode(F.sequence(F.lit(0), k - 1))).drop("k")
+    return run.join(side, same & (F.col("_salt") == F.col("_t")), "left").drop(*drop, "_salt", "_t")
+
+
 def spans(docs: DataFrame, gone: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Spans of ``docs`` (row, doc_id, text) that repeat, in the columns of
     ``paragraphs.repeated``; ``gone`` (row, doc_id, line) are lines that go already."""
@@ -340,10 +399,11 @@ def spans(docs: DataFrame, gone: DataFrame, min_words: int = MIN_WORDS, similari
     with Steps(docs.sparkSession) as keep:
         lists = keep(arrow(docs, _anchor_lists(length), "row long, doc_id long, h array<long>, at array<int>"), "anchors")
         each = lists.select("row", "doc_id", F.explode(F.arrays_zip("h", "at")).alias("x"))
-        order = ["h", "z", "doc_id", "row", "at"]
-        each = each.select(F.col("x.h").alias("h"), F.col("doc_id").isNull().alias("z"), "doc_id", "row", F.col("x.at").alias("at"))
+        order = [F.col("h"), F.asc_nulls_last("doc_id"), F.col("row"), F.col("at")]
+        each = each.select("x.h", "doc_id", "row", "x.at")
         each = each.repartitionByRange(*order).sortWithinPartitions(*order)
         met = keep(arrow(each, _matches(length), _MATCHES), "matches")
+        keep.drop(lists)
         # an anchor in several tasks (two a task at most) has one first occurrence
         marks = met.where("mark").select("h", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row", "at").alias("p")).distinct()
         tops = keep(marks.groupBy("h").agg(F.min("p").alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "tops")
@@ -357,6 +417,7 @@ def spans(docs: DataFrame, gone: DataFrame, min_words: int = MIN_WORDS, similari
         all_ = all_.where(~near)
         by_doc = all_.groupBy("row", "doc_id").agg(F.collect_list(F.struct("h", "at", "row0", "doc0", "at0")).alias("m"))
         equal = keep(arrow(by_doc, _equal_runs(k, length), _EQUAL), "equal")
+        keep.drop(met, tops)
         # the words beside the first occurrences
         other = equal.where((F.col("row") != F.col("row0")) | ~F.col("doc_id").eqNullSafe(F.col("doc0")))
         counts = other.groupBy(F.col("row0").alias("r"), F.col("doc0").alias("d"), F.col("s0").alias("b")).agg((F.count(F.lit(1)) + 1).alias("n"))
@@ -371,13 +432,7 @@ def spans(docs: DataFrame, gone: DataFrame, min_words: int = MIN_WORDS, similari
                 .join(counts, (F.col("row0") == F.col("r")) & F.col("doc0").eqNullSafe(F.col("d")) & (F.col("s0") == F.col("b")))
                 .select("row0", "doc0", "s0", "n", F.struct("words", "chars", "lines").alias("before")))
         right = beside.where("side").select("row0", "doc0", F.col("b").alias("e0"), F.struct("words", "chars").alias("after"))
-        # a passage that most documents share is met by 16 tasks
-        salts = F.explode(F.sequence(F.lit(0), F.lit(15)))
-        run = equal.withColumn("salt", F.pmod(F.xxhash64("row", "doc_id", "s"), F.lit(16)).cast("int"))
-        for side, at in ((left, "s0"), (right, "e0")):
-            side = side.withColumnsRenamed({"row0": "r0", "doc0": "d0", at: "b0"}).withColumn("t", salts)
-            run = run.join(side, (F.col("row0") == F.col("r0")) & F.col("doc0").eqNullSafe(F.col("d0")) & (F.col(at) == F.col("b0"))
-                           & (F.col("salt") == F.col("t")), "left").drop("r0", "d0", "b0", "t")
+        run = _attach(_attach(equal, left, "s0", keep), right, "e0", keep)
         runs = run.groupBy(F.col("row").alias("r"), F.col("doc_id").alias("d")).agg(
             F.collect_list(F.struct("s", "e", "row0", "doc0", "s0", "e0", "n", "before", "after")).alias("runs"))
         lines = gone.groupBy(F.col("row").alias("r2"), F.col("doc_id").alias("d2")).agg(F.collect_set("line").alias("gone"))
