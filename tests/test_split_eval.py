@@ -8,7 +8,7 @@ from ticketlens.operators import drift as D
 from ticketlens.operators import evaluate as V
 from ticketlens.operators import runs as RU
 from ticketlens.operators import split as S
-from ticketlens.operators import features as FE
+from ticketlens.operators import joins as J
 from ticketlens.operators.features import encode_sequences, word_vocabulary
 from ticketlens.operators.ordering import ranked
 
@@ -105,7 +105,7 @@ def test_word_ids_by_shuffle_equal_those_by_broadcast(spark, monkeypatch):
     vocab = spark.createDataFrame([("a", 2), ("b", 3)], "word string, word_id int")
     q = spark.createDataFrame([(i, "a x a b") for i in range(50)] + [(50, None)], "tid long, text string")
     want = sorted(map(str, encode_sequences(q, vocab, "tid", max_len=5).collect()))
-    monkeypatch.setattr(FE, "VOCAB_BROADCAST_BYTES", 0)
+    monkeypatch.setattr(J, "BROADCAST_BYTES", 0)
     assert sorted(map(str, encode_sequences(q, vocab, "tid", max_len=5).collect())) == want
 
 

@@ -135,17 +135,21 @@ def numeric_drift(ref: DataFrame, cur: DataFrame | None, cols, method: str = "wa
     """Per feature KS statistic and p-value, normalised Wasserstein distance, and
     the verdict of ``method`` (see ``value_counts_by_side`` for ``cur=None``;
     ``ref_counts`` are the reference's ``value_counts`` where it is fixed)."""
-    if method not in ("wasserstein", "ks"):
-        raise ValueError(f"unknown method {method!r}")
-    g = [*keys, "feature"]
     if ref_counts is None:
         vc = value_counts_by_side(ref, cur, cols, keys=keys)
     else:
         now = value_counts(cur, cols, "n_cur").withColumn("n_ref", F.lit(0).cast("long"))
         vc = (ref_counts.withColumn("n_cur", F.lit(0).cast("long")).unionByName(now).groupBy("feature", "value")
               .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur")))
-    # one row per distinct value, read by several branches below: written once
-    vc = stored(vc, "values")
+    return numeric_from_counts(vc, method, keys)
+
+
+def numeric_from_counts(vc: DataFrame, method: str = "wasserstein", keys=()) -> DataFrame:
+    """J2 from ``(keys..., feature, value, n_ref, n_cur)``, one row per distinct value."""
+    if method not in ("wasserstein", "ks"):
+        raise ValueError(f"unknown method {method!r}")
+    g = [*keys, "feature"]
+    vc = stored(vc, "values")  # read by several branches below
     cdf = running_cdf(vc, keys)
     # All per-feature tables below have one row per (keys, feature): tiny.
     tot = vc.groupBy(*g).agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"),
@@ -183,10 +187,14 @@ def categorical_drift(ref: DataFrame, cur: DataFrame | None, cols, method: str =
 
     A value that the reference lacks makes p zero, as its expected count is; p is
     null beyond 1,000 values."""
+    return categorical_from_counts(value_counts_by_side(ref, cur, cols, cast="string", keys=keys), method, keys)
+
+
+def categorical_from_counts(vc: DataFrame, method: str = "jensenshannon", keys=()) -> DataFrame:
+    """J3 from ``(keys..., feature, value, n_ref, n_cur)``, one row per distinct value."""
     if method not in ("jensenshannon", "chisquare"):
         raise ValueError(f"unknown method {method!r}")
     g = [*keys, "feature"]
-    vc = value_counts_by_side(ref, cur, cols, cast="string", keys=keys)
     tot = vc.groupBy(*g).agg(F.sum("n_ref").alias("_nr"), F.sum("n_cur").alias("_nc"))
     s = vc.join(F.broadcast(tot), g).select(
         *g, (F.col("n_ref") / F.col("_nr")).alias("p"), (F.col("n_cur") / F.col("_nc")).alias("q"),
@@ -234,7 +242,29 @@ def drift_verdicts(ref: DataFrame, cur: DataFrame | None, numeric_cols, categori
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("status", F.when(F.col("drift_detected"), F.lit("DRIFT")).otherwise(F.lit("OK")))
+    return with_status(out)
+
+
+_VERDICT = ["method", "score", "threshold", "drift_detected"]
+
+
+def with_status(verdicts: DataFrame) -> DataFrame:
+    return verdicts.withColumn("status", F.when(F.col("drift_detected"), F.lit("DRIFT")).otherwise(F.lit("OK")))
+
+
+def verdicts_per_key(counts: DataFrame, ref_numeric: DataFrame, ref_categorical: DataFrame, key: str) -> DataFrame:
+    """J6 for each value of ``key`` (a window): ``counts`` are the current rows by
+    (key, feature, value, name) -- ``value`` of numeric features, ``name`` of
+    categorical ones -- and the reference's counts are by (feature, value)."""
+    parts = []
+    for column, ref, verdict in (("value", ref_numeric, numeric_from_counts), ("name", ref_categorical, categorical_from_counts)):
+        cur = counts.select(key, "feature", F.col(column).alias("value"), F.col("n").alias("n_cur")).where("value is not null")
+        met = F.broadcast(cur.select(key, "feature").distinct())  # windows that close at once, times features
+        both = (ref.join(met, "feature").select(key, "feature", "value", "n_ref", F.lit(0).cast("long").alias("n_cur"))
+                .unionByName(cur.select(key, "feature", "value", F.lit(0).cast("long").alias("n_ref"), "n_cur")))
+        vc = both.groupBy(key, "feature", "value").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+        parts.append(verdict(vc, keys=[key]).select(key, "feature", *_VERDICT))
+    return with_status(parts[0].unionByName(parts[1]))
 
 
 def dataset_drift(verdicts: DataFrame, share_limit: float = DATASET_SHARE_LIMIT) -> DataFrame:

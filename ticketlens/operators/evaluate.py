@@ -137,11 +137,22 @@ def confusion_pairs(df: DataFrame, truth_name: str, pred_name: str, top_n: int =
 
 
 def confidence_by_correctness(df: DataFrame, truth: str, pred: str, conf: str) -> DataFrame:
-    """Count, share, mean and median confidence for right vs wrong predictions."""
-    g = df.groupBy((F.col(truth) == F.col(pred)).alias("correct")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(conf), R).alias("mean_confidence"),
-        F.round(F.percentile(F.col(conf), F.lit(0.5)), R).alias("median_confidence"))
-    return g.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), R))
+    """Count, share, mean and median confidence for right vs wrong predictions.
+
+    The median is read off at its place in the global order (``ordering``), so no
+    task holds a group's values; a value that most rows share is split by row hash."""
+    from ticketlens.operators.ordering import ranked
+    rows = df.select((F.col(truth) == F.col(pred)).alias("correct"), F.col(conf).alias("_v"), F.xxhash64(*df.columns).alias("_h"))
+    known = ranked(rows.where("_v is not null"), [F.col("correct"), F.col("_v"), F.col("_h")], "_rank")
+    ends = known.groupBy("correct").agg(F.min("_rank").alias("_lo"), F.count(F.lit(1)).alias("_k"))  # a row a group
+    middle = known.join(F.broadcast(ends), known["correct"].eqNullSafe(ends["correct"])).drop(ends["correct"])
+    at = F.col("_rank") - F.col("_lo")
+    middle = middle.where((at == F.floor((F.col("_k") - 1) / 2)) | (at == F.floor(F.col("_k") / 2)))
+    median = middle.groupBy(F.col("correct").alias("_c")).agg(F.avg("_v").alias("_median"))
+    g = rows.groupBy("correct").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("_v"), R).alias("mean_confidence"))
+    g = g.join(F.broadcast(median), F.col("correct").eqNullSafe(F.col("_c")), "left").drop("_c")
+    return (g.withColumn("median_confidence", F.round("_median", R)).drop("_median")
+            .withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), R)))
 
 
 def threshold_sweep(df: DataFrame, truth: str, pred: str, conf: str,

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ticketlens import constants as K
 from ticketlens.functions import text as H
-from ticketlens.session import stored
+from ticketlens.operators.joins import lookup
 
 R = 6
 
@@ -152,22 +152,6 @@ def word_vocabulary(df: DataFrame, text_col: str = "text", min_count: int = K.VO
     return ranked(freq, [F.desc("n"), F.asc("word")], "_rank").select("word", "n", (F.col("_rank") + 1).cast("int").alias("word_id"))
 
 
-#: A vocabulary is broadcast up to this many bytes of words, and joined beyond.
-VOCAB_BROADCAST_BYTES = 16 << 20
-
-
-def with_word_ids(rows: DataFrame, vocab: DataFrame, salts: int = 16) -> DataFrame:
-    """``rows`` (with ``word``) and the ``word_id`` of known words.  A word that
-    is a third of all rows is met by many tasks either way."""
-    known = stored(vocab.select("word", "word_id"), "vocabulary")
-    size = known.agg(F.sum(F.octet_length("word") + 24)).first()[0] or 0
-    if size <= VOCAB_BROADCAST_BYTES:
-        return rows.join(F.broadcast(known), "word", "left")
-    spread = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
-            .join(spread, ["word", "_salt"], "left").drop("_salt"))
-
-
 def encode_sequences(df: DataFrame, vocab: DataFrame, id_col: str, text_col: str = "text",
                      max_len: int = K.MAX_SEQ_LENGTH) -> DataFrame:
     """Word ids (unknown -> 1), cut to ``max_len`` and right-padded with 0.
@@ -176,7 +160,7 @@ def encode_sequences(df: DataFrame, vocab: DataFrame, id_col: str, text_col: str
     can appear in the output, so the array is cut before the vocabulary join.
     """
     pos = df.select(id_col, F.posexplode(F.slice(H.words(F.lower(text_col)), 1, max_len)).alias("pos", "word"))
-    j = with_word_ids(pos, vocab)
+    j = lookup(pos, vocab.select("word", "word_id"), "word")
     j = j.withColumn("word_id", F.coalesce(F.col("word_id"), F.lit(K.UNK_ID)))
     seq = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "word_id"))).alias("_s"))
     seq = seq.select(id_col, F.transform("_s", lambda x: x["word_id"]).alias("_ids"))

@@ -99,13 +99,11 @@ def id_to_name(df: DataFrame, id_col: str, out_col: str, names) -> DataFrame:
 
 
 def dense_ids(df: DataFrame, name_col: str, id_col: str) -> DataFrame:
-    """Distinct names with a dense 0-based id in sorted-name order.
-
-    The window has no partition key, so it runs in one task: only use it on
-    a bounded set of names (categories, priorities), never on raw rows.
-    """
+    """Distinct names with a dense 0-based id in sorted-name order, by
+    positions in ranges (no task sorts all names)."""
+    from ticketlens.operators.ordering import ranked
     names = df.select(name_col).where(F.col(name_col).isNotNull()).distinct()
-    return names.withColumn(id_col, (F.dense_rank().over(Window.orderBy(name_col)) - 1).cast("int"))
+    return ranked(names, [F.asc(name_col)], "_rank").select(name_col, (F.col("_rank") - 1).cast("int").alias(id_col))
 
 
 def route_team(df: DataFrame, category_col: str = "category", out_col: str = "routing_team",

@@ -24,25 +24,37 @@ def metrics_long(df: DataFrame, model: str, metrics) -> DataFrame:
     return df.select(F.lit(model).alias("model"), pairs.alias("x")).select("model", "x.metric", "x.value")
 
 
+def _replace(df: DataFrame, path: str, *parts: str) -> None:
+    """Write ``df`` in folders by ``parts``, replacing the folders that it has rows
+    for: a job that is run again leaves its rows once, and other runs' rows alone."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
+
+
 def write_metrics(df: DataFrame, path: str, run: int = 0) -> None:
-    """A9 sink: append the metric records of a run as parquet."""
-    df.select(F.lit(run).cast("int").alias("run"), "model", "metric", "value").write.mode("append").parquet(path)
+    """A9 sink: the metric records of a run as parquet, a folder per run and model."""
+    _replace(df.select(F.lit(run).cast("int").alias("run"), "model", "metric", "value"), path, "run", "model")
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """A9 read-back: each model's latest value of each metric."""
-    rows = spark.read.schema("run int, model string, metric string, value double").parquet(path)
+    rows = spark.read.schema("metric string, value double, run int, model string").parquet(path)
     return rows.groupBy("model", "metric").agg(F.max_by("value", F.struct("run", "value")).alias("value"))
 
 
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """A10 read-back: the records of all runs."""
+    schema = "key string, value double, text string, step int, run_id string, kind string"
+    return spark.read.schema(schema).parquet(path).select("run_id", "kind", "key", "value", "text", "step")
+
+
 def record_run(spark: SparkSession, run_id: str, params: dict, metrics: DataFrame | None = None,
                path: str | None = None) -> DataFrame:
     """A10: experiment record ``runs(run_id, kind, key, value, text, step)``.
 
     Params are a driver-side dict (a handful of values): numbers go to
     ``value``, all of them as written to ``text``; metrics come as a
-    ``(key, value[, step])`` DataFrame computed by Spark.  Appends to
-    ``path`` when given.
+    ``(key, value[, step])`` DataFrame computed by Spark.  With a ``path`` they
+    are written there, in place of the run's records of the same kind.
     """
     number = lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
     p = spark.createDataFrame([(run_id, "param", k, number(v), str(v), None) for k, v in params.items()], RUN_SCHEMA)
@@ -54,7 +66,7 @@ def record_run(spark: SparkSession, run_id: str, params: dict, metrics: DataFram
                            step.alias("step"))
         out = out.unionByName(m)
     if path:
-        out.write.mode("append").parquet(path)
+        _replace(out, path, "run_id", "kind")
     return out
 
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ticketlens.plans import (  # noqa: F401
-    q_drift, q_eval, q_features, q_history, q_labels, q_models, q_profile, q_runs, q_scoring, q_sources,
-    q_split, q_streams)
+    q_drift, q_eval, q_features, q_labels, q_models, q_profile, q_runs, q_scoring, q_sources,
+    q_split, q_streams, q_training)
 from ticketlens.plans.registry import ORACLE, QUERIES
 
 

@@ -9,6 +9,7 @@ from ticketlens.functions import text as H
 from ticketlens.operators import labels as L
 from ticketlens.plans import fixtures as FX
 from ticketlens.plans import oracle as O
+from ticketlens.operators.joins import lookup
 from ticketlens.plans.registry import query
 from ticketlens.sources import tables as T
 
@@ -189,11 +190,10 @@ WITH dim AS (SELECT source AS label_name, CAST(dense_rank() OVER (ORDER BY sourc
 coded AS (SELECT d.doc_id, m.label FROM documents d JOIN dim m ON d.source = m.label_name)
 SELECT c.doc_id AS ticket_id, c.label, m.label_name FROM coded c JOIN dim m ON c.label = m.label""")
 def a2_label_id_names(spark, sf_dir):
-    """A2: corpora ship integer label ids; names come back by a broadcast join on
-    the label dimension (here built from the distinct raw labels, sorted)."""
+    """A2: corpora ship integer label ids; names come back by a lookup in the
+    label dimension (here built from the distinct raw labels, sorted), which is
+    broadcast if it is measured small and met in salted parts beyond."""
     a = T.load_corpus_a(spark, sf_dir)
     dim = L.dense_ids(a, "label_name", "label")
-    # The label set comes from the data, so no broadcast hint: AQE picks the
-    # broadcast at run time only when the measured size is small.
-    coded = a.join(dim, "label_name").select("ticket_id", "label")
-    return coded.join(dim, "label").select("ticket_id", "label", "label_name")
+    coded = lookup(a, dim, "label_name", "inner").select("ticket_id", "label")
+    return lookup(coded, dim, "label", "inner").select("ticket_id", "label", "label_name")

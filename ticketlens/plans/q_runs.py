@@ -70,32 +70,61 @@ def a9_metric_records(spark, sf_dir):
     return RU.read_metrics(spark, path)
 
 
-_WIDE = ", ".join(f"first(value) FILTER (WHERE metric = '{m}') AS {m}" for m in METRICS)
-_FLAGS = ", ".join(f"{m} = max({m}) OVER () AS best_{m}" for m in METRICS)
+#: Costs as a user records them beside the measured metrics: milliseconds a ticket
+#: and megabytes of the model (parameters of the comparison, not measured here).
+COSTS = [("arithmetic", "latency_ms", 0.02), ("arithmetic", "size_mb", 0.1),
+         ("logits", "latency_ms", 1.14), ("logits", "size_mb", 4.0)]
+COST_METRICS = ["latency_ms", "size_mb"]
+ALL_METRICS = METRICS + COST_METRICS
+
+
+def all_metrics(spark, sf_dir):
+    """Measured metrics and recorded costs, through the sink."""
+    path = scratch_path(spark, "metrics")
+    RU.write_metrics(metric_table(spark, sf_dir), path, run=1)
+    RU.write_metrics(spark.createDataFrame(COSTS, "model string, metric string, value double"), path, run=2)
+    return RU.comparison_table(RU.read_metrics(spark, path), ALL_METRICS)
+
+
+_COST_SQL = O.values(COSTS, ["model", "metric", "value"])
+_WIDE = ", ".join(f"CAST(first(value) FILTER (WHERE metric = '{m}') AS DOUBLE) AS {m}" for m in ALL_METRICS)
+_FLAGS = ", ".join([f"{m} = max({m}) OVER () AS best_{m}" for m in METRICS] + [f"{m} = min({m}) OVER () AS best_{m}" for m in COST_METRICS])
+_WIDE_SQL = f"(SELECT model, {_WIDE} FROM ({_LONG_SQL} UNION ALL SELECT * FROM {_COST_SQL}) x GROUP BY model) w"
 
 
 @query("i14_model_comparison", METRICS_SQL.replace(
     f"SELECT * FROM ({_LONG_SQL}) x",
-    f"SELECT *, {_FLAGS}, round(cat_f1 / max(cat_f1) OVER (), {R}) AS cat_f1_vs_best "
-    f"FROM (SELECT model, {_WIDE} FROM ({_LONG_SQL}) x GROUP BY model) w"))
+    f"SELECT *, {_FLAGS}, round(cat_f1 / max(cat_f1) OVER (), {R}) AS cat_f1_vs_best, "
+    f"round(max(CASE WHEN model = 'logits' THEN latency_ms END) OVER () / latency_ms, {R}) AS speed_up, "
+    f"round(max(CASE WHEN model = 'logits' THEN size_mb END) OVER () / size_mb, {R}) AS size_ratio "
+    f"FROM {_WIDE_SQL}"))
 def i14_model_comparison(spark, sf_dir):
-    """I14 + E8: the comparison table with best-in-column flags and a ratio to the best F1."""
-    wide = RU.comparison_table(metric_table(spark, sf_dir), METRICS)
-    wide = RU.best_flags(wide, maximize=METRICS)
+    """I14 + E8: the comparison table with latency and size, best-in-column flags
+    (largest metric, least cost), the ratio to the best F1, and speed-up and size
+    ratio over the logits model."""
     from pyspark.sql import Window
-    return wide.withColumn("cat_f1_vs_best", F.round(F.col("cat_f1") / F.max("cat_f1").over(Window.partitionBy()), R))
+    wide = RU.best_flags(all_metrics(spark, sf_dir), maximize=METRICS, minimize=COST_METRICS)
+    wide = wide.withColumn("cat_f1_vs_best", F.round(F.col("cat_f1") / F.max("cat_f1").over(Window.partitionBy()), R))
+    return RU.relative_to(RU.relative_to(wide, "latency_ms", "logits", "speed_up"), "size_mb", "logits", "size_ratio")
 
 
 @query("f4_best_model", METRICS_SQL.replace(
     f"SELECT * FROM ({_LONG_SQL}) x",
-    f"SELECT first(model ORDER BY cat_f1 DESC, model) AS model, max(cat_f1) AS cat_f1 "
-    f"FROM (SELECT model, {_WIDE} FROM ({_LONG_SQL}) x GROUP BY model) w"))
+    f"SELECT first(model ORDER BY cat_f1 DESC, model) AS model, max(cat_f1) AS cat_f1 FROM {_WIDE_SQL}"))
 def f4_best_model(spark, sf_dir):
     """the best model by category F1 (first name on ties)."""
     wide = RU.comparison_table(metric_table(spark, sf_dir), METRICS)
     return RU.best_model(wide, "cat_f1")
 
 
+@query("f4_fastest_model", METRICS_SQL.replace(
+    f"SELECT * FROM ({_LONG_SQL}) x",
+    f"SELECT first(model ORDER BY latency_ms, model) AS model, min(latency_ms) AS latency_ms FROM {_WIDE_SQL}"))
+def f4_fastest_model(spark, sf_dir):
+    """the fastest model (first name on ties)."""
+    return RU.best_model(all_metrics(spark, sf_dir), "latency_ms", largest=False)
+
+
 @query("a10_run_records", METRICS_SQL.replace(
     f"SELECT * FROM ({_LONG_SQL}) x",
     "SELECT * FROM (VALUES ('baseline', 'param', 'max_features', CAST(" + str(K.MAX_FEATURES) + f" AS DOUBLE), '{K.MAX_FEATURES}', CAST(NULL AS INTEGER)),"

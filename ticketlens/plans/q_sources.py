@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ticketlens import constants as K
+from ticketlens.operators import labels as L
 from ticketlens.plans import oracle as O
+from ticketlens.plans.q_drift import _with_drift, verdicts
 from ticketlens.plans.registry import query
 from ticketlens.session import scratch_path
 from ticketlens.sources import csv_records as C
@@ -59,3 +60,23 @@ SELECT * FROM (
 def a5_csv_rejects(spark, sf_dir):
     """A5: the records that do not, each with its reason."""
     return _read(spark, sf_dir).rejects.select("record", "reason")
+
+
+@query("a7_label_mappings", """
+SELECT 'label' AS kind, CAST(row_number() OVER (ORDER BY source) - 1 AS INTEGER) AS id, source AS name
+FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) s""")
+def a7_label_mappings(spark, sf_dir):
+    """The mapping of the raw labels, written as JSON and read again."""
+    dim = L.dense_ids(T.load_corpus_a(spark, sf_dir), "label_name", "id")
+    path = scratch_path(spark, "mappings")
+    SF.write_mappings(dim.select(F.lit("label").alias("kind"), "id", F.col("label_name").alias("name")), path)
+    return SF.read_mappings(spark, path)
+
+
+@query("a14_drift_report", _with_drift(
+    "SELECT *, CASE WHEN drift_detected THEN 'DRIFT' ELSE 'OK' END AS status FROM verdicts"))
+def a14_drift_report(spark, sf_dir):
+    """The drift report as a table in folders by scenario, written and read again."""
+    path, report = scratch_path(spark, "report"), verdicts(spark, sf_dir)
+    SF.write_table(report, path, partition_by="scenario")
+    return spark.read.schema(report.schema).parquet(path).select(*report.columns)

@@ -15,7 +15,7 @@ from ticketlens.plans import fixtures as FX
 from ticketlens.operators import drift as D
 from ticketlens import constants as K
 from ticketlens.sources import tables as T
-from ticketlens.plans.q_drift import NUMERIC_SQL, SPLIT
+from ticketlens.plans.q_drift import CATEGORICAL, CATEGORICAL_SQL, NUMERIC, NUMERIC_SQL, SPLIT, VERDICTS_SQL
 
 
 _K1_COLS = ["ticket_id", "category", "category_confidence", "priority", "priority_confidence",
@@ -97,6 +97,43 @@ def k3_drift_per_batch(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+# K3 by event time: daily windows of event tickets against the first week.
+REFERENCE_DAYS = 7
+_K3_WINDOWS = f"""ev AS (
+  SELECT e.ts, time_bucket(INTERVAL 1 DAY, e.ts) AS day, floor(e.value * 10.0) AS response_minutes, p.priority
+  FROM events e JOIN {_PRI} p ON e.event_type = p.event_type),
+bounds AS (SELECT min(day) + INTERVAL {REFERENCE_DAYS} DAY AS start, date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY AS mark FROM ev),
+cur AS (SELECT ev.* FROM ev, bounds WHERE day >= start AND day + INTERVAL 1 DAY <= mark),
+sides AS (
+  SELECT DISTINCT_DAYS.day AS scenario, 'ref' AS side, response_minutes, priority
+  FROM ev, bounds, (SELECT DISTINCT day FROM cur) DISTINCT_DAYS WHERE ev.day < start
+  UNION ALL SELECT day, 'cur', response_minutes, priority FROM cur)"""
+
+
+def _only(sql: str, columns: list[str], new: list[str], cast: str) -> str:
+    from ticketlens.plans.q_drift import _long
+    return sql.replace(_long(columns, cast), _long(new, cast))
+
+
+@query("k3_drift_windows", f"""WITH {_K3_WINDOWS}, {_only(NUMERIC_SQL, NUMERIC, ['response_minutes'], 'DOUBLE')},
+{_only(CATEGORICAL_SQL, CATEGORICAL, ['priority'], 'VARCHAR')}, {VERDICTS_SQL}
+SELECT scenario AS window_start, feature, method, score, threshold, drift_detected,
+       CASE WHEN drift_detected THEN 'DRIFT' ELSE 'OK' END AS status FROM verdicts""")
+def k3_drift_windows(spark, sf_dir):
+    """K3 on event time: each day that the watermark closes, against the first week."""
+    out, ckpt = ST.stream_paths(spark, "k3w")
+    events = T.read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value"])
+    first = events.agg(F.date_trunc("day", F.min("ts"))).first()[0]
+    start = F.lit(first).cast("timestamp") + F.expr(f"INTERVAL {REFERENCE_DAYS} DAYS")
+    minutes = F.floor("response_minutes").alias("response_minutes")
+    ref = event_tickets(spark, sf_dir).where(F.col("opened_at").cast("timestamp") < start).select(minutes, "priority")
+    src = event_tickets(spark, sf_dir, source=ST.file_stream(spark, T.table_path(sf_dir, "events"), ST.EVENTS_SCHEMA))
+    src = ST.with_event_time(src, "opened_at", "event_time").select("event_time", minutes, "priority")
+    ST.drift_per_window(src.where(F.col("event_time") >= start), ref, "event_time", "1 day", "1 day", ["response_minutes"], out, ckpt, ["priority"])
+    r = spark.read.schema(ST.WINDOW_VERDICTS).parquet(out)
+    return r.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).drop("batch_id")
+
+
 @query("j7_drift_alerts", O.with_tickets(
     f"SELECT feature, method, score FROM numeric WHERE method <> 'ks' AND score > {K.DRIFT_ALERT_SCORE}",
     SPLIT, _K3_SIDES, NUMERIC_SQL))
