@@ -96,3 +96,19 @@ def test_edge_cases(docs_of):
     got = mixing.mix(df).collect()
     assert len(got) == 6 and all(r.taken <= 2 * r["size"] for r in got)
     assert mixing.mix(df.limit(0)).collect() == []
+
+
+def test_equal_rows_are_one_unit_and_other_columns_tell_rows_apart(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 20)
+    seen = []
+    walk = mixing._walk
+    monkeypatch.setattr(mixing, "_walk", lambda final: seen.append(final) or walk(final))
+    rows = [(7, "same words here", "en", "a")] * 300 + [(i, f"text of number {i}", "en", "ab"[i % 2]) for i in range(400, 480)]
+    out = mixing.mix(docs_of(rows)).collect()
+    mine = [r.copies for r in out if r.doc_id == 7]
+    assert len(out) == 380 and len(mine) == 300 and max(mine) - min(mine) <= 1 and max(r.copies for r in out) <= 2
+    target = {r.target for r in out if r.doc_id == 7}.pop()
+    assert abs(sum(r.taken for r in out if r.doc_id == 7 or r.doc_id % 2 == 0 and r.doc_id >= 400) - target) <= 8
+    rows = [(1, "one two three", "en", "s1")] * 2 + [(1, "one two three", "en", "s2")] * 2
+    got = mixing.mixed(docs_of(rows), weights=(1, 1), share=2.0, cap=2.0).groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in got} == {"s1": 4, "s2": 4}

@@ -156,4 +156,4 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = crc_mod(F.col("doc_id"), 3)
     model = fit(docs, F.coalesce(fold != 1, F.lit(False)))
     out = identify(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+    return out.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")

@@ -146,34 +146,38 @@ def sample(rows: DataFrame, by: str = "source") -> DataFrame:
 
 def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights=(5, 2, 1),
         share: float = 1.5, cap: float = 2.0, row: str | None = None) -> DataFrame:
-    """One row per document: the id (and ``row`` if given), ``size``,
+    """One row per document (rows that repeat id, text and source share their copies): the id (and ``row`` if given), ``size``,
     ``source_size``, ``target`` of its source, ``copies`` and ``taken``."""
     extra = [F.col(f"`{row}`").alias("row")] if row else []
     docs = written(df.select(
         F.col(f"`{doc_id}`").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), *extra,
         F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("order"),
-        F.regexp_count(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(WORD)).cast("long").alias("size")), "sizes")
-    per = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+        F.regexp_count(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+        .groupBy("id", "source", *(["row"] if row else []), "order", "size").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    per = targets(docs.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size")), weights, share, cap)
     per = written(per.select(F.col("source").alias("__s"), "source_size", "target"), "targets")
     if per.count() <= SMALL:
         per = F.broadcast(per)
     pi = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
     docs = (docs.join(per, docs["source"].eqNullSafe(per["__s"])).drop("__s")
-            .withColumn("__pi", pi).withColumn("whole", F.floor("__pi")).withColumn("p", F.col("__pi") - F.col("whole"))
+            .withColumn("__pi", pi * F.col("m")).withColumn("whole", F.floor("__pi")).withColumn("p", F.col("__pi") - F.col("whole"))
             .drop("__pi"))
-    out = sample(docs)
+    # equal rows are one unit, whose copies they share as evenly as they can
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))
+    out = sample(docs).withColumn("__all", F.col("whole") + F.col("taken_one")).withColumn("__i", each)
+    copies = F.floor(F.col("__all") / F.col("m")) + F.when(F.col("__i") <= F.col("__all") % F.col("m"), 1).otherwise(0)
+    out = out.withColumn("copies", copies.cast("long"))
     return out.select(F.col("id").alias(doc_id), *([F.col("row").alias(row)] if row else []), "size", "source_size",
-                      "target", (F.col("whole") + F.col("taken_one")).alias("copies"),
-                      ((F.col("whole") + F.col("taken_one")) * F.col("size")).alias("taken"))
+                      "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """The rows of the mix: each row of ``df`` as often as :func:`mix` takes it."""
-    row = F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string"))
+    row = F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t])  # no function hashes maps
     plan = mix(df.withColumn("__row", row), doc_id, source, text, row="__row", **options)
     plan = written(plan.groupBy("__row").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__n")), "plan")
     docs = df.withColumn("__row", row)
-    if not plan.where("__n > 1").isEmpty():  # rows that repeat id and text share their copies
+    if not plan.where("__n > 1").isEmpty():  # rows that are equal throughout share their copies
         docs = docs.dropDuplicates(["__row"])
     taken = docs.join(plan.where("__copies > 0"), "__row")
     return (taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))

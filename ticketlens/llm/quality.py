@@ -242,4 +242,4 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels", "doc_id", "quality")
     fold = crc_mod(F.col("doc_id"), 4)
     model = fit(docs, labels, F.coalesce(fold != 2, F.lit(False)))
-    return score(docs, model).select("doc_id", (fold == 2).alias("held_out"), "score", "predicted")
+    return score(docs, model).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", "predicted")

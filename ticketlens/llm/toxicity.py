@@ -221,4 +221,4 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels", "doc_id", "toxic")
     held = crc_mod(F.col("doc_id"), 5)
     model = fit(docs, labels, F.coalesce(held != 0, F.lit(False)))
-    return score(docs, model).select("doc_id", (held == 0).alias("held_out"), "score", "predicted", "n_hits")
+    return score(docs, model).select("doc_id", F.coalesce(held == 0, F.lit(False)).alias("held_out"), "score", "predicted", "n_hits")
