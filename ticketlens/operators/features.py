@@ -2,106 +2,145 @@
 
 TF-IDF plan (fit on the training rows, transform all rows)::
 
-    text --tokens/ngrams (projection)--> explode --groupBy(doc, term)--> counts
-    counts[train] --groupBy(term) sum--> top-k vocabulary (<= max_features rows)
-    counts[train] semi-join vocab --groupBy(term) count--> df -> idf
-    counts semi-join vocab, join idf --> (1 + ln tf) * idf --> L2 per doc
-
-* Documents are hash-partitioned by id once (raw text crosses the network,
-  not the exploded terms); the ``(doc, term)`` aggregate, the per-document
-  L2 norm and the joins on the id reuse that partitioning.
+    text --tokens (projection)--> terms of each row with their counts (Arrow, in the row)
+    counts[train] --explode, groupBy(term)--> corpus count and document frequency
+                  --top k--> vocabulary (<= max_features rows) with idf
+    counts --weights and norm (Arrow, in the row)--> (id, term, weight)
+
+* A row holds a whole document, so its counts and its norm need no shuffle; the
+  only one is that of the vocabulary, map-side combined per term.
 * The vocabulary (and idf / coefficient tables keyed by it) is bounded by
   ``max_features`` -- that bound is what makes broadcasting it safe.
-* The L2 norm is a per-document aggregate joined back on the document key.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticketlens import constants as K
 from ticketlens.functions import text as H
 from ticketlens.operators.joins import lookup
+from ticketlens.session import ship
 
 R = 6
+#: Tokens counted at once in a task (or one row).
+_TOKENS = 1 << 20
+
+
+def _chunks(lengths: np.ndarray, most: int):
+    """Row ranges of at most ``most`` elements each (or one row)."""
+    ends, at = np.cumsum(lengths), 0
+    while at < len(ends):
+        base = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
+        yield at, stop
+        at = stop
+
+
+def _count_terms(first: int, last: int):
+    """(..., tokens) -> the same rows with the distinct terms of the n-gram range and their counts."""
+    def count(tokens: pa.ListArray) -> pa.ListArray:
+        lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, doc = tokens.flatten(), np.repeat(np.arange(len(tokens)), lengths)
+        terms, docs = ([flat], [doc]) if first <= 1 else ([], [])
+        if last >= 2 and len(flat) > 1:
+            same = doc[1:] == doc[:-1]
+            terms.append(pc.binary_join_element_wise(flat[:-1], flat[1:], " ").filter(pa.array(same)))
+            docs.append(doc[1:][same])
+        coded = pa.concat_arrays([t.cast(pa.string()) for t in terms] or [pa.array([], pa.string())]).dictionary_encode()
+        m = max(len(coded.dictionary), 1)
+        found, n = np.unique(np.concatenate([*docs, np.zeros(0, np.int64)]) * m + coded.indices.to_numpy().astype(np.int64), return_counts=True)
+        ends = np.searchsorted(found, np.arange(len(tokens) + 1) * m).astype(np.int32)
+        values = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(found % m)), pa.array(n.astype(np.int32))], names=["term", "tf"])
+        return pa.ListArray.from_arrays(pa.array(ends), values)
+
+    def run(batches):
+        for batch in batches:
+            tokens = batch.column(batch.num_columns - 1)
+            lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+            for a, b in _chunks(lengths, _TOKENS):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], count(pa.concat_arrays([tokens.slice(a, b - a)]))],
+                                                 names=[*batch.schema.names[:-1], "terms"])
+    return run
+
+
+def document_terms(df: DataFrame, id_col: str, text_col: str = "text", ngram_range=K.NGRAM_RANGE, keep=()) -> DataFrame:
+    """``(id, *keep, terms)``: each row's distinct uni- (and bi-) grams with their
+    counts, as ``array<struct<term, tf>>``."""
+    ship(df.sparkSession)
+    rows = df.select(id_col, *keep, H.tokens(text_col).alias("_tok"))
+    terms = T._parse_datatype_string("array<struct<term:string,tf:int>>")
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("terms", terms)])
+    return rows.mapInArrow(_count_terms(*ngram_range), schema)
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str = "text",
                 ngram_range=K.NGRAM_RANGE, keep=()) -> DataFrame:
-    """``(id, *keep, term, tf)``: uni- (and bi-) gram counts per document.
+    """``(id, *keep, term, tf)``: uni- (and bi-) gram counts per row."""
+    rows = document_terms(df, id_col, text_col, ngram_range, keep)
+    return rows.select(id_col, *keep, F.inline("terms"))
 
-    ``keep`` columns must be functions of the id (e.g. a train flag).
-    """
-    from pyspark.ml.feature import NGram
-    # Partition documents by id before exploding: the (id, term) aggregate, the
-    # per-document norm and the joins on id then reuse this partitioning, and
-    # the shuffle carries raw text instead of the larger exploded terms.
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tok = (df.select(id_col, *keep, text_col).repartition(n, id_col)
-             .select(id_col, *keep, H.tokens(text_col).alias("_tok")))
-    if ngram_range[1] >= 2:
-        # Spark ML's NGram (JVM-side) is faster than a zip_with lambda here
-        tok = NGram(n=2, inputCol="_tok", outputCol="_bi").transform(tok)
-        terms = F.col("_bi") if ngram_range[0] >= 2 else F.concat("_tok", "_bi")
-    else:
-        terms = F.col("_tok")
-    ex = tok.select(id_col, *keep, F.explode(terms).alias("term"))
-    return ex.groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def vocabulary(counts: DataFrame, max_features: int = K.MAX_FEATURES) -> DataFrame:
-    """The ``max_features`` terms with the highest corpus count (ties by term),
-    numbered in term order like a fitted vectoriser's feature index."""
-    total = counts.groupBy("term").agg(F.sum("tf").alias("corpus_count"))
+
+def vocabulary(counts: DataFrame, n_docs: int, max_features: int = K.MAX_FEATURES) -> DataFrame:
+    """I1 + I2: the ``max_features`` terms with the highest corpus count (ties by
+    term), numbered in term order like a fitted vectoriser's feature index, with
+    document frequency and smoothed idf = ln((1 + n) / (1 + df)) + 1."""
+    total = counts.groupBy("term").agg(F.sum("tf").alias("corpus_count"), F.count(F.lit(1)).alias("df"))
     top = total.orderBy(F.desc("corpus_count"), F.asc("term")).limit(max_features)
     # At most max_features rows: the window over them is bounded.
     from pyspark.sql import Window
-    return top.withColumn("feature_index", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
-
-
-def idf_table(train_counts: DataFrame, vocab: DataFrame, n_docs_df: DataFrame, id_col: str) -> DataFrame:
-    """Smoothed idf = ln((1 + n) / (1 + df)) + 1 for every vocabulary term."""
-    v = F.broadcast(vocab.select("term"))
-    dfreq = (train_counts.join(v, "term", "left_semi")
-             .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    n = n_docs_df.scalar()
-    return dfreq.select("term", "df", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-
-
-def tfidf(counts: DataFrame, idf: DataFrame, id_col: str, round_to: int | None = None) -> DataFrame:
-    """``(id, term, weight)`` with sublinear tf and per-document L2 norm.
-
-    The norm is a window per document over data already partitioned by id,
-    so it adds a sort, not a shuffle.
-    """
-    from pyspark.sql import Window
-    j = counts.join(F.broadcast(idf.select("term", "idf")), "term", "inner")
-    j = j.withColumn("_w", (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
-    out = j.withColumn("weight", F.col("_w") / norm)
-    if round_to is not None:
-        out = out.withColumn("weight", F.round("weight", round_to))
-    return out.select(id_col, "term", "weight")
+    return top.select("term", "corpus_count", (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("feature_index"),
+                      "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+
+
+def _weigh(words: list[str], idf: np.ndarray):
+    """(id, terms) -> a row per term of the vocabulary with its weight."""
+    known = pa.array(words, pa.string())
+
+    def run(batches):
+        for batch in batches:
+            terms = batch.column(1)
+            lengths = pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, b in _chunks(lengths, _TOKENS):
+                flat = terms.slice(a, b - a).flatten()
+                at = pc.index_in(flat.field(0), value_set=known)
+                here = pc.is_valid(at).to_numpy(zero_copy_only=False)
+                doc = np.repeat(np.arange(b - a), lengths[a:b])[here]
+                w = (1.0 + np.log(flat.field(1).to_numpy().astype(np.float64)[here])) * idf[at.drop_null().to_numpy()]
+                norm = np.sqrt(np.bincount(doc, w * w, minlength=b - a))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(doc)), flat.field(0).filter(pa.array(here)),
+                                                  pa.array(w / norm[doc])], names=[*batch.schema.names[:1], "term", "weight"])
+    return run
+
+
+def tfidf(terms: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
+    """``(id, term, weight)`` with sublinear tf and the L2 norm of each row,
+    from ``document_terms`` and the (bounded) vocabulary."""
+    ship(terms.sparkSession)
+    rows = vocab.select("term", "idf").orderBy("term").collect()  # max_features rows
+    schema = T.StructType([terms.schema[id_col], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+    return terms.select(id_col, "terms").mapInArrow(_weigh([r["term"] for r in rows], np.array([r["idf"] for r in rows])), schema)
 
 
 def fit_transform_tfidf(df: DataFrame, id_col: str, train_filter, text_col: str = "text",
                         max_features: int = K.MAX_FEATURES, stage=None):
     """I1 + I2: returns ``(weights, vocabulary, idf)`` fitted on ``train_filter`` rows.
 
-    The per-(doc, term) counts feed the vocabulary, the document frequencies
-    and the weights.  ``stage`` (e.g. writing a table, ``session.stored``) is
-    applied to the counts, the vocabulary and the idf table before later steps
-    use them, so each is computed once and nothing stays in executor storage.
+    ``stage`` (e.g. writing a table, ``session.stored``) is applied to the rows'
+    terms and the vocabulary before later steps use them, so each is computed
+    once and nothing stays in executor storage.
     """
     stage = stage or (lambda x: x)
-    flagged = df.select(id_col, text_col, train_filter.alias("_train"))
-    counts = stage(term_counts(flagged, id_col, text_col, keep=["_train"]))
-    train_counts = counts.filter(F.col("_train"))
-    vocab = stage(vocabulary(train_counts, max_features))
-    n_docs = flagged.filter(F.col("_train")).agg(F.count(F.lit(1)).alias("n_docs"))
-    idf = stage(idf_table(train_counts, vocab, n_docs, id_col))
-    return tfidf(counts.drop("_train"), idf, id_col), vocab, idf
+    terms = stage(document_terms(df.select(id_col, text_col, train_filter.alias("_train")), id_col, text_col, keep=["_train"]))
+    train = terms.where("_train")
+    vocab = stage(vocabulary(train.select(F.inline("terms")), train.count(), max_features))
+    return (tfidf(terms, vocab, id_col), vocab.select("term", "corpus_count", "feature_index"), vocab.select("term", "df", "idf"))
 
 
 def centroid_coefficients(weights: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
