@@ -52,14 +52,17 @@ def _runs(h: np.ndarray, k: int) -> np.ndarray:
     return _mix(x[:n] * _FACTORS[3] + x[k - m:k - m + n])
 
 
-def _anchors(h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of all runs of ``length`` words: of the
-    runs of k words in one, the first with the least hash.  Neighbouring anchors
-    overlap or touch.  Those of one word over and over are left out."""
+def _anchors(h: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors of all runs of ``length`` words inside one
+    document: of the runs of k words in one, the first with the least hash.
+    Neighbouring anchors overlap or touch.  Those of one word over and over are
+    left out."""
     k = anchor_words(length)
+    if len(h) < length:
+        return np.zeros(0, dtype=np.int64), h[:0]
     s = _runs(h, k)
-    at = _first_least(s, length - k + 1)
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
+    at = _first_least(s, length - k + 1)[doc[:len(h) - length + 1] == doc[length - 1:]]
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
     if k > 1:
         new = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
         at = at[new[at + k - 1] > new[at]]
@@ -106,28 +109,26 @@ def _anchor_lists(length: int):
         hashes = _Hashes()
         for batch in batches:
             for a, b in slices(batch.column(2), 2 << 20):
-                part, rows, docs, values, places = batch.slice(a, b - a), [], [], [], []
-                for row, doc, text in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    words = text.encode().lower().split() if text else []
-                    if len(words) >= length:
-                        at, v = _anchors(_word_hashes(words, hashes), length)
-                        rows.append(row)
-                        docs.append(doc)
-                        values.append(v.view(np.int64))
-                        places.append(at.astype(np.int32))
-                if rows:
-                    ends = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(rows, pa.int64()), pa.array(docs, pa.int64()),
-                         pa.ListArray.from_arrays(ends, pa.array(np.concatenate(values))),
-                         pa.ListArray.from_arrays(ends, pa.array(np.concatenate(places)))], names=["row", "doc_id", "h", "at"])
+                part = batch.slice(a, b - a)
+                # all texts of the slice as one sequence of words
+                words = [t.encode().lower().split() if t else [] for t in part.column(2).to_pylist()]
+                sizes = np.array([len(w) for w in words])
+                starts = np.concatenate([[0], np.cumsum(sizes)])
+                doc = np.repeat(np.arange(len(words)), sizes)
+                at, v = _anchors(_word_hashes([w for ws in words for w in ws], hashes), doc, length)
+                of = doc[at]
+                ends = pa.array(np.searchsorted(of, np.arange(len(words) + 1)).astype(np.int32))
+                out = pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.ListArray.from_arrays(ends, pa.array(v.view(np.int64))),
+                     pa.ListArray.from_arrays(ends, pa.array((at - starts[of]).astype(np.int32)))], names=["row", "doc_id", "h", "at"])
+                yield out.filter(pa.array(np.diff(ends.to_numpy()) > 0))
     return run
 
 
 _MATCHES = "h long, row long, doc_id long, at int, row0 long, doc0 long, at0 int, mark boolean"
 
 
-def _matches(length: int):
+def _matches():
     """Sorted rows (h, doc_id, row, at) of a task -> each with the first of its
     ``h`` in the task, if there is an earlier one; ``mark`` rows name the first of
     the first and the last ``h``, which may stand in other tasks."""
@@ -151,7 +152,7 @@ def _matches(length: int):
                     if now is None:
                         out.append((v, *place, *place, True))
                     now, first = v, place
-                elif place != last and not (place[:2] == first[:2] and at < first[2] + length):
+                elif place != last:
                     out.append((v, *place, *first, False))
                 last = place
             yield table(out)
@@ -302,29 +303,40 @@ def _verified(min_words: int, similarity: float):
     def run(batches):
         hashes = _Hashes()
         for batch in batches:
-            for row, doc, text, gone, runs in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            ends, flat = batch.column(4).offsets.to_numpy(), batch.column(4).values
+            plain = list(zip(*(flat.field(c).to_pylist() for c in ("s", "e", "row0", "doc0", "s0", "e0", "n"))))
+            before, after = flat.field("before"), flat.field("after")
+            known = (before.is_valid().to_numpy(zero_copy_only=False) & after.is_valid().to_numpy(zero_copy_only=False)).tolist()
+
+            def nested(column, name):
+                lists = column.field(name)
+                at, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+                return lambda i: values[at[i]:at[i + 1]]
+            words_before, words_after = nested(before, "words"), nested(after, "words")
+            starts0, lines0, stops0 = nested(before, "chars"), nested(before, "lines"), nested(after, "chars")
+            for i, (row, doc, text, gone) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
+                mine = [j for j in range(ends[i], ends[i + 1]) if known[j] or (plain[j][2] == row and plain[j][3] == doc)]
                 raw = (text or "").encode()
                 h = _short(_word_hashes(raw.lower().split(), hashes))
-                runs = [r for r in runs if (r["before"] and r["after"]) or (r["row0"], r["doc0"]) == (row, doc)]
-                if not runs or max(r["e"] for r in runs) > len(h):  # another text of the same hash and id
+                if not mine or max(plain[j][1] for j in mine) > len(h):  # another text of the same hash and id
                     continue
                 start, stop, line = _places(raw)
                 of: dict = {}
-                for r in runs:
-                    own = (r["row0"], r["doc0"]) == (row, doc)
-                    before = _agree(h[:r["s"]][::-1], h[:r["s0"]][::-1] if own else np.array(r["before"]["words"], dtype=np.int32))
-                    after = _agree(h[r["e"]:], h[r["e0"]:] if own else np.array(r["after"]["words"], dtype=np.int32))
-                    s, e, s0, e0 = r["s"] - before, r["e"] + after, r["s0"] - before, r["e0"] + after
-                    of.setdefault((r["row0"], r["doc0"]), []).append(
-                        {"s": s, "e": e, "s0": s0, "e0": e0, "same": e - s - SHINGLE + 1, "n": r["n"] or 2, "row0": r["row0"], "doc0": r["doc0"],
-                         "start0": int(start[s0]) if own else r["before"]["chars"][before],
-                         "line0": int(line[s0]) if own else r["before"]["lines"][before],
-                         "stop0": int(stop[e0 - 1]) if own else r["after"]["chars"][after]})
+                for j in mine:
+                    s, e, row0, doc0, s0, e0, n = plain[j]
+                    own = row0 == row and doc0 == doc
+                    left = _agree(h[:s][::-1], h[:s0][::-1] if own else words_before(j))
+                    right = _agree(h[e:], h[e0:] if own else words_after(j))
+                    s, e, s0, e0 = s - left, e + right, s0 - left, e0 + right
+                    of.setdefault((row0, doc0), []).append(
+                        {"s": s, "e": e, "s0": s0, "e0": e0, "same": e - s - SHINGLE + 1, "n": n or 2, "row0": row0, "doc0": doc0,
+                         "start0": int(start[s0] if own else starts0(j)[left]), "line0": int(line[s0] if own else lines0(j)[left]),
+                         "stop0": int(stop[e0 - 1] if own else stops0(j)[right])})
                 found = []
                 for some in of.values():
                     found += _joined(sorted(some, key=lambda r: (r["s"], r["s0"])), min_words, similarity)
                 out, merged = [], []
-                for r in sorted(found, key=lambda r: (r["s"], -r["e"])):
+                for r in sorted(found, key=lambda r: (r["s"], -r["e"], r["doc0"] is None, r["doc0"] or 0, r["row0"], r["s0"])):
                     if gone and line[r["s"]] == line[r["e"] - 1] and int(line[r["s"]]) in gone:
                         continue
                     if len(set(h[r["s"]:r["e"]].tolist())) == 1:
@@ -402,7 +414,7 @@ def spans(docs: DataFrame, gone: DataFrame, min_words: int = MIN_WORDS, similari
         order = [F.col("h"), F.asc_nulls_last("doc_id"), F.col("row"), F.col("at")]
         each = each.select("x.h", "doc_id", "row", "x.at")
         each = each.repartitionByRange(*order).sortWithinPartitions(*order)
-        met = keep(arrow(each, _matches(length), _MATCHES), "matches")
+        met = keep(arrow(each, _matches(), _MATCHES), "matches")
         keep.drop(lists)
         # an anchor in several tasks (two a task at most) has one first occurrence
         marks = met.where("mark").select("h", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row", "at").alias("p")).distinct()
@@ -426,7 +438,7 @@ def spans(docs: DataFrame, gone: DataFrame, min_words: int = MIN_WORDS, similari
         asked = keep(asked.groupBy("r", "d").agg(F.collect_list(F.struct("side", "b")).alias("wanted")), "asked")
         size = asked.agg(F.sum(F.size("wanted") * 8 + 64)).first()[0] or 0
         asked = F.broadcast(asked) if size <= BROADCAST_BYTES else asked
-        beside = keep(arrow(docs.join(asked, here("r", "d")).select("row", "doc_id", "text", "wanted"), _borders(length), _BORDERS)
+        beside = keep(arrow(docs.join(asked, here("r", "d")).select("row", "doc_id", "text", "wanted"), _borders(length - k + 1), _BORDERS)
                       .dropDuplicates(["row0", "doc0", "side", "b"]), "beside")
         left = (beside.where("not side").withColumnRenamed("b", "s0")
                 .join(counts, (F.col("row0") == F.col("r")) & F.col("doc0").eqNullSafe(F.col("d")) & (F.col("s0") == F.col("b")))
