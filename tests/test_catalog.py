@@ -11,8 +11,6 @@ import __spark_entry__ as E
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 SQL = E.oracle_sql()
-SLOW = {"i4_category_model", "i5_priority_model", "i6_class_probabilities", "i7_two_head_scoring",
-        "i4_i5_accuracy_by_split", "i8_lr_relational_scoring", "i12_word2vec_classifier"}
 
 
 def _norm(v):
@@ -46,7 +44,7 @@ def test_matches_oracle(spark, duck, sf_small, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(SQL)))
 def test_rows_only_queries_run(spark, sf_small, name):
     df = E.queries()[name](spark, sf_small)
     assert df.count() >= 0 and len(df.columns) > 0

@@ -11,7 +11,7 @@ from ticketlens.operators import models as M
 from ticketlens.operators import runs as RU
 from ticketlens.operators import scoring as S
 from ticketlens.plans import fixtures as FX
-from ticketlens.session import scratch_path
+from ticketlens.session import scratch_path, stored
 from ticketlens.sources import files as SF
 from ticketlens.sources.tables import require_columns
 
@@ -20,9 +20,10 @@ from ticketlens.sources.tables import require_columns
 def fitted(spark, sf_small):
     st = FX.split_tickets(spark, sf_small)
     weights, vocab, _ = FE.fit_transform_tfidf(st, "ticket_id", F.col("split") == "train", max_features=500)
-    weights, vocab = weights.checkpoint(), vocab.checkpoint()
+    weights, vocab = stored(weights, "weights"), stored(vocab, "vocab")
     vec = M.feature_vectors(weights, vocab, "ticket_id", 500, ids=st)
-    data = vec.join(st.select("ticket_id", "split", "category_id"), "ticket_id").checkpoint()
+    data = vec.join(st.select("ticket_id", "split", "category_id"), "ticket_id")
+    data = stored(data, "data")
     train = data.filter(F.col("split") == "train")
     model = M.fit_head(train, "category_id", max_iter=500, prefix="cat_")
     return st, weights, vocab, data, train, model

@@ -2,13 +2,14 @@
 
 TF-IDF plan (fit on the training rows, transform all rows)::
 
-    text --tokens (projection)--> terms of each row with their counts (Arrow, in the row)
-    counts[train] --explode, groupBy(term)--> corpus count and document frequency
-                  --top k--> vocabulary (<= max_features rows) with idf
-    counts --weights and norm (Arrow, in the row)--> (id, term, weight)
+    text[train] --tokens (projection)--> counts per term of many rows (Arrow)
+                --groupBy(term)--> corpus count and document frequency
+                --top k--> vocabulary (<= max_features rows) with idf
+    text --tokens--> counts, weights and norm in the row (Arrow) --> (id, term, weight)
 
 * A row holds a whole document, so its counts and its norm need no shuffle; the
-  only one is that of the vocabulary, map-side combined per term.
+  only one is that of the vocabulary, combined per term over about a million
+  tokens before it.
 * The vocabulary (and idf / coefficient tables keyed by it) is bounded by
   ``max_features`` -- that bound is what makes broadcasting it safe.
 """
@@ -42,56 +43,51 @@ def _chunks(lengths: np.ndarray, most: int):
         at = stop
 
 
-def _count_terms(first: int, last: int):
-    """(..., tokens) -> the same rows with the distinct terms of the n-gram range and their counts."""
-    def count(tokens: pa.ListArray) -> pa.ListArray:
-        lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat, doc = tokens.flatten(), np.repeat(np.arange(len(tokens)), lengths)
-        terms, docs = ([flat], [doc]) if first <= 1 else ([], [])
-        if last >= 2 and len(flat) > 1:
-            same = doc[1:] == doc[:-1]
-            terms.append(pc.binary_join_element_wise(flat[:-1], flat[1:], " ").filter(pa.array(same)))
-            docs.append(doc[1:][same])
-        coded = pa.concat_arrays([t.cast(pa.string()) for t in terms] or [pa.array([], pa.string())]).dictionary_encode()
-        m = max(len(coded.dictionary), 1)
-        found, n = np.unique(np.concatenate([*docs, np.zeros(0, np.int64)]) * m + coded.indices.to_numpy().astype(np.int64), return_counts=True)
-        ends = np.searchsorted(found, np.arange(len(tokens) + 1) * m).astype(np.int32)
-        values = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(found % m)), pa.array(n.astype(np.int32))], names=["term", "tf"])
-        return pa.ListArray.from_arrays(pa.array(ends), values)
+def _terms(tokens: pa.ListArray, first: int, last: int) -> tuple[pa.Array, np.ndarray]:
+    """The n-grams of the rows (as they come, unigrams first), and the row of each."""
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, doc = tokens.flatten(), np.repeat(np.arange(len(tokens)), lengths)
+    terms, docs = ([flat], [doc]) if first <= 1 else ([], [])
+    if last >= 2 and len(flat) > 1:
+        same = doc[1:] == doc[:-1]
+        terms.append(pc.binary_join_element_wise(flat[:-1], flat[1:], " ").filter(pa.array(same)))
+        docs.append(doc[1:][same])
+    return (pa.concat_arrays([t.cast(pa.string()) for t in terms] or [pa.array([], pa.string())]),
+            np.concatenate([*docs, np.zeros(0, np.int64)]))
 
-    def run(batches):
-        for batch in batches:
-            tokens = batch.column(batch.num_columns - 1)
-            lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-            for a, b in _chunks(lengths, _TOKENS):
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], count(pa.concat_arrays([tokens.slice(a, b - a)]))],
-                                                 names=[*batch.schema.names[:-1], "terms"])
-    return run
 
+def _slices(batches):
+    """Parts of the batches with about a million tokens (the last column) each."""
+    for batch in batches:
+        tokens = batch.column(batch.num_columns - 1)
+        lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        for a, b in _chunks(lengths, _TOKENS):
+            yield batch.slice(a, b - a)
 
-def document_terms(df: DataFrame, id_col: str, text_col: str = "text", ngram_range=K.NGRAM_RANGE, keep=()) -> DataFrame:
-    """``(id, *keep, terms)``: each row's distinct uni- (and bi-) grams with their
-    counts, as ``array<struct<term, tf>>``."""
-    ship(df.sparkSession)
-    rows = df.select(id_col, *keep, H.tokens(text_col).alias("_tok"))
-    terms = T._parse_datatype_string("array<struct<term:string,tf:int>>")
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("terms", terms)])
-    return rows.mapInArrow(_count_terms(*ngram_range), schema)
 
-
-def term_counts(df: DataFrame, id_col: str, text_col: str = "text",
-                ngram_range=K.NGRAM_RANGE, keep=()) -> DataFrame:
-    """``(id, *keep, term, tf)``: uni- (and bi-) gram counts per row."""
-    rows = document_terms(df, id_col, text_col, ngram_range, keep)
-    return rows.select(id_col, *keep, F.inline("terms"))
+def _corpus_counts(first: int, last: int):
+    """tokens -> term, its occurrences and its documents among many rows."""
+    def run(batches):
+        for part in _slices(batches):
+            terms, doc = _terms(part.column(0), first, last)
+            coded = terms.dictionary_encode()
+            m = max(len(coded.dictionary), 1)
+            code = coded.indices.to_numpy().astype(np.int64)
+            in_docs = np.unique(doc * m + code) % m
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary, pa.array(np.bincount(code, minlength=m)[:len(coded.dictionary)].astype(np.int64)),
+                 pa.array(np.bincount(in_docs, minlength=m)[:len(coded.dictionary)].astype(np.int64))], names=["term", "tf", "df"])
+    return run
 
 
-def vocabulary(counts: DataFrame, n_docs: int, max_features: int = K.MAX_FEATURES) -> DataFrame:
-    """I1 + I2: the ``max_features`` terms with the highest corpus count (ties by
-    term), numbered in term order like a fitted vectoriser's feature index, with
-    document frequency and smoothed idf = ln((1 + n) / (1 + df)) + 1."""
-    total = counts.groupBy("term").agg(F.sum("tf").alias("corpus_count"), F.count(F.lit(1)).alias("df"))
+def vocabulary(df: DataFrame, text_col: str = "text", max_features: int = K.MAX_FEATURES, ngram_range=K.NGRAM_RANGE) -> DataFrame:
+    """I1 + I2: the ``max_features`` uni- (and bi-) grams with the highest corpus
+    count (ties by term), numbered in term order like a fitted vectoriser's feature
+    index, with document frequency and smoothed idf = ln((1 + n) / (1 + df)) + 1."""
+    ship(df.sparkSession)
+    n_docs = df.count()
+    counts = df.select(H.tokens(text_col).alias("_tok")).mapInArrow(_corpus_counts(*ngram_range), "term string, tf long, df long")
+    total = counts.groupBy("term").agg(F.sum("tf").alias("corpus_count"), F.sum("df").alias("df"))
     top = total.orderBy(F.desc("corpus_count"), F.asc("term")).limit(max_features)
     # At most max_features rows: the window over them is bounded.
     from pyspark.sql import Window
@@ -99,48 +95,42 @@ def vocabulary(counts: DataFrame, n_docs: int, max_features: int = K.MAX_FEATURE
                       "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
-def _weigh(words: list[str], idf: np.ndarray):
-    """(id, terms) -> a row per term of the vocabulary with its weight."""
-    known = pa.array(words, pa.string())
+def _weigh(words: list[str], idf: np.ndarray, first: int, last: int):
+    """(id, tokens) -> a row per term of the vocabulary with its weight."""
+    known, m = pa.array(words, pa.string()), max(len(words), 1)
 
     def run(batches):
-        for batch in batches:
-            terms = batch.column(1)
-            lengths = pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b in _chunks(lengths, _TOKENS):
-                flat = terms.slice(a, b - a).flatten()
-                at = pc.index_in(flat.field(0), value_set=known)
-                here = pc.is_valid(at).to_numpy(zero_copy_only=False)
-                doc = np.repeat(np.arange(b - a), lengths[a:b])[here]
-                w = (1.0 + np.log(flat.field(1).to_numpy().astype(np.float64)[here])) * idf[at.drop_null().to_numpy()]
-                norm = np.sqrt(np.bincount(doc, w * w, minlength=b - a))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(doc)), flat.field(0).filter(pa.array(here)),
-                                                  pa.array(w / norm[doc])], names=[*batch.schema.names[:1], "term", "weight"])
+        for part in _slices(batches):
+            terms, doc = _terms(part.column(1), first, last)
+            at = pc.index_in(terms, value_set=known)
+            here = pc.is_valid(at).to_numpy(zero_copy_only=False)
+            found, tf = np.unique(doc[here] * m + at.drop_null().to_numpy().astype(np.int64), return_counts=True)
+            doc, at = found // m, found % m
+            w = (1.0 + np.log(tf.astype(np.float64))) * idf[at]
+            norm = np.sqrt(np.bincount(doc, w * w, minlength=part.num_rows))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), known.take(pa.array(at)), pa.array(w / norm[doc])],
+                                             names=[part.schema.names[0], "term", "weight"])
     return run
 
 
-def tfidf(terms: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
-    """``(id, term, weight)`` with sublinear tf and the L2 norm of each row,
-    from ``document_terms`` and the (bounded) vocabulary."""
-    ship(terms.sparkSession)
+def tfidf(df: DataFrame, vocab: DataFrame, id_col: str, text_col: str = "text", ngram_range=K.NGRAM_RANGE) -> DataFrame:
+    """``(id, term, weight)`` with sublinear tf and the L2 norm of each row, for
+    the terms of the (bounded) vocabulary."""
+    ship(df.sparkSession)
     rows = vocab.select("term", "idf").orderBy("term").collect()  # max_features rows
-    schema = T.StructType([terms.schema[id_col], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
-    return terms.select(id_col, "terms").mapInArrow(_weigh([r["term"] for r in rows], np.array([r["idf"] for r in rows])), schema)
+    schema = T.StructType([df.schema[id_col], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+    weigh = _weigh([r["term"] for r in rows], np.array([r["idf"] for r in rows], dtype=np.float64), *ngram_range)
+    return df.select(id_col, H.tokens(text_col).alias("_tok")).mapInArrow(weigh, schema)
 
 
 def fit_transform_tfidf(df: DataFrame, id_col: str, train_filter, text_col: str = "text",
                         max_features: int = K.MAX_FEATURES, stage=None):
     """I1 + I2: returns ``(weights, vocabulary, idf)`` fitted on ``train_filter`` rows.
-
-    ``stage`` (e.g. writing a table, ``session.stored``) is applied to the rows'
-    terms and the vocabulary before later steps use them, so each is computed
-    once and nothing stays in executor storage.
-    """
+    ``stage`` (e.g. writing a table, ``session.stored``) is applied to the
+    vocabulary before it is used."""
     stage = stage or (lambda x: x)
-    terms = stage(document_terms(df.select(id_col, text_col, train_filter.alias("_train")), id_col, text_col, keep=["_train"]))
-    train = terms.where("_train")
-    vocab = stage(vocabulary(train.select(F.inline("terms")), train.count(), max_features))
-    return (tfidf(terms, vocab, id_col), vocab.select("term", "corpus_count", "feature_index"), vocab.select("term", "df", "idf"))
+    vocab = stage(vocabulary(df.where(train_filter), text_col, max_features))
+    return (tfidf(df, vocab, id_col, text_col), vocab.select("term", "corpus_count", "feature_index"), vocab.select("term", "df", "idf"))
 
 
 def centroid_coefficients(weights: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
