@@ -169,3 +169,22 @@ def test_hash_split_proportions(spark):
     df = spark.range(20000).select(F.col("id").alias("tid"))
     c = {r.split: r["count"] for r in S.hash_split(df, "tid").groupBy("split").count().collect()}
     assert abs(c["train"] / 20000 - 0.8) < 0.02 and abs(c["test"] / 20000 - 0.1) < 0.02
+
+
+def test_exact_ks_counts_all_orders(spark):
+    from itertools import combinations
+    for n, m in ((1, 1), (3, 5), (6, 4), (7, 7), (9, 2)):
+        stats = []
+        for ref in combinations(range(n + m), n):
+            ref, i, j, worst = set(ref), 0, 0, 0
+            for x in range(n + m):
+                i, j = i + (x in ref), j + (x not in ref)
+                worst = max(worst, abs(i * m - j * n))
+            stats.append(worst)
+        for steps in range(0, n * m + 1):
+            assert D.ks_exact(steps, n, m) == pytest.approx(sum(s >= steps for s in stats) / len(stats), abs=1e-12)
+    assert abs(D.ks_exact(400, 100, 100) - 0.9999) < 0.01 and D.ks_exact(3000, 100, 100) == pytest.approx(0.000239, abs=2e-5)
+    ref = spark.createDataFrame([(float(v),) for v in range(6)], "x double")
+    cur = spark.createDataFrame([(v + 3.5,) for v in range(4)], "x double")
+    r = D.numeric_drift(ref, cur, ["x"], "ks_exact").first()
+    assert r.method == "ks_exact" and r.score == pytest.approx(D.ks_exact(round(r.ks_stat * 24), 6, 4), abs=1e-6)

@@ -5,7 +5,8 @@ Per column, reference vs current:
 * numeric, method "wasserstein" (the default): Wasserstein-1 distance divided
   by the reference's population std, drift when >= 0.1;
 * numeric, method "ks" (for small references): two-sample Kolmogorov-Smirnov,
-  drift when p < 0.05 (asymptotic Kolmogorov distribution -- our choice);
+  drift when p < 0.05 (asymptotic Kolmogorov distribution; with "ks_exact" the
+  exact one, counted over all orders, up to 10^8 pairs of rows);
   both statistics are returned whichever decides;
 * categorical, method "jensenshannon" (the default): Jensen-Shannon distance (natural
   log), drift when >= 0.1;
@@ -28,14 +29,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticketlens import constants as K
 from ticketlens.functions import special as SP
 from ticketlens.functions import text as H
 from ticketlens.operators.ordering import in_ranges
-from ticketlens.session import stored
+from ticketlens.session import ship, stored
 
 R = 6
 WASSERSTEIN_LIMIT = 0.1
@@ -130,6 +134,35 @@ def ks_pvalue(stat: Column, n_ref: Column, n_cur: Column, terms: int = 100) -> C
     return F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
 
 
+#: Pairs of rows up to which the exact KS distribution is counted.
+EXACT_PAIRS = 10 ** 8
+
+
+def ks_exact(steps: int, n: int, m: int) -> float:
+    """P(KS statistic >= steps / (n * m)) for samples of n and m different values: of
+    all orders of the two samples (lattice paths from (0, 0) to (n, m)), those that
+    leave the band ``|i * m - j * n| < steps``.  Diagonal by diagonal, the share of
+    paths to each point that stayed inside."""
+    inside = np.ones(1)  # of the paths to (i, s - i), for i from low on
+    low = 0
+    for s in range(1, n + m + 1):
+        first, last = max(0, s - m), min(s, n)
+        i = np.arange(first, last + 1)
+        wide = np.zeros(last - first + 3)  # the diagonal before, at i - 1 and i
+        at = np.arange(first - 1, last + 1)
+        known = (at >= low) & (at < low + len(inside))
+        wide[:len(at)][known] = inside[at[known] - low]
+        inside = (wide[:len(i)] * i + wide[1:len(i) + 1] * (s - i)) / s
+        inside[np.abs(i * m - (s - i) * n) >= steps] = 0.0
+        low = first
+    return float(min(max(1.0 - inside[-1], 0.0), 1.0)) if steps > 0 else 1.0
+
+
+@F.pandas_udf(T.DoubleType())
+def _ks_exact(steps: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    return pd.Series([ks_exact(int(a), int(b), int(c)) for a, b, c in zip(steps, n, m)])
+
+
 def numeric_drift(ref: DataFrame, cur: DataFrame | None, cols, method: str = "wasserstein",
                   keys=(), ref_counts: DataFrame | None = None) -> DataFrame:
     """Per feature KS statistic and p-value, normalised Wasserstein distance, and
@@ -146,7 +179,7 @@ def numeric_drift(ref: DataFrame, cur: DataFrame | None, cols, method: str = "wa
 
 def numeric_from_counts(vc: DataFrame, method: str = "wasserstein", keys=()) -> DataFrame:
     """J2 from ``(keys..., feature, value, n_ref, n_cur)``, one row per distinct value."""
-    if method not in ("wasserstein", "ks"):
+    if method not in ("wasserstein", "ks", "ks_exact"):
         raise ValueError(f"unknown method {method!r}")
     g = [*keys, "feature"]
     vc = stored(vc, "values")  # read by several branches below
@@ -161,6 +194,7 @@ def numeric_from_counts(vc: DataFrame, method: str = "wasserstein", keys=()) ->
     gap = F.abs(F.col("cum_ref") / F.col("_nr") - F.col("cum_cur") / F.col("_nc"))
     stats = c.groupBy(*g).agg(
         F.max(gap).alias("_ks"),
+        F.max(F.abs(F.col("cum_ref") * F.col("_nc") - F.col("cum_cur") * F.col("_nr"))).alias("_steps"),
         F.sum(F.when(F.col("next_value").isNotNull(), gap * (F.col("next_value") - F.col("value")))
                .otherwise(F.lit(0.0))).alias("wasserstein"))
     out = stats.join(tot.drop("_mean"), g).join(std, g)
@@ -170,6 +204,11 @@ def numeric_from_counts(vc: DataFrame, method: str = "wasserstein", keys=()) ->
                           .otherwise(F.col("wasserstein")))
               .withColumn("_p", ks_pvalue(F.col("_ks"), F.col("n_ref").cast("double"),
                                           F.col("n_cur").cast("double"))))
+    if method == "ks_exact":  # a row a feature
+        ship(vc.sparkSession)
+        few = F.col("n_ref") * F.col("n_cur") <= EXACT_PAIRS
+        out = out.withColumn("_p", F.when(few, _ks_exact(F.when(few, F.col("_steps")).otherwise(0), F.when(few, F.col("n_ref")).otherwise(1),
+                                                         F.when(few, F.col("n_cur")).otherwise(1))).otherwise(F.col("_p")))
     wd_norm, pval, by_distance = F.col("_wd"), F.col("_p"), method == "wasserstein"
     return out.select(
         *g, "n_ref", "n_cur",

@@ -170,6 +170,12 @@ def j2_numeric_drift_ks(spark, sf_dir):
     return D.numeric_drift(sides(spark, sf_dir), None, NUMERIC, "ks", keys=["scenario"])
 
 
+@query("j2_numeric_drift_ks_exact")
+def j2_numeric_drift_ks_exact(spark, sf_dir):
+    """J2 with the exact distribution of the KS statistic."""
+    return D.numeric_drift(sides(spark, sf_dir), None, NUMERIC, "ks_exact", keys=["scenario"])
+
+
 @query("j3_categorical_drift", _with_drift("SELECT * FROM categorical"))
 def j3_categorical_drift(spark, sf_dir):
     return D.categorical_drift(sides(spark, sf_dir), None, CATEGORICAL, keys=["scenario"])
