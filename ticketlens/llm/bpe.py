@@ -9,7 +9,8 @@ cost only the new bytes, and lets an edit stop as soon as the stored tokens
 agree again with the old ones.
 
 Null texts count as empty: no ids, empty decoded bytes.  Pieces of any length
-are handled in time linear in their bytes; repeated rows are encoded alike.
+are handled in time linear in their bytes; repeated rows are encoded alike, null
+ids are kept.  An empty table gives no row, of encodings or of lengths.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ weighted by how well its classifier did on rows held out of its training.  A
 document whose best two codewords lose nearly the same is flagged.
 
 Null texts, and texts without a letter, are ``und`` with score 0.  Without any
-labelled row everything is ``und``.  Repeated rows are scored alike.
+labelled row everything is ``und``.  Repeated rows are scored alike.  Rows with a
+null id are scored, never learned from nor held out; an empty table gives no row.
 """
 
 from __future__ import annotations

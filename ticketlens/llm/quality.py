@@ -10,7 +10,9 @@ held out of its training.
 
 Null and empty texts have an empty pool and get the network's score for it.
 Texts of any length are pooled in chunks.  Repeated rows score alike.  Without
-labels of both classes every score is the share of label 1 (1 if no label).
+labels of both classes every score is the share of label 1 (1 if no label).  Rows
+with a null id are scored, never learned from nor held out; an empty table gives
+no row.
 """
 
 from __future__ import annotations

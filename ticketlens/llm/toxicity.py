@@ -11,7 +11,8 @@ Words, weights, exceptions and the score's coefficients are learned from a
 bounded sample of labelled documents; every text is matched whole.  Null and
 empty texts have no hit and get the lowest score of all.  Repeated rows score
 alike.  Without labels of both classes there is no lexicon and every score is
-the share of label 1 (0 if no label).
+the share of label 1 (0 if no label).  Rows with a null id are scored, never
+learned from nor held out; an empty table gives no row.
 """
 
 from __future__ import annotations
