@@ -156,14 +156,16 @@ def strip_accents(c) -> Column:
     Hangul, fractions) are looked up one by one, and only in texts that hold one.
     """
     src, dst, deleted, longer = accent_translation()
-    one = F.translate(_col(c), src + deleted, dst)
+    c = _col(c)
+    one = F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, src + deleted, dst)).otherwise(c)
     table = F.from_json(F.lit(json.dumps(dict(longer), ensure_ascii=False)), "map<string,string>")
     each = F.transform(F.regexp_extract_all(one, F.lit("(?s)."), 0),
                        lambda x: F.when(F.ascii(x).between(_HANGUL[0], _HANGUL[-1]), _jamo(F.ascii(x) - _HANGUL[0]))
                        .otherwise(F.coalesce(F.try_element_at(table, x), x)))
     holds = F.length(F.translate(one, "".join(ch for ch, _ in longer), "")) < F.length(one)
     holds |= one.rlike(f"[\\x{{{_HANGUL[0]:X}}}-\\x{{{_HANGUL[-1]:X}}}]")
-    return F.when(holds, F.array_join(each, "")).otherwise(one)
+    # no longer form is ASCII or a letter of Latin-1: most texts need no look at each character
+    return F.when(c.rlike(r"[^\x00-\x7F\xC0-\xFF]") & holds, F.array_join(each, "")).otherwise(one)
 
 
 def _jamo(s: Column) -> Column:

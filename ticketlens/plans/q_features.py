@@ -61,11 +61,12 @@ SELECT ticket_id, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(g) AS INTEGER) A
        md5(array_to_string(g, '|')) AS terms_md5 FROM tok JOIN grams USING (ticket_id)""", SPLIT, TOK_SQL))
 def h13_h14_tokens(spark, sf_dir):
     t = FX.tickets(spark, sf_dir)
-    tok = H.tokens("text")
-    grams = H.ngrams_1_2(tok)
-    return t.select("ticket_id", F.size(tok).alias("n_tokens"), F.size(grams).alias("n_terms"),
-                    F.md5(F.array_join(tok, " ")).alias("tokens_md5"),
-                    F.md5(F.array_join(grams, "|")).alias("terms_md5"))
+    # explode of one array (outer: no filter that makes it again): its terms are made once a row, not once for each use
+    t = t.select("ticket_id", F.explode_outer(F.array(H.tokens("text"))).alias("tok"))
+    t = t.select("ticket_id", "tok", F.explode_outer(F.array(H.ngrams_1_2("tok"))).alias("grams"))
+    return t.select("ticket_id", F.size("tok").alias("n_tokens"), F.size("grams").alias("n_terms"),
+                    F.md5(F.array_join("tok", " ")).alias("tokens_md5"),
+                    F.md5(F.array_join("grams", "|")).alias("terms_md5"))
 
 
 # ---- I1-I3 -----------------------------------------------------------------------
