@@ -5,11 +5,11 @@ TF-IDF plan (fit on the training rows, transform all rows)::
     text[train] --tokens (projection)--> counts per term of many rows (Arrow)
                 --groupBy(term)--> corpus count and document frequency
                 --top k--> vocabulary (<= max_features rows) with idf
-    text --tokens--> counts, weights and norm in the row (Arrow) --> (id, term, weight)
+    text --tokens--> counts, weights and norm in the row (Arrow) --> (id, indices, values)
+                     --explode--> (id, term, weight)
 
 * A row holds a whole document, so its counts and its norm need no shuffle; the
-  only one is that of the vocabulary, combined per term over about a million
-  tokens before it.
+  only one is that of the vocabulary, combined per term over many tokens before it.
 * The vocabulary (and idf / coefficient tables keyed by it) is bounded by
   ``max_features`` -- that bound is what makes broadcasting it safe.
 """
@@ -25,22 +25,13 @@ from pyspark.sql import types as T
 
 from ticketlens import constants as K
 from ticketlens.functions import text as H
+from ticketlens.operators import packed as P
 from ticketlens.operators.joins import lookup
 from ticketlens.session import ship
 
 R = 6
-#: Tokens counted at once in a task (or one row).
-_TOKENS = 1 << 20
-
-
-def _chunks(lengths: np.ndarray, most: int):
-    """Row ranges of at most ``most`` elements each (or one row)."""
-    ends, at = np.cumsum(lengths), 0
-    while at < len(ends):
-        base = ends[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
-        yield at, stop
-        at = stop
+#: Tokens counted at once in a task (or one row): some 60 MB with their bigrams.
+_TOKENS = 1 << 18
 
 
 def _terms(tokens: pa.ListArray, first: int, last: int) -> tuple[pa.Array, np.ndarray]:
@@ -57,11 +48,11 @@ def _terms(tokens: pa.ListArray, first: int, last: int) -> tuple[pa.Array, np.nd
 
 
 def _slices(batches):
-    """Parts of the batches with about a million tokens (the last column) each."""
+    """Parts of the batches with about ``_TOKENS`` tokens (the last column) each."""
     for batch in batches:
         tokens = batch.column(batch.num_columns - 1)
         lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-        for a, b in _chunks(lengths, _TOKENS):
+        for a, b in P.chunks(lengths, _TOKENS):
             yield batch.slice(a, b - a)
 
 
@@ -96,75 +87,113 @@ def vocabulary(df: DataFrame, text_col: str = "text", max_features: int = K.MAX_
 
 
 def _weigh(words: list[str], idf: np.ndarray, first: int, last: int):
-    """(id, tokens) -> a row per term of the vocabulary with its weight."""
+    """(columns, tokens) -> the columns, the row's terms (rising) and their weights."""
     known, m = pa.array(words, pa.string()), max(len(words), 1)
 
     def run(batches):
         for part in _slices(batches):
-            terms, doc = _terms(part.column(1), first, last)
+            terms, doc = _terms(part.columns[-1], first, last)
             at = pc.index_in(terms, value_set=known)
             here = pc.is_valid(at).to_numpy(zero_copy_only=False)
             found, tf = np.unique(doc[here] * m + at.drop_null().to_numpy().astype(np.int64), return_counts=True)
             doc, at = found // m, found % m
             w = (1.0 + np.log(tf.astype(np.float64))) * idf[at]
             norm = np.sqrt(np.bincount(doc, w * w, minlength=part.num_rows))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), known.take(pa.array(at)), pa.array(w / norm[doc])],
-                                             names=[part.schema.names[0], "term", "weight"])
+            ends = pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at.astype(np.int32), w / norm[doc])]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *lists], names=[*part.schema.names[:-1], "indices", "values"])
     return run
 
 
-def tfidf(df: DataFrame, vocab: DataFrame, id_col: str, text_col: str = "text", ngram_range=K.NGRAM_RANGE) -> DataFrame:
-    """``(id, term, weight)`` with sublinear tf and the L2 norm of each row, for
-    the terms of the (bounded) vocabulary."""
+def tfidf_rows(df: DataFrame, vocab: DataFrame, text_col: str = "text", keep=(), ngram_range=K.NGRAM_RANGE) -> DataFrame:
+    """I2 with a row a document: the columns of ``keep``, ``indices`` (feature numbers,
+    rising) and ``values`` (sublinear tf times idf, L2 norm 1)."""
     ship(df.sparkSession)
     rows = vocab.select("term", "idf").orderBy("term").collect()  # max_features rows
-    schema = T.StructType([df.schema[id_col], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("indices", T.ArrayType(T.IntegerType())),
+                           T.StructField("values", T.ArrayType(T.DoubleType()))])
     weigh = _weigh([r["term"] for r in rows], np.array([r["idf"] for r in rows], dtype=np.float64), *ngram_range)
-    return df.select(id_col, H.tokens(text_col).alias("_tok")).mapInArrow(weigh, schema)
+    return df.select(*keep, H.tokens(text_col).alias("_tok")).mapInArrow(weigh, schema)
+
+
+def unpacked(rows: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
+    """``(id, term, weight)`` of rows with ``indices`` and ``values``."""
+    each = rows.select(id_col, F.explode(F.arrays_zip("indices", "values")).alias("_e"))
+    each = each.select(id_col, F.col("_e.indices").alias("feature_index"), F.col("_e.values").alias("weight"))
+    return each.join(F.broadcast(vocab.select("term", "feature_index")), "feature_index").select(id_col, "term", "weight")
+
+
+def tfidf(df: DataFrame, vocab: DataFrame, id_col: str, text_col: str = "text", ngram_range=K.NGRAM_RANGE) -> DataFrame:
+    """``(id, term, weight)`` with sublinear tf and the L2 norm of each row, for
+    the terms of the (bounded) vocabulary."""
+    return unpacked(tfidf_rows(df, vocab, text_col, [id_col], ngram_range), vocab, id_col)
 
 
 def fit_transform_tfidf(df: DataFrame, id_col: str, train_filter, text_col: str = "text",
-                        max_features: int = K.MAX_FEATURES, stage=None):
+                        max_features: int = K.MAX_FEATURES, stage=None, keep=None):
     """I1 + I2: returns ``(weights, vocabulary, idf)`` fitted on ``train_filter`` rows.
     ``stage`` (e.g. writing a table, ``session.stored``) is applied to the
-    vocabulary before it is used."""
+    vocabulary before it is used.  With ``keep`` (columns) the weights are packed,
+    a row a document (``tfidf_rows``)."""
     stage = stage or (lambda x: x)
     vocab = stage(vocabulary(df.where(train_filter), text_col, max_features))
-    return (tfidf(df, vocab, id_col, text_col), vocab.select("term", "corpus_count", "feature_index"), vocab.select("term", "df", "idf"))
+    weights = tfidf(df, vocab, id_col, text_col) if keep is None else tfidf_rows(df, vocab, text_col, keep)
+    return (weights, vocab.select("term", "corpus_count", "feature_index"), vocab.select("term", "df", "idf"))
 
 
-def centroid_coefficients(weights: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+def centroid_coefficients(weights: DataFrame, labels: DataFrame, id_col: str, label_col: str, vocab: DataFrame | None = None,
+                          num_classes: int | None = None) -> DataFrame:
     """A linear weight table ``(term, class_id, coef)`` fitted relationally:
     the mean tf-idf vector of each class (nearest-centroid by dot product).
 
     Used as a data-derived stand-in for learned coefficients in I8; a fitted
     logistic-regression model exports the same table shape (``models``).
+    ``weights`` may be packed rows with the marks of ``labels`` (then with ``vocab``).
     """
-    j = weights.join(labels.select(id_col, F.col(label_col).alias("class_id")), id_col, "inner")
     sizes = labels.groupBy(F.col(label_col).alias("class_id")).agg(F.count(F.lit(1)).alias("_n"))
-    s = j.groupBy("term", "class_id").agg(F.sum("weight").alias("_s"))
+    if P.is_packed(weights):
+        sums = P.class_sums(weights, vocab.count(), num_classes)
+        c, at = np.nonzero(sums)
+        s = weights.sparkSession.createDataFrame(pa.table({"feature_index": at.astype(np.int32), "class_id": c.astype(np.int32), "_s": sums[c, at]}))
+        s = s.join(F.broadcast(vocab.select("term", "feature_index")), "feature_index").select("term", "class_id", "_s")
+    else:
+        j = weights.join(labels.select(id_col, F.col(label_col).alias("class_id")), id_col, "inner")
+        s = j.groupBy("term", "class_id").agg(F.sum("weight").alias("_s"))
     return (s.join(F.broadcast(sizes), "class_id", "inner")
              .select("term", "class_id", (F.col("_s") / F.col("_n")).alias("coef")))
 
 
+def coefficient_matrix(coef: DataFrame, vocab: DataFrame, num_classes: int) -> np.ndarray:
+    """``(term, class_id, coef)`` as an array (class, term), bounded by the vocabulary."""
+    out = np.zeros((num_classes, vocab.count()))
+    found = (coef.join(F.broadcast(vocab.select("term", "feature_index")), "term").where(F.col("class_id").between(0, num_classes - 1))
+             .groupBy("class_id", "feature_index").agg(F.sum("coef").alias("coef")).toArrow())
+    out[found.column("class_id").to_numpy(), found.column("feature_index").to_numpy()] = found.column("coef").to_numpy()
+    return out
+
+
 def linear_scores(weights: DataFrame, coef: DataFrame, id_col: str, num_classes: int,
-                  bias=None, ids: DataFrame | None = None) -> DataFrame:
-    """I8: ``score[id, class] = sum_t weight[id, t] * coef[t, class] + bias[class]`` as
-    a join + aggregate, returned as a dense ``scores`` array per id.
+                  bias=None, ids: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
+    """I8: ``score[id, class] = sum_t weight[id, t] * coef[t, class] + bias[class]``,
+    returned as a dense ``scores`` array per id.
 
-    ``coef`` becomes one row per vocabulary term (bounded) with a column per
-    class; each weight meets its term once and one aggregate per id sums all
-    classes, so there is a single shuffle.  Ids in ``ids`` with no vocabulary
+    Packed ``weights`` (with ``vocab``) are scored where they lie, and one aggregate per
+    id sums rows that share it.  Long ones meet ``coef``, a row per vocabulary term
+    (bounded) with a column per class, in a join.  Ids in ``ids`` with no vocabulary
     term get bias-only scores.
     """
     classes = list(range(num_classes))
-    wide = coef.groupBy("term").pivot("class_id", classes).agg(F.sum("coef"))
-    wide = wide.select("term", *[F.coalesce(F.col(str(c)), F.lit(0.0)).alias(f"_c{c}") for c in classes])
-    j = weights.join(F.broadcast(wide), "term", "inner").select(
-        id_col, *[(F.col("weight") * F.col(f"_c{c}")).alias(f"_s{c}") for c in classes])
+    b = list(bias) if bias is not None else [0.0] * num_classes
     none = (ids if ids is not None else weights).select(id_col, *[F.lit(0.0).alias(f"_s{c}") for c in classes])
+    if P.is_packed(weights):
+        s = P.scored(weights, coefficient_matrix(coef, vocab, num_classes), id_col)
+        j = s.select(id_col, *[F.col("scores")[c].alias(f"_s{c}") for c in classes])
+    else:
+        wide = coef.groupBy("term").pivot("class_id", classes).agg(F.sum("coef"))
+        wide = wide.select("term", *[F.coalesce(F.col(str(c)), F.lit(0.0)).alias(f"_c{c}") for c in classes])
+        j = weights.join(F.broadcast(wide), "term", "inner").select(
+            id_col, *[(F.col("weight") * F.col(f"_c{c}")).alias(f"_s{c}") for c in classes])
     s = j.unionByName(none).groupBy(id_col).agg(*[F.sum(f"_s{c}").alias(f"_s{c}") for c in classes])
-    b = list(bias) if bias is not None else [0.0] * num_classes
     return s.select(id_col, F.array(*[F.col(f"_s{c}") + F.lit(float(b[c])) for c in classes]).alias("scores"))
 
 

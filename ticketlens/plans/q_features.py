@@ -39,13 +39,19 @@ wraw AS (SELECT c.ticket_id, c.term, (1 + ln(c.tf)) * i.idf AS w FROM counts c J
 weights AS (SELECT ticket_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY ticket_id)) AS weight FROM wraw)"""
 
 
-def _tfidf(spark, sf_dir):
-    """The fitted vectoriser's tables (weights, vocabulary, idf), written once
-    per application like a saved vectoriser."""
+def _packed(spark, sf_dir):
+    """The fitted vectoriser's weights with a row a ticket, its vocabulary and idf,
+    written once (the vocabulary is a small lookup, the weights are computed once)."""
     st = FX.split_tickets(spark, sf_dir)
-    weights, vocab, idf = FX.materialized(spark, ("tfidf", sf_dir), lambda: FE.fit_transform_tfidf(
-        st, "ticket_id", F.col("split") == "train", stage=lambda d: stored(d, "tfidf")))
-    return st, weights, vocab, idf
+    return FX.materialized(spark, ("tfidf", sf_dir), lambda: FE.fit_transform_tfidf(
+        st, "ticket_id", F.col("split") == "train", stage=lambda d: stored(d, "tfidf"),
+        keep=["ticket_id", "split", "category_id", "priority_id"]))
+
+
+def _tfidf(spark, sf_dir):
+    """The split tickets and the fitted vectoriser's tables (weights, vocabulary, idf)."""
+    rows, vocab, idf = _packed(spark, sf_dir)
+    return FX.split_tickets(spark, sf_dir), FE.unpacked(rows, vocab, "ticket_id"), vocab, idf
 
 
 # ---- H12-H14 ---------------------------------------------------------------------
