@@ -1,9 +1,11 @@
 """Packed weights (a row a document) against the long table's joins, with repeated ids,
 empty documents, and slices of a few tokens."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ticketlens.operators import features as FE
+from ticketlens.operators import packed as P
 
 ROWS = [(1, "train", 0, "red green red"), (2, "train", 1, "blue green"), (2, "train", 1, "blue sky"), (3, "val", 0, "red sky"),
         (4, "train", 2, None), (5, "val", 2, "nothing known"), (6, "train", 2, "sky sky green"), (3, "val", 1, "blue")]
@@ -24,6 +26,18 @@ def test_rows_are_the_long_weights(spark):
     assert rows.count() == len(ROWS)
 
 
+def test_sums_and_scores_equal_the_joins(spark):
+    df, train, rows, vocab, weights = _fitted(spark)
+    labels = df.where(train).select("id", "y")
+    old = FE.centroid_coefficients(weights, labels, "id", "y")
+    new = FE.centroid_coefficients(P.with_marks(rows, "id", "y", 3, train), labels, "id", "y", vocab, 3)
+    a, b = ({(r.term, r.class_id): r.coef for r in x.collect()} for x in (old, new))
+    assert a.keys() == b.keys() and all(np.isclose(a[k], b[k]) for k in a)
+    s, t = ({r.id: r.scores for r in x.collect()} for x in (FE.linear_scores(weights, old, "id", 3, ids=df, bias=[1.0, 0.0, 2.0]),
+                                                          FE.linear_scores(rows, new, "id", 3, ids=df, bias=[1.0, 0.0, 2.0], vocab=vocab)))
+    assert s.keys() == t.keys() and all(np.allclose(s[k], t[k]) for k in s)
+
+
 def test_small_slices_count_the_same(spark, monkeypatch):
     df = spark.createDataFrame(ROWS, "id long, split string, y int, text string")
     want = sorted(map(tuple, FE.vocabulary(df, max_features=8).collect()))
