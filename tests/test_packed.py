@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.operators import features as FE
 from ticketlens.operators import packed as P
+from ticketlens.operators import training as TR
 
 ROWS = [(1, "train", 0, "red green red"), (2, "train", 1, "blue green"), (2, "train", 1, "blue sky"), (3, "val", 0, "red sky"),
         (4, "train", 2, None), (5, "val", 2, "nothing known"), (6, "train", 2, "sky sky green"), (3, "val", 1, "blue")]
@@ -38,6 +39,20 @@ def test_sums_and_scores_equal_the_joins(spark):
     assert s.keys() == t.keys() and all(np.allclose(s[k], t[k]) for k in s)
 
 
+def test_epochs_equal_the_joins(spark):
+    df, train, rows, vocab, weights = _fitted(spark)
+    terms = {r.feature_index: r.term for r in vocab.collect()}
+    labels, val = df.where(train).select("id", "y"), df.where("split = 'val'").select("id", "y")
+    marked = P.with_marks(rows, "id", "y", 3, train, squared=True)
+    mine = P.with_marks(rows, "id", "y", 3, F.col("split") == "val", squared=True)
+    for (_, c), (_, d) in zip(TR.epochs(weights, labels, "id", "y", 3, 3, 2.0), TR.epochs(marked, labels, "id", "y", 3, 3, 2.0, len(terms))):
+        old, new = {r.term: r.coef for r in c.collect()}, {terms[r.feature_index]: r.coef for r in d.collect()}
+        assert old.keys() == new.keys() and all(np.allclose(old[k], new[k]) for k in old)
+        s, t = (sorted((r.id, np.round(r.scores, 9).tolist()) for r in x.collect()) for x in
+                (TR.class_scores(weights, c, val, "id", 3), TR.class_scores(mine, d, val, "id", 3)))
+        assert s == t and len(s) == 3
+
+
 def test_small_slices_count_the_same(spark, monkeypatch):
     df = spark.createDataFrame(ROWS, "id long, split string, y int, text string")
     want = sorted(map(tuple, FE.vocabulary(df, max_features=8).collect()))

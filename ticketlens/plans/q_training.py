@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from ticketlens import constants as K
 from ticketlens.functions import arrays as A
 from ticketlens.operators import evaluate as V
+from ticketlens.operators import packed as P
 from ticketlens.operators import runs as RU
 from ticketlens.operators import training as TR
 from ticketlens.plans import fixtures as FX
 from ticketlens.plans import oracle as O
-from ticketlens.plans.q_features import SPLIT, TFIDF_SQL, _tfidf
+from ticketlens.plans.q_features import SPLIT, TFIDF_SQL, _packed
 from ticketlens.plans.registry import query
-from ticketlens.session import scratch_path
+from ticketlens.session import scratch_path, stored
 
 EPOCHS, RATE, PATIENCE = 6, 12.0, 2
 CLASSES = len(K.CATEGORIES)
@@ -31,16 +32,16 @@ RUN = "softmax"
 def recorded_history(spark, sf_dir):
     """The run's records, as written to the sink and read again (once per application)."""
     def build():
-        st, weights, _, _ = _tfidf(spark, sf_dir)
+        st, (rows, vocab, _) = FX.split_tickets(spark, sf_dir), _packed(spark, sf_dir)
         part = lambda s: st.filter(F.col("split") == s).select("ticket_id", "category_id")
-        val = part("val")
-        mine = weights.join(val.select("ticket_id"), "ticket_id", "left_semi")
+        marked = lambda s: P.with_marks(rows, "ticket_id", "category_id", CLASSES, F.col("split") == s, squared=True)
+        val, mine = part("val"), marked("val")
         found = []
-        for epoch, coef in TR.epochs(weights, part("train"), "ticket_id", "category_id", CLASSES, EPOCHS, RATE):
+        for epoch, coef in TR.epochs(marked("train"), part("train"), "ticket_id", "category_id", CLASSES, EPOCHS, RATE, vocab.count()):
             scores = TR.class_scores(mine, coef, val, "ticket_id", CLASSES)
             found.append(scores.select("ticket_id", F.lit(epoch).alias("step"), A.argmax("scores").alias("pred")))
         scored = reduce(lambda a, b: a.unionByName(b), found).join(val, "ticket_id")
-        f1 = V.grouped_weighted_f1(scored, "step", "category_id", "pred")
+        f1 = stored(V.grouped_weighted_f1(scored, "step", "category_id", "pred"), "f1")
         path = scratch_path(spark, "runs")
         for _ in range(2):  # a retried job leaves its records once
             RU.record_run(spark, RUN, {"rate": RATE, "epochs": EPOCHS},
