@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ticketlens.operators import features as FE
+from ticketlens.operators import models as M
 from ticketlens.operators import packed as P
 from ticketlens.operators import training as TR
 
@@ -25,6 +26,8 @@ def test_rows_are_the_long_weights(spark):
     got = sorted(tuple(r) for r in FE.unpacked(rows, vocab, "id").collect())
     assert got == sorted(tuple(r) for r in weights.collect()) and got
     assert rows.count() == len(ROWS)
+    vec = M.feature_vectors(rows, vocab, "id", 8).collect()  # repeated ids are documents of their own
+    assert len(vec) == len(ROWS) and all(list(r.features.indices) == sorted(set(r.features.indices)) for r in vec)
 
 
 def test_sums_and_scores_equal_the_joins(spark):
