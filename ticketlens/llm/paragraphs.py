@@ -19,6 +19,7 @@ length are cut into lines as a stream of slices.  Empty tables give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from hashlib import md5
 from math import ceil, log
 
@@ -50,14 +51,9 @@ def tune(similarity: float = SIMILARITY, recall: float = RECALL, chance: float =
         rows += 1
 
 
-class _Hashes(dict):
-    """word -> 64-bit hash; emptied when large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word: a table of those seen costs more than hashing."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), dtype=">u8").astype(np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,11 +61,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
-def shingles(words: list[bytes], hashes: _Hashes) -> np.ndarray:
-    """64-bit hashes of the five-word runs (fewer words: the whole as one)."""
-    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    k = min(SHINGLE, len(h))
-    return _windows(h, k)
+def _mix_into(x: np.ndarray, y: np.ndarray) -> None:
+    """``_mix`` in place, with ``y`` as room."""
+    np.right_shift(x, _U(31), out=y)
+    np.bitwise_xor(x, y, out=x)
+    np.multiply(x, _U(0x9E3779B97F4A7C15), out=x)
+    np.right_shift(x, _U(29), out=y)
+    np.bitwise_xor(x, y, out=x)
 
 
 def _windows(h: np.ndarray, k: int) -> np.ndarray:
@@ -80,90 +78,137 @@ def _windows(h: np.ndarray, k: int) -> np.ndarray:
     return _mix(s)
 
 
-def minhash_bands(paragraphs: list[list[bytes]], hashes: _Hashes, bands: int, rows: int) -> np.ndarray:
-    """A 64-bit value per paragraph and band; paragraphs of at least SHINGLE words."""
-    sizes = np.array([len(p) for p in paragraphs])
-    h = np.fromiter((hashes[w] for p in paragraphs for w in p), dtype=np.uint64, count=int(sizes.sum()))
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    s = np.empty(len(h), dtype=np.uint64)
-    s[:len(h) - SHINGLE + 1] = _windows(h, SHINGLE)
-    out = np.zeros((len(paragraphs), bands), dtype=np.uint64)
-    last = np.concatenate([np.arange(e - SHINGLE + 1, e) for e in starts[1:]])  # windows that leave the paragraph
+def minhash_bands(h: np.ndarray, begins: np.ndarray, sizes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A 64-bit value per paragraph and band; paragraphs of at least SHINGLE
+    words, in order, among the hashed words ``h``."""
+    s = np.zeros(len(h) - SHINGLE + 2, dtype=np.uint64)  # one more, for the end of the last
+    s[:-1] = _windows(h, SHINGLE)
+    ranges = np.stack([begins, begins + sizes - SHINGLE + 1], axis=1).ravel()
+    out = np.zeros((len(sizes), bands), dtype=np.uint64)
+    x, y = np.empty_like(s), np.empty_like(s)  # used again: new ones cost more than the sums
     for band in range(bands):
-        value = np.full(len(paragraphs), band, dtype=np.uint64)
+        value = np.full(len(sizes), band, dtype=np.uint64)
         for row in range(rows):
             j = band * rows + row
-            x = _mix(s * _FACTORS[j % 59] + _ADDS[j])
-            x[last] = _U(0xFFFFFFFFFFFFFFFF)
-            value = _mix(value * _FACTORS[62] + np.minimum.reduceat(x, starts[:-1]))
+            np.multiply(s, _FACTORS[j % 59], out=x)
+            np.add(x, _ADDS[j], out=x)
+            _mix_into(x, y)
+            value = _mix(value * _FACTORS[62] + np.minimum.reduceat(x, ranges)[::2])
         out[:, band] = value
     return out
 
 
-_SCHEMA = ("row long, doc_id long, line int, start long, stop long, n_words long, key binary, bands array<long>")
+#: Words of the paragraphs whose sets a task gives out at once.
+_TOGETHER = 1 << 17
+_SCHEMA = ("row long, doc_id long, line int, start long, stop long, n_words long, key binary, bands array<long>, "
+           "h array<long>, at array<int>")
+_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()),
+          pa.list_(pa.int64()), pa.list_(pa.int32()))
 
 
-def _split(min_words: int, bands: int, rows: int):
+def _units(min_words: int, bands: int, rows: int, anchors: Callable | None = None):
+    """(row, doc_id, text) -> a row a paragraph and, if ``anchors`` finds them among
+    the hashed words of several documents, a row (without ``key``) with the
+    hashes and places of its anchors a document; texts are cut into words once."""
     least = max(min_words, 1)
 
+    def batch_of(n: int, **cols) -> pa.RecordBatch:
+        names = [f.split()[0] for f in _SCHEMA.split(", ")]
+        return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(n, t) for c, t in zip(names, _TYPES)], names=names)
+
+    def of_lines(h, found):
+        size = np.array([f[5] for f in found])
+        long = np.flatnonzero(size >= SHINGLE)
+        begin = np.array([f[7] for f in found])
+        values = np.zeros((len(long), bands), dtype=np.uint64)
+        for at in range(0, len(long), 2000):
+            some = long[at:at + 2000]
+            a, b = begin[some[0]], begin[some[-1]] + size[some[-1]]
+            values[at:at + 2000] = minhash_bands(h[a:b], begin[some] - a, size[some], bands, rows)
+        ends = np.concatenate([[0], np.cumsum(size >= SHINGLE) * bands]).astype(np.int32)
+        cols = list(zip(*found))
+        names = ("row", "doc_id", "line", "start", "stop", "n_words", "key")
+        return batch_of(len(found), **{c: pa.array(v, t) for c, v, t in zip(names, cols, _TYPES)},
+                        bands=pa.ListArray.from_arrays(ends, pa.array(values.view(np.int64).ravel())))
+
     def run(batches):
-        hashes = _Hashes()
         for batch in batches:
             for a, b in slices(batch.column(2), 2 << 20):
-                part, found, ws_of = batch.slice(a, b - a), [], []
+                part, found, hashed, n = batch.slice(a, b - a), [], [], 0
                 for row, doc, text in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    at = 0
+                    at, words = 0, []
                     for i, line in enumerate(text.split("\n") if text else ()):
                         ws = line.encode().lower().split()
                         if len(ws) >= least:
-                            found.append((row, doc, i, at, at + len(line), len(ws), md5(b" ".join(ws)).digest()))
-                            ws_of.append(ws)
+                            found.append((row, doc, i, at, at + len(line), len(ws), md5(b" ".join(ws)).digest(), n + len(words)))
+                        words += ws
                         at += len(line) + 1
-                if not found:
-                    continue
-                long = [i for i, ws in enumerate(ws_of) if len(ws) >= SHINGLE]
-                values: list = [[] for _ in found]
-                for at in range(0, len(long), 2000):
-                    some = long[at:at + 2000]
-                    v = minhash_bands([ws_of[i] for i in some], hashes, bands, rows).view(np.int64)
-                    for i, x in zip(some, v.tolist()):
-                        values[i] = x
-                cols = list(zip(*found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
-                     *[pa.array(c, pa.int64()) for c in cols[3:6]], pa.array(cols[6], pa.binary()),
-                     pa.array(values, pa.list_(pa.int64()))],
-                    names=["row", "doc_id", "line", "start", "stop", "n_words", "key", "bands"])
+                    hashed.append(word_hashes(words))
+                    n += len(words)
+                h = np.concatenate(hashed)
+                if found:
+                    yield of_lines(h, found)
+                if anchors:
+                    sizes = [len(x) for x in hashed]
+                    doc = np.repeat(np.arange(len(sizes)), sizes)
+                    at, v = anchors(h, doc)
+                    of = doc[at]
+                    ends = pa.array(np.searchsorted(of, np.arange(len(sizes) + 1)).astype(np.int32))
+                    starts = np.concatenate([[0], np.cumsum(sizes)])
+                    out = batch_of(len(sizes), row=part.column(0), doc_id=part.column(1),
+                                   h=pa.ListArray.from_arrays(ends, pa.array(v.view(np.int64))),
+                                   at=pa.ListArray.from_arrays(ends, pa.array((at - starts[of]).astype(np.int32))))
+                    yield out.filter(pa.array(np.diff(ends.to_numpy()) > 0))
     return run
 
 
+def units(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, anchors: Callable | None = None) -> DataFrame:
+    """What ``_units`` makes of ``docs`` (row, doc_id, text)."""
+    return arrow(docs, _units(min_words, *tune(similarity), anchors), _SCHEMA)
+
+
 def _sets(batches):
-    """(text, [(line, key)]) -> key and the sorted distinct shingles of that line."""
-    hashes = _Hashes()
+    """(text, [(line, key)]) -> key and the sorted distinct shingles of that line
+    (fewer words than a shingle: the whole as one)."""
+    def table(keys, words, sizes):
+        h = word_hashes(words)
+        s, sets, at = _windows(h, SHINGLE) if len(h) >= SHINGLE else None, [], 0
+        for n in sizes:
+            sets.append(np.unique(s[at:at + n - SHINGLE + 1] if n >= SHINGLE else _windows(h[at:at + n], n)).view(np.int64))
+            at += n
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(
+            ends, pa.array(np.concatenate(sets)))], names=["key", "set"])
+
+    keys, words, sizes = [], [], []
     for batch in batches:
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            lines, keys, sets = text.split("\n"), [], []
+            lines = text.split("\n")
             for w in wanted:
                 ws = lines[w["line"]].encode().lower().split() if w["line"] < len(lines) else []
                 if md5(b" ".join(ws)).digest() == w["key"]:  # else another text of the same hash and id
                     keys.append(w["key"])
-                    sets.append(np.unique(shingles(ws, hashes)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(
-                [s.tolist() for s in sets], pa.list_(pa.int64()))], names=["key", "set"])
+                    sizes.append(len(ws))
+                    words += ws
+            if len(words) > _TOGETHER:
+                yield table(keys, words, sizes)
+                keys, words, sizes = [], [], []
+    if keys:
+        yield table(keys, words, sizes)
 
 
 def repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
-             similarity: float = SIMILARITY, row: bool = False) -> DataFrame:
+             similarity: float = SIMILARITY, row: bool = False, found: DataFrame | None = None) -> DataFrame:
     """One row per occurrence of a paragraph that occurs twice or more, exactly
     or nearly: ``doc_id``, ``line`` (from 0), ``start`` and ``stop`` in
     characters, ``n_words``, ``kept_doc_id``, ``kept_line`` (the occurrence
     that stays), ``occurrences`` in its component and ``removed``; with ``row``
-    also the hash of the text."""
+    also the hash of the text.  ``found`` may give the paragraphs, as ``units`` makes them."""
     docs = df.select(F.xxhash64(F.col(f"`{text}`").cast("string")).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
                      F.col(f"`{text}`").cast("string").alias("text"))
-    bands, rows = tune(similarity)
     with Steps(df.sparkSession) as keep:
-        found = keep(arrow(docs, _split(min_words, bands, rows), _SCHEMA), "paragraphs")
+        found = keep(units(docs, min_words, similarity), "paragraphs") if found is None else found
+        found = found.where("key is not null").drop("h", "at")
         place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row", "line")
         distinct = keep(found.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"),
                                                  F.first("n_words").alias("size")), "distinct")
@@ -176,7 +221,9 @@ def repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
 
         linked = linking.links(distinct.select("key", "size", "bands"), sets_of, round(100 * similarity), keep, exact_sizes=False)
         roots = connected_components(linked, keep=keep).withColumnRenamed("node", "key")
-        whole = distinct.select("key", "n", "first").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        # what occurs once and has no link repeats nothing
+        whole = (distinct.select("key", "n", "first").join(roots, "key", "left").where("n > 1 or root is not null")
+                 .withColumn("root", F.coalesce("root", "key")))
         groups = whole.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("occurrences")).where("occurrences > 1")
         # a line that most documents share is met by 16 tasks
         of_key = (whole.select("key", "root").join(groups, "root").select("key", "keep", "occurrences")

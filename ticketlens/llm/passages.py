@@ -35,10 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.llm.common import Steps, arrow, read, slices
-from ticketlens.llm.paragraphs import _FACTORS, _U, MIN_WORDS, SHINGLE, SIMILARITY, _Hashes, _mix, repeated
+from ticketlens.llm.paragraphs import _FACTORS, _U, MIN_WORDS, SHINGLE, SIMILARITY, _mix, repeated, units, word_hashes
 
 #: A side of a join is broadcast up to so many bytes, as counted.
 BROADCAST_BYTES = 8 << 20
+#: Rows that a task gives out at once: a batch costs as much as many rows.
+ROWS = 5000
 #: Rows that meet one row of a join in one task.
 SHARE = 2000
 
@@ -83,46 +85,27 @@ def _first_least(s: np.ndarray, w: int) -> np.ndarray:
     return (np.minimum(x[:n], x[w - m:w - m + n]) & low).astype(np.int64)
 
 
+def _of(length: int):
+    return lambda h, doc: _anchors(h, doc, length)
+
+
 def anchor_words(length: int) -> int:
     return (length + 2) // 2
 
 
-def _word_hashes(words: list[bytes], hashes: _Hashes) -> np.ndarray:
-    return np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+#: For each byte, whether it parts words.
+_BLANK = bytes(b == 32 or 9 <= b <= 13 for b in range(256))
 
 
 def _places(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and stop (in characters) and line of each word of a text in UTF-8."""
     b = np.frombuffer(raw, dtype=np.uint8)
-    blank = np.concatenate([[True], (b == 32) | ((b >= 9) & (b <= 13)), [True]])
-    first = np.flatnonzero(blank[:-1] & ~blank[1:])
-    last = np.flatnonzero(~blank[:-1] & blank[1:])
-    chars = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
-    lines = np.concatenate([[0], np.cumsum(b == 10)])
-    return chars[first], chars[last], lines[first]
-
-
-
-def _anchor_lists(length: int):
-    """(row, doc_id, text) -> row, doc_id, hashes and places of its anchors."""
-    def run(batches):
-        hashes = _Hashes()
-        for batch in batches:
-            for a, b in slices(batch.column(2), 2 << 20):
-                part = batch.slice(a, b - a)
-                # all texts of the slice as one sequence of words
-                words = [t.encode().lower().split() if t else [] for t in part.column(2).to_pylist()]
-                sizes = np.array([len(w) for w in words])
-                starts = np.concatenate([[0], np.cumsum(sizes)])
-                doc = np.repeat(np.arange(len(words)), sizes)
-                at, v = _anchors(_word_hashes([w for ws in words for w in ws], hashes), doc, length)
-                of = doc[at]
-                ends = pa.array(np.searchsorted(of, np.arange(len(words) + 1)).astype(np.int32))
-                out = pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.ListArray.from_arrays(ends, pa.array(v.view(np.int64))),
-                     pa.ListArray.from_arrays(ends, pa.array((at - starts[of]).astype(np.int32)))], names=["row", "doc_id", "h", "at"])
-                yield out.filter(pa.array(np.diff(ends.to_numpy()) > 0))
-    return run
+    blank = np.frombuffer(b"\x01" + raw.translate(_BLANK) + b"\x01", dtype=np.uint8)
+    borders = np.flatnonzero(blank[1:] != blank[:-1])
+    line = np.searchsorted(np.flatnonzero(b == 10), borders[::2])
+    if not raw.isascii():
+        borders = borders - np.searchsorted(np.flatnonzero((b & 0xC0) == 0x80), borders)
+    return borders[::2], borders[1::2], line
 
 
 _MATCHES = "h long, row long, doc_id long, at int, row0 long, doc0 long, at0 int, mark boolean"
@@ -234,27 +217,35 @@ def _borders(reach: int):
     """(row, doc_id, text, [(side, b)]) -> the words before (false) or after (true)
     place b, nearest first, and where a span that takes 0, 1, ... of them would
     begin or stop, in characters, with the line of its outermost word."""
+    def table(out):
+        row, doc, side, b, words, chars, lines = zip(*out)
+
+        def lists(arrays):
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+            return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(arrays).astype(np.int32)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array(side, pa.bool_()), pa.array(b, pa.int32()),
+             lists(words), lists(chars), lists(lines)], names=[x.split()[0] for x in _BORDERS.split(", ")])
+
     def run(batches):
-        hashes = _Hashes()
+        out = []
         for batch in batches:
             for row, doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 raw = (text or "").encode()
-                h = _short(_word_hashes(raw.lower().split(), hashes))
+                h = _short(word_hashes(raw.lower().split()))
                 start, stop, line = _places(raw)
-                out = []
                 for w in wanted:
                     b, n = w["b"], len(h)
                     if b > n or (not w["side"] and b >= n):  # another text of the same hash and id
                         continue
                     some = np.arange(b, min(b + reach, n)) if w["side"] else np.arange(b - 1, max(b - reach, 0) - 1, -1)
                     edge = np.concatenate([[b - 1 if w["side"] else b], some])
-                    out.append((row, doc, w["side"], b, h[some].tolist(), (stop if w["side"] else start)[edge].tolist(), line[edge].tolist()))
-                if out:
-                    cols = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int32()),
-                                                               pa.list_(pa.int32()), pa.list_(pa.int32())))],
-                        names=[x.split()[0] for x in _BORDERS.split(", ")])
+                    out.append((row, doc, w["side"], b, h[some], (stop if w["side"] else start)[edge], line[edge]))
+                if len(out) >= ROWS:
+                    yield table(out)
+                    out = []
+        if out:
+            yield table(out)
     return run
 
 
@@ -300,8 +291,12 @@ _SPAN_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.in
 def _verified(min_words: int, similarity: float):
     """(row, doc_id, text, gone, equal runs with the words beside their other
     side) -> the passages that go, merged, and for each what it repeats."""
+    def table(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SPAN_TYPES)],
+                                          names=[x.split()[0] for x in _SPANS.split(", ")])
+
     def run(batches):
-        hashes = _Hashes()
+        out = []
         for batch in batches:
             ends, flat = batch.column(4).offsets.to_numpy(), batch.column(4).values
             plain = list(zip(*(flat.field(c).to_pylist() for c in ("s", "e", "row0", "doc0", "s0", "e0", "n"))))
@@ -317,7 +312,7 @@ def _verified(min_words: int, similarity: float):
             for i, (row, doc, text, gone) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
                 mine = [j for j in range(ends[i], ends[i + 1]) if known[j] or (plain[j][2] == row and plain[j][3] == doc)]
                 raw = (text or "").encode()
-                h = _short(_word_hashes(raw.lower().split(), hashes))
+                h = _short(word_hashes(raw.lower().split()))
                 if not mine or max(plain[j][1] for j in mine) > len(h):  # another text of the same hash and id
                     continue
                 start, stop, line = _places(raw)
@@ -335,7 +330,7 @@ def _verified(min_words: int, similarity: float):
                 found = []
                 for some in of.values():
                     found += _joined(sorted(some, key=lambda r: (r["s"], r["s0"])), min_words, similarity)
-                out, merged = [], []
+                merged = []
                 for r in sorted(found, key=lambda r: (r["s"], -r["e"], r["doc0"] is None, r["doc0"] or 0, r["row0"], r["s0"])):
                     if gone and line[r["s"]] == line[r["e"] - 1] and int(line[r["s"]]) in gone:
                         continue
@@ -352,9 +347,11 @@ def _verified(min_words: int, similarity: float):
                         merged.append(dict(r))
                 out += [(row, doc, int(line[m["s"]]), int(start[m["s"]]), int(stop[m["e"] - 1]), m["e"] - m["s"], m["doc0"], m["line0"], m["n"], True)
                         for m in merged]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SPAN_TYPES)],
-                                                     names=[x.split()[0] for x in _SPANS.split(", ")])
+                if len(out) >= ROWS:
+                    yield table(out)
+                    out = []
+        if out:
+            yield table(out)
     return run
 
 
@@ -399,9 +396,11 @@ def _attach(run: DataFrame, side: DataFrame, at: str, keep: Steps) -> DataFrame:
     return run.join(side, same & (F.col("_salt") == F.col("_t")), "left").drop(*drop, "_salt", "_t")
 
 
-def spans(docs: DataFrame, gone: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def spans(docs: DataFrame, gone: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY,
+          lists: DataFrame | None = None) -> DataFrame:
     """Spans of ``docs`` (row, doc_id, text) that repeat, in the columns of
-    ``paragraphs.repeated``; ``gone`` (row, doc_id, line) are lines that go already."""
+    ``paragraphs.repeated``; ``gone`` (row, doc_id, line) are lines that go already;
+    ``lists`` may give the anchors, as ``paragraphs.units`` makes them."""
     length = max(min_words, 1)
     k = anchor_words(length)
 
@@ -409,13 +408,12 @@ def spans(docs: DataFrame, gone: DataFrame, min_words: int = MIN_WORDS, similari
         return (F.col("row") == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(doc))
 
     with Steps(docs.sparkSession) as keep:
-        lists = keep(arrow(docs, _anchor_lists(length), "row long, doc_id long, h array<long>, at array<int>"), "anchors")
-        each = lists.select("row", "doc_id", F.explode(F.arrays_zip("h", "at")).alias("x"))
+        lists = keep(units(docs, min_words, similarity, _of(length)), "anchors") if lists is None else lists
+        each = lists.where("h is not null").select("row", "doc_id", F.posexplode("h").alias("i", "h"), F.col("at").alias("places"))
         order = [F.col("h"), F.asc_nulls_last("doc_id"), F.col("row"), F.col("at")]
-        each = each.select("x.h", "doc_id", "row", "x.at")
+        each = each.select("h", "doc_id", "row", F.col("places")[F.col("i")].alias("at"))
         each = each.repartitionByRange(*order).sortWithinPartitions(*order)
         met = keep(arrow(each, _matches(), _MATCHES), "matches")
-        keep.drop(lists)
         # an anchor in several tasks (two a task at most) has one first occurrence
         marks = met.where("mark").select("h", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row", "at").alias("p")).distinct()
         tops = keep(marks.groupBy("h").agg(F.min("p").alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "tops")
@@ -460,8 +458,10 @@ def _passages(df: DataFrame, doc_id: str, text: str, min_words: int, similarity:
     """The repeated lines and the spans beside them, both written and with ``row``."""
     docs = df.select(F.xxhash64(F.col(f"`{text}`").cast("string")).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
                      F.col(f"`{text}`").cast("string").alias("text"))
-    lines = repeated(df, doc_id, text, min_words, similarity, row=True)
-    return lines, spans(docs, lines.where("removed").select("row", "doc_id", "line"), min_words, similarity)
+    with Steps(df.sparkSession) as keep:  # texts are cut into words once for both
+        found = keep(units(docs, min_words, similarity, _of(max(min_words, 1))), "units")
+        lines = repeated(df, doc_id, text, min_words, similarity, row=True, found=found)
+        return lines, spans(docs, lines.where("removed").select("row", "doc_id", "line"), min_words, similarity, lists=found)
 
 
 def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
